@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import strip
 from ..operators.graph import Graph, graph_from_lists
-from ..session import ensure_checkpoint_dir
 from ..sources import annotate
 
 LINES_PER_TEXT = 1 << 32
@@ -19,12 +16,6 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder on the storage all executors share."""
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/scratch-{uuid.uuid4().hex}"
-
-
 def _split(rows: DataFrame, key: str, text: str, separator: str) -> DataFrame:
     """Non-blank stripped parts of a text column with their position."""
     parts = rows.select("*", F.posexplode(F.split(text, separator)).alias("n", "line")).drop(text)

@@ -22,7 +22,7 @@ from ..functions import (
     token_kinds,
 )
 from ..functions.fields import locate_any
-from ..operators.features import symbol_features, term_frequencies
+from ..operators.features import term_frequencies
 from ..operators.runlog import PROGRESS_WORDS
 from ..sources import annotate, signature_batch
 from . import sql
@@ -211,10 +211,10 @@ def token_kinds_pages(spark, folder):
 @query(
     "field_locators",
     f"""{_DOC}, first AS (
-      SELECT pos, raw_log, pattern, strpos(raw_log, left(pattern, 1)) AS at FROM signed)
-    SELECT pos, CASE WHEN pattern = '' THEN 0 ELSE at END AS first_symbol,
-           CASE WHEN pattern = '' OR at < 2 THEN ''
-                ELSE trim(substr(raw_log, 1, at - 1), {sql.WS}) END AS before FROM first""",
+      SELECT pos, raw_log, pattern, strpos(raw_log, left(pattern, 1)) AS spot FROM signed)
+    SELECT pos, CASE WHEN pattern = '' THEN 0 ELSE spot END AS first_symbol,
+           CASE WHEN pattern = '' OR spot < 2 THEN ''
+                ELSE trim(substr(raw_log, 1, spot - 1), {sql.WS}) END AS before FROM first""",
 )
 def field_locators(spark, folder):
     kinds = token_kinds(_pattern())
@@ -337,11 +337,3 @@ def features_docs(spark, folder):
     return term_frequencies(annotate(doc_lines(spark, folder)))
 
 
-@query("features_vectors")
-def features_vectors(spark, folder):
-    patterns = annotate(page_lines(spark, folder)).select("pattern").distinct()
-    return symbol_features(patterns).select("pattern", F.array_join(
-        F.transform("vec", lambda x: F.round(x, 6).cast("string")), " ").alias("vec"))
-
-
-__all__ = ["pattern_signature"]

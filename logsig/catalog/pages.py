@@ -1,0 +1,143 @@
+"""The clustered-log query operators over whole corpora."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators.clusters import cluster_signatures
+from ..operators.query import (
+    filter_cluster_pattern,
+    log_filter,
+    log_query,
+    page,
+    page_meta,
+    validate_page,
+)
+from ..operators.registry import build_registry, log_schema
+from . import sql
+from .clustering import REGISTRY_SQL
+from .corpora import clustered_docs, labelled_docs
+from .registry import query
+
+_SIGNED = f"WITH {sql.DOC_LINES}, {sql.signed('doc_lines')}"
+CLUSTER, NEEDLE, LIMIT, OFFSET = 3, ", .", 50, 20
+_MATCH = f"cluster = {CLUSTER} AND contains(lower(pattern), '{NEEDLE}')"
+_PAGE = f"ORDER BY pos LIMIT {LIMIT} OFFSET {OFFSET}"
+
+
+@query(
+    "filter_cluster_pattern",
+    f"{_SIGNED} SELECT pos, raw_log, pattern FROM signed WHERE {_MATCH}",
+)
+def filtered(spark, folder):
+    rows = filter_cluster_pattern(clustered_docs(spark, folder), CLUSTER, NEEDLE)
+    return rows.select("pos", "raw_log", "pattern")
+
+
+@query("log_query", f"{_SIGNED} SELECT pos, raw_log AS text FROM signed WHERE {_MATCH} {_PAGE}")
+def query_page(spark, folder):
+    return log_query(clustered_docs(spark, folder), CLUSTER, NEEDLE, LIMIT, OFFSET)[0]
+
+
+@query(
+    "log_query_shallow",
+    f"""{_SIGNED}, page AS (SELECT * FROM signed WHERE {_MATCH} {_PAGE})
+    SELECT pos, {sql.reconstruction('raw_log', 'pattern')} AS text FROM page""",
+)
+def shallow_page(spark, folder):
+    return log_query(clustered_docs(spark, folder), CLUSTER, NEEDLE, LIMIT, OFFSET, True)[0]
+
+
+@query(
+    "log_filter",
+    f"""{_SIGNED}, page AS (SELECT * FROM signed WHERE {_MATCH} ORDER BY pos LIMIT 100),
+    walked AS (SELECT pos, {sql.fields('raw_log', 'pattern')} AS w FROM page)
+    SELECT pos, coalesce(array_to_string(list_filter([w[1].text, w[3].text, w[2].text],
+      lambda t: t IS NOT NULL), chr(9)), '') AS text FROM walked""",
+)
+def filter_page(spark, folder):
+    return log_filter(clustered_docs(spark, folder), CLUSTER, NEEDLE, [0, 2, 1])[0]
+
+
+@query(
+    "page_meta",
+    f"""{_SIGNED}, n AS (SELECT count(*) AS total FROM signed WHERE {_MATCH})
+    SELECT CAST({OFFSET} AS BIGINT) AS current_offset,
+      CAST(least({LIMIT}, greatest(total - {OFFSET}, 0)) AS BIGINT) AS returned_count,
+      CAST({LIMIT} AS BIGINT) AS requested_limit, {OFFSET + LIMIT} >= total AS "isEnd",
+      total AS total_matches, {CLUSTER} AS cluster_id, '{NEEDLE}' AS pattern_filter,
+      false AS shallow_mode FROM n""",
+)
+def query_meta(spark, folder):
+    return log_query(clustered_docs(spark, folder), CLUSTER, NEEDLE, LIMIT, OFFSET)[1]
+
+
+@query(
+    "validate_page_args",
+    """WITH pages AS (SELECT conv_id, turn, turn - 1 AS start, length(text) AS size
+      FROM conversations)
+    SELECT conv_id, turn, CASE WHEN size <= 0 THEN 'Limit must be greater than 0'
+      WHEN start < 0 THEN 'Offset must be non-negative'
+      WHEN size > 1000 THEN 'Limit cannot exceed 1000 to prevent performance issues'
+      ELSE 'ok' END AS verdict FROM pages""",
+)
+def page_arguments(spark, folder):
+    """The argument check applied to page requests kept as a table."""
+    from .corpora import table
+
+    def verdict(limit: int, offset: int) -> str:
+        try:
+            validate_page(limit, offset)
+        except ValueError as error:
+            return str(error)
+        return "ok"
+
+    @F.pandas_udf("string")
+    def verdicts(limits, offsets):
+        return limits.combine(offsets, verdict)
+
+    requests = table(spark, folder, "conversations")
+    return requests.select(
+        "conv_id",
+        "turn",
+        verdicts(F.char_length("text"), F.col("turn") - 1).alias("verdict"),
+    )
+
+
+@query(
+    "page_past_end",
+    f"""{_SIGNED}, n AS (SELECT count(*) AS total FROM signed WHERE cluster = {CLUSTER})
+    SELECT total + 5 AS current_offset, CAST(0 AS BIGINT) AS returned_count, true AS "isEnd",
+      CAST(0 AS BIGINT) AS lines FROM n""",
+)
+def past_end(spark, folder):
+    rows = clustered_docs(spark, folder).filter(F.col("cluster") == CLUSTER)
+    offset = rows.count() + 5
+    lines = page(rows, 10, offset).agg(F.count(F.lit(1)).alias("lines"))
+    meta = page_meta(rows, 10, offset).select("current_offset", "returned_count", "isEnd")
+    return meta.crossJoin(F.broadcast(lines))
+
+
+@query(
+    "log_schema",
+    f"""{REGISTRY_SQL} SELECT stable_id AS cluster, array_to_string(patterns, '|')
+      AS pattern_signatures, size AS training_size,
+      CASE WHEN length(sample_logs[1]) > 150 THEN left(sample_logs[1], 150) || '...'
+           ELSE sample_logs[1] END AS sample_preview FROM registry""",
+)
+def schema_clusters(spark, folder):
+    registry = build_registry(cluster_signatures(labelled_docs(spark, folder)))
+    return log_schema(registry)[0].withColumn(
+        "pattern_signatures", F.array_join("pattern_signatures", "|")
+    )
+
+
+@query(
+    "log_schema_totals",
+    f"""{REGISTRY_SQL} SELECT count(*) AS total_clusters,
+      CAST(sum(size) AS BIGINT) AS total_training_logs, max(stable_id) + 1 AS next_available_id,
+      '1.0' AS schema_version FROM registry""",
+)
+def schema_totals(spark, folder):
+    registry = build_registry(cluster_signatures(labelled_docs(spark, folder)))
+    return log_schema(registry)[1]

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import broadcast_if_bounded, checkpoint, sequential_ids
+from ..session import broadcast_if_bounded, materialize, sequential_ids
 from ..sources.logs import OUTLIER
 from .vectors import _matrix
 
@@ -118,12 +118,12 @@ def _block_pairs(placed: DataFrame, asking, compare, schema: str) -> DataFrame:
         "_own", F.pmod(F.xxhash64("site"), F.col("_blocks")).cast("int")
     )
     every = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
+    # Fresh aliases: both sides come from one table.
+    data = [F.col(c).alias(c) for c in ("cell", "site", "vec", "weight")]
     left = sized.filter(F.col("home") & asking).select(
-        "cell", F.col("_own").alias("_a"), every.alias("_b"), "site", "vec", "weight"
-    )
-    right = sized.select(
-        "cell", every.alias("_a"), F.col("_own").alias("_b"), "site", "vec", "weight"
+        *data, F.col("_own").alias("_a"), every.alias("_b")
     )
+    right = sized.select(*data, every.alias("_a"), F.col("_own").alias("_b"))
     key = ["cell", "_a", "_b"]
     return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(compare, schema)
 
@@ -191,8 +191,8 @@ def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     Each round takes the lowest label among a vertex and its neighbours, then the
     label of that label, until nothing changes.
     """
-    both = checkpoint(edges.union(edges.select("dst", "src")).distinct())
-    labels = checkpoint(vertices.select("site", F.col("site").alias("component")))
+    both = materialize(edges.union(edges.select("dst", "src")).distinct())
+    labels = materialize(vertices.select("site", F.col("site").alias("component")))
     while True:
         heard = (
             both.join(labels.withColumnRenamed("site", "dst"), "dst")
@@ -205,7 +205,7 @@ def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
             F.least("component", "_heard").alias("component"),
         )
         jump = lower.select(F.col("site").alias("component"), F.col("component").alias("_jump"))
-        moved = checkpoint(
+        moved = materialize(
             lower.join(jump, "component").select(
                 "site", "_before", F.least("component", "_jump").alias("component")
             )
@@ -222,14 +222,14 @@ def density_cluster(points: DataFrame, parameters: Density) -> DataFrame:
     with their summed weight, so copies cost nothing.
     """
     typed = points.withColumn("vec", F.col("vec").cast("array<double>"))
-    sites = checkpoint(
+    sites = materialize(
         typed.groupBy("vec").agg(F.min("point_id").alias("site"), F.sum("weight").alias("weight"))
     ).select("site", "vec", "weight")
     enough = parameters.min_samples + 1
-    placed = checkpoint(cells(sites, parameters.epsilon))
+    placed = materialize(cells(sites, parameters.epsilon))
     light = F.col("weight") < enough
     near = neighbour_weights(placed, light, parameters.epsilon)
-    cores = checkpoint(
+    cores = materialize(
         sites.filter(~light)
         .select("site")
         .union(near.filter(F.col("near") >= enough).select("site"))

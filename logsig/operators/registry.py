@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text_preview
-from ..session import broadcast_if_bounded, sequential_ids
+from ..session import broadcast_if_bounded, materialize, sequential_ids
 from ..sources.logs import OUTLIER
 
 PREVIEW_LENGTH = 150
@@ -29,6 +29,7 @@ def stable_ids(signatures: DataFrame, cluster: str = "cluster_id") -> DataFrame:
 
 def build_registry(signatures: DataFrame, cluster: str = "cluster_id") -> DataFrame:
     """The registry of a training run, with each cluster's temporary label."""
+    signatures = materialize(signatures)
     return signatures.join(stable_ids(signatures, cluster), cluster).select(
         "stable_id",
         "signature_hash",
@@ -55,6 +56,7 @@ def map_signatures(
     Clusters sharing an unknown hash share the id the first of them gets.
     """
     order = _first_columns(signatures)
+    signatures, registry = materialize(signatures), materialize(registry)
     known = registry.groupBy("signature_hash").agg(F.max("stable_id").alias("known_id"))
     matched = signatures.join(known, "signature_hash", "left")
     info = F.struct("patterns", "size", "sample_logs")

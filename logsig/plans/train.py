@@ -13,7 +13,7 @@ from ..operators.density import Density, density_cluster, density_parameters
 from ..operators.features import Featurizer, features
 from ..operators.registry import build_registry
 from ..operators.vectors import SAMPLES_PER_CLUSTER, cluster_geometry
-from ..session import broadcast_if_bounded, checkpoint, sequential_ids
+from ..session import broadcast_if_bounded, materialize, sequential_ids
 from ..sources.logs import OUTLIER, annotate
 from ..sources.model import Model, REGISTRY_SCHEMA, Thresholds
 
@@ -87,7 +87,7 @@ def build_model(
     labels: DataFrame, lines: DataFrame, order: Sequence[str] = ("pos",), seed: int = 17
 ) -> Model:
     """Registry, centroids and sample vectors of labelled patterns and lines."""
-    registry = checkpoint(build_registry(cluster_signatures(lines, order=order)))
+    registry = materialize(build_registry(cluster_signatures(lines, order=order)))
     ids = broadcast_if_bounded(registry.select("cluster_id", "stable_id"))
     shape = cluster_geometry(labels, "cluster_id", "vec", "weight").join(ids, "cluster_id")
     centroids = shape.select(
@@ -113,8 +113,8 @@ def train(
 ) -> Training:
     """Sign, cluster and register lines given as ``(pos, raw_log)``."""
     signed = annotate(raw_lines)
-    patterns = checkpoint(pattern_table(signed, order))
-    labels = checkpoint(label_patterns(patterns, density_parameters(preset), featurizer))
+    patterns = materialize(pattern_table(signed, order))
+    labels = materialize(label_patterns(patterns, density_parameters(preset), featurizer))
     lines = label_lines(signed, labels)
     stats = cluster_stats(lines, data_type="preprocessed", aggression_level=preset)
     return Training(lines, stats, build_model(labels, lines, order))

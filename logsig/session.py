@@ -1,8 +1,9 @@
-"""Session-level helpers: checkpoints, bounded broadcasts, dense numbering."""
+"""Session-level helpers: materialised tables, bounded broadcasts, dense numbering."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -29,19 +30,33 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(folder)
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder and cut its lineage."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder name on the storage all executors share."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back.
+
+    Cuts the lineage like a checkpoint and survives lost executors; as a Parquet
+    table it also has a known size, is read column by column, and is computed once
+    however often it is used.
+    """
+    spark = df.sparkSession
+    path = shared_folder(spark)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def broadcast_if_bounded(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast only after counting the rows; larger sides get shuffled.
 
-    Meant for narrow rows such as keys. The count stops at the bound.
+    Meant for narrow rows such as keys. The side is materialised first, so the
+    count reads file footers and the join does not compute it again.
     """
-    df = df.persist()
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    table = materialize(df)
+    return F.broadcast(table) if table.count() <= max_rows else table
 
 
 def sequential_ids(
@@ -51,8 +66,10 @@ def sequential_ids(
 
     Rows fall into consecutive buckets of the first order column; a bucket's rows
     are ranked on their own and shifted by the sizes of the buckets before it.
-    ``start`` is an optional one-row frame with the first number to give.
+    ``start`` is an optional one-row frame with the first number to give. The rows
+    are materialised first, as they are needed three times.
     """
+    df = materialize(df)
     lead = order[0]
     if dict(df.dtypes)[lead] in ("bigint", "int"):
         span = df.agg(F.min(lead).alias("_low"), F.max(lead).alias("_high"))

@@ -16,7 +16,7 @@ from ..operators.clusters import cluster_signatures
 from ..operators.features import Featurizer
 from ..operators.registry import map_signatures
 from ..plans.infer import assign_lines
-from ..session import checkpoint
+from ..session import materialize
 from ..sources.logs import _lines, clustered_rows
 from ..sources.model import Model
 
@@ -51,8 +51,8 @@ def stream_assign(
     """
     frozen = Model(
         model.registry,
-        checkpoint(model.centroids),
-        checkpoint(model.samples),
+        materialize(model.centroids),
+        materialize(model.samples),
         model.thresholds,
     )
 
@@ -81,7 +81,7 @@ def stream_new_signatures(
     the mapping it used.
     """
     spark = registry.sparkSession
-    start = checkpoint(registry)
+    start = materialize(registry)
 
     def extend(batch: DataFrame, batch_id: int) -> None:
         known = (
