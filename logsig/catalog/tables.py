@@ -1,0 +1,299 @@
+"""Sources, sinks and streams, fed with files Spark writes from the tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..operators.clusters import cluster_signatures, cluster_stats
+from ..operators.features import symbol_features
+from ..operators.registry import build_registry
+from ..operators.vectors import cluster_geometry, cluster_sample_vectors
+from ..plans.infer import assign_lines
+from ..session import materialize, shared_folder
+from ..sources import (
+    Model,
+    Thresholds,
+    annotate,
+    append_clustered,
+    append_clustered_csv,
+    clustered_rows,
+    load_model,
+    read_clustered,
+    read_clustered_csv,
+    read_log_directory,
+    read_log_file,
+    read_registry_json,
+    save_model,
+    save_patterns,
+    save_stats,
+)
+from ..streaming import stream_assign, stream_new_signatures
+from . import sql
+from .clustering import REGISTRY_SQL
+from .corpora import doc_lines, embeddings, labelled_docs, page_lines, table
+from .registry import query
+
+_LINES = f"""WITH raw AS (SELECT unnest(string_split(text, chr(10))) AS line FROM documents),
+  lines AS (SELECT trim(line, {sql.WS}) AS raw_log FROM raw WHERE trim(line, {sql.WS}) <> '')"""
+_COUNTED = f"{_LINES} SELECT raw_log, count(*) AS lines FROM lines GROUP BY raw_log"
+
+
+def _write_logs(spark, folder, by_source: bool = False) -> str:
+    """All documents as log files, one folder per source if asked."""
+    path = shared_folder(spark)
+    docs = table(spark, folder, "documents")
+    if by_source:
+        docs.select("source", "text").write.partitionBy("source").text(path)
+    else:
+        docs.select("text").write.text(path)
+    return path
+
+
+def _counted(lines):
+    return lines.groupBy("raw_log").agg(F.count(F.lit(1)).alias("lines"))
+
+
+@query("src_log_file", _COUNTED)
+def log_file(spark, folder):
+    return _counted(read_log_file(spark, _write_logs(spark, folder)))
+
+
+@query("src_log_dir", _COUNTED)
+def log_directory(spark, folder):
+    return _counted(read_log_directory(spark, _write_logs(spark, folder), "part-*.txt"))
+
+
+@query(
+    "union_files",
+    f"""WITH raw AS (SELECT source, unnest(string_split(text, chr(10))) AS line FROM documents)
+    SELECT source, count(*) AS lines FROM raw WHERE trim(line, {sql.WS}) <> '' GROUP BY source""",
+)
+def union_of_files(spark, folder):
+    path = _write_logs(spark, folder, by_source=True)
+    lines = spark.read.text(path).select("source", F.col("value").alias("line"))
+    return (
+        lines.filter(F.btrim("line", F.lit(sql.WHITESPACE)) != "")
+        .groupBy("source")
+        .agg(F.count(F.lit(1)).alias("lines"))
+    )
+
+
+@query(
+    "sort_files",
+    f"""WITH {sql.DOC_LINES}, n AS (SELECT source, row_number() OVER (
+      PARTITION BY source ORDER BY pos) AS place, raw_log FROM doc_lines)
+    SELECT source, CAST(place AS INTEGER) AS place, raw_log FROM n WHERE place <= 3""",
+)
+def first_lines_of_files(spark, folder):
+    """Lines of one file per source come back in the order they were written."""
+    path = shared_folder(spark)
+    rows = doc_lines(spark, folder).select("source", "pos", "raw_log")
+    ordered = rows.repartition("source").sortWithinPartitions("source", "pos")
+    ordered.select("source", "raw_log").write.partitionBy("source").text(path)
+    lines = read_log_file_with_source(spark, path)
+    by_file = Window.partitionBy("source").orderBy("source_file", "pos")
+    return (
+        lines.withColumn("place", F.row_number().over(by_file))
+        .filter("place <= 3")
+        .select("source", "place", "raw_log")
+    )
+
+
+def read_log_file_with_source(spark, path):
+    from ..sources.logs import line_position
+
+    return spark.read.text(path).select(
+        "source",
+        F.col("_metadata.file_name").alias("source_file"),
+        line_position().alias("pos"),
+        F.col("value").alias("raw_log"),
+    )
+
+
+_SIGNED = f"WITH {sql.DOC_LINES}, {sql.signed('doc_lines')}"
+_CLUSTERED = f"""{_SIGNED}, clustered AS (
+  SELECT CASE WHEN cluster = 0 THEN -1 ELSE cluster END AS cluster, raw_log,
+    CASE WHEN cluster = 0 THEN 'outlier' ELSE pattern END AS pattern FROM signed)"""
+_CLUSTERED_COUNTS = f"""{_CLUSTERED} SELECT cluster, raw_log, pattern, count(*) AS lines
+  FROM clustered GROUP BY ALL"""
+
+
+def _assigned(spark, folder):
+    return clustered_rows(labelled_docs(spark, folder), "cluster_id")
+
+
+def _table_counts(rows):
+    return rows.groupBy(F.col("cluster").cast("int"), "raw_log", "pattern").agg(
+        F.count(F.lit(1)).alias("lines")
+    )
+
+
+@query("src_clustered_csv", _CLUSTERED_COUNTS)
+def clustered_csv(spark, folder):
+    path = shared_folder(spark)
+    append_clustered_csv(_assigned(spark, folder), path)
+    return _table_counts(read_clustered_csv(spark, path))
+
+
+@query(
+    "sink_clustered_append",
+    _CLUSTERED_COUNTS.replace("count(*) AS lines", "2 * count(*) AS lines"),
+)
+def clustered_append(spark, folder):
+    """Appending twice doubles the rows: the table has no key."""
+    path = shared_folder(spark)
+    rows = _assigned(spark, folder).select("cluster", "pos", "raw_log", "pattern")
+    append_clustered(rows, path)
+    append_clustered(rows, path)
+    return _table_counts(read_clustered(spark, path))
+
+
+@query(
+    "sink_preprocessed",
+    f"{_SIGNED} SELECT pattern, count(*) AS lines FROM signed GROUP BY pattern",
+)
+def preprocessed(spark, folder):
+    path = shared_folder(spark)
+    save_patterns(annotate(doc_lines(spark, folder)), path)
+    saved = spark.read.text(path).withColumnRenamed("value", "pattern")
+    return saved.groupBy("pattern").agg(F.count(F.lit(1)).alias("lines"))
+
+
+@query(
+    "src_registry_json",
+    f"""{REGISTRY_SQL} SELECT CAST(stable_id AS BIGINT) AS stable_id, signature_hash,
+      array_to_string(patterns, '|') AS patterns, size AS training_size,
+      array_to_string(sample_logs, '|') AS sample_logs,
+      (SELECT count(*) FROM registry) AS next_stable_id FROM registry""",
+)
+def registry_json(spark, folder):
+    """A registry document written from the labelled lines and read back."""
+    registry = build_registry(cluster_signatures(labelled_docs(spark, folder)))
+    info = F.struct("signature_hash", "patterns", "training_size", "sample_logs")
+    entries = F.collect_list(F.struct(F.col("stable_id").cast("string"), info))
+    document = registry.agg(
+        F.map_from_entries(entries).alias("stable_id_to_info"),
+        F.count(F.lit(1)).alias("next_stable_id"),
+    )
+    path = shared_folder(spark)
+    document.select(F.to_json(F.struct("*")).alias("value")).write.text(path)
+    read, _, settings = read_registry_json(spark, path)
+    return read.select(
+        "stable_id",
+        "signature_hash",
+        F.array_join("patterns", "|").alias("patterns"),
+        "training_size",
+        F.array_join("sample_logs", "|").alias("sample_logs"),
+    ).crossJoin(F.broadcast(settings.select("next_stable_id")))
+
+
+@query(
+    "sink_registry",
+    """WITH d AS (SELECT label, i, avg(x) AS x FROM (SELECT label,
+        unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) AS i
+        FROM embeddings) GROUP BY ALL),
+      n AS (SELECT label, count(*) AS size FROM embeddings GROUP BY label)
+    SELECT CAST(label AS INTEGER) AS stable_id, size, least(size, 10) AS samples,
+      round(sqrt(sum(x * x)), 6) AS centroid_norm, CAST(0.25 AS DOUBLE) AS primary_distance
+    FROM d JOIN n USING (label) GROUP BY ALL""",
+)
+def saved_model(spark, folder):
+    vectors = embeddings(spark, folder)
+    centroids = cluster_geometry(vectors).select(
+        F.col("label").alias("stable_id"), F.col("centroid").alias("vec"), "size", "centroid_norm"
+    )
+    samples = cluster_sample_vectors(vectors, "row_id").select(
+        F.col("label").alias("stable_id"), "idx", "vec"
+    )
+    path = shared_folder(spark)
+    save_model(Model(centroids.drop("vec"), centroids, samples, Thresholds()), path)
+    model = load_model(spark, path)
+    counts = model.samples.groupBy("stable_id").agg(F.count(F.lit(1)).alias("samples"))
+    return model.centroids.join(counts, "stable_id").select(
+        "stable_id",
+        "size",
+        "samples",
+        F.round("centroid_norm", 6).alias("centroid_norm"),
+        F.lit(model.thresholds.primary_distance).alias("primary_distance"),
+    )
+
+
+@query(
+    "sink_stats",
+    f"""{_CLUSTERED} SELECT count(*) AS total_logs, count(DISTINCT cluster) - 1 AS num_clusters,
+      count(*) FILTER (cluster = -1) AS num_outliers FROM clustered""",
+)
+def saved_stats(spark, folder):
+    path = shared_folder(spark)
+    save_stats(cluster_stats(labelled_docs(spark, folder)), path)
+    return spark.read.json(path).select("total_logs", "num_clusters", "num_outliers")
+
+
+def _small_model(spark, folder) -> Model:
+    """Document sources as clusters of their patterns' vectors."""
+    rows = symbol_features(labelled_docs(spark, folder)).withColumnRenamed("cluster_id", "label")
+    centroids = cluster_geometry(rows).select(
+        F.col("label").alias("stable_id"), F.col("centroid").alias("vec")
+    )
+    samples = cluster_sample_vectors(rows, "pos", seed=None).select(
+        F.col("label").alias("stable_id"), "idx", "vec"
+    )
+    return Model(centroids, materialize(centroids), materialize(samples), Thresholds())
+
+
+def _log_files(spark, folder) -> str:
+    """The page lines as log files."""
+    path = shared_folder(spark)
+    flat = F.regexp_replace("raw_log", "[\\r\\n]+", " ")
+    page_lines(spark, folder).select(flat.alias("value")).write.text(path)
+    return path
+
+
+@query("stream_assign")
+def streamed(spark, folder):
+    """Lines per cluster after the stream has taken in all files."""
+    model, logs, out = _small_model(spark, folder), _log_files(spark, folder), shared_folder(spark)
+    stream = stream_assign(
+        spark, logs, model, out, shared_folder(spark), glob="part-*.txt"
+    )
+    stream.awaitTermination()
+    return (
+        spark.read.parquet(out)
+        .groupBy(F.col("cluster").cast("int").alias("cluster"))
+        .agg(F.count(F.lit(1)).alias("lines"))
+    )
+
+
+@query("batch_assign")
+def batched(spark, folder):
+    """The same files through batch inference."""
+    logs = read_log_directory(spark, _log_files(spark, folder), "part-*.txt")
+    assigned = assign_lines(logs, _small_model(spark, folder))
+    return (
+        clustered_rows(assigned)
+        .groupBy("cluster")
+        .agg(F.count(F.lit(1)).alias("lines"))
+    )
+
+
+@query("stream_new_signatures")
+def streamed_signatures(spark, folder):
+    """The registry after streaming in all labelled lines, even documents known."""
+    lines = labelled_docs(spark, folder)
+    known = lines.filter(F.floor(F.col("pos") / (1 << 32)) % 2 == 0)
+    path, store = shared_folder(spark), shared_folder(spark)
+    lines.write.parquet(path)
+    stream = stream_new_signatures(
+        spark.readStream.schema(lines.schema).parquet(path),
+        build_registry(cluster_signatures(known)).drop("cluster_id"),
+        store,
+        shared_folder(spark),
+    )
+    stream.awaitTermination()
+    registry = spark.read.parquet(f"{store}/registry")
+    latest = registry.agg(F.max("version").alias("version"))
+    return registry.join(F.broadcast(latest), "version").select(
+        "stable_id", "signature_hash", "training_size", "inference_size"
+    )
+

@@ -12,6 +12,8 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -109,13 +111,16 @@ def matches_query(text: Column, query: str) -> Column:
     if query.strip() == "*":
         return F.lit(True)
     tokens = F.split(F.lower(text), _NOT_TOKEN)
-    words, hit = [], F.lit(False)
-    for word in query.lower().split():
-        if word.endswith("*"):
-            prefix = word[:-1]
-            hit = hit | F.exists(tokens, lambda t, p=prefix: F.startswith(t, F.lit(p)))
-        else:
-            words.append(word)
+    given = query.lower().split()
+    words = [w for w in given if not w.endswith("*")]
+    prefixes = [w[:-1] for w in given if w.endswith("*")]
+    hit = F.lit(False)
+    if prefixes:
+
+        def starts(token: Column) -> Column:
+            return reduce(or_, [F.startswith(token, F.lit(p)) for p in prefixes])
+
+        hit = F.exists(tokens, starts)
     if words:
         hit = hit | F.arrays_overlap(tokens, F.array(*[F.lit(w) for w in words]))
     return hit

@@ -19,18 +19,19 @@ def _first_columns(signatures: DataFrame) -> list[str]:
     return [c for c in signatures.columns if c.startswith("first_")]
 
 
-def stable_ids(signatures: DataFrame, cluster: str = "cluster_id") -> DataFrame:
+def stable_ids(
+    signatures: DataFrame, cluster: str = "cluster_id", stored: bool = False
+) -> DataFrame:
     """Number the clusters 0, 1, 2, ... by their first appearance."""
     order = _first_columns(signatures)
-    return sequential_ids(signatures.select(cluster, *order), order, "stable_id").select(
-        cluster, "stable_id"
-    )
+    keys = signatures.select(cluster, *order)
+    return sequential_ids(keys, order, "stable_id", stored=stored).select(cluster, "stable_id")
 
 
 def build_registry(signatures: DataFrame, cluster: str = "cluster_id") -> DataFrame:
     """The registry of a training run, with each cluster's temporary label."""
     signatures = materialize(signatures)
-    return signatures.join(stable_ids(signatures, cluster), cluster).select(
+    return signatures.join(stable_ids(signatures, cluster, stored=True), cluster).select(
         "stable_id",
         "signature_hash",
         "patterns",

@@ -39,9 +39,12 @@ SUMMARY_LENGTH = 200
 CHUNK_TURNS = 100_000
 
 
-def read_run_logs(spark: SparkSession, path: str) -> DataFrame:
-    """One row per run; tool arguments stay JSON text as they have no fixed shape."""
-    raw = spark.read.schema(RUN_LOG_SCHEMA).json(path, multiLine=True)
+def read_run_logs(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+    """One row per run; tool arguments stay JSON text as they have no fixed shape.
+
+    ``multiline`` reads one document per file, else one per line.
+    """
+    raw = spark.read.schema(RUN_LOG_SCHEMA).json(path, multiLine=multiline)
     return raw.select(F.col("_metadata.file_name").alias("run_id"), "*")
 
 

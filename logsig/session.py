@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 1_000_000
 NUMBERING_BUCKETS = 4096
+DIRECT_NUMBERING = 500_000
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -60,39 +61,48 @@ def broadcast_if_bounded(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataF
 
 
 def sequential_ids(
-    df: DataFrame, order: Sequence[str], name: str, start: DataFrame | None = None
+    df: DataFrame,
+    order: Sequence[str],
+    name: str,
+    start: DataFrame | None = None,
+    stored: bool = False,
 ) -> DataFrame:
     """Number rows 0, 1, 2, ... by ``order`` without sorting all in one task.
 
-    Rows fall into consecutive buckets of the first order column; a bucket's rows
-    are ranked on their own and shifted by the sizes of the buckets before it.
-    ``start`` is an optional one-row frame with the first number to give. The rows
-    are materialised first, as they are needed three times.
+    Up to ``DIRECT_NUMBERING`` rows are simply ranked. More fall into consecutive
+    buckets of the first order column; a bucket's rows are ranked on their own and
+    shifted by the sizes of the buckets before it. ``start`` is an optional one-row
+    frame with the first number to give. The rows are materialised first unless
+    they are ``stored`` already, as they are needed several times.
     """
-    df = materialize(df)
+    df = df if stored else materialize(df)
+    if df.count() <= DIRECT_NUMBERING:
+        ranked = df.withColumn(name, F.row_number().over(Window.orderBy(*order)) - 1)
+    else:
+        ranked = _bucketed_ids(df, order, name)
+    ranked = ranked.withColumn(name, F.col(name).cast("bigint"))
+    if start is None:
+        return ranked
+    first = start.columns[0]
+    shifted = ranked.crossJoin(F.broadcast(start))
+    return shifted.withColumn(name, F.col(name) + F.col(first)).drop(first)
+
+
+def _bucketed_ids(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
     lead = order[0]
+    bucket = F.col(lead)
     if dict(df.dtypes)[lead] in ("bigint", "int"):
-        span = df.agg(F.min(lead).alias("_low"), F.max(lead).alias("_high"))
-        width = F.floor((F.col("_high") - F.col("_low")) / NUMBERING_BUCKETS) + 1
-        df = (
-            df.crossJoin(F.broadcast(span))
-            .withColumn("_bucket", F.floor((F.col(lead) - F.col("_low")) / width))
-            .drop("_low", "_high")
-        )
-    else:
-        df = df.withColumn("_bucket", F.col(lead))
+        low, high = df.agg(F.min(lead), F.max(lead)).first()
+        bucket = F.floor((F.col(lead) - low) / ((high - low) // NUMBERING_BUCKETS + 1))
+    df = df.withColumn("_bucket", bucket)
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     sizes = df.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_size"))
     shifts = sizes.select(
         "_bucket", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_shift")
     )
-    ranked = df.join(shifts, "_bucket").withColumn(
-        name,
-        F.col("_shift") + F.row_number().over(Window.partitionBy("_bucket").orderBy(*order)) - 1,
+    inside = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order))
+    return (
+        df.join(shifts, "_bucket")
+        .withColumn(name, F.col("_shift") + inside - 1)
+        .drop("_bucket", "_shift")
     )
-    if start is not None:
-        first = start.columns[0]
-        ranked = ranked.crossJoin(F.broadcast(start)).withColumn(
-            name, F.col(name) + F.col(first)
-        ).drop(first)
-    return ranked.drop("_bucket", "_shift")

@@ -97,7 +97,8 @@ def read_clustered(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-_CSV = {"header": True, "quote": '"', "escape": '"'}
+# A null marker no line contains, so that an empty pattern stays an empty text.
+_CSV = {"header": True, "quote": '"', "escape": '"', "nullValue": "\0", "emptyValue": ""}
 
 
 def append_clustered_csv(clustered: DataFrame, path: str) -> None:

@@ -43,6 +43,7 @@ def stream_assign(
     out: str,
     checkpoint_dir: str,
     featurizer: Featurizer | None = None,
+    glob: str = "*.log",
 ) -> StreamingQuery:
     """Assign every new log file's lines and append them to the clustered table.
 
@@ -63,7 +64,7 @@ def stream_assign(
         )
 
     return (
-        log_stream(spark, path)
+        log_stream(spark, path, glob)
         .writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint_dir)
         .trigger(availableNow=True)
