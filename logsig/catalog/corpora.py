@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import strip
 from ..operators.graph import Graph, graph_from_lists
+from ..session import spread
 from ..sources import annotate
 
 LINES_PER_TEXT = 1 << 32
@@ -18,7 +19,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def _split(rows: DataFrame, key: str, text: str, separator: str) -> DataFrame:
     """Non-blank stripped parts of a text column with their position."""
-    parts = rows.select("*", F.posexplode(F.split(text, separator)).alias("n", "line")).drop(text)
+    parts = spread(rows).select("*", F.posexplode(F.split(text, separator)).alias("n", "line")).drop(text)
     return parts.select(
         (F.col(key) * LINES_PER_TEXT + F.col("n")).alias("pos"),
         "*",
@@ -42,7 +43,7 @@ def page_lines(spark: SparkSession, folder: str) -> DataFrame:
 def event_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Events written out the way a service would log them."""
     cents = F.round(F.col("value") * 100).cast("bigint")
-    return table(spark, folder, "events").select(
+    return spread(table(spark, folder, "events")).select(
         F.col("event_id").alias("pos"),
         "event_type",
         F.concat(

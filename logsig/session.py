@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 1_000_000
+SPREAD_BYTES = 1 << 30
 NUMBERING_BUCKETS = 4096
 DIRECT_NUMBERING = 500_000
 
@@ -50,6 +51,18 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a small scan out to all cores before heavy per-row work.
+
+    A small file is often a single row group, hence a single task. Scans beyond
+    ``SPREAD_BYTES`` have splits enough and stay as they are, unshuffled.
+    """
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size > SPREAD_BYTES:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def broadcast_if_bounded(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast only after counting the rows; larger sides get shuffled.
 
