@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import signature_hash
+from ..session import materialize
 from ..sources.logs import OUTLIER
 
 LOW_VARIATION = 0.05
@@ -42,9 +43,14 @@ def cluster_stats(
     cluster: str = "cluster_id",
     data_type: str = "raw",
     aggression_level: str = "high",
+    weight: str | None = None,
 ) -> DataFrame:
-    """One row of training statistics; sizes are a map keyed by label."""
-    sizes = rows.groupBy(cluster).agg(F.count(F.lit(1)).alias("size"))
+    """One row of training statistics; sizes are a map keyed by label.
+
+    ``weight`` names a column of row multiplicities.
+    """
+    size = F.sum(weight) if weight else F.count(F.lit(1))
+    sizes = rows.groupBy(cluster).agg(size.alias("size"))
     outliers = F.coalesce(F.sum(F.when(F.col(cluster) == OUTLIER, F.col("size"))), F.lit(0))
     approach = "less aggressive" if aggression_level == "preprocessed" else "aggressive"
     return sizes.agg(
@@ -90,6 +96,13 @@ def cluster_samples(
     )
 
 
+def earliest(order: Sequence[str]) -> Column:
+    """Least position in a group; a single numeric column stays hash-aggregable."""
+    if len(order) == 1:
+        return F.struct(F.min(order[0]).alias(order[0]))
+    return F.min(F.struct(*order))
+
+
 def pattern_counts(
     rows: DataFrame, cluster: str = "cluster_id", order: Sequence[str] = ("pos",)
 ) -> DataFrame:
@@ -97,7 +110,7 @@ def pattern_counts(
     return (
         rows.filter(not_outlier(F.col(cluster)))
         .groupBy(cluster, "pattern")
-        .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*order)).alias("first"))
+        .agg(F.count(F.lit(1)).alias("n"), earliest(order).alias("first"))
     )
 
 
@@ -113,9 +126,15 @@ def cluster_signatures(
     samples: int = 2,
     cluster: str = "cluster_id",
     order: Sequence[str] = ("pos",),
+    counts: DataFrame | None = None,
 ) -> DataFrame:
-    """Per cluster: hash, top patterns, size, first lines, order of appearance."""
-    counts = pattern_counts(rows, cluster, order)
+    """Per cluster: hash, top patterns, size, first lines, order of appearance.
+
+    The lines are aggregated once; ``counts`` saves even that where the numbers of
+    ``pattern_counts`` are known already.
+    """
+    if counts is None:
+        counts = materialize(pattern_counts(rows, cluster, order))
     listed = F.array_sort(F.collect_list(F.struct("rank", "pattern")))
     tops = (
         topk_patterns(counts, top, cluster)

@@ -168,18 +168,19 @@ def graph_find(graph: Graph, names: Iterable[str] | DataFrame) -> Graph:
         names = spark.createDataFrame([(n,) for n in names], "name string")
     names = broadcast_if_bounded(names.select("name").distinct())
     found = graph.entities.join(names, "name", "left_semi")
-    any_found = F.broadcast(found.agg((F.count(F.lit(1)) > 0).alias("_any")))
-    relations = touching(graph.relations, names).crossJoin(any_found).filter("_any").drop("_any")
+    relations = touching(graph.relations, names)
+    if found.isEmpty():
+        relations = relations.limit(0)
     return Graph(found, graph.observations.join(names, "name", "left_semi"), relations)
 
 
 # ---- mutations --------------------------------------------------------------
 
 
-def _next_batch(observations: DataFrame) -> DataFrame:
-    return F.broadcast(
-        observations.agg((F.coalesce(F.max("batch"), F.lit(-1)) + 1).alias("batch"))
-    )
+def _next_batch(observations: DataFrame) -> Column:
+    """A number that orders new observations behind all present ones."""
+    last = observations.agg(F.coalesce(F.max("batch"), F.lit(-1))).first()[0]
+    return F.lit(last + 1).cast("bigint").alias("batch")
 
 
 def entities_upsert(graph: Graph, batch: DataFrame) -> Graph:
@@ -204,8 +205,10 @@ def entities_upsert(graph: Graph, batch: DataFrame) -> Graph:
     )
     names = broadcast_if_bounded(batch.select("name").distinct())
     kept = graph.observations.join(names, "name", "left_anti")
-    fresh = latest.crossJoin(_next_batch(graph.observations)).select(
-        "name", "batch", F.col("new.ord").alias("ord"),
+    fresh = latest.select(
+        "name",
+        _next_batch(graph.observations),
+        F.col("new.ord").alias("ord"),
         F.posexplode("new.observations").alias("idx", "text"),
     )
     return Graph(entities, kept.unionByName(fresh), graph.relations)
@@ -237,8 +240,12 @@ def observations_add(graph: Graph, batch: DataFrame) -> tuple[Graph, DataFrame]:
     keys = broadcast_if_bounded(given.select("name", "text").distinct())
     present = graph.observations.join(keys, ["name", "text"], "left_semi")
     fresh = given.join(present.select("name", "text"), ["name", "text"], "left_anti")
-    added = fresh.crossJoin(_next_batch(graph.observations)).select(
-        "name", "batch", F.col("ord").cast("bigint").alias("ord"), "idx", "text"
+    added = fresh.select(
+        "name",
+        _next_batch(graph.observations),
+        F.col("ord").cast("bigint").alias("ord"),
+        "idx",
+        "text",
     )
     listed = F.array_sort(F.collect_list(F.struct("idx", "text")))
     # A row of the batch is one group here, no larger than the list it came with.

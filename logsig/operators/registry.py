@@ -43,9 +43,9 @@ def build_registry(signatures: DataFrame, cluster: str = "cluster_id") -> DataFr
     )
 
 
-def next_stable_id(registry: DataFrame) -> DataFrame:
-    """One row: the id the next new cluster gets."""
-    return registry.agg((F.coalesce(F.max("stable_id"), F.lit(-1)) + 1).alias("next_id"))
+def next_stable_id(registry: DataFrame) -> int:
+    """The id the next new cluster gets."""
+    return registry.agg(F.coalesce(F.max("stable_id"), F.lit(-1)) + 1).first()[0]
 
 
 def map_signatures(
@@ -112,10 +112,8 @@ def registry_summary(registry: DataFrame, centroids: DataFrame | None = None) ->
         F.count_if(fresh).alias("new_patterns_discovered"),
         (F.coalesce(F.max("stable_id"), F.lit(-1)) + 1).alias("next_available_id"),
     )
-    if centroids is None:
-        return totals.withColumn("has_centroids", F.lit(False))
-    present = centroids.agg((F.count(F.lit(1)) > 0).alias("has_centroids"))
-    return totals.crossJoin(F.broadcast(present))
+    present = centroids is not None and not centroids.isEmpty()
+    return totals.withColumn("has_centroids", F.lit(present))
 
 
 def log_schema(registry: DataFrame) -> tuple[DataFrame, DataFrame]:

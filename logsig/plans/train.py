@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.clusters import cluster_signatures, cluster_stats, pattern_uniqueness
+from ..operators.clusters import UNIFORM, cluster_signatures, cluster_stats, earliest
 from ..operators.density import Density, density_cluster, density_parameters
 from ..operators.features import Featurizer, features
 from ..operators.registry import build_registry
@@ -33,8 +33,9 @@ def pattern_table(signed: DataFrame, order: Sequence[str] = ("pos",)) -> DataFra
     All later steps work on this table; the copies of a pattern are combined
     before the shuffle.
     """
-    first = F.min(F.struct(*order)).alias("_first")
-    counted = signed.groupBy("pattern").agg(F.count(F.lit(1)).alias("weight"), first)
+    counted = signed.groupBy("pattern").agg(
+        F.count(F.lit(1)).alias("weight"), earliest(order).alias("_first")
+    )
     spread = counted.select(
         "pattern", "weight", *[F.col(f"_first.{c}").alias(f"first_{c}") for c in order]
     )
@@ -50,7 +51,7 @@ def label_patterns(
     """
     vectors = features(patterns, featurizer)
     totals = patterns.agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("lines")).first()
-    if totals["n"] < 0.01 * (totals["lines"] or 0):
+    if totals["n"] < UNIFORM * (totals["lines"] or 0):
         return vectors.withColumn("cluster_id", F.lit(0).cast("bigint"))
     labels = density_cluster(vectors.select("point_id", "vec", "weight"), parameters)
     return vectors.join(labels.select("point_id", "cluster_id"), "point_id")
@@ -87,7 +88,14 @@ def build_model(
     labels: DataFrame, lines: DataFrame, order: Sequence[str] = ("pos",), seed: int = 17
 ) -> Model:
     """Registry, centroids and sample vectors of labelled patterns and lines."""
-    registry = materialize(build_registry(cluster_signatures(lines, order=order)))
+    counts = labels.filter(F.col("cluster_id") != OUTLIER).select(
+        "cluster_id",
+        "pattern",
+        F.col("weight").alias("n"),
+        F.struct(*[F.col(f"first_{c}").alias(c) for c in order]).alias("first"),
+    )
+    signatures = cluster_signatures(lines, order=order, counts=counts)
+    registry = materialize(build_registry(signatures))
     ids = broadcast_if_bounded(registry.select("cluster_id", "stable_id"))
     shape = cluster_geometry(labels, "cluster_id", "vec", "weight").join(ids, "cluster_id")
     centroids = shape.select(
@@ -116,8 +124,10 @@ def train(
     patterns = materialize(pattern_table(signed, order))
     labels = materialize(label_patterns(patterns, density_parameters(preset), featurizer))
     lines = label_lines(signed, labels)
-    stats = cluster_stats(lines, data_type="preprocessed", aggression_level=preset)
+    stats = cluster_stats(
+        labels, data_type="preprocessed", aggression_level=preset, weight="weight"
+    )
     return Training(lines, stats, build_model(labels, lines, order))
 
 
-__all__ = ["Training", "label_lines", "label_patterns", "pattern_table", "pattern_uniqueness", "train"]
+__all__ = ["Training", "build_model", "label_lines", "label_patterns", "pattern_table", "train"]

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 32 << 20
 SPREAD_BYTES = 1 << 30
 NUMBERING_BUCKETS = 4096
 DIRECT_NUMBERING = 500_000
@@ -51,54 +52,56 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """Catalyst's size estimate; for a plain table scan, the bytes of its files."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deal a small scan out to all cores before heavy per-row work.
 
     A small file is often a single row group, hence a single task. Scans beyond
     ``SPREAD_BYTES`` have splits enough and stay as they are, unshuffled.
     """
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    if size > SPREAD_BYTES:
+    if estimated_bytes(df) > SPREAD_BYTES:
         return df
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
-def broadcast_if_bounded(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting the rows; larger sides get shuffled.
+def broadcast_if_bounded(
+    df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES
+) -> DataFrame:
+    """Hint a broadcast only after checking rows and bytes; larger sides get shuffled
+    (and adaptive execution splits a hot key).
 
-    Meant for narrow rows such as keys. The side is materialised first, so the
-    count reads file footers and the join does not compute it again.
+    The side is materialised first, so the count reads file footers, the bytes are
+    those of its files, and the join does not compute it again.
     """
     table = materialize(df)
-    return F.broadcast(table) if table.count() <= max_rows else table
+    small = estimated_bytes(table) <= max_bytes and table.count() <= max_rows
+    return F.broadcast(table) if small else table
 
 
 def sequential_ids(
     df: DataFrame,
     order: Sequence[str],
     name: str,
-    start: DataFrame | None = None,
+    start: int = 0,
     stored: bool = False,
 ) -> DataFrame:
-    """Number rows 0, 1, 2, ... by ``order`` without sorting all in one task.
+    """Number rows ``start``, ``start + 1``, ... by ``order`` without sorting all in one task.
 
     Up to ``DIRECT_NUMBERING`` rows are simply ranked. More fall into consecutive
     buckets of the first order column; a bucket's rows are ranked on their own and
-    shifted by the sizes of the buckets before it. ``start`` is an optional one-row
-    frame with the first number to give. The rows are materialised first unless
-    they are ``stored`` already, as they are needed several times.
+    shifted by the sizes of the buckets before it. The rows are materialised first
+    unless they are ``stored`` already, as they are needed several times.
     """
     df = df if stored else materialize(df)
     if df.count() <= DIRECT_NUMBERING:
         ranked = df.withColumn(name, F.row_number().over(Window.orderBy(*order)) - 1)
     else:
         ranked = _bucketed_ids(df, order, name)
-    ranked = ranked.withColumn(name, F.col(name).cast("bigint"))
-    if start is None:
-        return ranked
-    first = start.columns[0]
-    shifted = ranked.crossJoin(F.broadcast(start))
-    return shifted.withColumn(name, F.col(name) + F.col(first)).drop(first)
+    return ranked.withColumn(name, F.col(name).cast("bigint") + start)
 
 
 def _bucketed_ids(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
