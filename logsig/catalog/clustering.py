@@ -71,11 +71,13 @@ def _signatures_sql(rows: str, prefix: str) -> str:
 _SIGNATURES = f"{_LABELLED}, {_signatures_sql('labelled', '')}"
 REGISTRY_SQL = f"""{_SIGNATURES}, registry AS (
   SELECT *, row_number() OVER (ORDER BY first_pos) - 1 AS stable_id FROM signatures)"""
-# Training sees even documents, the second data set is the odd ones.
-_TWO_SETS = f"""{_LABELLED},
+
+
+def two_sets(fresh: str) -> str:
+    """Even documents make the registry, ``fresh`` rows are mapped onto it."""
+    return f"""{_LABELLED},
   training AS (SELECT * FROM labelled WHERE (pos // 4294967296) % 2 = 0),
-  fresh AS (SELECT pos, raw_log, pattern, CASE WHEN cluster_id = -1 THEN -1
-    ELSE cluster_id + length(raw_log) % 2 * 100 END AS cluster_id FROM labelled),
+  fresh AS ({fresh}),
   {_signatures_sql('training', 't_')}, {_signatures_sql('fresh', 'f_')},
   known AS (SELECT signature_hash, max(id) AS known_id FROM (
     SELECT signature_hash, row_number() OVER (ORDER BY first_pos) - 1 AS id FROM t_signatures)
@@ -90,6 +92,10 @@ _TWO_SETS = f"""{_LABELLED},
     LEFT JOIN numbered USING (signature_hash))"""
 
 
+_TWO_SETS = two_sets("""SELECT pos, raw_log, pattern, CASE WHEN cluster_id = -1 THEN -1
+    ELSE cluster_id + length(raw_log) % 2 * 100 END AS cluster_id FROM labelled""")
+
+
 def _even_documents(rows):
     return rows.filter(F.floor(F.col("pos") / (1 << 32)) % 2 == 0)
 
@@ -537,7 +543,41 @@ def inferred(spark, folder):
     )
 
 
-@query("features_default")
+@query(
+    "train_uniform",
+    f"""WITH {sql.EVENT_LINES}, {sql.signed('event_lines')}, n AS (
+      SELECT pattern, count(*) AS weight, min(pos) AS first_pos FROM signed GROUP BY pattern),
+    tops AS (SELECT * FROM n ORDER BY weight DESC, first_pos LIMIT 3)
+    SELECT CAST(0 AS BIGINT) AS stable_id,
+      (SELECT left(md5(string_agg(pattern, '|' ORDER BY pattern)), 12) FROM tops)
+        AS signature_hash,
+      (SELECT string_agg(pattern, '|' ORDER BY weight DESC, first_pos) FROM tops) AS patterns,
+      count(*) AS training_size,
+      (SELECT string_agg(raw_log, '|' ORDER BY pos) FROM (
+        SELECT raw_log, pos FROM signed ORDER BY pos LIMIT 2)) AS sample_logs,
+      CAST(1 AS BIGINT) AS num_clusters, CAST(0 AS BIGINT) AS num_outliers FROM signed""",
+)
+def trained_uniform(spark, folder):
+    """Training on nearly uniform lines: everything is one cluster."""
+    training = train(event_lines(spark, folder))
+    stats = training.stats.first()
+    return training.model.registry.select(
+        "stable_id",
+        "signature_hash",
+        F.array_join("patterns", "|").alias("patterns"),
+        "training_size",
+        F.array_join("sample_logs", "|").alias("sample_logs"),
+        F.lit(stats["num_clusters"]).cast("bigint").alias("num_clusters"),
+        F.lit(stats["num_outliers"]).cast("bigint").alias("num_outliers"),
+    )
+
+
+@query(
+    "features_default",
+    f"""WITH {sql.DOC_LINES}, {sql.signed('doc_lines')}
+    SELECT DISTINCT pattern, CAST(CASE WHEN pattern = '' THEN 0 ELSE 1 END AS DOUBLE) AS norm2
+    FROM signed""",
+)
 def default_features(spark, folder):
     patterns = annotate(doc_lines(spark, folder)).select("pattern").distinct()
     return symbol_features(patterns).select(

@@ -14,9 +14,11 @@ from ..operators.query import (
     validate_page,
 )
 from ..operators.registry import build_registry, log_schema
+from ..session import shared_folder
+from ..sources import append_clustered, read_clustered
 from . import sql
 from .clustering import REGISTRY_SQL
-from .corpora import clustered_docs, labelled_docs
+from .corpora import clustered_docs, labelled_docs, table
 from .registry import query
 
 _SIGNED = f"WITH {sql.DOC_LINES}, {sql.signed('doc_lines')}"
@@ -83,7 +85,6 @@ def query_meta(spark, folder):
 )
 def page_arguments(spark, folder):
     """The argument check applied to page requests kept as a table."""
-    from .corpora import table
 
     def verdict(limit: int, offset: int) -> str:
         try:
@@ -113,9 +114,20 @@ def page_arguments(spark, folder):
 def past_end(spark, folder):
     rows = clustered_docs(spark, folder).filter(F.col("cluster") == CLUSTER)
     offset = rows.count() + 5
-    lines = page(rows, 10, offset).agg(F.count(F.lit(1)).alias("lines"))
+    lines = page(rows, 10, offset).count()
     meta = page_meta(rows, 10, offset).select("current_offset", "returned_count", "isEnd")
-    return meta.crossJoin(F.broadcast(lines))
+    return meta.withColumn("lines", F.lit(lines).cast("bigint"))
+
+
+@query(
+    "log_query_table",
+    f"{_SIGNED} SELECT pos, raw_log AS text FROM signed WHERE {_MATCH} {_PAGE}",
+)
+def stored_page(spark, folder):
+    """The page from the partitioned table inference writes: one cluster is read."""
+    path = shared_folder(spark)
+    append_clustered(clustered_docs(spark, folder), path)
+    return log_query(read_clustered(spark, path), CLUSTER, NEEDLE, LIMIT, OFFSET)[0]
 
 
 @query(

@@ -30,7 +30,7 @@ from ..sources import (
 )
 from ..streaming import stream_assign, stream_new_signatures
 from . import sql
-from .clustering import REGISTRY_SQL
+from .clustering import REGISTRY_SQL, two_sets
 from .corpora import doc_lines, embeddings, labelled_docs, page_lines, table
 from .registry import query
 
@@ -179,13 +179,15 @@ def registry_json(spark, folder):
     path = shared_folder(spark)
     document.select(F.to_json(F.struct("*")).alias("value")).write.text(path)
     read, _, settings = read_registry_json(spark, path)
+    next_id = settings.first()["next_stable_id"]
     return read.select(
         "stable_id",
         "signature_hash",
         F.array_join("patterns", "|").alias("patterns"),
         "training_size",
         F.array_join("sample_logs", "|").alias("sample_logs"),
-    ).crossJoin(F.broadcast(settings.select("next_stable_id")))
+        F.lit(next_id).alias("next_stable_id"),
+    )
 
 
 @query(
@@ -277,7 +279,15 @@ def batched(spark, folder):
     )
 
 
-@query("stream_new_signatures")
+@query(
+    "stream_new_signatures",
+    f"""{two_sets('SELECT * FROM labelled')}
+    SELECT CAST(row_number() OVER (ORDER BY first_pos) - 1 AS BIGINT) AS stable_id, signature_hash,
+      size AS training_size, CAST(NULL AS BIGINT) AS inference_size FROM t_signatures
+    UNION ALL SELECT CAST(new_id AS BIGINT), signature_hash, 0,
+      (SELECT arg_min(size, f.first_pos) FROM f_signatures f
+       WHERE f.signature_hash = numbered.signature_hash) FROM numbered""",
+)
 def streamed_signatures(spark, folder):
     """The registry after streaming in all labelled lines, even documents known."""
     lines = labelled_docs(spark, folder)

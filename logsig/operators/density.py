@@ -30,6 +30,7 @@ from .vectors import _matrix
 BLOCK_POINTS = 4096
 POINTS_PER_PIVOT = 20_000
 MAX_PIVOTS = 1024
+DIRECT_EDGES = 200_000
 # Slack for rounding in squared distances from a matrix product.
 ROUNDING = 1e-9
 
@@ -185,12 +186,37 @@ def neighbour_stars(placed: DataFrame, epsilon: float) -> DataFrame:
     return _block_pairs(placed, F.lit(True), compare, "src bigint, dst bigint").distinct()
 
 
+def _joined_edges(edges: pa.Table) -> pa.Table:
+    """Lowest connected id of every vertex on a bounded number of edges."""
+    parent: dict[int, int] = {}
+
+    def root(v: int) -> int:
+        while parent.setdefault(v, v) != v:
+            parent[v] = parent[parent[v]]
+            v = parent[v]
+        return v
+
+    for a, b in zip(edges.column("src").to_pylist(), edges.column("dst").to_pylist(), strict=True):
+        low, high = sorted((root(a), root(b)))
+        parent[high] = low
+    return pa.table(
+        {"site": pa.array(list(parent), pa.int64()), "low": pa.array(map(root, parent), pa.int64())}
+    )
+
+
 def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """``(site, component)``: the lowest id each vertex is connected to.
 
-    Each round takes the lowest label among a vertex and its neighbours, then the
-    label of that label, until nothing changes.
+    Up to ``DIRECT_EDGES`` edges are joined up in one task. For more, each round
+    takes the lowest label among a vertex and its neighbours, then the label of
+    that label, until nothing changes.
     """
+    edges = materialize(edges)
+    if edges.count() <= DIRECT_EDGES:
+        joined = edges.groupBy().applyInArrow(_joined_edges, "site bigint, low bigint")
+        return vertices.join(joined, "site", "left").select(
+            "site", F.coalesce("low", "site").alias("component")
+        )
     both = materialize(edges.union(edges.select("dst", "src")).distinct())
     labels = materialize(vertices.select("site", F.col("site").alias("component")))
     while True:
@@ -236,7 +262,7 @@ def density_cluster(points: DataFrame, parameters: Density) -> DataFrame:
     )
     core_cells = placed.join(broadcast_if_bounded(cores), "site", "left_semi")
     edges = neighbour_stars(core_cells, parameters.epsilon)
-    parts = connected_components(cores, edges)
+    parts = materialize(connected_components(cores, edges))
     weighed = parts.join(sites.select("site", "weight"), "site")
     kept = (
         weighed.groupBy("component")

@@ -142,6 +142,7 @@ def test_density_against_brute_force(spark, monkeypatch, tiny_blocks, epsilon):
     if tiny_blocks:
         monkeypatch.setattr(density, "BLOCK_POINTS", 7)
         monkeypatch.setattr(density, "POINTS_PER_PIVOT", 20)
+        monkeypatch.setattr(density, "DIRECT_EDGES", 0)
     df = spark.createDataFrame(
         [(i, points[i].tolist(), int(weights[i])) for i in range(len(points))],
         "point_id long, vec array<double>, weight long",
