@@ -4,7 +4,7 @@
 result as SQL over the tables themselves, where SQL can express it.
 """
 
-from . import clustering, corpora, graphs, lines, pages, runs, tables  # noqa: F401
+from . import clustering, graphs, lines, pages, runs, tables, training  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
