@@ -241,6 +241,46 @@ def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
             return labels
 
 
+def core_components(sites: DataFrame, parameters: Density) -> DataFrame:
+    """``(site, component)`` of the core sites. A single block needs one task only."""
+    if sites.count() <= BLOCK_POINTS:
+        return sites.groupBy().applyInArrow(
+            _block_components(parameters), "site bigint, component bigint"
+        )
+    enough = parameters.min_samples + 1
+    placed = materialize(cells(sites, parameters.epsilon))
+    light = F.col("weight") < enough
+    near = neighbour_weights(placed, light, parameters.epsilon)
+    cores = materialize(
+        sites.filter(~light)
+        .select("site")
+        .union(near.filter(F.col("near") >= enough).select("site"))
+    )
+    core_cells = placed.join(broadcast_if_bounded(cores, stored=True), "site", "left_semi")
+    return connected_components(cores, neighbour_stars(core_cells, parameters.epsilon))
+
+
+def _block_components(parameters: Density):
+    radius = parameters.epsilon * parameters.epsilon + ROUNDING
+
+    def components(sites: pa.Table) -> pa.Table:
+        ids = sites.column("site").to_numpy()
+        matrix = _matrix(sites.column("vec"))
+        near = squared_distances(matrix, matrix) <= radius
+        weights = sites.column("weight").to_numpy().astype(np.float64)
+        core = np.rint(near.astype(np.float64) @ weights) >= parameters.min_samples + 1
+        lowest = {int(i): int(i) for i in ids[core]}
+        lowest.update(_stars(ids[core], ids[core], near[np.ix_(core, core)]))
+        return pa.table(
+            {
+                "site": pa.array(list(lowest), pa.int64()),
+                "component": pa.array(list(lowest.values()), pa.int64()),
+            }
+        )
+
+    return components
+
+
 def density_cluster(points: DataFrame, parameters: Density) -> DataFrame:
     """Label ``(point_id, vec, weight)`` rows: adds ``cluster_id``, -1 for outliers.
 
@@ -251,18 +291,7 @@ def density_cluster(points: DataFrame, parameters: Density) -> DataFrame:
     sites = materialize(
         typed.groupBy("vec").agg(F.min("point_id").alias("site"), F.sum("weight").alias("weight"))
     ).select("site", "vec", "weight")
-    enough = parameters.min_samples + 1
-    placed = materialize(cells(sites, parameters.epsilon))
-    light = F.col("weight") < enough
-    near = neighbour_weights(placed, light, parameters.epsilon)
-    cores = materialize(
-        sites.filter(~light)
-        .select("site")
-        .union(near.filter(F.col("near") >= enough).select("site"))
-    )
-    core_cells = placed.join(broadcast_if_bounded(cores), "site", "left_semi")
-    edges = neighbour_stars(core_cells, parameters.epsilon)
-    parts = materialize(connected_components(cores, edges))
+    parts = materialize(core_components(sites, parameters))
     weighed = parts.join(sites.select("site", "weight"), "site")
     kept = (
         weighed.groupBy("component")

@@ -57,9 +57,10 @@ def label_patterns(
     return vectors.join(labels.select("point_id", "cluster_id"), "point_id")
 
 
-def label_lines(signed: DataFrame, labels: DataFrame) -> DataFrame:
+def label_lines(signed: DataFrame, labels: DataFrame, stored: bool = False) -> DataFrame:
     """Lines with their pattern's label; few patterns are broadcast, many joined."""
-    return signed.join(broadcast_if_bounded(labels.select("pattern", "cluster_id")), "pattern")
+    ids = broadcast_if_bounded(labels.select("pattern", "cluster_id"), stored=stored)
+    return signed.join(ids, "pattern")
 
 
 def _sample_rows(labels: DataFrame, seed: int) -> DataFrame:
@@ -96,7 +97,7 @@ def build_model(
     )
     signatures = cluster_signatures(lines, order=order, counts=counts)
     registry = materialize(build_registry(signatures))
-    ids = broadcast_if_bounded(registry.select("cluster_id", "stable_id"))
+    ids = broadcast_if_bounded(registry.select("cluster_id", "stable_id"), stored=True)
     shape = cluster_geometry(labels, "cluster_id", "vec", "weight").join(ids, "cluster_id")
     centroids = shape.select(
         "stable_id", F.col("centroid").alias("vec"), "size", "avg_intra_distance", "centroid_norm"
@@ -123,7 +124,7 @@ def train(
     signed = annotate(raw_lines)
     patterns = materialize(pattern_table(signed, order))
     labels = materialize(label_patterns(patterns, density_parameters(preset), featurizer))
-    lines = label_lines(signed, labels)
+    lines = label_lines(signed, labels, stored=True)
     stats = cluster_stats(
         labels, data_type="preprocessed", aggression_level=preset, weight="weight"
     )

@@ -69,15 +69,19 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def broadcast_if_bounded(
-    df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES
+    df: DataFrame,
+    max_rows: int = BROADCAST_ROWS,
+    max_bytes: int = BROADCAST_BYTES,
+    stored: bool = False,
 ) -> DataFrame:
     """Hint a broadcast only after checking rows and bytes; larger sides get shuffled
     (and adaptive execution splits a hot key).
 
-    The side is materialised first, so the count reads file footers, the bytes are
-    those of its files, and the join does not compute it again.
+    The side is materialised first unless it is ``stored`` already, so the count
+    reads file footers, the bytes are those of its files, and the join does not
+    compute it again.
     """
-    table = materialize(df)
+    table = df if stored else materialize(df)
     small = estimated_bytes(table) <= max_bytes and table.count() <= max_rows
     return F.broadcast(table) if small else table
 

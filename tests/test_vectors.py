@@ -129,9 +129,11 @@ def brute_density(points, weights, p):
     return label.tolist()
 
 
-@pytest.mark.parametrize("tiny_blocks", [False, True])
-@pytest.mark.parametrize("epsilon", [0.35, 0.6])
-def test_density_against_brute_force(spark, monkeypatch, tiny_blocks, epsilon):
+@pytest.mark.parametrize(
+    ("blocks", "direct_edges", "epsilon"),
+    [(4096, 0, 0.35), (4096, 0, 0.6), (7, 0, 0.35), (7, 10_000, 0.6), (60, 0, 0.6)],
+)
+def test_density_against_brute_force(spark, monkeypatch, blocks, direct_edges, epsilon):
     rng = np.random.default_rng(int(epsilon * 100))
     points = np.concatenate(
         [rng.normal(c, 0.25, size=(50, 3)) for c in (0.0, 1.6, 3.0)] + [rng.uniform(-2, 5, (60, 3))]
@@ -139,10 +141,9 @@ def test_density_against_brute_force(spark, monkeypatch, tiny_blocks, epsilon):
     points[5] = points[3]
     weights = rng.integers(1, 4, len(points))
     p = Density(12, 6, epsilon)
-    if tiny_blocks:
-        monkeypatch.setattr(density, "BLOCK_POINTS", 7)
-        monkeypatch.setattr(density, "POINTS_PER_PIVOT", 20)
-        monkeypatch.setattr(density, "DIRECT_EDGES", 0)
+    monkeypatch.setattr(density, "BLOCK_POINTS", blocks)
+    monkeypatch.setattr(density, "POINTS_PER_PIVOT", 20)
+    monkeypatch.setattr(density, "DIRECT_EDGES", direct_edges)
     df = spark.createDataFrame(
         [(i, points[i].tolist(), int(weights[i])) for i in range(len(points))],
         "point_id long, vec array<double>, weight long",
