@@ -33,6 +33,7 @@ from . import sql
 from .clustering import REGISTRY_SQL, two_sets
 from .corpora import doc_lines, embeddings, labelled_docs, page_lines, table
 from .registry import query
+from .training import NEAR, token_counts, token_vector
 
 _LINES = f"""WITH raw AS (SELECT unnest(string_split(text, chr(10))) AS line FROM documents),
   lines AS (SELECT trim(line, {sql.WS}) AS raw_log FROM raw WHERE trim(line, {sql.WS}) <> '')"""
@@ -232,16 +233,16 @@ def saved_stats(spark, folder):
     return spark.read.json(path).select("total_logs", "num_clusters", "num_outliers")
 
 
-def _small_model(spark, folder) -> Model:
-    """Document sources as clusters of their patterns' vectors."""
-    rows = symbol_features(labelled_docs(spark, folder)).withColumnRenamed("cluster_id", "label")
+def _source_model(spark, folder, featurizer=symbol_features, limits=Thresholds()) -> Model:
+    """Document sources as clusters of their lines' vectors."""
+    rows = featurizer(labelled_docs(spark, folder)).withColumnRenamed("cluster_id", "label")
     centroids = cluster_geometry(rows).select(
         F.col("label").alias("stable_id"), F.col("centroid").alias("vec")
     )
     samples = cluster_sample_vectors(rows, "pos", seed=None).select(
         F.col("label").alias("stable_id"), "idx", "vec"
     )
-    return Model(centroids, materialize(centroids), materialize(samples), Thresholds())
+    return Model(centroids, materialize(centroids), materialize(samples), limits)
 
 
 def _log_files(spark, folder) -> str:
@@ -252,14 +253,12 @@ def _log_files(spark, folder) -> str:
     return path
 
 
-@query("stream_assign")
-def streamed(spark, folder):
-    """Lines per cluster after the stream has taken in all files."""
-    model, logs, out = _small_model(spark, folder), _log_files(spark, folder), shared_folder(spark)
-    stream = stream_assign(
-        spark, logs, model, out, shared_folder(spark), glob="part-*.txt"
-    )
-    stream.awaitTermination()
+def _streamed(spark, folder, model: Model, featurizer=None):
+    out = shared_folder(spark)
+    logs = _log_files(spark, folder)
+    stream_assign(
+        spark, logs, model, out, shared_folder(spark), featurizer, glob="part-*.txt"
+    ).awaitTermination()
     return (
         spark.read.parquet(out)
         .groupBy(F.col("cluster").cast("int").alias("cluster"))
@@ -267,16 +266,52 @@ def streamed(spark, folder):
     )
 
 
+def _batched(spark, folder, model: Model, featurizer=None):
+    logs = read_log_directory(spark, _log_files(spark, folder), "part-*.txt")
+    rows = clustered_rows(assign_lines(logs, model, featurizer))
+    return rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("lines"))
+
+
+@query("stream_assign")
+def streamed(spark, folder):
+    """Lines per cluster after the stream has taken in all files."""
+    return _streamed(spark, folder, _source_model(spark, folder))
+
+
 @query("batch_assign")
 def batched(spark, folder):
     """The same files through batch inference."""
-    logs = read_log_directory(spark, _log_files(spark, folder), "part-*.txt")
-    assigned = assign_lines(logs, _small_model(spark, folder))
-    return (
-        clustered_rows(assigned)
-        .groupBy("cluster")
-        .agg(F.count(F.lit(1)).alias("lines"))
-    )
+    return _batched(spark, folder, _source_model(spark, folder))
+
+
+_PER_SOURCE = f"""WITH {sql.DOC_LINES}, {sql.signed('doc_lines')}, {sql.PAGE_LINES},
+  {sql.signed('page_lines', 'page_signed')},
+  counted AS (SELECT cluster, pattern, count(*) AS weight FROM signed WHERE cluster <> 0
+    GROUP BY ALL),
+  known AS (SELECT cluster, weight, {token_vector('pattern')} AS vec FROM counted),
+  dims AS (SELECT cluster, i, sum(weight * x) / sum(weight) AS x FROM (SELECT cluster, weight,
+      unnest(vec) AS x, generate_subscripts(vec, 1) AS i FROM known) GROUP BY cluster, i),
+  centers AS MATERIALIZED (SELECT cluster, list(x ORDER BY i) AS center FROM dims GROUP BY cluster),
+  fresh AS (SELECT pattern, count(*) AS lines, {token_vector('pattern')} AS vec
+    FROM page_signed GROUP BY pattern),
+  compared AS (SELECT pattern, lines, cluster, CASE WHEN list_dot_product(vec, vec) = 0 THEN 1
+      ELSE 1 - list_cosine_similarity(vec, center) END AS distance
+    FROM fresh CROSS JOIN centers),
+  nearest AS (SELECT * FROM compared QUALIFY row_number() OVER (
+    PARTITION BY pattern ORDER BY round(distance, 9), cluster) = 1)
+  SELECT CAST(CASE WHEN distance < {NEAR.primary_distance} THEN cluster ELSE -1 END AS INTEGER)
+    AS cluster, CAST(sum(lines) AS BIGINT) AS lines FROM nearest GROUP BY 1"""
+
+
+@query("stream_assign_tokens", _PER_SOURCE)
+def token_stream(spark, folder):
+    """The stream with vectors SQL can repeat."""
+    return _streamed(spark, folder, _source_model(spark, folder, token_counts, NEAR), token_counts)
+
+
+@query("batch_assign_tokens", _PER_SOURCE)
+def token_batch(spark, folder):
+    return _batched(spark, folder, _source_model(spark, folder, token_counts, NEAR), token_counts)
 
 
 @query(

@@ -44,7 +44,8 @@ def token_counts(patterns):
     )
 
 
-def _vectors(pattern: str) -> str:
+def token_vector(pattern: str) -> str:
+    """The same vector as a SQL expression."""
     tokens = ", ".join(f"'{t}'" for t in TOKENS)
     counts = (
         f"list_transform([{tokens}], lambda t: CAST(len(list_filter("
@@ -61,7 +62,7 @@ def _labels(p: Density) -> str:
   counted AS MATERIALIZED (SELECT pattern, count(*) AS weight, min(pos) AS first_pos
     FROM signed GROUP BY pattern),
   points AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY first_pos) - 1 AS point_id,
-    {_vectors('pattern')} AS vec FROM counted),
+    {token_vector('pattern')} AS vec FROM counted),
   near AS MATERIALIZED (SELECT a.point_id AS a, b.point_id AS b, b.weight FROM points a
     CROSS JOIN points b WHERE list_distance(a.vec, b.vec) <= {p.epsilon} + 1e-9),
   cores AS MATERIALIZED (SELECT a AS point_id FROM near GROUP BY a
@@ -159,7 +160,7 @@ def token_model(spark, folder):
 
 _PAGE_SIGNED = sql.signed("page_lines", "page_signed")
 _INFERRED = f"""{_MODEL}, {sql.PAGE_LINES}, {_PAGE_SIGNED},
-  page_patterns AS (SELECT DISTINCT pattern, {_vectors('pattern')} AS vec FROM page_signed),
+  page_patterns AS (SELECT DISTINCT pattern, {token_vector('pattern')} AS vec FROM page_signed),
   compared AS (SELECT pattern, stable_id, CASE WHEN list_dot_product(vec, vec) = 0
       OR list_dot_product(center, center) = 0 THEN 1
       ELSE 1 - list_cosine_similarity(vec, center) END AS distance
