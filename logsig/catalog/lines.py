@@ -10,7 +10,6 @@ from ..functions import (
     is_blank,
     join_fields,
     keyword_flags,
-    pattern_signature,
     select_fields_dual,
     select_fields_unified,
     shallow_reconstruct,
