@@ -1,0 +1,286 @@
+"""Secret scan with corpus-wide ownership frequency.
+
+Every text is scanned once for candidates. Their values' hashes are counted by distinct
+repositories and owners over the whole corpus. A value that many owners have is a copied
+example; one that few have is a live-looking credential of theirs. Besides the base
+kinds, values seen as credentials anywhere are looked for in bare form: a long mixed
+token becomes a span of its own (kind ``bare``) only if its value is owner-specific and
+looks random.
+
+Null and empty texts have no spans. Counts are of distinct pairs, combined before the
+shuffle, so repeated rows and hot sources add nothing; rows without a repository or
+owner count as owned by an unnamed one. Offsets are code points, ends exclusive.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import math
+import re
+from collections import Counter
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..session import broadcast_if_bounded, materialize
+from .common import computed, per_text, structs
+
+#: A value in the hands of at least so many owners, or in so many repositories, is an example.
+EXAMPLE_OWNERS = 5
+EXAMPLE_REPOSITORIES = 5
+
+# The base kinds in their order, with the least length of a match.
+KINDS = ("assign", "access", "hex", "bare")
+ASSIGN = re.compile(
+    r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
+    re.ASCII | re.IGNORECASE,
+)
+ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
+HEX = re.compile(r"[0-9a-f]{16,}")
+ASSIGN_VALUE = 12
+
+_KEYS = ("passw", "secret", "token", "api")
+#: Other key-shaped values: at least 20 characters, letters of both cases and digits.
+BARE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
+BARE_BITS = 3.5
+#: Digests of texts with live credentials are broadcast up to this size.
+BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 8 << 20
+
+
+def entropy(value: str) -> float:
+    n = len(value)
+    return -sum(c / n * math.log2(c / n) for c in Counter(value).values())
+
+
+def _mixed(value: str) -> bool:
+    return (
+        any(c.isdigit() for c in value)
+        and any(c.islower() for c in value)
+        and any(c.isupper() for c in value)
+        and entropy(value) >= BARE_BITS
+    )
+
+
+def candidates(text: str) -> list[tuple[int, int, int, int]]:
+    """``(start, kind, end, start of the value)`` of the matches of a text, by start, then kind."""
+    found = []
+    low = text.lower()
+    if any(k in low for k in _KEYS):
+        for m in ASSIGN.finditer(text):
+            if m.end(2) - m.start(2) >= ASSIGN_VALUE:
+                found.append((m.start(), 0, m.end(), m.start(2)))
+    if "AKIA" in text:
+        found += [(m.start(), 1, m.end(), m.start()) for m in ACCESS.finditer(text)]
+    found += [(m.start(), 2, m.end(), m.start()) for m in HEX.finditer(text)]
+    base = [(s, e) for s, _, e, _ in found]
+    for m in BARE.finditer(text):
+        if _mixed(m[0]) and not any(s < m.end() and m.start() < e for s, e in base):
+            found.append((m.start(), 3, m.end(), m.start()))
+    return sorted(found)
+
+
+def spelled(spans: list[tuple[int, int, int, int]]) -> str:
+    return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e, _ in spans)
+
+
+_CANDIDATE = pa.struct(
+    [
+        ("kind", pa.string()),
+        ("start", pa.int32()),
+        ("end", pa.int32()),
+        ("secret", pa.int32()),
+        ("value_hash", pa.string()),
+    ]
+)
+_FIELDS = [
+    ("n_assign", pa.int64()),
+    ("n_access", pa.int64()),
+    ("n_hex", pa.int64()),
+    ("base_sha256", pa.string()),
+    ("candidates", pa.list_(_CANDIDATE)),
+]
+
+
+def _work():
+    def row(text: str):
+        found = candidates(text)
+        counts = Counter(k for _, k, _, _ in found)
+        base = spelled([f for f in found if f[1] < 3])
+        listed = [
+            {
+                "kind": KINDS[k],
+                "start": s,
+                "end": e,
+                "secret": v,
+                "value_hash": hashlib.sha256(text[v:e].encode()).hexdigest()[:32],
+            }
+            for s, k, e, v in found
+        ]
+        digest = hashlib.sha256(base.encode()).hexdigest()
+        return counts[0], counts[1], counts[2], digest, listed
+
+    def batch(texts: list[str]) -> pa.Array:
+        rows = [row(t) for t in texts]
+        return structs(_FIELDS, [[r[i] for r in rows] for i in range(5)])
+
+    return batch
+
+
+scan = per_text(
+    _work,
+    "n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, "
+    "candidates array<struct<kind string, start int, end int, secret int, value_hash string>>",
+)
+
+
+def ownership(found: DataFrame) -> DataFrame:
+    """``(value_hash, n_owners, n_repositories, example)`` of rows ``(value_hash, repository,
+    owner)``: distinct pairs first, so a value copied a million times in one repository
+    is one row per task."""
+    pairs = found.groupBy("value_hash", "repository", "owner").agg(F.lit(1).alias("_one"))
+    owners = pairs.groupBy("value_hash", "owner").agg(F.count("*").alias("_repositories"))
+    # A repository belongs to one owner; one under several owners counts with each.
+    return owners.groupBy("value_hash").agg(
+        F.count("*").alias("n_owners"), F.sum("_repositories").alias("n_repositories")
+    ).withColumn(
+        "example",
+        (F.col("n_owners") >= EXAMPLE_OWNERS) | (F.col("n_repositories") >= EXAMPLE_REPOSITORIES),
+    )
+
+
+def scanned(
+    df: DataFrame,
+    key: str,
+    text: str = "text",
+    repository: str | Column = "source",
+    owner: str | Column = "source",
+) -> DataFrame:
+    """``(key, n_assign, n_access, n_hex, base_sha256, secrets)`` per row of ``df``.
+
+    ``secrets`` are the spans with their ownership: ``array<struct<start, kind, end,
+    n_owners, n_repositories, live>>`` by start, then kind. Bare candidates stay only if
+    they are owner-specific.
+    """
+    column = lambda c: F.col(c) if isinstance(c, str) else c
+    picked = df.select(
+        F.col(key).alias("_key"),
+        column(repository).cast("string").alias("repository"),
+        column(owner).cast("string").alias("owner"),
+        F.col(text).alias("_text"),
+    )
+    found = materialize(computed(picked, scan(F.col("_text"))).drop("_text"))
+    # Rows are told apart by a digest of themselves, so equal rows share their verdict.
+    spans = (
+        found.filter(F.size("candidates") > 0)
+        .select("repository", "owner", "candidates", F.explode("candidates").alias("c"))
+        .select("repository", "owner", "candidates", "c.*")
+    )
+    owned = ownership(spans)
+    judged = (
+        spans.select(*_digest(F.col("candidates")), "kind", "start", "end", "value_hash")
+        .distinct()
+        .join(owned, "value_hash")
+        .filter((F.col("kind") != "bare") | ~F.col("example"))
+        .groupBy("_h1", "_h2")
+        .agg(
+            F.array_sort(
+                F.collect_list(
+                    F.struct(
+                        "start",
+                        F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
+                        .cast("int")
+                        .alias("rank"),
+                        "kind",
+                        "end",
+                        "n_owners",
+                        "n_repositories",
+                        (~F.col("example")).alias("live"),
+                    )
+                )
+            ).alias("secrets")
+        )
+    )
+    # Rows without a candidate have nothing to look up, and would all meet at one key.
+    some = found.filter(F.size("candidates") > 0)
+    none = found.filter(F.size("candidates") == 0).withColumn(
+        "secrets", F.lit(None).cast(judged.schema["secrets"].dataType)
+    )
+    looked_up = some.select("*", *_digest(F.col("candidates"))).join(judged, ["_h1", "_h2"], "left")
+    return (
+        looked_up.drop("_h1", "_h2")
+        .unionByName(none)
+        .drop("candidates", "repository", "owner")
+        .withColumnRenamed("_key", key)
+    )
+
+
+def cut_out(text: str, spans: list[tuple[int, int]], mark: str) -> str:
+    """``text`` with each run of overlapping spans replaced by ``mark``."""
+    out, at = [], 0
+    for start, end in sorted(spans):
+        if start >= at:
+            out += [text[at:start], mark]
+        at = max(at, end)
+    return "".join([*out, text[at:]])
+
+
+def redacted(
+    df: DataFrame,
+    text: str = "text",
+    mark: str = "[SECRET]",
+    repository: str | Column = "source",
+    owner: str | Column = "source",
+) -> DataFrame:
+    """``df`` with the values of live-looking credentials in its texts replaced by ``mark``.
+
+    Texts are scanned once; what is live in them comes back by a digest of the text, so
+    only texts with a live credential are rewritten.
+    """
+    column = lambda c: F.col(c) if isinstance(c, str) else c
+    found = materialize(
+        df.select(
+            column(repository).cast("string").alias("repository"),
+            column(owner).cast("string").alias("owner"),
+            *_digest(F.col(text)),
+            scan(F.col(text)).alias("_made"),
+        )
+        .filter(F.size("_made.candidates") > 0)
+        .select("repository", "owner", "_h1", "_h2", "_made.candidates")
+    )
+    spans = found.select("*", F.explode("candidates").alias("c")).drop("candidates").select(
+        "repository", "owner", "_h1", "_h2", "c.*"
+    )
+    live = (
+        spans.select("_h1", "_h2", "value_hash", "secret", "end")
+        .distinct()
+        .join(ownership(spans).filter(~F.col("example")), "value_hash")
+        .groupBy("_h1", "_h2")
+        .agg(F.array_sort(F.collect_list(F.struct(F.col("secret").alias("start"), "end"))).alias("_live"))
+    )
+    few = broadcast_if_bounded(live, max_rows=BROADCAST_ROWS, max_bytes=BROADCAST_BYTES)
+
+    @F.arrow_udf("string")
+    def rewrite(texts: pa.Array, spans: pa.Array) -> pa.Array:
+        rows = zip(texts.to_pylist(), spans.to_pylist(), strict=True)
+        return pa.array(
+            [
+                None if s is None else cut_out(t, [(x["start"], x["end"]) for x in s], mark)
+                for t, s in rows
+            ],
+            pa.string(),
+        )
+
+    only_live = F.when(F.col("_live").isNotNull(), F.col(text))
+    return (
+        df.select("*", *_digest(F.col(text)))
+        .join(few, ["_h1", "_h2"], "left")
+        .withColumn(text, F.coalesce(rewrite(only_live, "_live"), F.col(text)))
+        .select(*df.columns)
+    )
+
+
+def _digest(value: Column) -> list[Column]:
+    """128 bits that stand for a value in joins."""
+    return [F.xxhash64(value).alias("_h1"), F.xxhash64(F.lit(1), value).alias("_h2")]
