@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, secrets, simhash, toxicity
+from . import bpe, decontaminate, secretscan, simhash, toxicity
 from .common import HELD_OUT, LEARNED, Query, read
 
 QUERIES: dict[str, Query] = {}
@@ -27,13 +27,13 @@ def query(name: str, sql: str | None = None):
 
 @query("op3_secret_scan")
 def secret_scan(spark: SparkSession, folder: str) -> DataFrame:
-    return secrets.scanned(read(spark, folder, "documents"), "doc_id").select(
+    return secretscan.scanned(read(spark, folder, "documents"), "doc_id").select(
         "doc_id",
         "n_assign",
         "n_access",
         "n_hex",
         "base_sha256",
-        secrets.spans_text().alias("spans"),
+        secretscan.spans_text().alias("spans"),
         F.size(F.filter(F.coalesce("secrets", F.array()), lambda s: s["live"])).alias("n_live"),
     )
 
