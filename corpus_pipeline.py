@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logsig.llm import bpe, secrets, simhash, toxicity
+from logsig.llm import bpe, secretscan, simhash, toxicity
 from logsig.llm.queries import BPE_RANKS, contaminated, toxicity_model
 from logsig.session import shared_folder
 
@@ -43,7 +43,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, folder: str) -> Data
 def redact_secrets(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents with the owner-specific credentials in them replaced; widely copied examples
     stay as they are. ``n_chars`` follows the text."""
-    return secrets.redacted(docs, "text", REDACTED).withColumn(
+    return secretscan.redacted(docs, "text", REDACTED).withColumn(
         "n_chars", F.length("text").cast("bigint")
     ).select(*docs.columns)
 
