@@ -6,7 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, secretscan, simhash, toxicity
+from . import (
+    ann,
+    attribution,
+    bpe,
+    decontaminate,
+    langid,
+    secretscan,
+    simhash,
+    toxicity,
+    urlfilter,
+)
 from .common import HELD_OUT, LEARNED, Query, read
 
 QUERIES: dict[str, Query] = {}
@@ -25,6 +35,63 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_token_counts")
+def token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens per line of every document, from one encoding of the document."""
+    documents = read(spark, folder, "documents").select("doc_id", "text")
+    path, pattern = public_tokenizers.path(BPE_RANKS), public_tokenizers.PATTERN
+    counted = attribution.attributed(documents, "text", path, pattern, rule="most")
+    return counted.select("doc_id", F.explode_outer("sections").alias("s")).select(
+        "doc_id",
+        F.col("s.name").cast("int").alias("line"),
+        F.col("s.start").alias("start"),
+        F.col("s.end").alias("end"),
+        F.col("s.n_tokens").cast("bigint").alias("n_tokens"),
+        F.col("s.n_crossing").alias("n_crossing"),
+    )
+
+
+# Host, path and verdict of the rules.
+URL_RULES = [
+    ("org", "/", "allow"),
+    ("example.org", "/es/", "block"),
+    ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"),
+    ("com", "/de/", "block"),
+]
+
+URL_FILTER_SQL = r"""
+WITH parts AS (
+  SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3)
+                       ELSE '' END AS rest
+  FROM pages),
+addresses AS (
+  SELECT page_id,
+         translate(regexp_extract(rest, '^[^/?#]*'),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM (SELECT page_id, coalesce(rest, '') AS rest FROM parts)),
+rules(rule_host, rule_path, verdict) AS (
+  VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'),
+         ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+fitting AS (
+  SELECT page_id, host, path, rule_host || rule_path AS rule, verdict
+  FROM addresses LEFT JOIN rules
+    ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path))
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict
+FROM fitting
+QUALIFY row_number() OVER (PARTITION BY page_id
+  ORDER BY length(rule) DESC NULLS LAST, verdict <> 'block', rule) = 1
+"""
+
+
+@query("op2_url_filter", URL_FILTER_SQL)
+def url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    pages = read(spark, folder, "pages").select("page_id", "url")
+    return urlfilter.judged(pages, "url", rules).drop("url")
+
+
 @query("op3_secret_scan")
 def secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secretscan.scanned(read(spark, folder, "documents"), "doc_id").select(
@@ -85,3 +152,37 @@ def byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     documents = read(spark, folder, "documents").select("doc_id", "text")
     path, pattern = public_tokenizers.path(BPE_RANKS), public_tokenizers.PATTERN
     return bpe.round_trip(documents, "text", path, pattern).drop("text")
+
+
+@query("op8_language_id")
+def language_id(spark: SparkSession, folder: str) -> DataFrame:
+    documents = read(spark, folder, "documents")
+    model = langid.fit(documents, LEARNED)
+    return langid.identified(documents.select("doc_id", "text"), model).select(
+        "doc_id", F.expr(HELD_OUT).alias("held_out"), "lang_pred", "score"
+    )
+
+
+NEAREST_SQL = """
+WITH usable AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         sqrt(list_reduce(list_transform(list_zip(q.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])),
+                          lambda a, b: a + b)) AS score
+  FROM (SELECT DISTINCT ON (vec_id) * FROM usable WHERE vec_id % 100 = 0) q
+  JOIN usable c ON c.vec_id <> q.vec_id AND len(c.v) = len(q.v)),
+ranked AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INTEGER)
+         AS rank, vec_id, score
+  FROM pairs)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
+
+
+@query("op10_nearest", NEAREST_SQL)
+def nearest(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = read(spark, folder, "embeddings").select("vec_id", "embedding")
+    return ann.nearest(vectors, vectors.filter("vec_id % 100 = 0"), "vec_id", "embedding", k=10)

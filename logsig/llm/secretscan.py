@@ -128,13 +128,17 @@ def _work():
     return batch
 
 
-scan = per_text(
-    _work,
+SCAN = (
     "n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, "
-    "candidates array<struct<kind string, start int, end int, secret int, value_hash string>>",
+    "candidates array<struct<kind string, start int, end int, secret int, value_hash string>>"
 )
 
 
+def scan(text: Column) -> Column:
+    """Counts, digest and candidates of a text."""
+    return per_text(_work, SCAN)(text)
+
+
 def ownership(found: DataFrame) -> DataFrame:
     """``(value_hash, n_owners, n_repositories, example)`` of rows ``(value_hash, repository,
     owner)``: distinct pairs first, so a value copied a million times in one repository
