@@ -14,6 +14,7 @@ from . import (
     langid,
     secretscan,
     simhash,
+    substrings,
     toxicity,
     urlfilter,
 )
@@ -154,6 +155,11 @@ def byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip(documents, "text", path, pattern).drop("text")
 
 
+@query("op7_substring_dedup")
+def substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substrings.deduplicated(read(spark, folder, "documents"), "doc_id")
+
+
 @query("op8_language_id")
 def language_id(spark: SparkSession, folder: str) -> DataFrame:
     documents = read(spark, folder, "documents")
