@@ -31,6 +31,8 @@ WINDOW = 13
 RAREST = 3
 #: Characters of benchmark text in a block.
 BLOCK_CHARS = 4 << 20
+#: Documents in a block of the index.
+BLOCK_ROWS = 2000
 #: Documents with candidates are broadcast to the scan of the texts up to this size.
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 4 << 20
@@ -85,7 +87,7 @@ def index(docs: DataFrame, key: str, text: str, terms: dict[bytes, int]) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = shipped.value.get
-        for batch in batches:
+        for batch in (b.slice(at, BLOCK_ROWS) for b in batches for at in range(0, b.num_rows, BLOCK_ROWS)):
             ids, lengths, docs_of, places = [], [], [], []
             for n, t in enumerate(batch.column(1).to_pylist()):
                 found = words(t)
