@@ -173,7 +173,8 @@ def placed(postings: DataFrame, asked: DataFrame, slop: int = 0) -> DataFrame:
     )
     if slop:
         bucket = F.floor(F.col("shift") / (slop + 1)).cast("int")
-        rows = rows.withColumn("shift", F.explode(F.array(bucket, bucket - 1)) * (slop + 1))
+        both = F.array(bucket * (slop + 1), (bucket - 1) * (slop + 1))
+        rows = rows.withColumn("shift", F.explode(both))
     return (
         rows.groupBy("doc", "item", "asked", "shift")
         .agg(F.count("*").alias("n"))

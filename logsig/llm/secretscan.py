@@ -220,6 +220,14 @@ def scanned(
     )
 
 
+def spans_text(secrets: str = "secrets") -> Column:
+    """``kind:start:end`` of all spans, comma-joined."""
+    spelled_out = F.transform(
+        F.col(secrets), lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])
+    )
+    return F.coalesce(F.array_join(spelled_out, ","), F.lit(""))
+
+
 def cut_out(text: str, spans: list[tuple[int, int]], mark: str) -> str:
     """``text`` with each run of overlapping spans replaced by ``mark``."""
     out, at = [], 0

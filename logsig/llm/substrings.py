@@ -31,12 +31,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import broadcast_if_bounded, estimated_bytes, materialize
+from ..session import broadcast_if_bounded, materialize
 
 WINDOW = 50
 BLOCK = 25
-#: Stored bytes of input per hash range, and the least number of ranges.
-RANGE_BYTES = 8 << 20
+#: Bytes of text per hash range, and the least number of ranges.
+RANGE_BYTES = 14 << 20
 LEAST_RANGES = 16
 #: Characters that are hashed at once, probes that are packed at once.
 CHUNK = 1 << 20
@@ -336,7 +336,8 @@ def removed_repeats(
     text, number of words removed and the rest joined by spaces. ``key`` is a bigint."""
     if window < 2 * block - 1:
         raise ValueError("a window must hold a whole block wherever it starts")
-    ranges = max(LEAST_RANGES, -(-estimated_bytes(df) // RANGE_BYTES))
+    size = df.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
+    ranges = max(LEAST_RANGES, -(-size // RANGE_BYTES))
     texts = df.select(
         F.col(key).cast("bigint").alias("doc"),
         F.xxhash64(F.col(text)).alias("digest"),
