@@ -177,12 +177,7 @@ def distribution(spark, folder):
     FROM labelled GROUP BY cluster_id ORDER BY cluster_id""",
 )
 def sorted_clusters(spark, folder):
-    return (
-        labelled_docs(spark, folder)
-        .groupBy("cluster_id")
-        .agg(F.min("pos").alias("first_pos"), F.count(F.lit(1)).alias("size"))
-        .orderBy("cluster_id")
-    )
+    return cluster_distribution(labelled_docs(spark, folder), first="pos")
 
 
 @query(
@@ -448,12 +443,9 @@ RADIUS = Density(min_cluster_size=5, min_samples=2, epsilon=1.15)
 
 @query(
     "density_presets",
-    "WITH p(preset, min_cluster_size, min_samples, epsilon) AS (VALUES "
-    + ", ".join(
-        f"('{n}', {d.min_cluster_size}, {d.min_samples}, CAST({d.epsilon} AS DOUBLE))"
-        for n, d in DENSITY_PRESETS.items()
-    )
-    + f""") SELECT label, preset, min_cluster_size, min_samples, epsilon,
+    """WITH p(preset, min_cluster_size, min_samples, epsilon) AS (VALUES
+      ('ultra_sensitive', 2, 1, CAST(0.05 AS DOUBLE)), ('preprocessed', 5, 3, 0.1),
+      ('moderate', 15, 10, 0.2), ('high', 25, 15, 0.3)) SELECT label, preset, min_cluster_size, min_samples, epsilon,
       n >= min_cluster_size AS can_form_cluster
     FROM (SELECT label, count(*) AS n FROM embeddings GROUP BY label) CROSS JOIN p""",
 )

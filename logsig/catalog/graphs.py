@@ -13,6 +13,7 @@ from ..operators.graph import (
     graph_read,
     graph_search,
     index_hits,
+    list_except,
     observations_add,
     observations_delete,
     relations_delete,
@@ -140,6 +141,31 @@ def indexed_search(spark, folder):
     return index_hits(text_index(business_graph(spark, folder)), "supplier Asia FURNITURE")
 
 
+_PUNCTUATED_QUERY = "#000000007 ships, NATION_3 (goods-Furn*"
+
+
+@query(
+    "graph_search_punctuated",
+    f"""{_GRAPH}, hits AS MATERIALIZED (SELECT * FROM entities
+      WHERE list_has_any({_TOKENS}, ['000000007', 'ships', 'nation_3', 'goods'])
+        OR len(list_filter({_TOKENS}, lambda t: starts_with(t, 'furn'))) > 0),
+    around AS ({_touching('hits')}) {_rows('hits', 'around')}""",
+)
+def punctuated_search(spark, folder):
+    """A query is taken apart like the text, whatever marks its words carry."""
+    return _as_rows(graph_search(business_graph(spark, folder), _PUNCTUATED_QUERY))
+
+
+@query(
+    "graph_search_index_punctuated",
+    f"""{_GRAPH} SELECT name FROM entities
+    WHERE list_has_any({_TOKENS}, ['000000007', 'ships', 'nation_3', 'goods'])
+      OR len(list_filter({_TOKENS}, lambda t: starts_with(t, 'furn'))) > 0""",
+)
+def punctuated_index_search(spark, folder):
+    return index_hits(text_index(business_graph(spark, folder)), _PUNCTUATED_QUERY)
+
+
 @query(
     "graph_find",
     f"{_GRAPH}, {_NATIONS}, around AS ({_touching('hits')}) {_rows('hits', 'around')}",
@@ -286,7 +312,20 @@ def _without(spark, folder):
 
 
 query("observations_delete", _DROPS)(_without)
-query("array_except", _DROPS)(_without)
+
+
+@query(
+    "array_except",
+    """SELECT doc_id, array_to_string(list_filter(string_split(text, ' '),
+      lambda w: NOT list_contains(string_split(lang || ' the of de la der', ' '), w)), ' ') AS rest
+    FROM documents""",
+)
+def without_words(spark, folder):
+    """Lists without the entries of another list, order and repeats kept."""
+    words, others = F.split("text", " "), F.split(F.concat("lang", F.lit(" the of de la der")), " ")
+    return table(spark, folder, "documents").select(
+        "doc_id", F.array_join(list_except(words, others), " ").alias("rest")
+    )
 
 
 @query(

@@ -21,6 +21,7 @@ from ..functions import (
     token_kinds,
 )
 from ..functions.fields import locate_any
+from ..operators.clusters import pattern_counts, topk_patterns
 from ..operators.features import term_frequencies
 from ..operators.runlog import PROGRESS_WORDS
 from ..sources import annotate, signature_batch
@@ -267,23 +268,31 @@ def text_previews(spark, folder):
 
 @query(
     "signature_hash",
-    f"""{_DOC}, named AS (SELECT DISTINCT cluster, pattern FROM signed)
+    f"""{_DOC}, counts AS (SELECT cluster, pattern, count(*) AS n, min(pos) AS first
+      FROM signed GROUP BY ALL),
+    top AS (SELECT * FROM counts QUALIFY row_number() OVER (
+      PARTITION BY cluster ORDER BY n DESC, first) <= 3)
     SELECT cluster, left(md5(string_agg(pattern, '|' ORDER BY pattern)), 12) AS signature_hash
-    FROM named WHERE length(pattern) <= 3 GROUP BY cluster""",
+    FROM top GROUP BY cluster""",
 )
 def signature_hashes(spark, folder):
-    short = annotate(doc_lines(spark, folder)).filter(F.char_length(_pattern()) <= 3)
+    """The hash of each source's three most frequent patterns, over all lines."""
+    counts = pattern_counts(annotate(doc_lines(spark, folder)), "cluster")
     return (
-        short.groupBy("cluster")
-        .agg(F.collect_set("pattern").alias("patterns"))
+        topk_patterns(counts, 3, "cluster")
+        .groupBy("cluster")
+        .agg(F.collect_list("pattern").alias("patterns"))
         .select("cluster", signature_hash(F.col("patterns")).alias("signature_hash"))
     )
 
 
-_FLAGS = ", ".join(
-    "(" + " OR ".join(f"contains(lower(text), '{w}')" for w in words) + f") AS {name}"
-    for name, words in PROGRESS_WORDS.items()
-)
+# Written out, not taken from the library, so that the comparison can fail.
+_FLAGS = """contains(lower(text), 'cluster') AS cluster,
+  (contains(lower(text), 'insight') OR contains(lower(text), 'pattern')
+    OR contains(lower(text), 'discovered') OR contains(lower(text), 'found')
+    OR contains(lower(text), 'entity') OR contains(lower(text), 'relation')) AS insight,
+  contains(lower(text), 'create_entities') AS entities,
+  contains(lower(text), 'create_relations') AS relations"""
 
 
 @query("keyword_flags", f"SELECT conv_id, turn, {_FLAGS} FROM conversations")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.clusters import cluster_signatures
@@ -11,14 +14,14 @@ from ..operators.query import (
     log_query,
     page,
     page_meta,
-    validate_page,
+    page_problem,
 )
 from ..operators.registry import build_registry, log_schema
 from ..session import shared_folder
-from ..sources import append_clustered, read_clustered
+from ..sources import annotate, append_clustered, read_clustered, read_log_directory
 from . import sql
 from .clustering import REGISTRY_SQL
-from .corpora import clustered_docs, labelled_docs, table
+from .corpora import clustered_docs, doc_lines, labelled_docs, table
 from .registry import query
 
 _SIGNED = f"WITH {sql.DOC_LINES}, {sql.signed('doc_lines')}"
@@ -85,26 +88,70 @@ def query_meta(spark, folder):
 )
 def page_arguments(spark, folder):
     """The argument check applied to page requests kept as a table."""
+    requests = table(spark, folder, "conversations")
+    problem = page_problem(F.char_length("text"), F.col("turn") - 1)
+    return requests.select("conv_id", "turn", F.coalesce(problem, F.lit("ok")).alias("verdict"))
 
-    def verdict(limit: int, offset: int) -> str:
-        try:
-            validate_page(limit, offset)
-        except ValueError as error:
-            return str(error)
-        return "ok"
 
-    @F.pandas_udf("string")
-    def verdicts(limits, offsets):
-        return limits.combine(offsets, verdict)
+_TWICE = f"""{_SIGNED}, twice AS (SELECT row_number() OVER (ORDER BY n, pos) AS place, raw_log,
+    pattern FROM signed, (VALUES (0), (1)) v(n) WHERE {_MATCH})"""
 
-    requests = table(spark, folder, "conversations")
-    return requests.select(
-        "conv_id",
-        "turn",
-        verdicts(F.char_length("text"), F.col("turn") - 1).alias("verdict"),
+
+def _appended_files(spark, folder):
+    """Log files read as a folder and appended twice to the partitioned table."""
+    logs, path = shared_folder(spark), shared_folder(spark)
+    rows = doc_lines(spark, folder).filter(F.col("cluster") == CLUSTER).select("pos", "raw_log")
+    ordered = rows.repartitionByRange(4, "pos").sortWithinPartitions("pos")
+    ordered.select(F.col("raw_log").alias("value")).write.text(logs)
+    lines = annotate(read_log_directory(spark, logs, "part-*.txt"))
+    for _ in range(2):
+        append_clustered(lines.withColumn("cluster", F.lit(CLUSTER)), path)
+    return read_clustered(spark, path)
+
+
+def _all_pages(pages):
+    """Pages of a table one after the other, with their number."""
+    return reduce(
+        DataFrame.unionByName,
+        [p.select(F.lit(n).alias("page"), "text") for n, p in enumerate(pages)],
     )
 
 
+@query(
+    "log_query_files",
+    f"""{_TWICE} SELECT CAST((place - 1) // 40 AS INTEGER) AS page, raw_log AS text FROM twice
+    WHERE place <= 200""",
+)
+def query_over_files(spark, folder):
+    """Pages over several files and two appends follow append, file and line."""
+    table_ = _appended_files(spark, folder)
+    return _all_pages(log_query(table_, CLUSTER, NEEDLE, 40, 40 * n)[0] for n in range(5))
+
+
+@query(
+    "log_filter_files",
+    f"""{_TWICE}, walked AS (SELECT place, {sql.fields('raw_log', 'pattern')} AS w FROM twice
+      WHERE place <= 200)
+    SELECT CAST((place - 1) // 40 AS INTEGER) AS page,
+      coalesce(array_to_string(list_filter([w[1].text, w[2].text],
+        lambda t: t IS NOT NULL), chr(9)), '') AS text FROM walked""",
+)
+def filter_over_files(spark, folder):
+    table_ = _appended_files(spark, folder)
+    return _all_pages(log_filter(table_, CLUSTER, NEEDLE, [0, 1], 40, 40 * n)[0] for n in range(5))
+
+
+@query(
+    "log_query_deep",
+    f"""{_SIGNED} SELECT pos, raw_log FROM signed WHERE cluster <> {CLUSTER}
+    ORDER BY pos LIMIT {LIMIT} OFFSET 700""",
+)
+def deep_page(spark, folder):
+    """A page found by counting ranges of positions, as pages far into a table are."""
+    rows = clustered_docs(spark, folder).filter(F.col("cluster") != CLUSTER)
+    return page(rows.select("pos", "raw_log"), LIMIT, 700, direct_offset=10, ranges=16)
+
+
 @query(
     "page_past_end",
     f"""{_SIGNED}, n AS (SELECT count(*) AS total FROM signed WHERE cluster = {CLUSTER})

@@ -12,7 +12,7 @@ from ..operators.runlog import (
     tool_call_counts,
     tool_usage,
 )
-from ..session import sequential_ids, shared_folder
+from ..session import materialize, sequential_ids, shared_folder
 from .corpora import table
 from .registry import query
 
@@ -75,9 +75,14 @@ def _write_run_logs(spark, folder) -> str:
 
 
 def _run_logs(spark, folder):
-    """Run logs read back, one JSON document per line, named by their session."""
-    rows = read_run_logs(spark, _write_run_logs(spark, folder), multiline=False)
-    return rows.withColumn("run_id", F.col("start_time"))
+    """Run logs read back, many JSON documents in a file, one per line."""
+    return materialize(read_run_logs(spark, _write_run_logs(spark, folder), multiline=False))
+
+
+def _of_sessions(rows, runs):
+    """``rows`` with the session whose run they are of."""
+    sessions = runs.select("run_id", F.col("start_time").alias("session"))
+    return rows.join(sessions, "run_id")
 
 
 @query(
@@ -103,7 +108,8 @@ def run_logs(spark, folder):
       content, count(*) AS n FROM usage GROUP BY ALL""",
 )
 def flattened(spark, folder):
-    usage = tool_usage(_run_logs(spark, folder)).withColumnRenamed("run_id", "session")
+    runs = _run_logs(spark, folder)
+    usage = _of_sessions(tool_usage(runs), runs)
     return usage.groupBy(
         "session", "iteration", "type", "tool_name", "call_id", "content"
     ).agg(F.count(F.lit(1)).alias("n"))
@@ -118,9 +124,10 @@ def flattened(spark, folder):
       AND r.type = 'tool_result' WHERE c.type = 'tool_call'""",
 )
 def results(spark, folder):
-    rows = call_results(tool_usage(_run_logs(spark, folder)))
+    runs = _run_logs(spark, folder)
+    rows = _of_sessions(call_results(tool_usage(runs)), runs)
     return rows.select(
-        F.col("run_id").alias("session"), "call_id", "tool_name", "content", "preview"
+        "session", "call_id", "tool_name", "content", "preview"
     )
 
 
@@ -158,7 +165,7 @@ def sorted_tools(spark, folder):
 )
 def summaries(spark, folder):
     return run_summary(_run_logs(spark, folder)).select(
-        "run_id",
+        F.col("start_time").alias("run_id"),
         "total_duration",
         "total_iterations",
         "termination_reason",

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators.clusters import cluster_signatures, cluster_stats
@@ -10,7 +9,7 @@ from ..operators.features import symbol_features
 from ..operators.registry import build_registry
 from ..operators.vectors import cluster_geometry, cluster_sample_vectors
 from ..plans.infer import assign_lines
-from ..session import materialize, shared_folder
+from ..session import materialize, sequential_ids, shared_folder
 from ..sources import (
     Model,
     Thresholds,
@@ -28,6 +27,7 @@ from ..sources import (
     save_patterns,
     save_stats,
 )
+from ..sources.logs import FILE_SPAN, file_numbers
 from ..streaming import stream_assign, stream_new_signatures
 from . import sql
 from .clustering import REGISTRY_SQL, two_sets
@@ -60,9 +60,24 @@ def log_file(spark, folder):
     return _counted(read_log_file(spark, _write_logs(spark, folder)))
 
 
-@query("src_log_dir", _COUNTED)
+_PLACED = f"""WITH {sql.DOC_LINES} SELECT row_number() OVER (ORDER BY pos) - 1 AS place, raw_log
+  FROM doc_lines"""
+
+
+def _write_ordered(spark, folder, parts: int = 5) -> str:
+    """The document lines as several files whose names follow the lines' order."""
+    path = shared_folder(spark)
+    rows = doc_lines(spark, folder).select("pos", "raw_log")
+    ordered = rows.repartitionByRange(parts, "pos").sortWithinPartitions("pos")
+    ordered.select(F.regexp_replace("raw_log", "[\\r\\n]+", " ").alias("value")).write.text(path)
+    return path
+
+
+@query("src_log_dir", _PLACED)
 def log_directory(spark, folder):
-    return _counted(read_log_directory(spark, _write_logs(spark, folder), "part-*.txt"))
+    """All lines of several files in one order: by file, then by line."""
+    lines = read_log_directory(spark, _write_ordered(spark, folder), "part-*.txt")
+    return sequential_ids(lines.select("pos", "raw_log"), ["pos"], "place").drop("pos")
 
 
 @query(
@@ -71,45 +86,32 @@ def log_directory(spark, folder):
     SELECT source, count(*) AS lines FROM raw WHERE trim(line, {sql.WS}) <> '' GROUP BY source""",
 )
 def union_of_files(spark, folder):
+    """Lines per folder of files, told apart by the file each line is from."""
     path = _write_logs(spark, folder, by_source=True)
-    lines = spark.read.text(path).select("source", F.col("value").alias("line"))
-    return (
-        lines.filter(F.btrim("line", F.lit(sql.WHITESPACE)) != "")
-        .groupBy("source")
+    counts = (
+        read_log_directory(spark, path, "part-*.txt")
+        .groupBy(F.floor(F.col("pos") / FILE_SPAN).alias("file_no"))
         .agg(F.count(F.lit(1)).alias("lines"))
     )
-
-
-@query(
-    "sort_files",
-    f"""WITH {sql.DOC_LINES}, n AS (SELECT source, row_number() OVER (
-      PARTITION BY source ORDER BY pos) AS place, raw_log FROM doc_lines)
-    SELECT source, CAST(place AS INTEGER) AS place, raw_log FROM n WHERE place <= 3""",
-)
-def first_lines_of_files(spark, folder):
-    """Lines of one file per source come back in the order they were written."""
-    path = shared_folder(spark)
-    rows = doc_lines(spark, folder).select("source", "pos", "raw_log")
-    ordered = rows.repartition("source").sortWithinPartitions("source", "pos")
-    ordered.select("source", "raw_log").write.partitionBy("source").text(path)
-    lines = read_log_file_with_source(spark, path)
-    by_file = Window.partitionBy("source").orderBy("source_file", "pos")
+    source = F.regexp_extract("source_path", "/source=([^/]+)/", 1).alias("source")
     return (
-        lines.withColumn("place", F.row_number().over(by_file))
-        .filter("place <= 3")
-        .select("source", "place", "raw_log")
+        counts.join(file_numbers(spark, path, "part-*.txt"), "file_no")
+        .groupBy(source)
+        .agg(F.sum("lines").alias("lines"))
     )
 
 
-def read_log_file_with_source(spark, path):
-    from ..sources.logs import line_position
-
-    return spark.read.text(path).select(
-        "source",
-        F.col("_metadata.file_name").alias("source_file"),
-        line_position().alias("pos"),
-        F.col("value").alias("raw_log"),
-    )
+@query("sort_files", _PLACED.replace("ORDER BY pos", "ORDER BY n, pos").replace(
+    "FROM doc_lines", "FROM (SELECT *, n FROM doc_lines, (VALUES (0), (1)) v(n))"
+))
+def lines_of_files(spark, folder):
+    """A table appended to twice gives all lines in the order of appends, files and lines."""
+    path, logs = shared_folder(spark), _write_ordered(spark, folder)
+    lines = read_log_directory(spark, logs, "part-*.txt").withColumn("cluster", F.lit(1))
+    append_clustered(lines.select("cluster", "pos", "raw_log"), path)
+    append_clustered(lines.select("cluster", "pos", "raw_log"), path)
+    rows = read_clustered(spark, path).select("pos", "raw_log")
+    return sequential_ids(rows, ["pos"], "place").drop("pos")
 
 
 _SIGNED = f"WITH {sql.DOC_LINES}, {sql.signed('doc_lines')}"
@@ -137,6 +139,22 @@ def clustered_csv(spark, folder):
     return _table_counts(read_clustered_csv(spark, path))
 
 
+@query(
+    "clustered_csv_order",
+    _PLACED.replace("ORDER BY pos", "ORDER BY n, pos").replace(
+        "FROM doc_lines", "FROM (SELECT *, n FROM doc_lines, (VALUES (0), (1)) v(n))"
+    ),
+)
+def clustered_csv_order(spark, folder):
+    """CSV files appended to twice, read back in order."""
+    path = shared_folder(spark)
+    rows = _assigned(spark, folder)
+    append_clustered_csv(rows, path)
+    append_clustered_csv(rows, path)
+    lines = read_clustered_csv(spark, path).select("pos", "raw_log")
+    return sequential_ids(lines, ["pos"], "place").drop("pos")
+
+
 @query(
     "sink_clustered_append",
     _CLUSTERED_COUNTS.replace("count(*) AS lines", "2 * count(*) AS lines"),

@@ -34,8 +34,12 @@ def pattern_uniqueness(signed: DataFrame) -> DataFrame:
     )
 
 
-def cluster_distribution(rows: DataFrame, cluster: str = "cluster_id") -> DataFrame:
-    return rows.groupBy(cluster).agg(F.count(F.lit(1)).alias("size")).orderBy(cluster)
+def cluster_distribution(
+    rows: DataFrame, cluster: str = "cluster_id", first: str | None = None
+) -> DataFrame:
+    """Rows per cluster by id, with the least value of a column ``first`` if asked."""
+    more = [F.min(first).alias(f"first_{first}")] if first else []
+    return rows.groupBy(cluster).agg(*more, F.count(F.lit(1)).alias("size")).orderBy(cluster)
 
 
 def cluster_stats(

@@ -10,6 +10,7 @@ version. The batch of a mutation carries ``ord``, the order it was given in.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import reduce
@@ -106,14 +107,27 @@ def graph_neighbourhood(graph: Graph, hits: DataFrame) -> Graph:
     )
 
 
+def query_terms(query: str) -> tuple[list[str], list[str]]:
+    """Whole words and word beginnings of a query, taken apart like the text.
+
+    A star at the end of a word asks for its beginning; of a word with punctuation in
+    it, that of its last part.
+    """
+    words, prefixes = [], []
+    for given in query.lower().split():
+        parts = [p for p in re.split(r"[^\w]+", given.rstrip("*")) if p]
+        if parts and given.endswith("*"):
+            prefixes.append(parts.pop())
+        words += parts
+    return words, prefixes
+
+
 def matches_query(text: Column, query: str) -> Column:
     """Does the text hold any of the query's words? ``word*`` matches prefixes."""
     if query.strip() == "*":
         return F.lit(True)
     tokens = F.split(F.lower(text), _NOT_TOKEN)
-    given = query.lower().split()
-    words = [w for w in given if not w.endswith("*")]
-    prefixes = [w[:-1] for w in given if w.endswith("*")]
+    words, prefixes = query_terms(query)
     hit = F.lit(False)
     if prefixes:
 
@@ -150,11 +164,11 @@ def text_index(graph: Graph) -> DataFrame:
 def index_hits(index: DataFrame, query: str) -> DataFrame:
     """Names the inverted table gives for a query."""
     hit = F.lit(query.strip() == "*")
-    for word in query.lower().split():
-        if word.endswith("*"):
-            hit = hit | F.startswith(F.col("token"), F.lit(word[:-1]))
-        else:
-            hit = hit | (F.col("token") == word)
+    words, prefixes = query_terms(query)
+    for prefix in prefixes:
+        hit = hit | F.startswith(F.col("token"), F.lit(prefix))
+    for word in words:
+        hit = hit | (F.col("token") == word)
     return index.filter(hit).select("name").distinct()
 
 
@@ -261,6 +275,11 @@ def observations_add(graph: Graph, batch: DataFrame) -> tuple[Graph, DataFrame]:
     )
 
 
+def list_except(items: Column, others: Column) -> Column:
+    """A list without the entries of another; order and repeats stay, nulls go."""
+    return F.filter(items, lambda x: ~F.array_contains(others, x))
+
+
 def observations_delete(graph: Graph, batch: DataFrame) -> Graph:
     """Remove the listed observations; unknown names and texts are ignored."""
     listed = batch.select(

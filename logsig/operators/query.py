@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import extract_fields, join_fields, select_fields_unified, shallow_reconstruct
@@ -16,15 +16,31 @@ DIRECT_OFFSET = 20_000
 SEEK_RANGES = 4096
 
 
+# What is said about page arguments.
+LIMIT_TOO_SMALL = "Limit must be greater than 0"
+OFFSET_NEGATIVE = "Offset must be non-negative"
+LIMIT_TOO_LARGE = f"Limit cannot exceed {MAX_LIMIT} to prevent performance issues"
+INDEX_NEGATIVE = "All field indices must be non-negative"
+
+
 def validate_page(limit: int, offset: int = 0, indices: Sequence[int] = ()) -> None:
     if limit <= 0:
-        raise ValueError("Limit must be greater than 0")
+        raise ValueError(LIMIT_TOO_SMALL)
     if offset < 0:
-        raise ValueError("Offset must be non-negative")
+        raise ValueError(OFFSET_NEGATIVE)
     if limit > MAX_LIMIT:
-        raise ValueError(f"Limit cannot exceed {MAX_LIMIT} to prevent performance issues")
+        raise ValueError(LIMIT_TOO_LARGE)
     if any(i < 0 for i in indices):
-        raise ValueError("All field indices must be non-negative")
+        raise ValueError(INDEX_NEGATIVE)
+
+
+def page_problem(limit: Column, offset: Column) -> Column:
+    """What ``validate_page`` says about arguments kept in a table; null if nothing."""
+    return (
+        F.when(limit <= 0, LIMIT_TOO_SMALL)
+        .when(offset < 0, OFFSET_NEGATIVE)
+        .when(limit > MAX_LIMIT, LIMIT_TOO_LARGE)
+    )
 
 
 def filter_cluster_pattern(clustered: DataFrame, cluster: int, needle: str) -> DataFrame:
@@ -35,17 +51,19 @@ def filter_cluster_pattern(clustered: DataFrame, cluster: int, needle: str) -> D
     )
 
 
-def _seek(rows: DataFrame, offset: int) -> tuple[DataFrame, int]:
+def _seek(
+    rows: DataFrame, offset: int, direct_offset: int, ranges: int
+) -> tuple[DataFrame, int]:
     """Narrow ``rows`` to where a deep page starts, and what is left to skip.
 
-    Counts rows per range of positions (at most ``SEEK_RANGES`` numbers reach the
+    Counts rows per range of positions (at most ``ranges`` numbers reach the
     driver) and repeats inside the range that holds the offset.
     """
-    if offset <= DIRECT_OFFSET:
+    if offset <= direct_offset:
         return rows, offset
     low, high = rows.agg(F.min("pos"), F.max("pos") + 1).first()
-    while low is not None and offset > DIRECT_OFFSET and high - low > 1:
-        width = (high - low - 1) // SEEK_RANGES + 1
+    while low is not None and offset > direct_offset and high - low > 1:
+        width = (high - low - 1) // ranges + 1
         inside = rows.filter((F.col("pos") >= low) & (F.col("pos") < high))
         sizes = (
             inside.groupBy(F.floor((F.col("pos") - low) / width).cast("bigint").alias("range"))
@@ -62,10 +80,16 @@ def _seek(rows: DataFrame, offset: int) -> tuple[DataFrame, int]:
     return rows.filter(F.col("pos") >= low) if low is not None else rows, offset
 
 
-def page(rows: DataFrame, limit: int, offset: int = 0) -> DataFrame:
+def page(
+    rows: DataFrame,
+    limit: int,
+    offset: int = 0,
+    direct_offset: int = DIRECT_OFFSET,
+    ranges: int = SEEK_RANGES,
+) -> DataFrame:
     """Rows ``offset`` to ``offset + limit`` in line order."""
     validate_page(limit, offset)
-    rows, skip = _seek(rows, offset)
+    rows, skip = _seek(rows, offset, direct_offset, ranges)
     return rows.orderBy("pos").offset(skip).limit(limit)
 
 

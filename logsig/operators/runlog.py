@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import keyword_flags, text_preview
+from ..sources.logs import line_position
 
 _USAGE = (
     "struct<timestamp:string,type:string,tool_name:string,tool_id:string,arguments:string,"
@@ -42,10 +43,12 @@ CHUNK_TURNS = 100_000
 def read_run_logs(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
     """One row per run; tool arguments stay JSON text as they have no fixed shape.
 
-    ``multiline`` reads one document per file, else one per line.
+    ``multiline`` reads one document per file, else one per line. A run is named by its
+    file's path and its place in it, so runs of one file or of files with one name differ.
     """
     raw = spark.read.schema(RUN_LOG_SCHEMA).json(path, multiLine=multiline)
-    return raw.select(F.col("_metadata.file_name").alias("run_id"), "*")
+    place = line_position().cast("string")
+    return raw.select(F.concat_ws("#", "_metadata.file_path", place).alias("run_id"), "*")
 
 
 def tool_usage(run_log: DataFrame) -> DataFrame:
