@@ -356,7 +356,12 @@ def sample_vectors(spark, folder):
     return drawn.select("label", "row_id", "idx")
 
 
-@query("cluster_sample_vectors_seeded")
+@query(
+    "cluster_sample_vectors_seeded",
+    """SELECT label, vec_id AS row_id, CAST(row_number() OVER (
+      PARTITION BY label ORDER BY md5('17:' || vec_id), vec_id) - 1 AS INTEGER) AS idx
+    FROM embeddings QUALIFY idx < 10""",
+)
 def seeded_sample_vectors(spark, folder):
     drawn = cluster_sample_vectors(embeddings(spark, folder), "row_id")
     return drawn.select("label", "row_id", "idx")
@@ -495,13 +500,6 @@ def density_embeddings(spark, folder):
     return density_cluster(points, RADIUS).select("point_id", "cluster_id")
 
 
-@query("density_cluster_patterns")
-def density_patterns(spark, folder):
-    patterns = pattern_table(annotate(doc_lines(spark, folder)))
-    labels = label_patterns(patterns, density_parameters("moderate"))
-    return labels.select("pattern", "weight", "cluster_id")
-
-
 @query(
     "uniform_cluster",
     f"""WITH {sql.EVENT_LINES}, {sql.signed('event_lines')}
@@ -514,17 +512,6 @@ def uniform(spark, folder):
     return labels.select("pattern", "weight", "cluster_id")
 
 
-@query("train_model")
-def trained_registry(spark, folder):
-    model = train(page_lines(spark, folder), preset="preprocessed").model
-    return model.registry.join(model.centroids.drop("vec"), "stable_id")
-
-
-@query("train_stats")
-def trained_stats(spark, folder):
-    return train(doc_lines(spark, folder), preset="preprocessed").stats
-
-
 @query("infer_lines")
 def inferred(spark, folder):
     """A model trained on the documents, applied to the page lines."""
@@ -566,12 +553,13 @@ def trained_uniform(spark, folder):
 
 @query(
     "features_default",
-    f"""WITH {sql.DOC_LINES}, {sql.signed('doc_lines')}
-    SELECT DISTINCT pattern, CAST(CASE WHEN pattern = '' THEN 0 ELSE 1 END AS DOUBLE) AS norm2
-    FROM signed""",
+    f"""WITH {sql.DOC_LINES}, {sql.signed('doc_lines')}, p AS (SELECT DISTINCT pattern FROM signed),
+    v AS (SELECT pattern, {sql.default_vector('pattern')} AS vec FROM p),
+    parts AS (SELECT pattern, unnest(vec) AS value, generate_subscripts(vec, 1) - 1 AS bucket FROM v)
+    SELECT pattern, CAST(bucket AS INTEGER) AS bucket, round(value, 6) AS value
+    FROM parts WHERE value <> 0""",
 )
 def default_features(spark, folder):
     patterns = annotate(doc_lines(spark, folder)).select("pattern").distinct()
-    return symbol_features(patterns).select(
-        "pattern", F.round(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x), 6).alias("norm2")
-    )
+    parts = symbol_features(patterns).select("pattern", F.posexplode("vec").alias("bucket", "value"))
+    return parts.filter("value <> 0").withColumn("value", F.round("value", 6))

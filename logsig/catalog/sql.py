@@ -156,3 +156,15 @@ def texts(walked: str, enclosed: bool | None = None) -> str:
     if enclosed is not None:
         kept = f"list_filter({walked}, lambda f: f.enclosed = {str(enclosed).lower()})"
     return f"coalesce(array_to_string(list_transform({kept}, lambda f: f.text), '|'), '')"
+
+
+def default_vector(pattern: str, size: int = 256) -> str:
+    """The default features of a pattern: unit frequencies of its terms' buckets."""
+    words = f"CASE WHEN {pattern} = '' THEN [] ELSE string_split({pattern}, ' ') END"
+    return f"""list_transform([{words}], lambda w: list_transform([list_transform(
+        list_concat(w, list_transform(w[2:], lambda x, i: w[i] || ' ' || x)),
+        lambda t: CAST('0x' || left(md5(t), 8) AS BIGINT) % {size})],
+      lambda b: list_transform([list_transform(range({size}),
+          lambda n: CAST(len(list_filter(b, lambda x: x = n)) AS DOUBLE))],
+        lambda c: list_transform(c, lambda x: x / greatest(sqrt(list_dot_product(c, c)), 1e-9)))[1]
+      )[1])[1]"""

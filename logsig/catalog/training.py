@@ -57,12 +57,13 @@ def token_vector(pattern: str) -> str:
     )
 
 
-def _labels(p: Density) -> str:
-    return f"""WITH RECURSIVE {sql.DOC_LINES}, {sql.signed('doc_lines')},
+def _labels(p: Density, vector=None, corpus: str = f"{sql.DOC_LINES}, {sql.signed('doc_lines')}") -> str:
+    vector = (vector or token_vector)("pattern")
+    return f"""WITH RECURSIVE {corpus},
   counted AS MATERIALIZED (SELECT pattern, count(*) AS weight, min(pos) AS first_pos
     FROM signed GROUP BY pattern),
   points AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY first_pos) - 1 AS point_id,
-    {token_vector('pattern')} AS vec FROM counted),
+    {vector} AS vec FROM counted),
   near AS MATERIALIZED (SELECT a.point_id AS a, b.point_id AS b, b.weight FROM points a
     CROSS JOIN points b WHERE list_distance(a.vec, b.vec) <= {p.epsilon} + 1e-9),
   cores AS MATERIALIZED (SELECT a AS point_id FROM near GROUP BY a
@@ -82,13 +83,11 @@ def _labels(p: Density) -> str:
     FROM members GROUP BY component HAVING sum(weight) >= {p.min_cluster_size}),
   labels AS MATERIALIZED (SELECT pattern, weight, first_pos, vec, point_id,
       CAST(coalesce(cluster_id, -1) AS BIGINT) AS cluster_id
-    FROM points LEFT JOIN members USING (point_id) LEFT JOIN kept USING (component))"""
+    FROM points LEFT JOIN (SELECT point_id, component FROM members) USING (point_id)
+      LEFT JOIN kept USING (component))"""
 
 
-_LABELS = _labels(density_parameters(PRESET)).replace(
-    "FROM points LEFT JOIN members USING (point_id)",
-    "FROM points LEFT JOIN (SELECT point_id, component FROM members) USING (point_id)",
-)
+_LABELS = _labels(density_parameters(PRESET))
 
 
 @query(
@@ -117,7 +116,8 @@ def token_stats(spark, folder):
     )
 
 
-_MODEL = f"""{_LABELS}, lines AS (SELECT pos, raw_log, pattern, cluster_id
+def _model(labels: str) -> str:
+    return f"""{labels}, lines AS (SELECT pos, raw_log, pattern, cluster_id
     FROM signed JOIN labels USING (pattern)),
   {_signatures_sql('lines', '')},
   numbered AS MATERIALIZED (
@@ -129,9 +129,8 @@ _MODEL = f"""{_LABELS}, lines AS (SELECT pos, raw_log, pattern, cluster_id
     SELECT cluster_id, list(x ORDER BY i) AS center FROM dims GROUP BY cluster_id)"""
 
 
-@query(
-    "train_tokens_model",
-    f"""{_MODEL}, pairs AS (SELECT a.cluster_id, sum(a.weight * b.weight
+_MODEL = _model(_LABELS)
+_MODEL_ROWS = """, pairs AS (SELECT a.cluster_id, sum(a.weight * b.weight
         * (1 - list_dot_product(a.vec, b.vec))) AS total
       FROM labels a JOIN labels b ON a.cluster_id = b.cluster_id GROUP BY a.cluster_id),
     zeros AS (SELECT cluster_id, sum(weight) FILTER (list_dot_product(vec, vec) = 0) AS own
@@ -143,10 +142,15 @@ _MODEL = f"""{_LABELS}, lines AS (SELECT pos, raw_log, pattern, cluster_id
       round(CASE WHEN size > 1 THEN (total - coalesce(own, 0)) / (size * (size - 1)) ELSE 0 END, 6)
         + 0 AS avg_intra_distance
     FROM numbered JOIN centers USING (cluster_id) JOIN pairs USING (cluster_id)
-      JOIN zeros USING (cluster_id)""",
-)
+      JOIN zeros USING (cluster_id)"""
+
+
+@query("train_tokens_model", _MODEL + _MODEL_ROWS)
 def token_model(spark, folder):
-    model = train(doc_lines(spark, folder), PRESET, token_counts).model
+    return _model_rows(train(doc_lines(spark, folder), PRESET, token_counts).model)
+
+
+def _model_rows(model: Model):
     return model.registry.join(model.centroids, "stable_id").select(
         "stable_id",
         "signature_hash",
@@ -158,6 +162,44 @@ def token_model(spark, folder):
     )
 
 
+# ---- the same with the default vectors ------------------------------------------------
+
+_DEFAULT_LABELS = _labels(density_parameters(PRESET), sql.default_vector)
+_PAGE_LABELS = _labels(
+    density_parameters(PRESET),
+    sql.default_vector,
+    f"{sql.PAGE_LINES}, {sql.signed('page_lines')}",
+)
+
+
+@query("train_model", _model(_PAGE_LABELS) + _MODEL_ROWS)
+def default_model(spark, folder):
+    """Training with the default vectors, on the page lines."""
+    return _model_rows(train(page_lines(spark, folder), PRESET).model)
+
+
+@query(
+    "density_cluster_patterns",
+    f"""{_labels(density_parameters("moderate"), sql.default_vector)}
+    SELECT pattern, weight, cluster_id FROM labels""",
+)
+def default_clusters(spark, folder):
+    patterns = pattern_table(annotate(doc_lines(spark, folder)))
+    labels = label_patterns(patterns, density_parameters("moderate"))
+    return labels.select("pattern", "weight", "cluster_id")
+
+
+_STATS_ROW = """ SELECT CAST(sum(weight) AS BIGINT) AS total_logs,
+      count(DISTINCT cluster_id) FILTER (cluster_id <> -1) AS num_clusters,
+      CAST(sum(weight) FILTER (cluster_id = -1) AS BIGINT) AS num_outliers FROM labels"""
+
+
+@query("train_stats", _DEFAULT_LABELS + _STATS_ROW)
+def default_stats(spark, folder):
+    stats = train(doc_lines(spark, folder), PRESET).stats
+    return stats.select("total_logs", "num_clusters", "num_outliers")
+
+
 _PAGE_SIGNED = sql.signed("page_lines", "page_signed")
 _INFERRED = f"""{_MODEL}, {sql.PAGE_LINES}, {_PAGE_SIGNED},
   page_patterns AS (SELECT DISTINCT pattern, {token_vector('pattern')} AS vec FROM page_signed),

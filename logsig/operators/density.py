@@ -67,7 +67,7 @@ def squared_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _pivots(sites: DataFrame, count: int) -> np.ndarray:
-    """A hash-random choice of sites, at most ``MAX_PIVOTS``."""
+    """A hash-random choice of sites."""
     rows = sites.orderBy(F.xxhash64("site"), "site").limit(count).select("vec").toArrow()
     return _matrix(rows.column("vec"))
 
@@ -204,15 +204,17 @@ def _joined_edges(edges: pa.Table) -> pa.Table:
     )
 
 
-def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+def connected_components(
+    vertices: DataFrame, edges: DataFrame, direct_edges: int = DIRECT_EDGES
+) -> DataFrame:
     """``(site, component)``: the lowest id each vertex is connected to.
 
-    Up to ``DIRECT_EDGES`` edges are joined up in one task. For more, each round
+    Up to ``direct_edges`` edges are joined up in one task. For more, each round
     takes the lowest label among a vertex and its neighbours, then the label of
     that label, until nothing changes.
     """
     edges = materialize(edges)
-    if edges.count() <= DIRECT_EDGES:
+    if edges.count() <= direct_edges:
         joined = edges.groupBy().applyInArrow(_joined_edges, "site bigint, low bigint")
         return vertices.join(joined, "site", "left").select(
             "site", F.coalesce("low", "site").alias("component")
@@ -241,9 +243,14 @@ def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
             return labels
 
 
-def core_components(sites: DataFrame, parameters: Density) -> DataFrame:
-    """``(site, component)`` of the core sites. A single block needs one task only."""
-    if sites.count() <= BLOCK_POINTS:
+def core_components(
+    sites: DataFrame,
+    parameters: Density,
+    block_points: int = BLOCK_POINTS,
+    direct_edges: int = DIRECT_EDGES,
+) -> DataFrame:
+    """``(site, component)`` of the core sites. Up to ``block_points`` need one task only."""
+    if sites.count() <= block_points:
         return sites.groupBy().applyInArrow(
             _block_components(parameters), "site bigint, component bigint"
         )
@@ -257,7 +264,8 @@ def core_components(sites: DataFrame, parameters: Density) -> DataFrame:
         .union(near.filter(F.col("near") >= enough).select("site"))
     )
     core_cells = placed.join(broadcast_if_bounded(cores, stored=True), "site", "left_semi")
-    return connected_components(cores, neighbour_stars(core_cells, parameters.epsilon))
+    stars = neighbour_stars(core_cells, parameters.epsilon)
+    return connected_components(cores, stars, direct_edges)
 
 
 def _block_components(parameters: Density):
@@ -281,17 +289,25 @@ def _block_components(parameters: Density):
     return components
 
 
-def density_cluster(points: DataFrame, parameters: Density) -> DataFrame:
+def density_cluster(
+    points: DataFrame,
+    parameters: Density,
+    block_points: int = BLOCK_POINTS,
+    direct_edges: int = DIRECT_EDGES,
+) -> DataFrame:
     """Label ``(point_id, vec, weight)`` rows: adds ``cluster_id``, -1 for outliers.
 
     Clusters are numbered by their lowest ``point_id``. Equal vectors are one site
     with their summed weight, so copies cost nothing.
     """
-    typed = points.withColumn("vec", F.col("vec").cast("array<double>"))
+    # Stored first: vectors are computed once, so equal ones stay equal in the join below.
+    typed = materialize(
+        points.select("point_id", F.col("vec").cast("array<double>").alias("vec"), "weight")
+    )
     sites = materialize(
         typed.groupBy("vec").agg(F.min("point_id").alias("site"), F.sum("weight").alias("weight"))
     ).select("site", "vec", "weight")
-    parts = materialize(core_components(sites, parameters))
+    parts = materialize(core_components(sites, parameters, block_points, direct_edges))
     weighed = parts.join(sites.select("site", "weight"), "site")
     kept = (
         weighed.groupBy("component")

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml.feature import HashingTF, NGram, Normalizer
-from pyspark.ml.functions import vector_to_array
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,28 +17,46 @@ def pattern_words(pattern: Column) -> Column:
     return F.when(pattern == "", F.array().cast("array<string>")).otherwise(F.split(pattern, " "))
 
 
+def pattern_terms(words: Column) -> Column:
+    """A pattern's tokens and its pairs of neighbouring tokens."""
+    pairs = F.transform(
+        F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))),
+        lambda w, i: F.concat(F.get(words, i), F.lit(" "), w),
+    )
+    return F.concat(words, pairs)
+
+
 def symbol_features(patterns: DataFrame, size: int = FEATURES) -> DataFrame:
-    """Add ``vec``: unit-length frequencies of the pattern's tokens and token pairs.
+    """Add ``vec``: unit-length frequencies of the pattern's tokens and token pairs, by bucket.
 
-    Narrow and JVM-side. The empty pattern gets the zero vector.
+    A term's bucket is the first 32 bits of its md5 modulo ``size``, which any system can
+    repeat. The empty pattern gets the zero vector.
     """
-    words = patterns.withColumn("_words", pattern_words(F.col("pattern")))
-    pairs = NGram(n=2, inputCol="_words", outputCol="_pairs").transform(words)
-    terms = pairs.withColumn("_terms", F.concat("_words", "_pairs"))
-    counted = HashingTF(numFeatures=size, inputCol="_terms", outputCol="_tf").transform(terms)
-    unit = Normalizer(p=2.0, inputCol="_tf", outputCol="_unit").transform(counted)
-    return unit.select(*patterns.columns, vector_to_array("_unit").alias("vec"))
+
+    @F.arrow_udf("array<double>")
+    def unit(batch: pa.Array) -> pa.Array:
+        owner = np.repeat(np.arange(len(batch)), batch.value_lengths().to_numpy())
+        counts = np.zeros((len(batch), size))
+        np.add.at(counts, (owner, batch.flatten().to_numpy()), 1.0)
+        norms = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
+        counts /= np.where(norms > 0, norms, 1.0)
+        offsets = np.arange(len(batch) + 1, dtype=np.int32) * size
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(counts.ravel()))
+
+    terms = pattern_terms(pattern_words(F.col("pattern")))
+    bucket = F.transform(
+        terms, lambda t: F.conv(F.left(F.md5(t), F.lit(8)), 16, 10).cast("bigint") % size
+    )
+    return patterns.withColumn("vec", unit(bucket))
 
 
 def term_frequencies(patterns: DataFrame) -> DataFrame:
     """The same frequencies in long form: ``(pattern, term, tf)``."""
-    words = patterns.select("pattern").distinct().withColumn("_w", pattern_words(F.col("pattern")))
-    pairs = F.transform(
-        F.slice("_w", 2, F.greatest(F.size("_w") - 1, F.lit(0))),
-        lambda w, i: F.concat(F.get("_w", i), F.lit(" "), w),
-    )
+    terms = pattern_terms(pattern_words(F.col("pattern")))
     return (
-        words.select("pattern", F.explode(F.concat("_w", pairs)).alias("term"))
+        patterns.select("pattern")
+        .distinct()
+        .select("pattern", F.explode(terms).alias("term"))
         .groupBy("pattern", "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )

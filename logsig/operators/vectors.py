@@ -20,10 +20,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from ..session import materialize
 from ..sources.logs import OUTLIER
 from ..sources.model import Model, Thresholds
 
 # The largest model, in vector components, that is collected and broadcast.
+# Distances one task holds at a time.
+TILE = 8 << 20
 BROADCAST_COMPONENTS = 32_000_000
 BLOCK_VECTORS = 4096
 GROUP_ROWS = 50_000
@@ -92,7 +95,8 @@ def cluster_sample_vectors(
     ``seed=None`` takes the lowest row ids instead. A task sends at most ``count``
     rows per cluster to the shuffle.
     """
-    draw = [F.col(row_id)] if seed is None else [F.xxhash64(F.lit(seed), row_id), F.col(row_id)]
+    name = F.concat_ws(":", F.lit(seed).cast("string"), F.col(row_id).cast("string"))
+    draw = [F.col(row_id)] if seed is None else [F.md5(name), F.col(row_id)]
     rank = F.row_number().over(Window.partitionBy(label).orderBy(*draw))
     return (
         vectors.filter(F.col(label) != OUTLIER)
@@ -117,9 +121,25 @@ def _directions(matrix: np.ndarray) -> np.ndarray:
     return np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
 
 
+def _nearest(rows: np.ndarray, units: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and cosine distances of each unit row's ``k`` nearest references.
+
+    Distances are held a tile of at most ``TILE`` entries at a time.
+    """
+    step = max(1, TILE // max(1, len(units)))
+    places, distances = [np.empty((0, k), np.int64)], [np.empty((0, k))]
+    for at in range(0, len(rows), step):
+        tile = 1.0 - rows[at : at + step] @ units.T
+        places.append(_smallest(tile, k))
+        distances.append(np.take_along_axis(tile, places[-1], axis=1))
+    return np.concatenate(places), np.concatenate(distances)
+
+
 def _smallest(distances: np.ndarray, k: int) -> np.ndarray:
     """Columns of each row's ``k`` smallest entries; ties go to the left."""
     rounded = np.round(distances, TIE_DIGITS)
+    if k == 1:
+        return rounded.argmin(axis=1)[:, None]
     if rounded.shape[1] > 4 * k:
         bound = np.partition(rounded, k - 1, axis=1)[:, k - 1 : k]
         # Everything up to the k-th distance, ties included, then an exact order.
@@ -128,13 +148,16 @@ def _smallest(distances: np.ndarray, k: int) -> np.ndarray:
 
 
 def collect_reference(
-    references: DataFrame, keys: Sequence[str], vector: str = "vec"
+    references: DataFrame,
+    keys: Sequence[str],
+    vector: str = "vec",
+    components: int = BROADCAST_COMPONENTS,
 ) -> tuple[np.ndarray, np.ndarray] | None:
     """Keys and unit vectors of a model table in key order, if small enough."""
     size = references.agg(
         F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size(vector)), F.lit(0)).alias("d")
     ).first()
-    if size["n"] * size["d"] > BROADCAST_COMPONENTS:
+    if size["n"] * size["d"] > components:
         return None
     table = references.select(
         *[F.col(k).cast("bigint") for k in keys], F.col(vector).cast("array<double>").alias("vec")
@@ -152,13 +175,12 @@ def _nearest_column(vector: Column, keys: np.ndarray, units: np.ndarray, k: int)
         near = min(k, len(units))
         if not len(batch) or not near:
             return pa.array([[]] * len(batch), type=pa.list_(_HIT))
-        distances = 1.0 - _directions(_matrix(batch)) @ units.T
-        best = _smallest(distances, near)
+        best, distances = _nearest(_directions(_matrix(batch)), units, near)
         hits = pa.StructArray.from_arrays(
             [
                 pa.array(keys[best, 0].ravel()),
                 pa.array(keys[best, -1].ravel()),
-                pa.array(np.take_along_axis(distances, best, axis=1).ravel()),
+                pa.array(distances.ravel()),
             ],
             fields=list(_HIT),
         )
@@ -205,15 +227,14 @@ def nearest_blocked(
         if not len(rows) or not near:
             return hit_type.empty_table()
         units = _directions(_matrix(refs.column("vec")))[order]
-        distances = 1.0 - _directions(_matrix(rows.column("vec"))) @ units.T
-        best = _smallest(distances, near)
+        best, distances = _nearest(_directions(_matrix(rows.column("vec"))), units, near)
         found = names[order][best].reshape(-1, 2)
         return pa.table(
             {
                 row_id: rows.column(row_id).take(np.repeat(np.arange(len(rows)), near)),
                 "stable_id": found[:, 0],
                 "idx": found[:, 1],
-                "distance": np.take_along_axis(distances, best, axis=1).ravel(),
+                "distance": distances.ravel(),
             },
             schema=hit_type,
         )
@@ -247,10 +268,14 @@ def nearest_references(
     k: int,
     row_id: str = "row_id",
     vector: str = "vec",
+    components: int = BROADCAST_COMPONENTS,
 ) -> DataFrame:
-    """``(row_id, rank, stable_id, idx, distance)`` of each row's ``k`` nearest."""
+    """``(row_id, rank, stable_id, idx, distance)`` of each row's ``k`` nearest.
+
+    References of more than ``components`` vector components are compared in blocks.
+    """
     references = _with_idx(references)
-    small = collect_reference(references, ["stable_id", "idx"])
+    small = collect_reference(references, ["stable_id", "idx"], components=components)
     if small is None:
         hits = nearest_blocked(vectors, row_id, references, k, vector)
         return hits.select(row_id, "rank", "stable_id", "idx", "distance")
@@ -261,10 +286,14 @@ def nearest_references(
 
 
 def centroid_nearest(
-    vectors: DataFrame, centroids: DataFrame, row_id: str = "row_id", vector: str = "vec"
+    vectors: DataFrame,
+    centroids: DataFrame,
+    row_id: str = "row_id",
+    vector: str = "vec",
+    components: int = BROADCAST_COMPONENTS,
 ) -> DataFrame:
     """Every row with its closest centroid; ties go to the lower stable id."""
-    return nearest_references(vectors, centroids, 1, row_id, vector).select(
+    return nearest_references(vectors, centroids, 1, row_id, vector, components).select(
         row_id, "stable_id", "distance"
     )
 
@@ -275,12 +304,13 @@ def knn_vote(
     k: int = Thresholds.knn_k,
     row_id: str = "row_id",
     vector: str = "vec",
+    components: int = BROADCAST_COMPONENTS,
 ) -> DataFrame:
     """Share of a row's ``k`` nearest samples that belong to its candidate.
 
     Zero when there are fewer than ``k`` samples in all.
     """
-    hits = nearest_references(candidates, samples, k, row_id, vector)
+    hits = nearest_references(candidates, samples, k, row_id, vector, components)
     cand = candidates.select(row_id, F.col("stable_id").alias("_candidate"))
     agree = F.count_if(F.col("stable_id") == F.col("_candidate"))
     voted = (
@@ -329,9 +359,7 @@ def _match_column(vector: Column, centroids, samples, limits: Thresholds) -> Col
         n = len(rows)
         if not n:
             return pa.array([], type=_MATCH_TYPE)
-        distances = 1.0 - rows @ centers.T
-        best = _smallest(distances, 1)[:, 0]
-        nearest = distances[np.arange(n), best]
+        best, nearest = (x[:, 0] for x in _nearest(rows, centers, 1))
         candidate = ids[best]
         direct = nearest < limits.primary_distance
         band = ~direct & (nearest < limits.secondary_distance)
@@ -339,7 +367,7 @@ def _match_column(vector: Column, centroids, samples, limits: Thresholds) -> Col
         if band.any():
             vote[band] = 0.0
             if len(units) >= limits.knn_k:
-                near = _smallest(1.0 - rows[band] @ units.T, limits.knn_k)
+                near = _nearest(rows[band], units, limits.knn_k)[0]
                 agree = (owners[near] == candidate[band, None]).sum(axis=1)
                 vote[band] = agree / limits.knn_k
         verified = band & (np.nan_to_num(vote) >= limits.knn_confidence)
@@ -359,37 +387,48 @@ def _match_column(vector: Column, centroids, samples, limits: Thresholds) -> Col
 
 
 def assign_stable_cluster(
-    vectors: DataFrame, model: Model, row_id: str | None = None, vector: str = "vec"
+    vectors: DataFrame,
+    model: Model,
+    row_id: str | None = None,
+    vector: str = "vec",
+    components: int = BROADCAST_COMPONENTS,
 ) -> DataFrame:
     """Add ``stable_id, candidate, distance, vote, match_kind`` to every row.
 
     One narrow stage for a model that can be broadcast: rows are neither
-    shuffled nor multiplied. A larger model goes through blocked comparisons
-    and joins on ``row_id``, which must then be given. Without centroids every
-    row is an outlier.
+    shuffled nor multiplied. A model of more than ``components`` vector components goes
+    through blocked comparisons and joins on ``row_id``; without one, rows are stored with a
+    number of their own. Without centroids every row is an outlier.
     """
     limits = model.thresholds
-    centroids = collect_reference(_with_idx(model.centroids), ["stable_id"])
+    centroids = collect_reference(
+        _with_idx(model.centroids), ["stable_id"], components=components
+    )
     if centroids is not None and not len(centroids[0]):
         return assign_fallback(vectors)
-    samples = collect_reference(_with_idx(model.samples), ["stable_id", "idx"])
+    samples = collect_reference(
+        _with_idx(model.samples), ["stable_id", "idx"], components=components
+    )
     if centroids is not None and samples is not None:
         matched = vectors.withColumn(
             "_match", _match_column(F.col(vector), centroids, samples, limits)
         )
         return matched.select(*vectors.columns, "_match.*")
-    if row_id is None:
-        raise ValueError("The model is too large to broadcast; a row id is needed")
-    near = centroid_nearest(vectors, model.centroids, row_id, vector)
+    # Each row and its nearest centroid are used several times below.
+    own = row_id or "_row"
+    stored = materialize(
+        vectors if row_id else vectors.withColumn(own, F.monotonically_increasing_id())
+    )
+    near = materialize(centroid_nearest(stored, model.centroids, own, vector, components))
     band = near.filter(
         (F.col("distance") >= limits.primary_distance)
         & (F.col("distance") < limits.secondary_distance)
-    ).join(vectors.select(row_id, F.col(vector).alias("vec")), row_id)
-    votes = knn_vote(band, model.samples, limits.knn_k, row_id).select(row_id, "vote")
+    ).join(stored.select(own, F.col(vector).alias("vec")), own)
+    votes = knn_vote(band, model.samples, limits.knn_k, own, "vec", components)
     kind = decide(F.col("candidate"), F.col("distance"), F.col("vote"), limits)
     return (
-        vectors.join(near.withColumnRenamed("stable_id", "candidate"), row_id, "left")
-        .join(votes, row_id, "left")
+        stored.join(near.withColumnRenamed("stable_id", "candidate"), own, "left")
+        .join(votes.select(own, "vote"), own, "left")
         .withColumn("match_kind", kind)
         .withColumn(
             "stable_id",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.features import Featurizer, features
 from ..operators.vectors import assign_stable_cluster
-from ..session import broadcast_if_bounded
+from ..session import broadcast_if_bounded, materialize
 from ..sources.logs import annotate, clustered_rows
 from ..sources.model import Model
 
@@ -32,7 +32,8 @@ def assign_lines(
         vectors = features(signed, featurizer)
         return assign_stable_cluster(vectors, model).drop("vec")
     patterns = signed.select("pattern").distinct()
-    assigned = assign_stable_cluster(features(patterns, featurizer), model, "pattern")
+    vectors = materialize(features(patterns, featurizer))
+    assigned = assign_stable_cluster(vectors, model, "pattern")
     return signed.join(broadcast_if_bounded(assigned.select("pattern", *_MATCH)), "pattern")
 
 

@@ -49,7 +49,8 @@ def label_patterns(
 
     Nearly uniform data is one cluster by definition.
     """
-    vectors = features(patterns, featurizer)
+    # A featurizer may be dear: it sees each pattern once.
+    vectors = materialize(features(patterns, featurizer))
     totals = patterns.agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("lines")).first()
     if totals["n"] < UNIFORM * (totals["lines"] or 0):
         return vectors.withColumn("cluster_id", F.lit(0).cast("bigint"))
@@ -73,8 +74,9 @@ def _sample_rows(labels: DataFrame, seed: int) -> DataFrame:
     """
 
     def waiting(j: Column) -> Column:
-        noise = F.pmod(F.xxhash64(F.lit(seed), "point_id", j), F.lit(1 << 52)) + 1
-        return -F.log(noise / float((1 << 52) + 1)) / (F.col("weight") - j + 1)
+        name = F.concat_ws(":", F.lit(str(seed)), F.col("point_id").cast("string"), j.cast("string"))
+        noise = F.conv(F.left(F.md5(name), F.lit(12)), 16, 10).cast("bigint") + 1
+        return -F.log(noise / float((1 << 48) + 1)) / (F.col("weight") - j + 1)
 
     def arrival(j: Column) -> Column:
         return F.aggregate(F.sequence(F.lit(1), j), F.lit(0.0), lambda t, i: t + waiting(i))

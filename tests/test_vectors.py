@@ -143,12 +143,11 @@ def test_density_against_brute_force(spark, monkeypatch, blocks, direct_edges, e
     p = Density(12, 6, epsilon)
     monkeypatch.setattr(density, "BLOCK_POINTS", blocks)
     monkeypatch.setattr(density, "POINTS_PER_PIVOT", 20)
-    monkeypatch.setattr(density, "DIRECT_EDGES", direct_edges)
     df = spark.createDataFrame(
         [(i, points[i].tolist(), int(weights[i])) for i in range(len(points))],
         "point_id long, vec array<double>, weight long",
     )
-    got = density_cluster(df, p).orderBy("point_id").collect()
+    got = density_cluster(df, p, blocks, direct_edges).orderBy("point_id").collect()
     assert [r["cluster_id"] for r in got] == brute_density(points, weights, p)
 
 
