@@ -14,7 +14,13 @@ from ..operators.clusters import (
     pattern_uniqueness,
     topk_patterns,
 )
-from ..operators.density import DENSITY_PRESETS, Density, density_cluster, density_parameters
+from ..operators.density import (
+    DENSITY_PRESETS,
+    Density,
+    connected_components,
+    density_cluster,
+    density_parameters,
+)
 from ..operators.features import symbol_features
 from ..operators.registry import (
     apply_mapping,
@@ -24,6 +30,7 @@ from ..operators.registry import (
     stable_ids,
 )
 from ..operators.vectors import (
+    BROADCAST_COMPONENTS,
     assign_fallback,
     assign_stable_cluster,
     assignment_summary,
@@ -31,13 +38,14 @@ from ..operators.vectors import (
     cluster_geometry,
     cluster_sample_vectors,
     knn_vote,
+    nearest_blocked,
     nearest_references,
 )
 from ..plans.infer import assign_lines
 from ..plans.train import label_patterns, pattern_table, train
 from ..sources import Model, Thresholds, annotate
 from . import sql
-from .corpora import doc_lines, embeddings, event_lines, labelled_docs, page_lines
+from .corpora import doc_lines, embeddings, event_lines, labelled_docs, page_lines, table
 from .registry import query
 
 _LABELLED = f"""WITH {sql.DOC_LINES}, {sql.signed('doc_lines')}, labelled AS (
@@ -228,6 +236,12 @@ def numbered(spark, folder):
     return stable_ids(cluster_signatures(labelled_docs(spark, folder)))
 
 
+@query("stable_ids_bucketed", f"{REGISTRY_SQL} SELECT cluster_id, stable_id FROM registry")
+def bucketed_ids(spark, folder):
+    """The same numbers, ranked in quantile buckets as for very many clusters."""
+    return stable_ids(cluster_signatures(labelled_docs(spark, folder)), direct=0)
+
+
 @query(
     "map_signatures",
     f"{_TWO_SETS} SELECT cluster_id, CAST(stable_id AS BIGINT) AS stable_id, is_new_pattern FROM mapping",
@@ -269,7 +283,7 @@ def applied(spark, folder):
       (SELECT count(*) FROM t_signatures) AS training_clusters,
       count(*) AS new_patterns_discovered,
       (SELECT count(*) FROM t_signatures) + count(*) AS next_available_id,
-      false AS has_centroids FROM numbered""",
+      false AS has_centroids, false AS distance_based_enabled FROM numbered""",
 )
 def summary(spark, folder):
     return registry_summary(_mapped(spark, folder)[2])
@@ -379,12 +393,22 @@ def nearest(spark, folder):
     )
 
 
-@query(
-    "knn_topk",
-    f"""{_CENTROIDS} SELECT row_id, CAST(rank AS INTEGER) AS rank,
+_KNN = f"""{_CENTROIDS} SELECT row_id, CAST(rank AS INTEGER) AS rank,
       CAST(stable_id AS BIGINT) AS stable_id, CAST(idx AS BIGINT) AS idx,
-      round(distance, 6) AS distance FROM knn""",
-)
+      round(distance, 6) AS distance FROM knn"""
+
+
+@query("nearest_blocked", _KNN)
+def blocked_neighbours(spark, folder):
+    """Neighbours found block by block, as for a model too large to broadcast."""
+    vectors, model = _embedding_model(spark, folder)
+    near = nearest_blocked(vectors, "row_id", model.samples, 5, "vec", 7, 60)
+    return near.select(
+        "row_id", "rank", "stable_id", "idx", F.round("distance", 6).alias("distance")
+    )
+
+
+@query("knn_topk", _KNN)
 def neighbours(spark, folder):
     vectors, model = _embedding_model(spark, folder)
     return nearest_references(vectors, model.samples, 5).withColumn(
@@ -410,15 +434,25 @@ _ASSIGNED = f"""{_CENTROIDS}, assigned AS (
   FROM nearest JOIN votes USING (row_id))"""
 
 
-@query(
-    "assign_stable_cluster",
-    f"""{_ASSIGNED} SELECT row_id, CAST(CASE WHEN match_kind = 'outlier' THEN -1 ELSE candidate END
+_ASSIGNMENT = f"""{_ASSIGNED} SELECT row_id, CAST(CASE WHEN match_kind = 'outlier' THEN -1 ELSE candidate END
       AS BIGINT) AS stable_id, CAST(candidate AS BIGINT) AS candidate,
-      round(distance, 6) AS distance, match_kind FROM assigned""",
-)
+      round(distance, 6) AS distance, match_kind FROM assigned"""
+
+
+@query("assign_stable_cluster", _ASSIGNMENT)
 def assignment(spark, folder):
+    return _assignment(spark, folder, "row_id", BROADCAST_COMPONENTS)
+
+
+@query("assign_blocked", _ASSIGNMENT)
+def blocked_assignment(spark, folder):
+    """The same with a model that counts as too large to broadcast, rows without an id."""
+    return _assignment(spark, folder, None, 0)
+
+
+def _assignment(spark, folder, row_id, components):
     vectors, model = _embedding_model(spark, folder)
-    return assign_stable_cluster(vectors, model, "row_id").select(
+    return assign_stable_cluster(vectors, model, row_id, "vec", components).select(
         "row_id", "stable_id", "candidate", F.round("distance", 6).alias("distance"), "match_kind"
     )
 
@@ -434,7 +468,9 @@ def fallback(spark, folder):
 
 @query(
     "assignment_summary",
-    f"{_ASSIGNED} SELECT match_kind, count(*) AS size FROM assigned GROUP BY match_kind",
+    f"""{_ASSIGNED} SELECT match_kind, count(row_id) AS size
+    FROM (VALUES ('direct'), ('knn'), ('outlier')) k(match_kind) LEFT JOIN assigned USING (match_kind)
+    GROUP BY match_kind""",
 )
 def assignment_totals(spark, folder):
     vectors, model = _embedding_model(spark, folder)
@@ -476,9 +512,7 @@ def presets(spark, folder):
     )
 
 
-@query(
-    "density_cluster",
-    f"""{_EMB.replace('WITH', 'WITH RECURSIVE')}, near AS MATERIALIZED (
+_DENSITY = f"""{_EMB.replace('WITH', 'WITH RECURSIVE')}, near AS MATERIALIZED (
       SELECT a.row_id AS a, b.row_id AS b FROM emb a CROSS JOIN emb b
       WHERE list_distance(a.vec, b.vec) <= {RADIUS.epsilon}),
     cores AS MATERIALIZED (SELECT a AS row_id FROM near GROUP BY a
@@ -491,8 +525,10 @@ def presets(spark, folder):
     kept AS (SELECT component, row_number() OVER (ORDER BY component) - 1 AS cluster_id
       FROM parts GROUP BY component HAVING count(*) >= {RADIUS.min_cluster_size})
     SELECT row_id AS point_id, CAST(coalesce(cluster_id, -1) AS BIGINT) AS cluster_id
-    FROM emb LEFT JOIN parts USING (row_id) LEFT JOIN kept USING (component)""",
-)
+    FROM emb LEFT JOIN parts USING (row_id) LEFT JOIN kept USING (component)"""
+
+
+@query("density_cluster", _DENSITY)
 def density_embeddings(spark, folder):
     points = embeddings(spark, folder).select(
         F.col("row_id").alias("point_id"), "vec", F.lit(1).cast("bigint").alias("weight")
@@ -500,6 +536,31 @@ def density_embeddings(spark, folder):
     return density_cluster(points, RADIUS).select("point_id", "cluster_id")
 
 
+@query("density_cluster_cells", _DENSITY)
+def density_by_cells(spark, folder):
+    """The same through cells and rounds of label spreading, as for very many vectors."""
+    points = embeddings(spark, folder).select(
+        F.col("row_id").alias("point_id"), "vec", F.lit(1).cast("bigint").alias("weight")
+    )
+    labels = density_cluster(points, RADIUS, block_points=0, direct_edges=0)
+    return labels.select("point_id", "cluster_id")
+
+
+@query(
+    "components_rounds",
+    """WITH RECURSIVE up(site, top) AS (SELECT doc_id, doc_id FROM documents
+      UNION ALL SELECT site, top // 3 FROM up WHERE top % 7 <> 0)
+    SELECT site, min(top) AS component FROM up GROUP BY site""",
+)
+def component_rounds(spark, folder):
+    """Connected parts of a forest over the documents, by rounds of label spreading."""
+    docs = table(spark, folder, "documents").select(F.col("doc_id").alias("site"))
+    edges = docs.filter(F.col("site") % 7 != 0).select(
+        F.col("site").alias("src"), F.floor(F.col("site") / 3).alias("dst")
+    )
+    return connected_components(docs, edges, direct_edges=0)
+
+
 @query(
     "uniform_cluster",
     f"""WITH {sql.EVENT_LINES}, {sql.signed('event_lines')}

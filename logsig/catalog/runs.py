@@ -9,6 +9,7 @@ from ..operators.runlog import (
     insight_streak,
     read_run_logs,
     run_summary,
+    stop_reason,
     tool_call_counts,
     tool_usage,
 )
@@ -217,3 +218,20 @@ def document_streaks(spark, folder):
     return insight_streak(docs, "source", "doc_id", min_clusters=2, chunk=50).drop(
         "entities_created", "relations_created"
     )
+
+
+@query(
+    "stop_reasons",
+    """WITH s AS (SELECT conv_id, turn, turn * 9 AS iterations, turn AS clusters,
+        length(text) % 5 AS insights, turn % 4 AS quiet, length(text) % 8 AS errors
+      FROM conversations)
+    SELECT conv_id, turn, CASE WHEN iterations >= 50 THEN 'Maximum iteration limit reached'
+      WHEN clusters >= 5 AND insights > 0 AND quiet >= 3
+        THEN 'No new insights discovered in recent iterations'
+      WHEN errors >= 5 THEN 'Too many consecutive errors encountered' END AS reason FROM s""",
+)
+def stop_reasons(spark, folder):
+    """The stop rules over states taken from the turns."""
+    turn, size = F.col("turn"), F.char_length("text")
+    reason = stop_reason(turn * 9, turn, size % 5, turn % 4, size % 8)
+    return table(spark, folder, "conversations").select("conv_id", "turn", reason.alias("reason"))

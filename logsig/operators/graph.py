@@ -19,7 +19,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import broadcast_if_bounded
+from ..session import broadcast_if_bounded, materialize
 
 TRIPLE = ["source", "target", "relationType"]
 _NOT_TOKEN = r"[^\p{L}\p{N}_]+"
@@ -206,17 +206,20 @@ def entities_upsert(graph: Graph, batch: DataFrame) -> Graph:
         F.max_by(F.struct("type", "observations", "ord"), "ord").alias("new"),
         F.array_sort(F.collect_set("type")).alias("new_labels"),
     )
+    latest = materialize(latest)
+    small = broadcast_if_bounded(latest, stored=True)
     none = F.array().cast("array<string>")
-    entities = (
-        graph.entities.join(latest, "name", "full_outer")
-        .select(
-            "name",
-            F.coalesce("new.type", "type").alias("type"),
-            F.array_union(
-                F.coalesce("labels", none), F.coalesce("new_labels", none)
-            ).alias("labels"),
-        )
+    merged = graph.entities.join(small, "name", "left").select(
+        "name",
+        F.coalesce("new.type", "type").alias("type"),
+        F.array_union(F.coalesce("labels", none), F.coalesce("new_labels", none)).alias("labels"),
+    )
+    # The names that are no entities yet are found on the batch's side alone.
+    present = broadcast_if_bounded(_known(graph.entities, latest.select("name")))
+    added = latest.join(present, "name", "left_anti").select(
+        "name", F.col("new.type").alias("type"), F.array_distinct("new_labels").alias("labels")
     )
+    entities = merged.unionByName(added)
     names = broadcast_if_bounded(batch.select("name").distinct())
     kept = graph.observations.join(names, "name", "left_anti")
     fresh = latest.select(

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text_preview
-from ..session import broadcast_if_bounded, materialize, sequential_ids
+from ..session import DIRECT_NUMBERING, broadcast_if_bounded, materialize, sequential_ids
 from ..sources.logs import OUTLIER
 
 PREVIEW_LENGTH = 150
@@ -20,12 +20,16 @@ def _first_columns(signatures: DataFrame) -> list[str]:
 
 
 def stable_ids(
-    signatures: DataFrame, cluster: str = "cluster_id", stored: bool = False
+    signatures: DataFrame,
+    cluster: str = "cluster_id",
+    stored: bool = False,
+    direct: int = DIRECT_NUMBERING,
 ) -> DataFrame:
     """Number the clusters 0, 1, 2, ... by their first appearance."""
     order = _first_columns(signatures)
     keys = signatures.select(cluster, *order)
-    return sequential_ids(keys, order, "stable_id", stored=stored).select(cluster, "stable_id")
+    numbered = sequential_ids(keys, order, "stable_id", stored=stored, direct=direct)
+    return numbered.select(cluster, "stable_id")
 
 
 def build_registry(signatures: DataFrame, cluster: str = "cluster_id") -> DataFrame:
@@ -49,10 +53,15 @@ def next_stable_id(registry: DataFrame) -> int:
 
 
 def map_signatures(
-    signatures: DataFrame, registry: DataFrame, cluster: str = "cluster_id"
+    signatures: DataFrame,
+    registry: DataFrame,
+    cluster: str = "cluster_id",
+    next_id: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Give new clusters the stable id of a known signature, or a new one.
 
+    New ids start at ``next_id``, the one a stored registry names, but never at one in use.
+
     Returns ``(cluster, stable_id, is_new_pattern)`` and the extended registry.
     Clusters sharing an unknown hash share the id the first of them gets.
     """
@@ -69,7 +78,8 @@ def map_signatures(
         )
         .select("signature_hash", *[F.col(f"first.{c}").alias(c) for c in order], "info.*")
     )
-    numbered = sequential_ids(unseen, order, "new_id", next_stable_id(registry))
+    start = max(next_id or 0, next_stable_id(registry))
+    numbered = sequential_ids(unseen, order, "new_id", start)
     mapping = matched.join(numbered.select("signature_hash", "new_id"), "signature_hash", "left")
     added = numbered.select(
         F.col("new_id").alias("stable_id"),
@@ -113,7 +123,9 @@ def registry_summary(registry: DataFrame, centroids: DataFrame | None = None) ->
         (F.coalesce(F.max("stable_id"), F.lit(-1)) + 1).alias("next_available_id"),
     )
     present = centroids is not None and not centroids.isEmpty()
-    return totals.withColumn("has_centroids", F.lit(present))
+    return totals.withColumns(
+        {"has_centroids": F.lit(present), "distance_based_enabled": F.lit(present)}
+    )
 
 
 def log_schema(registry: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import keyword_flags, text_preview
@@ -35,6 +35,13 @@ PROGRESS_WORDS = {
 }
 MIN_CLUSTERS = 5
 PATIENCE = 3
+MAX_ITERATIONS = 50
+MAX_ERRORS = 5
+STOP_REASONS = {
+    "iterations": "Maximum iteration limit reached",
+    "saturation": "No new insights discovered in recent iterations",
+    "errors": "Too many consecutive errors encountered",
+}
 SUMMARY_LENGTH = 200
 # Turns of one conversation that one task may have to put in order.
 CHUNK_TURNS = 100_000
@@ -115,6 +122,28 @@ def run_summary(run_log: DataFrame) -> DataFrame:
     )
 
 
+def stop_reason(
+    iterations: Column,
+    clusters: Column,
+    insights: Column,
+    quiet: Column,
+    errors: Column,
+    max_iterations: int = MAX_ITERATIONS,
+    min_clusters: int = MIN_CLUSTERS,
+    patience: int = PATIENCE,
+    max_errors: int = MAX_ERRORS,
+) -> Column:
+    """Why a run must stop at a state, null if it may go on: the iteration limit comes first,
+    then saturation, then errors. Missing counters count as zero."""
+    n = lambda c: F.coalesce(c, F.lit(0))
+    saturated = (n(clusters) >= min_clusters) & (n(insights) > 0) & (n(quiet) >= patience)
+    return (
+        F.when(n(iterations) >= max_iterations, STOP_REASONS["iterations"])
+        .when(saturated, STOP_REASONS["saturation"])
+        .when(n(errors) >= max_errors, STOP_REASONS["errors"])
+    )
+
+
 def insight_streak(
     turns: DataFrame,
     key: str = "conv_id",

@@ -196,7 +196,13 @@ _HIT = pa.struct(
 
 
 def nearest_blocked(
-    vectors: DataFrame, row_id: str, references: DataFrame, k: int, vector: str = "vec"
+    vectors: DataFrame,
+    row_id: str,
+    references: DataFrame,
+    k: int,
+    vector: str = "vec",
+    block_vectors: int = BLOCK_VECTORS,
+    group_rows: int = GROUP_ROWS,
 ) -> DataFrame:
     """The ``k`` nearest references per row for a model of any size.
 
@@ -204,8 +210,8 @@ def nearest_blocked(
     block and one group, both of bounded size, and keeps ``k`` hits per row. The
     hits of all blocks are then merged, which leaves the exact overall ``k``.
     """
-    blocks = references.count() // BLOCK_VECTORS + 1
-    groups = vectors.count() // GROUP_ROWS + 1
+    blocks = references.count() // block_vectors + 1
+    groups = vectors.count() // group_rows + 1
     left = vectors.select(
         row_id,
         F.col(vector).cast("array<double>").alias("vec"),
@@ -324,6 +330,10 @@ def knn_vote(
     return voted
 
 
+# How a row can be matched.
+MATCH_KINDS = ("direct", "knn", "outlier")
+
+
 # ---- assignment -------------------------------------------------------------
 
 
@@ -452,5 +462,8 @@ def assign_fallback(vectors: DataFrame) -> DataFrame:
 
 
 def assignment_summary(assigned: DataFrame) -> DataFrame:
-    """Rows per kind of match."""
-    return assigned.groupBy("match_kind").agg(F.count(F.lit(1)).alias("size"))
+    """Rows per kind of match, kinds without a row included."""
+    counts = assigned.agg(
+        *[F.count_if(F.col("match_kind") == kind).alias(kind) for kind in MATCH_KINDS]
+    )
+    return counts.unpivot([], list(MATCH_KINDS), "match_kind", "size")

@@ -92,16 +92,17 @@ def sequential_ids(
     name: str,
     start: int = 0,
     stored: bool = False,
+    direct: int = DIRECT_NUMBERING,
 ) -> DataFrame:
     """Number rows ``start``, ``start + 1``, ... by ``order`` without sorting all in one task.
 
-    Up to ``DIRECT_NUMBERING`` rows are simply ranked. More fall into consecutive
+    Up to ``direct`` rows are simply ranked. More fall into consecutive
     buckets of the first order column; a bucket's rows are ranked on their own and
     shifted by the sizes of the buckets before it. The rows are materialised first
     unless they are ``stored`` already, as they are needed several times.
     """
     df = df if stored else materialize(df)
-    if df.count() <= DIRECT_NUMBERING:
+    if df.count() <= direct:
         ranked = df.withColumn(name, F.row_number().over(Window.orderBy(*order)) - 1)
     else:
         ranked = _bucketed_ids(df, order, name)
