@@ -1,9 +1,8 @@
 """Positional field extraction: a pattern read as a template for its line.
 
-A line that follows its pattern literally is read by one regular expression. For
-the others the pattern's tokens become an array of search instructions, and one
-fold over that array moves a cursor through the line and emits a field per gap or
-region. Both are column expressions, so they run inside the scan's own tasks.
+A line that follows its pattern literally is read by one regular expression inside
+generated code. The others, and only they, go to the forward walk in Arrow batches.
+Both take time in proportion to the line.
 """
 
 from __future__ import annotations
@@ -15,9 +14,9 @@ from pyspark.sql import functions as F
 
 from .template import content_parts, follows, inside, is_region
 from .text import SPACE_CLASS, WORD_CLASS, strip
+from .walk import field_walk
 
 _PURE_SYMBOLS = f"^[^{WORD_CLASS}{SPACE_CLASS}]+$"
-_GAP_TEXT = f"^[{WORD_CLASS}{SPACE_CLASS}.]+$"
 
 
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -79,129 +78,10 @@ def token_kinds(pattern: Column) -> Column:
     )
 
 
-def _field(enclosed: bool, text: Column) -> Column:
-    return F.struct(F.lit(enclosed).alias("enclosed"), text.alias("text"))
-
-
-_FIELDS = "array<struct<enclosed:boolean,text:string>>"
-
-
-def _between(line: Column, start: Column, end: Column) -> Column:
-    return F.substring(line, start, F.greatest(end - start, F.lit(0)))
-
-
-def _add(fields: Column, enclosed: bool, text: Column) -> Column:
-    return F.when(text.isNull(), fields).otherwise(
-        F.concat(fields, F.array(_field(enclosed, text)))
-    )
-
-
-def field_walk(line: Column, pattern: Column) -> Column:
-    """All fields of a line in order, each flagged as enclosed or not."""
-
-    def run(tokens: Column) -> Column:
-        count = F.size(tokens)
-        end_of_line = F.char_length(line) + 1
-
-        def not_blank(text: Column) -> Column:
-            return bind(strip(text), lambda t: F.when(t != "", t))
-
-        def consume(state: Column, i: Column) -> Column:
-            """Cursor behind token ``i`` and the text it encloses, if any."""
-            token, at = tokens[i], state["at"]
-            following = F.transform(
-                F.slice(tokens, i + 2, count), lambda t: locate_any(t["needles"], line, at)
-            )
-            stop = F.coalesce(
-                F.get(F.filter(following, lambda p: p > 0), F.lit(0)), end_of_line
-            )
-            whole = bind(
-                stop,
-                lambda s: F.struct(s.alias("at"), not_blank(_between(line, at, s)).alias("text")),
-            )
-
-            def region(begin: Column) -> Column:
-                return bind(
-                    F.when(
-                        (begin > 0) & (token["closer"] != ""),
-                        F.position(token["closer"], line, begin + 1),
-                    ).otherwise(F.lit(0)),
-                    lambda end: F.struct(
-                        F.when(end > 0, end + 1).otherwise(at).alias("at"),
-                        F.when(end > 0, _between(line, begin + 1, end)).alias("text"),
-                    ),
-                )
-
-            def symbol(hit: Column) -> Column:
-                return F.struct(
-                    F.when(hit > 0, hit + 1).otherwise(at).alias("at"),
-                    F.lit(None).cast("string").alias("text"),
-                )
-
-            hit = locate_any(token["needles"], line, at)
-            return (
-                F.when(token["kind"] == "symbol", bind(hit, symbol))
-                .when(token["kind"] == "enclosed_content", bind(hit, region))
-                .otherwise(whole)
-            )
-
-        def gap(at: Column, i: Column) -> Column:
-            """Plain text between token ``i`` and the next, with its end."""
-            hit = F.when(
-                i + 1 < count, locate_any(F.get(tokens, i + 1)["needles"], line, at)
-            )
-            end = bind(hit, lambda h: F.when(h > 0, h).when(h == 0, end_of_line))
-            return bind(
-                end,
-                lambda e: bind(
-                    strip(_between(line, at, e)),
-                    lambda t: F.when(
-                        F.rlike(t, F.lit(_GAP_TEXT)), F.struct(e.alias("at"), t.alias("text"))
-                    ),
-                ),
-            )
-
-        def step(state: Column, i: Column) -> Column:
-            def with_token(taken: Column) -> Column:
-                fields = _add(state["fields"], True, taken["text"])
-                return bind(
-                    gap(taken["at"], i),
-                    lambda g: F.struct(
-                        F.coalesce(g["at"], taken["at"]).alias("at"),
-                        _add(fields, False, g["text"]).alias("fields"),
-                    ),
-                )
-
-            return bind(consume(state, i), with_token)
-
-        def finish(state: Column) -> Column:
-            return _add(
-                state["fields"], False, not_blank(F.substring(line, state["at"], end_of_line))
-            )
-
-        first = F.greatest(
-            F.when(count > 0, locate_any(tokens[0]["needles"], line, F.lit(1))).otherwise(
-                F.lit(1)
-            ),
-            F.lit(1),
-        )
-        start = bind(
-            first,
-            lambda f: F.struct(
-                f.alias("at"),
-                _add(
-                    F.array().cast(_FIELDS), False, not_blank(_between(line, F.lit(1), f))
-                ).alias("fields"),
-            ),
-        )
-        steps = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(
-            F.array().cast("array<int>")
-        )
-        return F.aggregate(steps, start, step, finish)
-
-    return F.when(
-        (line != "") & (pattern != ""), bind(token_kinds(pattern), run)
-    ).otherwise(F.array().cast(_FIELDS))
+def _unlike(line: Column, pattern: Column) -> tuple[Column, Column]:
+    """Line and pattern where the line does not follow the pattern, else null."""
+    other = ~follows(line, pattern)
+    return F.when(other, line), F.when(other, pattern)
 
 
 def extract_fields(line: Column, pattern: Column) -> Column:
@@ -211,7 +91,7 @@ def extract_fields(line: Column, pattern: Column) -> Column:
         F.transform(
             content_parts(line, pattern), lambda p: F.when(is_region(p), inside(p)).otherwise(p)
         ),
-    ).otherwise(F.transform(field_walk(line, pattern), lambda f: f["text"]))
+    ).otherwise(F.transform(field_walk(*_unlike(line, pattern)), lambda f: f["text"]))
 
 
 def categorize_fields(line: Column, pattern: Column) -> Column:
@@ -234,7 +114,7 @@ def categorize_fields(line: Column, pattern: Column) -> Column:
 
     return F.when(
         follows(line, pattern), bind(content_parts(line, pattern), from_parts)
-    ).otherwise(bind(field_walk(line, pattern), from_walk))
+    ).otherwise(bind(field_walk(*_unlike(line, pattern)), from_walk))
 
 
 def select_fields_unified(fields: Column, indices: Sequence[int]) -> Column:

@@ -5,114 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .fields import _PURE_SYMBOLS, bind, locate_any, pattern_tokens
-from .signature import REGIONS
 from .template import follows, masked_text
-from .text import strip
-
-# The masks a signature can contain.
-MASKS = [f"{o}X{c}" for o, c in REGIONS.items()]
-
-
-def _instructions(pattern: Column) -> Column:
-    """Every token of the pattern with what to look for in the line."""
-
-    def describe(token: Column) -> Column:
-        mask = token.isin(*MASKS)
-        plain = F.rlike(token, F.lit(_PURE_SYMBOLS))
-        return F.struct(
-            token.alias("token"),
-            F.when(mask, F.array(F.left(token, F.lit(1))))
-            .when(plain, F.array_distinct(F.split(token, "")))
-            .otherwise(F.array().cast("array<string>"))
-            .alias("needles"),
-            F.when(mask, F.right(token, F.lit(1))).otherwise(F.lit("")).alias("closer"),
-        )
-
-    return F.transform(pattern_tokens(pattern), describe)
+from .walk import shallow_walk
 
 
 def shallow_reconstruct(line: Column, pattern: Column) -> Column:
     """Rebuild a line from its pattern: gaps filled in, masks kept."""
-    return F.when(follows(line, pattern), masked_text(line, pattern)).otherwise(
-        shallow_walk(line, pattern)
-    )
-
-
-def shallow_walk(line: Column, pattern: Column) -> Column:
-    """The reconstruction by a fold over the pattern, for any pattern."""
-
-    def run(tokens: Column) -> Column:
-        count = F.size(tokens)
-        end_of_line = F.char_length(line) + 1
-
-        def appended(text: Column, piece: Column) -> Column:
-            return bind(
-                strip(piece),
-                lambda p: F.when(p == "", text)
-                .when(text == "", p)
-                .otherwise(F.concat(text, F.lit(" "), p)),
-            )
-
-        def between(start: Column, end: Column) -> Column:
-            return F.substring(line, start, F.greatest(end - start, F.lit(0)))
-
-        def behind(token: Column, at: Column) -> Column:
-            def region(hit: Column) -> Column:
-                closed = bind(
-                    F.position(token["closer"], line, hit + 1),
-                    lambda c: F.when(c > 0, c + 1).otherwise(end_of_line),
-                )
-                return (
-                    F.when(hit == 0, at).when(token["closer"] == "", hit + 1).otherwise(closed)
-                )
-
-            return bind(locate_any(token["needles"], line, at), region)
-
-        def step(state: Column, i: Column) -> Column:
-            def with_cursor(at: Column) -> Column:
-                shown = appended(state["text"], tokens[i]["token"])
-                end = F.when(
-                    i + 1 < count,
-                    bind(
-                        locate_any(F.get(tokens, i + 1)["needles"], line, at),
-                        lambda h: F.when(h > 0, h).otherwise(end_of_line),
-                    ),
-                )
-                return bind(
-                    end,
-                    lambda e: F.struct(
-                        F.coalesce(e, at).alias("at"),
-                        appended(
-                            shown, F.when(e.isNull(), F.lit("")).otherwise(between(at, e))
-                        ).alias("text"),
-                    ),
-                )
-
-            return bind(behind(tokens[i], state["at"]), with_cursor)
-
-        first = F.greatest(
-            F.when(count > 0, locate_any(tokens[0]["needles"], line, F.lit(1))).otherwise(
-                F.lit(1)
-            ),
-            F.lit(1),
-        )
-        start = bind(
-            first,
-            lambda f: F.struct(
-                f.alias("at"), appended(F.lit(""), between(F.lit(1), f)).alias("text")
-            ),
-        )
-        steps = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(
-            F.array().cast("array<int>")
-        )
-        return F.aggregate(
-            steps,
-            start,
-            step,
-            lambda s: appended(s["text"], F.substring(line, s["at"], end_of_line)),
-        )
-
-    return F.when(
-        (line != "") & (pattern != ""), bind(_instructions(pattern), run)
-    ).otherwise(F.lit(""))
+    other = ~follows(line, pattern)
+    walked = shallow_walk(F.when(other, line), F.when(other, pattern))
+    return F.when(follows(line, pattern), masked_text(line, pattern)).otherwise(walked)

@@ -24,8 +24,10 @@ _TEXT = f"{_W}(?:{_WS}*{_W})?"
 _DOTTED = (
     rf"(?<![^\"\]\}}\>]){_WS}*+\.{_WS}*+\.{_WS}*+\.{_WS}*+(?=[{_cls(OPENERS)}]|\z)"
 )
+# An opener without a closer takes the rest of the line with it, once; its lone symbol
+# then equals no pattern.
 _OUTLINE = f"{_WS}+|" + "|".join(
-    f"({_cls(o)})[^{_cls(c)}]*+({_cls(c)})" for o, c in REGIONS.items()
+    rf"({_cls(o)})[^{_cls(c)}]*+({_cls(c)}|\z)" for o, c in REGIONS.items()
 )
 _MASK = "|".join(f"{_cls(o)}X{_cls(c)}" for o, c in REGIONS.items())
 _AT_MASK = rf"(?= [{_cls(OPENERS)}]|\z)"

@@ -1,5 +1,7 @@
 """Signatures, fields and reconstruction against golden values and the plain model."""
 
+import time
+
 import model
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -18,8 +20,7 @@ from logsig.functions import (
     text_preview,
     token_kinds,
 )
-from logsig.functions.fields import field_walk
-from logsig.functions.shallow import shallow_walk
+from logsig.functions.walk import field_walk, fields, shallow, shallow_walk
 from logsig.functions.signature import mask_by_fold, symbol_skeleton
 from logsig.functions.text import WHITESPACE
 
@@ -209,3 +210,30 @@ def test_signature_hash_ignores_order(spark, pattern):
         signature_hash(F.array(F.lit("-"), F.lit(pattern))).alias("b"),
     ).first()
     assert row["a"] == row["b"]
+
+
+@pytest.mark.parametrize("unit, tail, pattern", [
+    ("a.", "[b", ". "), ("<a", "", "<X> "), ('"a. ', "[b", '"X" . '), ("x[y ", "", "[X] : "),
+])
+def test_long_lines_take_linear_time(unit, tail, pattern):
+    def took(n):
+        start = time.process_time()
+        fields(unit * n + tail, (pattern * n).strip())
+        shallow(unit * n + tail, (pattern * n).strip())
+        return time.process_time() - start
+
+    took(1000)
+    small, large = took(20_000), took(160_000)
+    assert large < 10 and large < 30 * max(small, 0.05)
+
+
+@pytest.mark.parametrize("line", ["a." * 300_000 + "[b", "<a" * 300_000, '{"k": [' * 100_000])
+def test_a_very_long_line(spark, line):
+    df = spark.createDataFrame([(line,)], "raw_log string")
+    signed = df.withColumn("pattern", pattern_signature(F.col("raw_log")))
+    start = time.time()
+    row = signed.select(
+        F.size(extract_fields(F.col("raw_log"), F.col("pattern"))).alias("n"),
+        F.length(shallow_reconstruct(F.col("raw_log"), F.col("pattern"))).alias("size"),
+    ).first()
+    assert row.n is not None and time.time() - start < 90
