@@ -121,11 +121,8 @@ def select_fields_unified(fields: Column, indices: Sequence[int]) -> Column:
     """Fields at the given positions, in that order; positions outside drop out."""
     if not indices:
         return F.array().cast("array<string>")
-    picked = F.transform(
-        F.array(*[F.lit(int(i)) for i in indices]),
-        lambda i: F.when(i >= 0, F.get(fields, i)),
-    )
-    return F.filter(picked, lambda f: f.isNotNull())
+    # Not a lambda over the fields: those may come from Arrow batches.
+    return F.array_compact(F.array(*[F.get(fields, F.lit(int(i))) for i in indices if i >= 0]))
 
 
 def select_fields_dual(
