@@ -573,16 +573,6 @@ def uniform(spark, folder):
     return labels.select("pattern", "weight", "cluster_id")
 
 
-@query("infer_lines")
-def inferred(spark, folder):
-    """A model trained on the documents, applied to the page lines."""
-    model = train(doc_lines(spark, folder), preset="ultra_sensitive").model
-    lines = page_lines(spark, folder).select("pos", "raw_log")
-    return assign_lines(lines, model).groupBy("match_kind", "stable_id").agg(
-        F.count(F.lit(1)).alias("lines")
-    )
-
-
 @query(
     "train_uniform",
     f"""WITH {sql.EVENT_LINES}, {sql.signed('event_lines')}, n AS (

@@ -168,3 +168,31 @@ def default_vector(pattern: str, size: int = 256) -> str:
           lambda n: CAST(len(list_filter(b, lambda x: x = n)) AS DOUBLE))],
         lambda c: list_transform(c, lambda x: x / greatest(sqrt(list_dot_product(c, c)), 1e-9)))[1]
       )[1])[1]"""
+
+
+def matched(fresh: str, centers: str, samples: str, limits) -> str:
+    """CTEs that end in ``matched(pattern, lines, stable_id, match_kind)``: nearest center, and
+    between the two distances the vote of the nearest samples.
+
+    ``fresh`` has ``(pattern, lines, vec)``, ``centers`` ``(stable_id, center)`` and ``samples``
+    ``(stable_id, idx, vec)``.
+    """
+    apart = """CASE WHEN list_dot_product(f.vec, f.vec) = 0 OR list_dot_product(r.vec, r.vec) = 0
+      THEN 1 ELSE 1 - list_cosine_similarity(f.vec, r.vec) END"""
+    return f"""near_center AS MATERIALIZED (SELECT f.pattern, lines, f.vec, stable_id AS candidate,
+      {apart} AS distance FROM {fresh} f CROSS JOIN (SELECT stable_id, center AS vec FROM {centers}) r
+    QUALIFY row_number() OVER (PARTITION BY f.pattern ORDER BY round({apart}, 9), stable_id) = 1),
+  band AS (SELECT * FROM near_center WHERE distance >= {limits.primary_distance}
+    AND distance < {limits.secondary_distance}),
+  asked AS (SELECT f.pattern, candidate, stable_id FROM band f CROSS JOIN {samples} r
+    QUALIFY row_number() OVER (
+      PARTITION BY f.pattern ORDER BY round({apart}, 9), stable_id, idx) <= {limits.knn_k}),
+  voted AS (SELECT pattern, CASE WHEN count(*) >= {limits.knn_k} THEN
+      count(*) FILTER (stable_id = candidate) / {limits.knn_k} ELSE 0 END AS vote
+    FROM asked GROUP BY pattern),
+  kinds AS (SELECT pattern, lines, candidate, CASE
+      WHEN distance < {limits.primary_distance} THEN 'direct'
+      WHEN distance < {limits.secondary_distance} AND vote >= {limits.knn_confidence} THEN 'knn'
+      ELSE 'outlier' END AS match_kind FROM near_center LEFT JOIN voted USING (pattern)),
+  matched AS (SELECT pattern, lines, match_kind, CAST(CASE WHEN match_kind = 'outlier' THEN -1
+    ELSE candidate END AS BIGINT) AS stable_id FROM kinds)"""

@@ -290,13 +290,33 @@ def _batched(spark, folder, model: Model, featurizer=None):
     return rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("lines"))
 
 
-@query("stream_assign")
+_BY_SOURCE = f"""WITH {sql.DOC_LINES}, {sql.signed('doc_lines')}, {sql.PAGE_LINES},
+  {sql.signed('page_lines', 'page_signed')},
+  known AS MATERIALIZED (SELECT pattern, {sql.default_vector('pattern')} AS vec
+    FROM (SELECT DISTINCT pattern FROM signed WHERE cluster <> 0)),
+  dims AS (SELECT cluster, i, sum(weight * x) / sum(weight) AS x FROM (
+      SELECT cluster, weight, unnest(vec) AS x, generate_subscripts(vec, 1) AS i FROM (
+        SELECT cluster, pattern, count(*) AS weight FROM signed WHERE cluster <> 0 GROUP BY ALL)
+      JOIN known USING (pattern)) GROUP BY cluster, i),
+  sources AS MATERIALIZED (SELECT cluster AS stable_id, list(x ORDER BY i) AS center
+    FROM dims GROUP BY cluster),
+  firsts AS MATERIALIZED (SELECT cluster AS stable_id, vec, row_number() OVER (
+      PARTITION BY cluster ORDER BY pos) - 1 AS idx
+    FROM signed JOIN known USING (pattern) WHERE cluster <> 0 QUALIFY idx < 10),
+  fresh AS MATERIALIZED (SELECT pattern, count(*) AS lines,
+    {sql.default_vector('pattern')} AS vec FROM page_signed GROUP BY pattern),
+  {sql.matched('fresh', 'sources', 'firsts', Thresholds())}
+  SELECT CAST(stable_id AS INTEGER) AS cluster, CAST(sum(lines) AS BIGINT) AS lines
+  FROM matched GROUP BY ALL"""
+
+
+@query("stream_assign", _BY_SOURCE)
 def streamed(spark, folder):
     """Lines per cluster after the stream has taken in all files."""
     return _streamed(spark, folder, _source_model(spark, folder))
 
 
-@query("batch_assign")
+@query("batch_assign", _BY_SOURCE)
 def batched(spark, folder):
     """The same files through batch inference."""
     return _batched(spark, folder, _source_model(spark, folder))

@@ -235,3 +235,30 @@ def token_inference(spark, folder):
 def narrow_token_inference(spark, folder):
     """The same line by line, without any shuffle of the lines."""
     return _inferred(spark, folder, False)
+
+
+_DRAWN = f"""{_model(_labels(density_parameters("ultra_sensitive"), sql.default_vector))},
+  waits AS (SELECT cluster_id, point_id, vec, weight, unnest(range(1, least(weight, 10) + 1)) AS j
+    FROM labels WHERE cluster_id <> -1),
+  arrivals AS (SELECT cluster_id, point_id, vec, sum(-ln(
+      (CAST('0x' || left(md5('17:' || point_id || ':' || j), 12) AS BIGINT) + 1) / 281474976710657.0)
+      / (weight - j + 1)) OVER (PARTITION BY point_id ORDER BY j) AS arrival FROM waits),
+  drawn AS MATERIALIZED (SELECT stable_id, vec, row_number() OVER (
+      PARTITION BY cluster_id ORDER BY arrival, point_id) - 1 AS idx
+    FROM arrivals JOIN numbered USING (cluster_id) QUALIFY idx < 10),
+  own_centers AS MATERIALIZED (SELECT stable_id, center FROM centers JOIN numbered USING (cluster_id)),
+  {sql.PAGE_LINES}, {_PAGE_SIGNED},
+  fresh AS MATERIALIZED (SELECT pattern, count(*) AS lines,
+    {sql.default_vector('pattern')} AS vec FROM page_signed GROUP BY pattern),
+  {sql.matched('fresh', 'own_centers', 'drawn', Thresholds())}
+  SELECT match_kind, stable_id, CAST(sum(lines) AS BIGINT) AS lines FROM matched GROUP BY ALL"""
+
+
+@query("infer_lines", _DRAWN)
+def default_inference(spark, folder):
+    """A model trained on the documents, applied to the page lines."""
+    model = train(doc_lines(spark, folder), preset="ultra_sensitive").model
+    lines = page_lines(spark, folder).select("pos", "raw_log")
+    return assign_lines(lines, model).groupBy("match_kind", "stable_id").agg(
+        F.count(F.lit(1)).alias("lines")
+    )
