@@ -374,9 +374,7 @@ def streamed_signatures(spark, folder):
         shared_folder(spark),
     )
     stream.awaitTermination()
-    registry = spark.read.parquet(f"{store}/registry")
-    latest = registry.agg(F.max("version").alias("version"))
-    return registry.join(F.broadcast(latest), "version").select(
+    return spark.read.parquet(f"{store}/registry").select(
         "stable_id", "signature_hash", "training_size", "inference_size"
     )
 

@@ -42,6 +42,14 @@ def cluster_distribution(
     return rows.groupBy(cluster).agg(*more, F.count(F.lit(1)).alias("size")).orderBy(cluster)
 
 
+def cluster_sizes(
+    rows: DataFrame, cluster: str = "cluster_id", weight: str | None = None
+) -> DataFrame:
+    """``(cluster, size)`` as rows, for any number of clusters."""
+    size = F.sum(weight) if weight else F.count(F.lit(1))
+    return rows.groupBy(cluster).agg(size.alias("size"))
+
+
 def cluster_stats(
     rows: DataFrame,
     cluster: str = "cluster_id",
@@ -49,12 +57,12 @@ def cluster_stats(
     aggression_level: str = "high",
     weight: str | None = None,
 ) -> DataFrame:
-    """One row of training statistics; sizes are a map keyed by label.
+    """One row of training statistics; sizes are a map keyed by label, as the statistics file
+    has them (``cluster_sizes`` gives them as rows).
 
     ``weight`` names a column of row multiplicities.
     """
-    size = F.sum(weight) if weight else F.count(F.lit(1))
-    sizes = rows.groupBy(cluster).agg(size.alias("size"))
+    sizes = cluster_sizes(rows, cluster, weight)
     outliers = F.coalesce(F.sum(F.when(F.col(cluster) == OUTLIER, F.col("size"))), F.lit(0))
     approach = "less aggressive" if aggression_level == "preprocessed" else "aggressive"
     return sizes.agg(

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,10 +35,39 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(folder)
 
 
+class _Scopes(threading.local):
+    """Folders given out inside the open ``temporary_tables`` scopes of a thread."""
+
+    def __init__(self):
+        self.open: list[list[str]] = []
+
+
+_scopes = _Scopes()
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[None]:
+    """Delete, at the end, all tables that were stored inside.
+
+    What was computed from them must be written elsewhere by then.
+    """
+    _scopes.open.append([])
+    try:
+        yield
+    finally:
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        for folder in _scopes.open.pop():
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder name on the storage all executors share."""
     ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    folder = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    if _scopes.open:
+        _scopes.open[-1].append(folder)
+    return folder
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -44,7 +75,8 @@ def materialize(df: DataFrame) -> DataFrame:
 
     Cuts the lineage like a checkpoint and survives lost executors; as a Parquet
     table it also has a known size, is read column by column, and is computed once
-    however often it is used.
+    however often it is used. It stays until the ``temporary_tables`` scope around it ends,
+    or the folder is cleaned.
     """
     spark = df.sparkSession
     path = shared_folder(spark)

@@ -16,14 +16,21 @@ from ..operators.clusters import cluster_signatures
 from ..operators.features import Featurizer
 from ..operators.registry import map_signatures
 from ..plans.infer import assign_lines
-from ..session import materialize
+from ..session import materialize, temporary_tables
 from ..sources.logs import _lines, clustered_rows
 from ..sources.model import Model
 
 
-def log_stream(spark: SparkSession, path: str, glob: str = "*.log") -> DataFrame:
-    """New log files as a stream of ``(value, _metadata)``."""
-    return spark.readStream.option("pathGlobFilter", glob).text(path).select("value", "_metadata")
+# Files of one micro-batch, so that a backlog is worked off in steps.
+FILES_PER_BATCH = 1000
+
+
+def log_stream(
+    spark: SparkSession, path: str, glob: str = "*.log", files: int = FILES_PER_BATCH
+) -> DataFrame:
+    """New log files as a stream of ``(value, _metadata)``, so many files at a time."""
+    reader = spark.readStream.option("pathGlobFilter", glob).option("maxFilesPerTrigger", files)
+    return reader.text(path).select("value", "_metadata")
 
 
 def stream_signatures(stream: DataFrame) -> DataFrame:
@@ -44,6 +51,7 @@ def stream_assign(
     checkpoint_dir: str,
     featurizer: Featurizer | None = None,
     glob: str = "*.log",
+    files: int = FILES_PER_BATCH,
 ) -> StreamingQuery:
     """Assign every new log file's lines and append them to the clustered table.
 
@@ -58,13 +66,15 @@ def stream_assign(
     )
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = clustered_rows(assign_lines(_lines(batch), frozen, featurizer))
-        rows.hint("rebalance", "cluster").write.mode("overwrite").partitionBy("cluster").parquet(
-            f"{out}/batch_id={batch_id}"
-        )
+        # What the batch stores on its way goes when its rows are written.
+        with temporary_tables(spark):
+            rows = clustered_rows(assign_lines(_lines(batch), frozen, featurizer))
+            rows.hint("rebalance", "cluster").write.mode("overwrite").partitionBy(
+                "cluster"
+            ).parquet(f"{out}/batch_id={batch_id}")
 
     return (
-        log_stream(spark, path, glob)
+        log_stream(spark, path, glob, files)
         .writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint_dir)
         .trigger(availableNow=True)
@@ -77,21 +87,23 @@ def stream_new_signatures(
 ) -> StreamingQuery:
     """Extend the registry with the unseen signatures of each micro-batch.
 
-    ``labelled`` streams ``(pos, raw_log, pattern, cluster_id)``. Batch ``n`` reads
-    the registry batch ``n - 1`` left in ``store`` and writes its own version and
-    the mapping it used.
+    ``labelled`` streams ``(pos, raw_log, pattern, cluster_id)``. A batch writes the rows it
+    adds, as its own version under ``store/registry``, and the mapping it used; version -1 is
+    the registry given. All versions together are the registry.
     """
     spark = registry.sparkSession
-    start = materialize(registry)
+    path = f"{store}/registry"
+    registry.write.mode("overwrite").parquet(f"{path}/version=-1")
 
     def extend(batch: DataFrame, batch_id: int) -> None:
-        known = (
-            spark.read.parquet(f"{store}/registry/version={batch_id - 1}") if batch_id else start
-        )
-        mapping, extended = map_signatures(cluster_signatures(batch.persist()), known)
-        extended.write.mode("overwrite").parquet(f"{store}/registry/version={batch_id}")
-        mapping.write.mode("overwrite").parquet(f"{store}/mapping/batch_id={batch_id}")
-        batch.unpersist()
+        with temporary_tables(spark):
+            known = spark.read.parquet(path).filter(F.col("version") < batch_id).drop("version")
+            mapping, extended = map_signatures(cluster_signatures(materialize(batch)), known)
+            # New ids are above all known ones, so they tell the added rows.
+            last = known.agg(F.coalesce(F.max("stable_id"), F.lit(-1))).first()[0]
+            added = extended.filter(F.col("stable_id") > last)
+            added.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+            mapping.write.mode("overwrite").parquet(f"{store}/mapping/batch_id={batch_id}")
 
     return (
         labelled.writeStream.foreachBatch(extend)

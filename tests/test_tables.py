@@ -1,6 +1,7 @@
 """Sources, sinks, paging, registry and run logs on small tables."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -23,9 +24,14 @@ from logsig.operators.runlog import (
     tool_call_counts,
     tool_usage,
 )
+from logsig.operators.query import log_query
+from logsig.session import materialize, shared_folder, temporary_tables
 from logsig.sources import (
+    annotate,
+    append_clustered,
     append_clustered_csv,
     clustered_rows,
+    read_clustered,
     read_clustered_csv,
     read_log_directory,
     read_log_file,
@@ -296,3 +302,47 @@ def test_insight_streak_over_chunks(spark, chunk):
             want.append((c, i, clusters, insights, streak, clusters >= 5 and insights > 0 and streak >= 3))
     keep = ["conv_id", "turn", "clusters_analyzed", "insights_discovered", "consecutive_no_insights", "saturated"]
     assert [tuple(r[k] for k in keep) for r in got] == want
+
+
+def test_pages_over_files_and_appends_follow_their_order(spark, tmp_path):
+    for name in "ab":
+        (tmp_path / f"{name}.log").write_text("".join(f"{name}{i} x: 1\n" for i in range(6)))
+    lines = annotate(read_log_directory(spark, str(tmp_path))).withColumn("cluster", F.lit(3))
+    table = shared_folder(spark)
+    for _ in range(2):
+        append_clustered(lines, table)
+    want = [f"{n}{i} x: 1" for n in "ab" for i in range(6)] * 2
+    got = []
+    for offset in range(0, 24, 3):
+        page, _ = log_query(read_clustered(spark, table), 3, ":", limit=3, offset=offset)
+        got += [r.text for r in page.orderBy("pos").collect()]
+    assert got == want
+    csv = shared_folder(spark)
+    append_clustered_csv(lines, csv)
+    append_clustered_csv(lines, csv)
+    assert [r.raw_log for r in read_clustered_csv(spark, csv).orderBy("pos").collect()] == want
+
+
+def test_csv_columns_are_found_by_name(spark, tmp_path):
+    (tmp_path / "t.csv").write_text('pattern,more,raw_log,cluster\n"[X]",z,"[a] b",4\n"",z,c,x\n')
+    row = read_clustered_csv(spark, str(tmp_path)).collect()
+    assert [(r.cluster, r.raw_log, r.pattern) for r in row] == [(4, "[a] b", "[X]")]
+
+
+def test_runs_of_one_file_are_told_apart(spark, tmp_path):
+    run = """{"start_time":"%s","iterations":[{"iteration":1,"tool_usage":[
+      {"type":"tool_call","tool_name":"t","tool_id":"c"},
+      {"type":"tool_result","tool_call_id":"c","content":"%s"}]}]}""".replace("\n", " ")
+    (tmp_path / "runs.json").write_text(run % ("a", "A") + "\n" + run % ("b", "B") + "\n")
+    runs = read_run_logs(spark, str(tmp_path), multiline=False)
+    assert runs.select("run_id").distinct().count() == 2
+    results = call_results(tool_usage(runs)).collect()
+    assert sorted(r.content for r in results) == ["A", "B"]
+
+
+def test_temporary_tables_go(spark):
+    with temporary_tables(spark):
+        table = materialize(spark.range(3))
+        path = table.inputFiles()[0].removeprefix("file:").replace("//", "/")
+        assert os.path.exists(path)
+    assert not os.path.exists(path)
