@@ -141,7 +141,38 @@ def contaminated(documents: DataFrame, spark: SparkSession, folder: str) -> Data
     )
 
 
-@query("op6_decontamination")
+DECONTAMINATION_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark),
+asked AS (
+  SELECT DISTINCT item_id, size, array_to_string(words[s:s + size - 1], ' ') AS phrase
+  FROM (SELECT item_id, words, least(13, len(words)) AS size,
+               unnest(range(1, len(words) - least(13, len(words)) + 2)) AS s
+        FROM b WHERE len(words) > 0)),
+sizes AS (SELECT DISTINCT size FROM asked),
+held AS (
+  SELECT doc_id, size, s, array_to_string(words[s:s + size - 1], ' ') AS phrase
+  FROM (SELECT doc_id, words, size, unnest(range(1, len(words) - size + 2)) AS s
+        FROM d CROSS JOIN sizes)),
+hits AS MATERIALIZED (SELECT doc_id, s, size, item_id FROM held JOIN asked USING (size, phrase)),
+places AS (SELECT doc_id, count(DISTINCT p) AS n_hit
+  FROM (SELECT doc_id, unnest(range(s, s + size)) AS p FROM hits) GROUP BY doc_id),
+names AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(name, ',' ORDER BY name)) AS digest
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS name FROM hits) GROUP BY doc_id)
+SELECT doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit,
+  coalesce(n_items, 0) AS n_items, coalesce(digest, sha256('')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
+FROM d LEFT JOIN places USING (doc_id) LEFT JOIN names USING (doc_id)
+"""
+
+
+@query("op6_decontamination", DECONTAMINATION_SQL)
 def decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return contaminated(read(spark, folder, "documents"), spark, folder).select(
         "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"
@@ -155,7 +186,28 @@ def byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip(documents, "text", path, pattern).drop("text")
 
 
-@query("op7_substring_dedup")
+SUBSTRING_SQL = r"""
+WITH d AS MATERIALIZED (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'),
+    lambda w: w <> '') AS words FROM documents),
+windows AS MATERIALIZED (
+  SELECT doc_id, s, md5(array_to_string(words[s:s + 49], ' ')) AS h
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS s FROM d)),
+firsts AS (SELECT h, min(doc_id) AS first_doc FROM windows GROUP BY h),
+gone AS MATERIALIZED (
+  SELECT DISTINCT doc_id, unnest(range(s, s + 50)) AS place
+  FROM windows JOIN firsts USING (h) WHERE first_doc < doc_id),
+left_over AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY place) AS kept, count(*) AS n
+  FROM (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS place FROM d)
+  ANTI JOIN gone USING (doc_id, place) GROUP BY doc_id)
+SELECT doc_id, len(words) AS n_words, len(words) - coalesce(n, 0) AS n_removed,
+  sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN left_over USING (doc_id)
+"""
+
+
+@query("op7_substring_dedup", SUBSTRING_SQL)
 def substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substrings.deduplicated(read(spark, folder, "documents"), "doc_id")
 
