@@ -12,7 +12,15 @@ from .logs import (
     save_patterns,
     signature_batch,
 )
-from .model import Model, Thresholds, load_model, read_registry_json, save_model, save_stats
+from .model import (
+    Model,
+    Thresholds,
+    load_model,
+    read_registry_json,
+    save_model,
+    save_stats,
+    stored_model,
+)
 
 __all__ = [
     "Model",
@@ -31,4 +39,5 @@ __all__ = [
     "save_patterns",
     "save_stats",
     "signature_batch",
+    "stored_model",
 ]

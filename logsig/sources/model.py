@@ -24,6 +24,8 @@ class Model:
     centroids: DataFrame
     samples: DataFrame
     thresholds: Thresholds = Thresholds()
+    # The id a stored registry names for its next new cluster; else one above the last.
+    next_id: int | None = None
 
 
 REGISTRY_SCHEMA = (
@@ -40,6 +42,10 @@ _LIMITS = (
     "struct<primary_distance_threshold:double,secondary_distance_threshold:double,"
     "knn_k:int,knn_confidence_threshold:double>"
 )
+_SETTINGS = (
+    "primary_distance double, secondary_distance double, knn_k int, knn_confidence double, "
+    "next_id bigint"
+)
 _DOCUMENT = (
     "struct<signature_to_stable_id:map<string,bigint>,"
     f"stable_id_to_info:map<string,{_INFO}>,next_stable_id:bigint,"
@@ -65,6 +71,26 @@ def read_registry_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataF
     return registry, stats, settings
 
 
+def stored_model(
+    spark: SparkSession, path: str, centroids: DataFrame, samples: DataFrame
+) -> Model:
+    """A model that goes on from a registry document: its clusters, thresholds and next id.
+
+    The document holds no vectors, so centroids and samples come as tables. Thresholds it
+    lacks keep their defaults.
+    """
+    registry, _, settings = read_registry_json(spark, path)
+    row = settings.first()
+    given = {
+        "primary_distance": row["primary_distance_threshold"],
+        "secondary_distance": row["secondary_distance_threshold"],
+        "knn_k": row["knn_k"],
+        "knn_confidence": row["knn_confidence_threshold"],
+    }
+    known = {name: value for name, value in given.items() if value is not None}
+    return Model(registry, centroids, samples, Thresholds(**known), row["next_stable_id"])
+
+
 def save_model(model: Model, path: str) -> None:
     """Write the model to a new folder, the thresholds last.
 
@@ -74,17 +100,15 @@ def save_model(model: Model, path: str) -> None:
     for name in ("registry", "centroids", "samples"):
         getattr(model, name).write.mode("errorifexists").parquet(f"{path}/{name}")
     spark = model.registry.sparkSession
-    spark.createDataFrame([asdict(model.thresholds)]).write.mode("errorifexists").json(
-        f"{path}/thresholds"
-    )
+    row = (*asdict(model.thresholds).values(), model.next_id)
+    spark.createDataFrame([row], _SETTINGS).write.mode("errorifexists").json(f"{path}/thresholds")
 
 
 def load_model(spark: SparkSession, path: str) -> Model:
-    limits = spark.read.schema(
-        "primary_distance double, secondary_distance double, knn_k int, knn_confidence double"
-    ).json(f"{path}/thresholds")
+    settings = spark.read.schema(_SETTINGS).json(f"{path}/thresholds").first().asDict()
+    next_id = settings.pop("next_id")
     tables = [spark.read.parquet(f"{path}/{n}") for n in ("registry", "centroids", "samples")]
-    return Model(*tables, Thresholds(**limits.first().asDict()))
+    return Model(*tables, Thresholds(**settings), next_id)
 
 
 def save_stats(stats: DataFrame, path: str) -> None:

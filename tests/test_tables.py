@@ -36,6 +36,7 @@ from logsig.sources import (
     read_log_directory,
     read_log_file,
     read_registry_json,
+    stored_model,
 )
 
 
@@ -346,3 +347,26 @@ def test_temporary_tables_go(spark):
         path = table.inputFiles()[0].removeprefix("file:").replace("//", "/")
         assert os.path.exists(path)
     assert not os.path.exists(path)
+
+
+def test_a_stored_registry_goes_on_from_its_next_id(spark, tmp_path):
+    # Keys of the registry document.
+    info = {"signature_hash": "h0", "patterns": ["."], "training_size": 2, "sample_logs": ["a."]}
+    limits = {"primary_distance_threshold": 0.1, "knn_k": 3}
+    document = {
+        "stable_id_to_info": {"0": info},
+        "next_stable_id": 7,
+        "distance_thresholds": limits,
+    }
+    (tmp_path / "registry.json").write_text(json.dumps(document))
+    empty = spark.createDataFrame([], "stable_id bigint, vec array<double>")
+    model = stored_model(spark, str(tmp_path / "registry.json"), empty, empty)
+    assert model.thresholds.primary_distance == 0.1 and model.thresholds.knn_k == 3
+    assert model.thresholds.secondary_distance == 0.4
+    fresh = spark.createDataFrame(
+        [(4, "h0", ["."], 3, ["b."], 1), (5, "h1", [":"], 1, ["c:"], 2)],
+        "cluster_id int, signature_hash string, patterns array<string>, size bigint, "
+        "sample_logs array<string>, first_pos bigint",
+    )
+    mapping, _ = map_signatures(fresh, model.registry, next_id=model.next_id)
+    assert {r.cluster_id: r.stable_id for r in mapping.collect()} == {4: 0, 5: 7}
