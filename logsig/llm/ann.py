@@ -24,8 +24,10 @@ BLOCK_QUERIES = 1024
 LEAF = 64
 #: Distances that are held at once.
 TILE = 1 << 21
-#: Relative error of a distance in double precision, with room.
+#: Relative error of a distance in double precision, and of the matrix product's bound on
+#: a squared one, with room.
 SLACK = 1e-12
+BOUND_SLACK = 1e-10
 
 
 def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -38,6 +40,7 @@ class Tree:
 
     def __init__(self, vectors: np.ndarray, ids: np.ndarray, leaf: int = LEAF):
         self.vectors, self.ids, self.leaf = vectors, ids, leaf
+        self.norms = (vectors * vectors).sum(axis=1)
         self.order = np.arange(len(vectors))
         self.nodes: dict[tuple[int, int], tuple] = {}
         stack = [(0, len(vectors))]
@@ -66,24 +69,40 @@ class Tree:
     ) -> tuple[np.ndarray, np.ndarray]:
         """Squared distances and ids of the ``k`` nearest of each query, padded with infinity."""
         self.queries, self.own, self.factor = queries, own, factor
+        self.query_norms = (queries * queries).sum(axis=1)
         self.best = np.full((len(queries), k), np.inf)
         self.found = np.full((len(queries), k), np.iinfo(np.int64).max)
         if len(self.vectors) and len(queries):
             self._visit((0, len(self.vectors)), np.arange(len(queries)))
         return self.best, self.found
 
-    def _offer(self, rows: np.ndarray, who: np.ndarray) -> np.ndarray:
-        """Hold vectors against queries; their squared distances."""
+    def _offer(self, rows: np.ndarray, who: np.ndarray) -> None:
+        """Hold a leaf's vectors against queries.
+
+        A matrix product bounds the squared distances from below; only those that could be
+        among the nearest are worked out, in the order of the components.
+        """
+        product = self.queries[who] @ self.vectors[rows].T
+        sizes = self.query_norms[who][:, None] + self.norms[rows][None, :]
+        # Written so that what overflows is worked out.
+        near = ~(sizes * (1 - BOUND_SLACK) - 2 * product > self.best[who, -1][:, None])
+        near &= self.own[who][:, None] != self.ids[rows][None, :]
+        q, v = np.nonzero(near)
+        if not len(q):
+            return
+        kept, at = np.unique(q, return_inverse=True)
+        d = np.full((len(kept), len(rows)), np.inf)
+        d[at, v] = squared(self.queries[who[q]], self.vectors[rows[v]])
+        self._merge(who[kept], d, np.broadcast_to(self.ids[rows], d.shape))
+
+    def _merge(self, who: np.ndarray, d: np.ndarray, ids: np.ndarray) -> None:
         k = self.best.shape[1]
-        apart = squared(self.queries[who][:, None, :], self.vectors[rows][None, :, :])
-        ids = np.broadcast_to(self.ids[rows], apart.shape)
-        d = np.concatenate([self.best[who], np.where(ids == self.own[who][:, None], np.inf, apart)], 1)
+        d = np.concatenate([self.best[who], d], 1)
         i = np.concatenate([self.found[who], ids], 1)
         i = np.where(np.isinf(d), np.iinfo(np.int64).max, i)
         top = np.lexsort((i, d), axis=-1)[:, :k]
         self.best[who] = np.take_along_axis(d, top, 1)
         self.found[who] = np.take_along_axis(i, top, 1)
-        return apart
 
     def _visit(self, node: tuple[int, int], who: np.ndarray) -> None:
         a, b = node
@@ -94,7 +113,14 @@ class Tree:
             for at in range(0, len(who), step):
                 self._offer(self.order[a:b], who[at : at + step])
             return
-        apart = np.sqrt(self._offer(self.order[a : a + 1], who)[:, 0])
+        vantage = self.order[a]
+        apart = squared(self.queries[who], self.vectors[vantage])
+        other = self.own[who] != self.ids[vantage]
+        better = other & (apart <= self.best[who, -1])
+        self._merge(
+            who[better], apart[better, None], np.full((int(better.sum()), 1), self.ids[vantage])
+        )
+        apart = np.sqrt(apart)
         (near, low, high), (away, low2, high2) = self.nodes[node]
         inside = apart <= (high + low2) / 2
         for group, first in ((inside, True), (~inside, False)):
