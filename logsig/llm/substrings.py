@@ -36,12 +36,13 @@ from ..session import broadcast_if_bounded, materialize
 WINDOW = 50
 BLOCK = 25
 #: Bytes of text per hash range, and the least number of ranges.
-RANGE_BYTES = 14 << 20
+RANGE_BYTES = 8 << 20
 LEAST_RANGES = 16
 #: Characters that are hashed at once, probes that are packed at once.
-CHUNK = 1 << 20
-PACKED = 1 << 21
+CHUNK = 1 << 18
+PACKED = 1 << 20
 PACKED_DOCUMENTS = 60_000
+SLICE_ROWS = 500
 
 # The white space between words.
 _SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
@@ -136,13 +137,13 @@ class Packer:
         self.clear()
 
     def clear(self) -> None:
-        self.docs: list[tuple[int, int]] = []
+        self.docs: list[tuple[int, ...]] = []
         self.parts: list[list[np.ndarray]] = []
         self.held = 0
 
-    def add(self, docs: list[tuple[int, int]], hashes, numbers, *columns) -> Iterator[pa.RecordBatch]:
-        """Probes of documents ``(id, digest)``, numbered from zero."""
-        self.parts.append([hashes, numbers.astype(np.int64) + len(self.docs), *columns])
+    def add(self, docs: list[tuple[int, ...]], hashes, numbers, *columns) -> Iterator[pa.RecordBatch]:
+        """Probes of documents, numbered from zero; documents are ids or ids and digests."""
+        self.parts.append([hashes, numbers.astype(np.int32) + np.int32(len(self.docs)), *columns])
         self.docs += docs
         self.held += len(hashes)
         if self.held >= PACKED or len(self.docs) >= PACKED_DOCUMENTS:
@@ -151,6 +152,7 @@ class Packer:
     def flush(self) -> Iterator[pa.RecordBatch]:
         if self.held:
             hashes, numbers, *columns = (np.concatenate(c) for c in zip(*self.parts))
+            self.parts.clear()
             order = np.argsort(hashes, kind="stable")
             hashes, numbers = hashes[order], numbers[order]
             bucket = ((hashes >> np.uint64(32)) * np.uint64(self.ranges)) >> np.uint64(32)
@@ -165,7 +167,7 @@ class Packer:
                     again = np.argsort(body[0], kind="stable")
                     body = [x[again] for x in body]
                 rows["bucket"].append(int(bucket[a]))
-                rows["docs"].append(pack([docs[own, 0], docs[own, 1]]))
+                rows["docs"].append(pack(list(docs[own].T.copy())))
                 rows["probes"].append(pack(body))
             yield pa.RecordBatch.from_pydict(
                 rows,
@@ -179,28 +181,29 @@ _PROBE = ["<u4", "<u2", "|u1"]
 _WINDOW = ["<u8", "<u2", "<u4", "<i4"]
 
 
-def _opened(table: pa.Table, kinds: list[str]) -> list[np.ndarray]:
-    """Columns of a range's probes, with ids and digests in place of numbers."""
+def _opened(table: pa.Table, kinds: list[str], names: int) -> list[np.ndarray]:
+    """Columns of a range's probes, with documents' ``names`` numbers in place of their place."""
     parts = []
-    for docs, probes in zip(table.column("docs").to_pylist(), table.column("probes").to_pylist()):
-        ids, digests = unpack(docs, ["<i8", "<i8"])
-        hashes, number, *rest = unpack(probes, kinds)
-        parts.append([hashes, ids[number], digests[number], *rest])
+    for docs, probes in zip(table.column("docs"), table.column("probes")):
+        known = unpack(docs.as_py(), ["<i8"] * names)
+        hashes, number, *rest = unpack(probes.as_py(), kinds)
+        parts.append([hashes, *(k[number] for k in known), *rest])
     return [np.concatenate(c) for c in zip(*parts)]
 
 
-def batches_of(batch: pa.RecordBatch, chars: int = CHUNK) -> Iterator[tuple[list[int], list[bytes]]]:
-    """Rows and UTF-8 texts of an Arrow batch ``(_, text, ...)``, some at a time."""
-    rows, texts, size = [], [], 0
-    for row, text in enumerate(batch.column("text").cast(pa.binary()).to_pylist()):
-        rows.append(row)
-        texts.append(text or b"")
-        size += len(texts[-1])
-        if size >= chars:
-            yield rows, texts
-            rows, texts, size = [], [], 0
-    if rows:
-        yield rows, texts
+def batches_of(
+    batches: Iterator[pa.RecordBatch], chars: int | None = None
+) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Rows with their UTF-8 texts, about ``chars`` characters at a time."""
+    limit = chars or CHUNK
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            part = batch.slice(at, SLICE_ROWS)
+            texts = [t or b"" for t in part.column("text").cast(pa.binary()).to_pylist()]
+            ends = np.cumsum([len(t) for t in texts]) // limit
+            cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), len(texts)]
+            for a, b in zip(cuts, cuts[1:]):
+                yield part.slice(a, b - a), texts[a:b]
 
 
 def _probes(ranges: int, block: int):
@@ -208,15 +211,13 @@ def _probes(ranges: int, block: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(ranges, _PROBE)
-        for batch in batches:
-            ids, digests = batch.column("doc").to_pylist(), batch.column("digest").to_pylist()
-            for rows, texts in batches_of(batch):
-                found = words(texts)
-                starts, hashes = found.windows(block)
-                number = np.searchsorted(found.first, starts, side="right") - 1
-                whole = (starts - found.first[number]) % block == 0
-                docs = [(ids[r], digests[r]) for r in rows]
-                yield from packer.add(docs, hashes, number, whole)
+        for part, texts in batches_of(batches):
+            found = words(texts)
+            starts, hashes = found.windows(block)
+            number = np.searchsorted(found.first, starts, side="right") - 1
+            whole = (starts - found.first[number]) % block == 0
+            docs = [(i,) for i in part.column("doc").to_pylist()]
+            yield from packer.add(docs, hashes, number, whole)
         yield from packer.flush()
 
     return run
@@ -224,17 +225,22 @@ def _probes(ranges: int, block: int):
 
 def _hits(table: pa.Table) -> pa.Table:
     """Documents and hashes of a range where a block of one is a window of another."""
-    hashes, ids, digests, whole = _opened(table, _PROBE)
+    hashes, ids, whole = _opened(table, _PROBE, 1)
     order = np.argsort(hashes, kind="stable")
-    hashes, ids, digests, whole = (c[order] for c in (hashes, ids, digests, whole))
+    hashes, ids, whole = (c[order] for c in (hashes, ids, whole))
     new = np.flatnonzero(np.diff(hashes.astype(np.int64), prepend=-1))
     hit = np.maximum.reduceat(whole, new) > 0
     hit &= np.minimum.reduceat(ids, new) != np.maximum.reduceat(ids, new)
     every = np.repeat(hit, np.diff(np.append(new, len(hashes))))
     bucket = table.column("bucket")[0].as_py()
     key = hashes[every].astype(np.int64) + (bucket << 32)
-    seen = np.unique(np.stack([ids[every], digests[every], key]), axis=1)
-    return pa.table({"doc": seen[0], "digest": seen[1], "hash": seen[2]})
+    # Equal hashes are side by side, so sorting by document within them shows the repeats.
+    ids = ids[every]
+    order = np.lexsort((ids, key))
+    ids, key = ids[order], key[order]
+    fresh = np.ones(len(ids), bool)
+    fresh[1:] = (ids[1:] != ids[:-1]) | (key[1:] != key[:-1])
+    return pa.table({"doc": ids[fresh], "hash": key[fresh]})
 
 
 def _windows(ranges: int, hit_ranges: int, block: int, window: int):
@@ -242,35 +248,32 @@ def _windows(ranges: int, hit_ranges: int, block: int, window: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(ranges, _WINDOW)
-        for batch in batches:
-            ids, digests = batch.column("doc").to_pylist(), batch.column("digest").to_pylist()
-            hits = batch.column("hits")
-            for rows, texts in batches_of(batch):
-                found = words(texts)
-                sizes = np.diff(found.first)
-                starts, hashes = found.windows(block)
-                number = np.searchsorted(found.first, starts, side="right") - 1
-                own = (starts - found.first[number]) % block == 0
-                starts, hashes, number = starts[own], hashes[own], number[own]
-                bucket = ((hashes >> np.uint64(32)) * np.uint64(hit_ranges)) >> np.uint64(32)
-                key = (bucket.astype(np.int64) << 32) + (hashes & np.uint64(0xFFFFFFFF)).astype(np.int64)
-                # How many blocks up to each place were not hit, per text.
-                missed = np.zeros(len(found.hashes) + 1, np.int64)
-                for n, row in enumerate(rows):
-                    a, b = np.searchsorted(number, [n, n + 1])
-                    known = hits[row].values.to_numpy(zero_copy_only=False)
-                    missed[starts[a:b][~np.isin(key[a:b], known)]] = 1
-                before = np.concatenate([[0], np.cumsum(missed)])
-                at, full = found.windows(window)
-                of = np.searchsorted(found.first, at, side="right") - 1
-                place = at - found.first[of]
-                low = found.first[of] + -(-place // block) * block
-                high = found.first[of] + (place + window) // block * block - block
-                fits = before[np.minimum(high, len(missed) - 1) + 1] - before[low] == 0
-                at, full, of, place = at[fits], full[fits], of[fits], place[fits]
-                other = _sequence(found.hashes, at, at + window, _OTHER) >> np.uint64(32)
-                docs = [(ids[r], digests[r]) for r in rows]
-                yield from packer.add(docs, full, of, other, place)
+        for part, texts in batches_of(batches):
+            hits = part.column("hits")
+            found = words(texts)
+            starts, hashes = found.windows(block)
+            number = np.searchsorted(found.first, starts, side="right") - 1
+            own = (starts - found.first[number]) % block == 0
+            starts, hashes, number = starts[own], hashes[own], number[own]
+            bucket = ((hashes >> np.uint64(32)) * np.uint64(hit_ranges)) >> np.uint64(32)
+            key = (bucket.astype(np.int64) << 32) + (hashes & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            # How many blocks up to each place were not hit.
+            missed = np.zeros(len(found.hashes) + 1, np.int64)
+            for n in range(len(texts)):
+                a, b = np.searchsorted(number, [n, n + 1])
+                known = hits[n].values.to_numpy(zero_copy_only=False)
+                missed[starts[a:b][~np.isin(key[a:b], known)]] = 1
+            before = np.concatenate([[0], np.cumsum(missed)])
+            at, full = found.windows(window)
+            of = np.searchsorted(found.first, at, side="right") - 1
+            place = at - found.first[of]
+            low = found.first[of] + -(-place // block) * block
+            high = found.first[of] + (place + window) // block * block - block
+            fits = before[np.minimum(high, len(missed) - 1) + 1] - before[low] == 0
+            at, full, of, place = at[fits], full[fits], of[fits], place[fits]
+            other = _sequence(found.hashes, at, at + window, _OTHER) >> np.uint64(32)
+            docs = list(zip(part.column("doc").to_pylist(), part.column("digest").to_pylist()))
+            yield from packer.add(docs, full, of, other, place)
         yield from packer.flush()
 
     return run
@@ -278,7 +281,7 @@ def _windows(ranges: int, hit_ranges: int, block: int, window: int):
 
 def _later(table: pa.Table) -> pa.Table:
     """Starts of a range's windows whose sequence also starts in a document with a smaller id."""
-    full, ids, digests, other, place = _opened(table, _WINDOW)
+    full, ids, digests, other, place = _opened(table, _WINDOW, 2)
     order = np.lexsort((other, full))
     full, ids, digests, other, place = (c[order] for c in (full, ids, digests, other, place))
     new = (np.diff(full, prepend=full[0] + np.uint64(1)) != 0) | (np.diff(other.astype(np.int64), prepend=-1) != 0)
@@ -344,14 +347,15 @@ def removed_repeats(
         F.col(text).alias("text"),
     ).filter(F.col("doc").isNotNull() & F.col("text").isNotNull())
     hits = materialize(
-        texts.mapInArrow(_probes(ranges, block), PACKS)
+        texts.select("doc", "text")
+        .mapInArrow(_probes(ranges, block), PACKS)
         .groupBy("bucket")
-        .applyInArrow(_hits, "doc bigint, digest bigint, hash bigint")
-        .groupBy("doc", "digest")
+        .applyInArrow(_hits, "doc bigint, hash bigint")
+        .groupBy("doc")
         .agg(F.collect_set("hash").alias("hits"))
     )
     few = broadcast_if_bounded(hits, stored=True)
-    touched = materialize(texts.join(few, ["doc", "digest"]))
+    touched = materialize(texts.join(few, "doc"))
     starts = materialize(
         touched.mapInArrow(_windows(ranges, ranges, block, window), PACKS)
         .groupBy("bucket")
