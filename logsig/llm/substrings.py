@@ -129,6 +129,11 @@ def unpack(data: bytes, kinds: list[str]) -> list[np.ndarray]:
     return [np.cumsum(columns[0], dtype=kinds[0]), *columns[1:]]
 
 
+def ranged(hashes: np.ndarray, ranges: int) -> np.ndarray:
+    """Hash range of each hash."""
+    return ((hashes >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+
+
 class Packer:
     """Gathers probes and gives them out by hash range."""
 
@@ -141,9 +146,14 @@ class Packer:
         self.parts: list[list[np.ndarray]] = []
         self.held = 0
 
-    def add(self, docs: list[tuple[int, ...]], hashes, numbers, *columns) -> Iterator[pa.RecordBatch]:
-        """Probes of documents, numbered from zero; documents are ids or ids and digests."""
-        self.parts.append([hashes, numbers.astype(np.int32) + np.int32(len(self.docs)), *columns])
+    def add(
+        self, docs: list[tuple[int, ...]], route, hashes, numbers, *columns
+    ) -> Iterator[pa.RecordBatch]:
+        """Probes of documents, numbered from zero; documents are ids or ids and digests.
+
+        ``route`` are the hashes that choose the range."""
+        numbers = numbers.astype(np.int32) + np.int32(len(self.docs))
+        self.parts.append([route, hashes, numbers, *columns])
         self.docs += docs
         self.held += len(hashes)
         if self.held >= PACKED or len(self.docs) >= PACKED_DOCUMENTS:
@@ -151,11 +161,11 @@ class Packer:
 
     def flush(self) -> Iterator[pa.RecordBatch]:
         if self.held:
-            hashes, numbers, *columns = (np.concatenate(c) for c in zip(*self.parts))
+            route, hashes, numbers, *columns = (np.concatenate(c) for c in zip(*self.parts))
             self.parts.clear()
-            order = np.argsort(hashes, kind="stable")
-            hashes, numbers = hashes[order], numbers[order]
-            bucket = ((hashes >> np.uint64(32)) * np.uint64(self.ranges)) >> np.uint64(32)
+            bucket = ranged(route, self.ranges)
+            order = np.lexsort((hashes, bucket))
+            bucket, hashes, numbers = bucket[order], hashes[order], numbers[order]
             cuts = np.flatnonzero(np.diff(bucket.astype(np.int64), prepend=-1, append=-2))
             docs = np.array(self.docs, np.int64)
             rows: dict[str, list] = {"bucket": [], "docs": [], "probes": []}
@@ -217,7 +227,7 @@ def _probes(ranges: int, block: int):
             number = np.searchsorted(found.first, starts, side="right") - 1
             whole = (starts - found.first[number]) % block == 0
             docs = [(i,) for i in part.column("doc").to_pylist()]
-            yield from packer.add(docs, hashes, number, whole)
+            yield from packer.add(docs, hashes, hashes, number, whole)
         yield from packer.flush()
 
     return run
@@ -254,8 +264,9 @@ def _windows(ranges: int, hit_ranges: int, block: int, window: int):
             starts, hashes = found.windows(block)
             number = np.searchsorted(found.first, starts, side="right") - 1
             own = (starts - found.first[number]) % block == 0
+            every, rolling = starts, hashes
             starts, hashes, number = starts[own], hashes[own], number[own]
-            bucket = ((hashes >> np.uint64(32)) * np.uint64(hit_ranges)) >> np.uint64(32)
+            bucket = ranged(hashes, hit_ranges)
             key = (bucket.astype(np.int64) << 32) + (hashes & np.uint64(0xFFFFFFFF)).astype(np.int64)
             # How many blocks up to each place were not hit.
             missed = np.zeros(len(found.hashes) + 1, np.int64)
@@ -272,15 +283,23 @@ def _windows(ranges: int, hit_ranges: int, block: int, window: int):
             fits = before[np.minimum(high, len(missed) - 1) + 1] - before[low] == 0
             at, full, of, place = at[fits], full[fits], of[fits], place[fits]
             other = _sequence(found.hashes, at, at + window, _OTHER) >> np.uint64(32)
+            # Neighbouring windows mostly share the least hash of the blocks they could hold,
+            # so a repeat goes to few ranges, in runs.
+            if len(at):
+                inside = np.lib.stride_tricks.sliding_window_view(rolling, window - block + 1)
+                route = _mix(inside[np.searchsorted(every, at)].min(axis=1))
+            else:
+                route = full
             docs = list(zip(part.column("doc").to_pylist(), part.column("digest").to_pylist()))
-            yield from packer.add(docs, full, of, other, place)
+            yield from packer.add(docs, route, full, of, other, place)
         yield from packer.flush()
 
     return run
 
 
 def _later(table: pa.Table) -> pa.Table:
-    """Starts of a range's windows whose sequence also starts in a document with a smaller id."""
+    """Runs of a range's windows whose sequence also starts in a document with a smaller id, as
+    their first and last start."""
     full, ids, digests, other, place = _opened(table, _WINDOW, 2)
     order = np.lexsort((other, full))
     full, ids, digests, other, place = (c[order] for c in (full, ids, digests, other, place))
@@ -291,15 +310,16 @@ def _later(table: pa.Table) -> pa.Table:
     ids, digests, place = ids[later], digests[later], place[later]
     order = np.lexsort((place, digests, ids))
     ids, digests, place = ids[order], digests[order], place[order]
-    cuts = np.flatnonzero(
-        np.concatenate([[True], (ids[1:] != ids[:-1]) | (digests[1:] != digests[:-1])])[: len(ids)]
-    )
-    offsets = np.append(cuts, len(ids)).astype(np.int32)
+    new = np.ones(len(ids), bool)
+    new[1:] = (ids[1:] != ids[:-1]) | (digests[1:] != digests[:-1]) | (np.diff(place) > 1)
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(ids)) - 1 if len(first) else first
     return pa.table(
         {
-            "doc": ids[cuts],
-            "digest": digests[cuts],
-            "starts": pa.ListArray.from_arrays(pa.array(offsets), pa.array(place, pa.int32())),
+            "doc": ids[first],
+            "digest": digests[first],
+            "start": place[first].astype(np.int32),
+            "last": place[last].astype(np.int32),
         }
     )
 
@@ -310,12 +330,13 @@ def _kept(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             removed, kept = [], []
-            for text, starts in zip(batch.column("text").to_pylist(), batch.column("starts")):
+            texts, runs = batch.column("text").to_pylist(), batch.column("runs")
+            for text, own_runs in zip(texts, runs):
                 own = (text or "").encode().split()
                 cover = np.zeros(len(own) + 1, np.int64)
-                at = starts.values.to_numpy(zero_copy_only=False)
-                np.add.at(cover, at, 1)
-                np.add.at(cover, at + window, -1)
+                start, last = (x.to_numpy(zero_copy_only=False) for x in own_runs.values.flatten())
+                np.add.at(cover, start, 1)
+                np.add.at(cover, last + window, -1)
                 gone = np.cumsum(cover)[:-1] > 0
                 removed.append(int(gone.sum()))
                 kept.append(b" ".join([own[i] for i in np.flatnonzero(~gone).tolist()]).decode())
@@ -356,16 +377,16 @@ def removed_repeats(
     )
     few = broadcast_if_bounded(hits, stored=True)
     touched = materialize(texts.join(few, "doc"))
-    starts = materialize(
+    removed = materialize(
         touched.mapInArrow(_windows(ranges, ranges, block, window), PACKS)
         .groupBy("bucket")
-        .applyInArrow(_later, "doc bigint, digest bigint, starts array<int>")
+        .applyInArrow(_later, "doc bigint, digest bigint, start int, last int")
         .groupBy("doc", "digest")
-        .agg(F.flatten(F.collect_list("starts")).alias("starts"))
+        .agg(F.collect_list(F.struct("start", "last")).alias("runs"))
     )
     return (
         touched.select("doc", "digest", "text")
-        .join(starts, ["doc", "digest"])
+        .join(removed, ["doc", "digest"])
         .mapInArrow(_kept(window), "doc bigint, digest bigint, n_removed bigint, kept string")
     )
 
