@@ -8,10 +8,13 @@ is missed. Hits are extended to maximal repeats by the windows around them: wind
 window is removed if its sequence also starts in a document with a smaller id. Runs of
 such windows are the maximal repeats.
 
-Probes are exchanged by a hash range, packed by task: 32 bits of hash and a document
-number each, sorted and compressed. A range's probes are compared in one task; the number
-of ranges follows the size of the input. A passage that very many documents share is one
-run of equal hashes there, never a set of pairs.
+Probes are exchanged by a hash range in two steps. First each pack of a task is reduced to
+one entry per hash with its least and greatest document; a range's entries are combined in
+one task, which keeps what several documents share. Then the blocks and windows themselves
+are held against that in slices of a range, so that a passage that very many documents
+share is a few entries per pack in the one step and many bounded tasks in the other, never
+a set of pairs. Packs are sorted and compressed; the number of ranges follows the size of
+the input.
 
 Null and empty texts have no words. Documents without an id are neither judged nor held
 against others. Rows that share an id do not remove each other's words; rows that also
@@ -28,6 +31,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +47,9 @@ CHUNK = 1 << 18
 PACKED = 1 << 20
 PACKED_DOCUMENTS = 60_000
 SLICE_ROWS = 500
+#: Blocks or windows of a range that are judged in one task, and shared entries in a row.
+SLICE = 2 << 20
+ENTRIES = 1 << 16
 
 # The white space between words.
 _SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
@@ -135,10 +142,17 @@ def ranged(hashes: np.ndarray, ranges: int) -> np.ndarray:
 
 
 class Packer:
-    """Gathers probes and gives them out by hash range."""
+    """Gathers probes and gives them out by hash range.
 
-    def __init__(self, ranges: int, kinds: list[str]):
-        self.ranges, self.kinds = ranges, kinds
+    Without ``slices``, equal probes of a pack are one, with the least and the greatest
+    document and the greatest of the other columns. With them (how many slices each range
+    has, zero if nothing in it is shared) all probes are given out, to one slice per pack.
+    """
+
+    def __init__(self, ranges: int, kinds: list[str], slices: np.ndarray | None = None):
+        self.ranges, self.kinds, self.slices = ranges, kinds, slices
+        task = TaskContext.get()
+        self.turn = task.partitionId() if task else 0
         self.clear()
 
     def clear(self) -> None:
@@ -151,56 +165,127 @@ class Packer:
     ) -> Iterator[pa.RecordBatch]:
         """Probes of documents, numbered from zero; documents are ids or ids and digests.
 
-        ``route`` are the hashes that choose the range."""
+        ``route`` are the hashes that choose the range. Columns of four bytes tell probes of
+        one hash apart."""
+        bucket = ranged(route, self.ranges).astype(np.int32)
         numbers = numbers.astype(np.int32) + np.int32(len(self.docs))
-        self.parts.append([route, hashes, numbers, *columns])
+        columns = [c.astype(k) for c, k in zip(columns, self.kinds[1:])]
+        rows = [bucket, hashes.astype(self.kinds[0]), numbers, *columns]
+        if self.slices is not None:
+            shared = self.slices[bucket] > 0
+            rows = [c[shared] for c in rows]
+        self.parts.append(rows)
         self.docs += docs
-        self.held += len(hashes)
+        self.held += len(rows[0])
         if self.held >= PACKED or len(self.docs) >= PACKED_DOCUMENTS:
             yield from self.flush()
 
     def flush(self) -> Iterator[pa.RecordBatch]:
         if self.held:
-            route, hashes, numbers, *columns = (np.concatenate(c) for c in zip(*self.parts))
+            bucket, hashes, numbers, *columns = (np.concatenate(c) for c in zip(*self.parts))
             self.parts.clear()
-            bucket = ranged(route, self.ranges)
-            order = np.lexsort((hashes, bucket))
-            bucket, hashes, numbers = bucket[order], hashes[order], numbers[order]
-            cuts = np.flatnonzero(np.diff(bucket.astype(np.int64), prepend=-1, append=-2))
             docs = np.array(self.docs, np.int64)
-            rows: dict[str, list] = {"bucket": [], "docs": [], "probes": []}
+            # Numbers in the order of the ids, so that the least number is the least id.
+            by = np.argsort(docs[:, 0], kind="stable")
+            place = np.empty(len(by), np.int32)
+            place[by] = np.arange(len(by), dtype=np.int32)
+            docs, numbers = docs[by], place[numbers]
+            apart = [c for c, k in zip(columns, self.kinds[1:]) if k == "<u4"]
+            order = np.lexsort((*apart, hashes, bucket))
+            bucket, hashes, numbers, *columns = (c[order] for c in (bucket, hashes, numbers, *columns))
+            n, marks = np.ones(len(bucket), np.int64), [numbers]
+            if self.slices is None:
+                flags = [c for c, k in zip(columns, self.kinds[1:]) if k == "|u1"]
+                n = flags[0].astype(np.int64) if flags else n
+                new = np.ones(len(bucket), bool)
+                keys = (bucket, hashes, *(c[order] for c in apart))
+                new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in keys])
+                first = np.flatnonzero(new)
+                n, bucket, hashes = np.add.reduceat(n, first), bucket[first], hashes[first]
+                marks = [np.minimum.reduceat(numbers, first), np.maximum.reduceat(numbers, first)]
+                columns = [np.maximum.reduceat(c, first) for c in columns]
+            cuts = np.flatnonzero(np.diff(bucket, prepend=-1, append=-2))
+            rows: dict[str, list] = {"bucket": [], "slice": [], "n": [], "docs": [], "probes": []}
             for a, b in zip(cuts[:-1], cuts[1:]):
-                own, number = np.unique(numbers[a:b], return_inverse=True)
-                body = [hashes[a:b].astype(self.kinds[0]), number.astype(np.uint16)]
-                body += [c[order[a:b]].astype(k) for c, k in zip(columns, self.kinds[2:])]
-                if self.kinds[0] == "<u4":
-                    again = np.argsort(body[0], kind="stable")
-                    body = [x[again] for x in body]
-                rows["bucket"].append(int(bucket[a]))
+                at = int(bucket[a])
+                own, number = np.unique(np.concatenate([m[a:b] for m in marks]), return_inverse=True)
+                body = [hashes[a:b], *np.split(number.astype("<u2"), len(marks))]
+                rows["bucket"].append(at)
+                rows["slice"].append(0 if self.slices is None else (self.turn + at) % int(self.slices[at]))
+                rows["n"].append(int(n[a:b].sum()))
                 rows["docs"].append(pack(list(docs[own].T.copy())))
-                rows["probes"].append(pack(body))
+                rows["probes"].append(pack([*body, *(c[a:b] for c in columns)]))
+            self.turn += 1
             yield pa.RecordBatch.from_pydict(
                 rows,
-                schema=pa.schema([("bucket", pa.int32()), ("docs", pa.binary()), ("probes", pa.binary())]),
+                schema=pa.schema(
+                    [
+                        ("bucket", pa.int32()),
+                        ("slice", pa.int32()),
+                        ("n", pa.int64()),
+                        ("docs", pa.binary()),
+                        ("probes", pa.binary()),
+                    ]
+                ),
             )
         self.clear()
 
 
-PACKS = "bucket int, docs binary, probes binary"
-_PROBE = ["<u4", "<u2", "|u1"]
-_WINDOW = ["<u8", "<u2", "<u4", "<i4"]
+PACKS = "bucket int, slice int, n bigint, docs binary, probes binary"
+SHARED = "bucket int, judged bigint, entries binary"
+#: Hash of a probe and its other columns.
+_PROBE = ["<u4", "|u1"]
+_BLOCK = ["<u4"]
+_WHOLE = ["<u8", "<u4"]
+_WINDOW = ["<u8", "<u4", "<i4"]
+_NONE = np.iinfo(np.int64).max
 
 
-def _opened(table: pa.Table, kinds: list[str], names: int) -> list[np.ndarray]:
-    """Columns of a range's probes, with documents' ``names`` numbers in place of their place."""
-    parts = []
+def _opened(table: pa.Table, kinds: list[str], names: int, marks: int = 1) -> list[np.ndarray]:
+    """Columns of a range's probes, with documents' ``names`` numbers in place of each of their
+    ``marks`` places."""
+    parts, kinds = [], [kinds[0], *["<u2"] * marks, *kinds[1:]]
     for docs, probes in zip(table.column("docs"), table.column("probes")):
         known = unpack(docs.as_py(), ["<i8"] * names)
-        hashes, number, *rest = unpack(probes.as_py(), kinds)
-        parts.append([hashes, *(k[number] for k in known), *rest])
+        hashes, *rest = unpack(probes.as_py(), kinds)
+        parts.append([hashes, *(k[m] for m in rest[:marks] for k in known), *rest[marks:]])
     return [np.concatenate(c) for c in zip(*parts)]
 
 
+def _entries(table: pa.Table, kinds: list[str]) -> list[np.ndarray]:
+    """Columns of a range's shared entries."""
+    parts = [unpack(e.as_py(), kinds) for e in table.column("entries")]
+    return [np.concatenate(c) for c in zip(*parts)] if parts else [np.array([], k) for k in kinds]
+
+
+def _shared(bucket: int, judged: int, columns: list[np.ndarray]) -> pa.Table:
+    """Entries of a range in rows of bounded size, with the number of probes to judge."""
+    n = range(0, len(columns[0]), ENTRIES)
+    rows = {
+        "bucket": pa.array([bucket] * len(n), pa.int32()),
+        "judged": pa.array([judged] * len(n), pa.int64()),
+        "entries": pa.array([pack([c[at : at + ENTRIES] for c in columns]) for at in n], pa.binary()),
+    }
+    return pa.table(rows)
+
+
+def _slices(shared: DataFrame, ranges: int) -> np.ndarray:
+    """Number of slices of each range, zero without entries."""
+    slices = np.zeros(ranges, np.int32)
+    for r in shared.select("bucket", "judged").distinct().collect():
+        slices[r.bucket] = max(1, -(-r.judged // SLICE))
+    return slices
+
+
+def _judged(packs: DataFrame, shared: DataFrame, judge, schema: str) -> DataFrame:
+    """``judge`` of each slice of the packs and the entries of its range."""
+    last = F.greatest(F.ceil(F.col("judged") / SLICE), F.lit(1)).cast("int") - 1
+    slices = F.explode(F.sequence(F.lit(0), last)).alias("slice")
+    entries = shared.select("bucket", slices, "entries")
+    keys = ["bucket", "slice"]
+    return packs.groupBy(*keys).cogroup(entries.groupBy(*keys)).applyInArrow(judge, schema)
+
+
 def batches_of(
     batches: Iterator[pa.RecordBatch], chars: int | None = None
 ) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
@@ -216,36 +301,46 @@ def batches_of(
                 yield part.slice(a, b - a), texts[a:b]
 
 
-def _probes(ranges: int, block: int):
-    """All rolling windows of ``block`` words; those at whole blocks are marked."""
+def _probes(ranges: int, block: int, slices: np.ndarray | None = None):
+    """All rolling windows of ``block`` words, reduced; those at whole blocks are marked. With
+    ``slices``, the whole blocks alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = Packer(ranges, _PROBE)
+        packer = Packer(ranges, _PROBE if slices is None else _BLOCK, slices)
         for part, texts in batches_of(batches):
             found = words(texts)
             starts, hashes = found.windows(block)
             number = np.searchsorted(found.first, starts, side="right") - 1
             whole = (starts - found.first[number]) % block == 0
             docs = [(i,) for i in part.column("doc").to_pylist()]
-            yield from packer.add(docs, hashes, hashes, number, whole)
+            if slices is None:
+                yield from packer.add(docs, hashes, hashes, number, whole)
+            else:
+                yield from packer.add(docs, hashes[whole], hashes[whole], number[whole])
         yield from packer.flush()
 
     return run
 
 
-def _hits(table: pa.Table) -> pa.Table:
-    """Documents and hashes of a range where a block of one is a window of another."""
-    hashes, ids, whole = _opened(table, _PROBE, 1)
+def _met(table: pa.Table) -> pa.Table:
+    """Hashes of a range where a block of one document is a window of another."""
+    hashes, least, greatest, whole = _opened(table, _PROBE, 1, 2)
     order = np.argsort(hashes, kind="stable")
-    hashes, ids, whole = (c[order] for c in (hashes, ids, whole))
+    hashes, least, greatest, whole = (c[order] for c in (hashes, least, greatest, whole))
     new = np.flatnonzero(np.diff(hashes.astype(np.int64), prepend=-1))
     hit = np.maximum.reduceat(whole, new) > 0
-    hit &= np.minimum.reduceat(ids, new) != np.maximum.reduceat(ids, new)
-    every = np.repeat(hit, np.diff(np.append(new, len(hashes))))
-    bucket = table.column("bucket")[0].as_py()
-    key = hashes[every].astype(np.int64) + (bucket << 32)
-    # Equal hashes are side by side, so sorting by document within them shows the repeats.
-    ids = ids[every]
+    hit &= np.minimum.reduceat(least, new) != np.maximum.reduceat(greatest, new)
+    judged = sum(table.column("n").to_pylist())
+    return _shared(table.column("bucket")[0].as_py(), judged, [hashes[new][hit]])
+
+
+def _hits(table: pa.Table, entries: pa.Table) -> pa.Table:
+    """Documents and hashes of a slice's blocks that are hit."""
+    if not table.num_rows:
+        return pa.table({"doc": pa.array([], pa.int64()), "hash": pa.array([], pa.int64())})
+    hashes, ids = _opened(table, _BLOCK, 1)
+    hit = np.isin(hashes, _entries(entries, _BLOCK)[0])
+    ids, key = ids[hit], hashes[hit].astype(np.int64) + (table.column("bucket")[0].as_py() << 32)
     order = np.lexsort((ids, key))
     ids, key = ids[order], key[order]
     fresh = np.ones(len(ids), bool)
@@ -253,11 +348,12 @@ def _hits(table: pa.Table) -> pa.Table:
     return pa.table({"doc": ids[fresh], "hash": key[fresh]})
 
 
-def _windows(ranges: int, hit_ranges: int, block: int, window: int):
-    """Windows whose own whole blocks were all hit, with their full digests."""
+def _windows(ranges: int, hit_ranges: int, block: int, window: int, slices: np.ndarray | None = None):
+    """Windows whose own whole blocks were all hit, with their full digests; reduced, or with
+    ``slices`` all of them with their places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = Packer(ranges, _WINDOW)
+        packer = Packer(ranges, _WHOLE if slices is None else _WINDOW, slices)
         for part, texts in batches_of(batches):
             hits = part.column("hits")
             found = words(texts)
@@ -291,21 +387,52 @@ def _windows(ranges: int, hit_ranges: int, block: int, window: int):
             else:
                 route = full
             docs = list(zip(part.column("doc").to_pylist(), part.column("digest").to_pylist()))
-            yield from packer.add(docs, route, full, of, other, place)
+            if slices is None:
+                yield from packer.add([d[:1] for d in docs], route, full, of, other)
+            else:
+                yield from packer.add(docs, route, full, of, other, place)
         yield from packer.flush()
 
     return run
 
 
-def _later(table: pa.Table) -> pa.Table:
-    """Runs of a range's windows whose sequence also starts in a document with a smaller id, as
+def _runs_of_equal(full: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Where runs of equal digests start."""
+    new = np.ones(len(full), bool)
+    new[1:] = (full[1:] != full[:-1]) | (other[1:] != other[:-1])
+    return np.flatnonzero(new)
+
+
+def _firsts(table: pa.Table) -> pa.Table:
+    """Digests of a range that several documents have, with the least document."""
+    full, least, greatest, other = _opened(table, _WHOLE, 1, 2)
+    order = np.lexsort((other, full))
+    full, least, greatest, other = (c[order] for c in (full, least, greatest, other))
+    new = _runs_of_equal(full, other)
+    least, greatest = np.minimum.reduceat(least, new), np.maximum.reduceat(greatest, new)
+    many = least != greatest
+    judged = sum(table.column("n").to_pylist())
+    return _shared(
+        table.column("bucket")[0].as_py(), judged, [full[new][many], other[new][many], least[many]]
+    )
+
+
+def _later(table: pa.Table, entries: pa.Table) -> pa.Table:
+    """Runs of a slice's windows whose sequence also starts in a document with a smaller id, as
     their first and last start."""
+    if not table.num_rows:
+        names = ("doc", "digest", "start", "last")
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+        return pa.table({n: pa.array([], k) for n, k in zip(names, kinds)})
     full, ids, digests, other, place = _opened(table, _WINDOW, 2)
-    order = np.lexsort((other, full))
-    full, ids, digests, other, place = (c[order] for c in (full, ids, digests, other, place))
-    new = (np.diff(full, prepend=full[0] + np.uint64(1)) != 0) | (np.diff(other.astype(np.int64), prepend=-1) != 0)
-    first = np.flatnonzero(new)
-    least = np.repeat(np.minimum.reduceat(ids, first), np.diff(np.append(first, len(full))))
+    known, apart, low = _entries(entries, ["<u8", "<u4", "<i8"])
+    every, both = np.concatenate([full, known]), np.concatenate([other, apart])
+    order = np.lexsort((both, every))
+    first = _runs_of_equal(every[order], both[order])
+    lows = np.concatenate([np.full(len(full), _NONE), low])[order]
+    least = np.empty(len(every), np.int64)
+    least[order] = np.repeat(np.minimum.reduceat(lows, first), np.diff(np.append(first, len(every))))
+    least = least[: len(full)]
     later = ids > least
     ids, digests, place = ids[later], digests[later], place[later]
     order = np.lexsort((place, digests, ids))
@@ -367,22 +494,30 @@ def removed_repeats(
         F.xxhash64(F.col(text)).alias("digest"),
         F.col(text).alias("text"),
     ).filter(F.col("doc").isNotNull() & F.col("text").isNotNull())
+    own = texts.select("doc", "text")
+    met = materialize(
+        own.mapInArrow(_probes(ranges, block), PACKS).groupBy("bucket").applyInArrow(_met, SHARED)
+    )
+    blocks = own.mapInArrow(_probes(ranges, block, _slices(met, ranges)), PACKS)
     hits = materialize(
-        texts.select("doc", "text")
-        .mapInArrow(_probes(ranges, block), PACKS)
-        .groupBy("bucket")
-        .applyInArrow(_hits, "doc bigint, hash bigint")
+        _judged(blocks, met, _hits, "doc bigint, hash bigint")
         .groupBy("doc")
         .agg(F.collect_set("hash").alias("hits"))
     )
     few = broadcast_if_bounded(hits, stored=True)
     touched = materialize(texts.join(few, "doc"))
-    removed = materialize(
+    firsts = materialize(
         touched.mapInArrow(_windows(ranges, ranges, block, window), PACKS)
         .groupBy("bucket")
-        .applyInArrow(_later, "doc bigint, digest bigint, start int, last int")
+        .applyInArrow(_firsts, SHARED)
+    )
+    windows = touched.mapInArrow(
+        _windows(ranges, ranges, block, window, _slices(firsts, ranges)), PACKS
+    )
+    removed = materialize(
+        _judged(windows, firsts, _later, "doc bigint, digest bigint, start int, last int")
         .groupBy("doc", "digest")
-        .agg(F.collect_list(F.struct("start", "last")).alias("runs"))
+        .agg(F.collect_set(F.struct("start", "last")).alias("runs"))
     )
     return (
         touched.select("doc", "digest", "text")

@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,6 +57,29 @@ def test_substrings(spark, make, window, block, monkeypatch):
     assert substrings.deduplicated(docs.limit(0), "doc_id").count() == 0
 
 
+def test_copies_are_reduced_before_they_meet():
+    text = " ".join(f"w{i}" for i in range(300))
+    batch = pa.RecordBatch.from_pydict({"doc": list(range(400)), "text": [text] * 400})
+    packs = [r for b in substrings._probes(16, 25)(iter([batch])) for r in b.to_pylist()]
+    assert sum(int.from_bytes(r["probes"][:4], "little") for r in packs) <= 276
+
+
+def test_a_hot_passage_is_judged_in_slices(spark, make, monkeypatch):
+    monkeypatch.setattr(substrings, "PACKED", 2000)
+    monkeypatch.setattr(substrings, "SLICE", 5)
+    monkeypatch.setattr(substrings, "ENTRIES", 7)
+    draw = random.Random(5)
+    hot = [f"h{i}" for i in range(60)]
+    texts = [[f"{i}x{n}" for n in range(draw.randrange(9))] + hot * draw.randrange(3) for i in range(300)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    docs = make([(i, t, "en", "s", 0) for i, t in rows]).repartition(4)
+    slices, of = [], substrings._slices
+    monkeypatch.setattr(substrings, "_slices", lambda *a: slices.append(of(*a)) or slices[-1])
+    got = substrings.deduplicated(docs, "doc_id").collect()
+    assert sorted(map(tuple, got), key=str) == plain(rows, 50)
+    assert [s.max() > 5 for s in slices] == [True, True]
+
+
 def test_short_windows_are_refused(make):
     with pytest.raises(ValueError):
         substrings.removed_repeats(make(["a"]), "doc_id", window=48, block=25)
