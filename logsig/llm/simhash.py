@@ -258,38 +258,58 @@ def links(prints: DataFrame, max_distance: int) -> DataFrame:
     )
 
 
+def _groups(prints: DataFrame, key: str, max_distance: int) -> DataFrame:
+    """``(fp, _part, _low)`` of stored prints: each fingerprint's group, named by one of its
+    fingerprints, and the fingerprint's smallest key."""
+    distinct = materialize(prints.groupBy("fp").agg(F.min(key).alias("_low")))
+    edges = materialize(links(distinct, max_distance).distinct())
+    touched = edges.select("src").union(edges.select("dst")).distinct()
+    parts = connected_components(touched.withColumnRenamed("src", "site"), edges)
+    return distinct.join(parts.withColumnRenamed("site", "fp"), "fp", "left").select(
+        "fp", F.coalesce("component", "fp").alias("_part"), "_low"
+    )
+
+
 def near_duplicates(
     df: DataFrame, key: str, text: str = "text", shingle: int = 3, max_distance: int = 3
 ) -> DataFrame:
     """``(key, fp, component_id)`` per row: the fingerprint and the smallest key reachable."""
     made = fingerprint_column(shingle)(F.col(text))
     prints = materialize(df.select(F.col(key), made.alias("_made")).select(key, "_made.fp"))
-    distinct = materialize(prints.groupBy("fp").agg(F.min(key).alias("_low")))
-    edges = materialize(links(distinct, max_distance).distinct())
-    touched = edges.select("src").union(edges.select("dst")).distinct()
-    parts = connected_components(touched.withColumnRenamed("src", "site"), edges)
-    placed = distinct.join(parts.withColumnRenamed("site", "fp"), "fp", "left").withColumn(
-        "_part", F.coalesce("component", "fp")
-    )
+    placed = _groups(prints, key, max_distance)
     lowest = placed.groupBy("_part").agg(F.min("_low").alias("component_id"))
     by_print = placed.select("fp", "_part").join(lowest, "_part").select("fp", "component_id")
     return prints.join(by_print, "fp").select(key, "fp", "component_id")
 
 
-def representatives(df: DataFrame, key: str, text: str = "text", **parameters) -> DataFrame:
+def representatives(
+    df: DataFrame, key: str, text: str = "text", shingle: int = 3, max_distance: int = 3
+) -> DataFrame:
     """The rows of ``df`` that stay: one row per group, that of its smallest key.
 
-    Repeated rows of that key count as copies of it. Rows with a null key stay if their
-    group has no other."""
-    found = near_duplicates(df, key, text, **parameters)
+    Repeated rows of that key count as copies of it, also if they lead several groups. A row
+    with a null key stays if its group has no other key, one for each such group."""
+    made = fingerprint_column(shingle)(F.col(text))
+    prints = materialize(
+        df.select(F.col(key), F.xxhash64(F.col(text)).alias("_digest"), made.alias("_made")).select(
+            key, "_digest", "_made.fp"
+        )
+    )
+    parts = _groups(prints, key, max_distance).select("fp", "_part")
+    row = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col("_digest").alias("digest"))
+    # Reduced by fingerprint first, so a group of very many copies is few rows in the join.
+    first = prints.groupBy("fp").agg(F.min(row).alias("_row"))
     stays = (
-        found.filter(F.col(key).eqNullSafe(F.col("component_id")))
-        .select(F.col(key).alias("_stays"))
-        .distinct()
+        first.join(parts, "fp")
+        .groupBy("_part")
+        .agg(F.min("_row").alias("_row"))
+        .select(F.col("_row.key").alias("_stays"), F.col("_row.digest").alias("_text_digest"))
     )
-    one = Window.partitionBy(key).orderBy(F.xxhash64(F.col(text)))
+    met = F.col(key).eqNullSafe(F.col("_stays")) & (F.xxhash64(F.col(text)) == F.col("_text_digest"))
+    digest = F.xxhash64(F.col(text))
+    one = Window.partitionBy(key, F.when(F.col(key).isNull(), digest)).orderBy(digest)
     return (
-        df.join(stays, F.col(key).eqNullSafe(F.col("_stays")), "left_semi")
+        df.join(stays, met, "left_semi")
         .withColumn("_row", F.row_number().over(one))
         .filter("_row = 1")
         .drop("_row")

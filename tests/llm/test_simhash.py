@@ -108,3 +108,13 @@ def test_groups(spark, make):
     kept = [r.doc_id for r in simhash.representatives(docs, "doc_id").collect()]
     assert sorted(kept, key=str) == sorted({want[p] for _, p in prints}, key=str)
     assert simhash.near_duplicates(docs.limit(0), "doc_id").count() == 0
+
+
+def test_groups_without_a_key_keep_a_row_each(spark, make):
+    draw = random.Random(2)
+    texts = [" ".join(draw.choice("abcdefghij") * draw.randrange(1, 9) for _ in range(60)) for _ in range(6)]
+    rows = [(None, texts[0]), (None, texts[0]), (None, texts[1]), (None, texts[2]), (5, texts[2])]
+    rows += [(7, texts[3]), (7, texts[3]), (8, texts[5])]
+    docs = make([(i, t, "en", "s", 0) for i, t in rows])
+    kept = [(r.doc_id, r.text) for r in simhash.representatives(docs, "doc_id").collect()]
+    assert sorted(kept, key=str) == sorted({*rows[1:3], *rows[4:6], rows[7]}, key=str)
