@@ -36,8 +36,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents of which benchmark passages are less than a twentieth."""
-    bad = contaminated(docs, spark, folder).filter("contaminated").select(F.col("doc_id").alias("_bad"))
-    return docs.join(bad.distinct(), F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    bad = contaminated(docs, spark, folder).filter("contaminated").select(
+        F.col("doc_id").alias("_bad"), F.col("digest").alias("_digest")
+    )
+    same = F.col("doc_id").eqNullSafe(F.col("_bad")) & (F.xxhash64("text") == F.col("_digest"))
+    return docs.join(bad.distinct(), same, "left_anti")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

@@ -12,7 +12,7 @@ so what a task gets of it is bounded however large it is.
 
 Null and empty texts have no words; they are never hit. An item shorter than the window
 is one window, an item without words none. Repeated item ids are one item with several
-texts; repeated document rows are judged alike.
+texts. Documents are judged by their own text, also if they share an id or have none.
 """
 
 from __future__ import annotations
@@ -286,12 +286,15 @@ def contamination(
     rarest: int = RAREST,
 ) -> DataFrame:
     """``(key, n_words, ranges, items)`` per document row: its length in words, the word ranges
-    that windows of items cover (unmerged) and the items they are of. Rows that share a
-    key share their hits."""
+    that windows of items cover (unmerged) and the items they are of; and ``digest``, the hash
+    of its text. Hits are kept by key and digest, so a row gets those of its own text."""
+    row = F.struct(F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("digest"))
+    docs, made = docs.select(row.alias("_row"), F.col(text).alias("_words")), key
+    key, text_of = "_row", "_words"
     lengths, parts = None, []
     for items in test_blocks(benchmark, item_key, text):
         # The lengths are the same whatever the block.
-        lengths, hits = _matches(docs, key, text, items, window, rarest)
+        lengths, hits = _matches(docs, key, text_of, items, window, rarest)
         parts.append(hits)
     hits = (
         functools.reduce(DataFrame.unionByName, parts)
@@ -302,7 +305,11 @@ def contamination(
         )
     )
     return lengths.join(hits, F.col("doc").eqNullSafe(F.col("_doc")), "left").select(
-        F.col("doc").alias(key), F.col("n_words").cast("bigint").alias("n_words"), "ranges", "items"
+        F.col("doc.key").alias(made),
+        F.col("doc.digest").alias("digest"),
+        F.col("n_words").cast("bigint").alias("n_words"),
+        "ranges",
+        "items",
     )
 
 
