@@ -54,7 +54,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, folder: str) -> DataFra
 def encode(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents with their token ids, checked by decoding them."""
     path, pattern = public_tokenizers.path(BPE_RANKS), public_tokenizers.PATTERN
-    return bpe.encoded(docs, "text", path, pattern).withColumn("n_tokens", F.size("token_ids"))
+    return bpe.encoded(docs, "text", path, pattern, check=True).withColumn("n_tokens", F.size("token_ids"))
 
 
 STAGES = [

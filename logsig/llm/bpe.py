@@ -224,10 +224,21 @@ def _ids(codec: Codec, text: str):
     return (np.frombuffer(codec.encode(text), "<u4").astype(np.int32),)
 
 
-def encoded(df: DataFrame, text: str | Column, path: str, pattern: str) -> DataFrame:
-    """``df`` with ``token_ids array<int>``, the BPE ids of its text column."""
+def _checked_ids(codec: Codec, text: str):
+    packed = codec.encode(text)
+    ids = np.frombuffer(packed, "<u4")
+    if codec.decode(ids) != text.encode():
+        raise ValueError("token ids do not decode to their text")
+    return (ids.astype(np.int32),)
+
+
+def encoded(
+    df: DataFrame, text: str | Column, path: str, pattern: str, check: bool = False
+) -> DataFrame:
+    """``df`` with ``token_ids array<int>``, the BPE ids of its text column. With ``check``, ids
+    that do not decode to the bytes of their text are an error."""
     column = codec_column(
-        df.sparkSession, path, pattern, _ids, [("token_ids", pa.list_(pa.int32()))],
+        df.sparkSession, path, pattern, _checked_ids if check else _ids, [("token_ids", pa.list_(pa.int32()))],
         "token_ids array<int>",
     )
     return computed(df, column(F.col(text) if isinstance(text, str) else text))
