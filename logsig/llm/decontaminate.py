@@ -69,8 +69,8 @@ class Tests:
 
 
 def test_blocks(benchmark: DataFrame, key: str, text: str, chars: int = BLOCK_CHARS):
-    """The items in blocks of about ``chars`` characters, one after the other."""
-    items = benchmark.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    """The distinct items in blocks of about ``chars`` characters, one after the other."""
+    items = benchmark.select(F.col(key).alias("key"), F.col(text).alias("text")).distinct()
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-total // chars))
     if blocks > 1:

@@ -1,8 +1,14 @@
 """Stages of the corpus pipeline on rows without an id of their own."""
 
+import numpy as np
+import pytest
+
 import corpus_pipeline
+from logsig.llm import bpe, decontaminate
 from logsig.llm.queries import contaminated
 
+from .conftest import ODD
+
 
 def test_contamination_is_judged_by_the_own_text(spark, make, tmp_path):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lam mu nu"
@@ -17,3 +23,27 @@ def test_contamination_is_judged_by_the_own_text(spark, make, tmp_path):
     kept = corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path)).collect()
     left = [rows[i] for i in (1, 2, 4, 5)]
     assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted(left, key=str)
+
+
+def test_blocks_hold_a_repeated_item_once(spark):
+    rows = [(1, "same words")] * 200 + [(2, "other words"), (1, "other words"), (None, None), (None, None)]
+    bench = spark.createDataFrame(rows, "item_id int, text string")
+    for chars in (1000, 10):
+        got = [r for b in decontaminate.test_blocks(bench, "item_id", "text", chars) for r in b]
+        assert sorted(got, key=str) == sorted(set(rows), key=str)
+
+
+class Broken:
+    def encode(self, text):
+        return np.zeros(1, "<u4").tobytes()
+
+    def decode(self, ids):
+        return b"something else"
+
+
+def test_encoding_is_checked_by_decoding(spark, make):
+    with pytest.raises(ValueError):
+        bpe._checked_ids(Broken(), "text")
+    docs = corpus_pipeline.encode(spark, make(ODD), "")
+    plan = bpe.decoded(docs, "token_ids", corpus_pipeline.public_tokenizers.path(corpus_pipeline.BPE_RANKS))
+    assert all(bytes(r.decoded).decode() == (r.text or "") for r in plan.collect())
