@@ -17,6 +17,7 @@ from . import (
     substrings,
     toxicity,
     urlfilter,
+    whiten,
 )
 from .common import HELD_OUT, LEARNED, Query, read
 
@@ -244,3 +245,8 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 def nearest(spark: SparkSession, folder: str) -> DataFrame:
     vectors = read(spark, folder, "embeddings").select("vec_id", "embedding")
     return ann.nearest(vectors, vectors.filter("vec_id % 100 = 0"), "vec_id", "embedding", k=10)
+
+
+@query("op12_whitening")
+def whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whiten.whitened(read(spark, folder, "embeddings"), "vec_id", "embedding")
