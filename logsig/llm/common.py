@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,3 +50,20 @@ def computed(df: DataFrame, column: Column) -> DataFrame:
     made = df.select("*", column.alias("_made"))
     names = made.schema["_made"].dataType.names
     return made.select(*[c for c in df.columns if c not in names], *[f"_made.{n}" for n in names])
+
+
+def column_schema(**types: str) -> str:
+    return ", ".join(f"{name} {kind}" for name, kind in types.items())
+
+
+def spans(texts: pa.Array, most_bytes: int, most_rows: int = 512) -> Iterator[tuple[int, int]]:
+    """Consecutive ranges of rows of about ``most_bytes`` of text or ``most_rows`` at most, so
+    that what is held beside a batch does not grow with the batch."""
+    start = held = 0
+    for i, size in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+        held += size
+        if held >= most_bytes or i + 1 - start >= most_rows:
+            yield start, i + 1
+            start, held = i + 1, 0
+    if start < len(texts):
+        yield start, len(texts)

@@ -10,6 +10,7 @@ from . import (
     ann,
     attribution,
     bpe,
+    collocation,
     decontaminate,
     langid,
     secretscan,
@@ -250,3 +251,46 @@ def nearest(spark: SparkSession, folder: str) -> DataFrame:
 @query("op12_whitening")
 def whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whiten.whitened(read(spark, folder, "embeddings"), "vec_id", "embedding")
+
+
+COLLOCATION_SQL = r"""
+WITH pieces AS MATERIALIZED (
+  SELECT lang, doc, piece, regexp_extract_all(p, '[^\x20\x09]+') AS words
+  FROM (SELECT lang, doc, unnest(ps) AS p, generate_subscripts(ps, 1) AS piece
+        FROM (SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS doc,
+                string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                  'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS ps FROM documents))),
+runs AS (
+  SELECT lang, size, words[s:s + size - 1] AS ws
+  FROM (SELECT lang, words, size, unnest(range(1, len(words) - size + 2)) AS s
+        FROM pieces, (VALUES (1), (2), (3), (4)) AS t(size) WHERE len(words) >= size)),
+f AS MATERIALIZED (SELECT lang, size, ws, count(*) AS a FROM runs GROUP BY ALL HAVING count(*) >= 30),
+totals AS (SELECT lang, sum(len(words))::BIGINT AS n FROM pieces GROUP BY lang),
+cuts AS (
+  SELECT lang, size, ws, a, unnest(range(1, size)) AS k FROM f WHERE size > 1),
+scored AS (
+  SELECT c.lang, c.size, c.ws, c.a, k, x.a AS l, y.a AS r,
+         CAST((2000000::HUGEINT * c.a) // (x.a + y.a) AS BIGINT) AS score
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.ws = c.ws[1:k]
+  JOIN f y ON y.lang = c.lang AND y.ws = c.ws[k + 1:c.size]),
+weakest AS (
+  SELECT * FROM scored
+  QUALIFY row_number() OVER (PARTITION BY lang, ws ORDER BY score, k) = 1),
+inside AS (
+  SELECT lang, ws[s:s + m - 1] AS ws, max(a) AS longer
+  FROM (SELECT lang, ws, a, size, m, unnest(range(1, size - m + 2)) AS s
+        FROM (SELECT lang, ws, a, size, unnest(range(2, size)) AS m FROM f WHERE size > 2))
+  GROUP BY ALL),
+kept AS (
+  SELECT w.*, array_to_string(w.ws, ' ') AS phrase FROM weakest w LEFT JOIN inside i USING (lang, ws)
+  WHERE longer IS NULL OR 100 * longer < 80 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank,
+  phrase, a, l, r, n, score
+FROM kept JOIN totals USING (lang)
+QUALIFY rank <= 2000
+"""
+
+
+@query("op13_collocations", COLLOCATION_SQL)
+def collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocation.collocations(read(spark, folder, "documents"), "text", "lang")
