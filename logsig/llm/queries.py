@@ -16,6 +16,7 @@ from . import (
     secretscan,
     simhash,
     substrings,
+    suffixes,
     toxicity,
     urlfilter,
     whiten,
@@ -294,3 +295,38 @@ QUALIFY rank <= 2000
 @query("op13_collocations", COLLOCATION_SQL)
 def collocations(spark: SparkSession, folder: str) -> DataFrame:
     return collocation.collocations(read(spark, folder, "documents"), "text", "lang")
+
+
+REPEATED_BYTES_SQL = r"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS doc, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+strings AS MATERIALIZED (
+  SELECT doc, s, md5(substr(h, 2 * s + 1, 400)) AS k
+  FROM (SELECT doc, h, unnest(range(0, len(h) // 2 - 199)) AS s FROM d WHERE len(h) >= 400)),
+again AS (SELECT k FROM strings GROUP BY k HAVING count(*) > 1),
+hits AS (
+  SELECT doc, s, max(s + 200) OVER (PARTITION BY doc ORDER BY s
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
+  FROM strings SEMI JOIN again USING (k)),
+numbered AS (
+  SELECT doc, s, sum(CASE WHEN before IS NULL OR s > before THEN 1 ELSE 0 END)
+    OVER (PARTITION BY doc ORDER BY s) AS run FROM hits),
+runs AS (SELECT doc, run, min(s) AS a, max(s) + 200 AS b FROM numbered GROUP BY doc, run),
+bounds AS (
+  SELECT doc, list(a ORDER BY a) AS a, list(b ORDER BY a) AS b, sum(b - a) AS gone, count(*) AS n
+  FROM runs GROUP BY doc)
+SELECT doc_id, len(h) // 2 AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed,
+  coalesce(n, 0) AS n_spans,
+  sha256(unhex(CASE WHEN n IS NULL THEN h ELSE
+    array_to_string(list_transform(range(0, n + 1), lambda i:
+      substr(h, CASE WHEN i = 0 THEN 1 ELSE 2 * b[i] + 1 END,
+        CASE WHEN i = n THEN len(h) ELSE 2 * a[i + 1] END
+        - CASE WHEN i = 0 THEN 0 ELSE 2 * b[i] END)), '') END)) AS kept_sha256
+FROM d LEFT JOIN bounds USING (doc)
+"""
+
+
+@query("op11_suffix_dedup", REPEATED_BYTES_SQL)
+def suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    documents = read(spark, folder, "documents").select("doc_id", "text")
+    return suffixes.without_repeats(documents, "doc_id", keep=False).drop("text")
