@@ -21,6 +21,7 @@ from ..operators.density import (
     density_cluster,
     density_parameters,
 )
+from ..operators.hierarchy import density_hierarchy
 from ..operators.features import symbol_features
 from ..operators.registry import (
     apply_mapping,
@@ -546,6 +547,82 @@ def density_by_cells(spark, folder):
     return labels.select("point_id", "cluster_id")
 
 
+RADII = (0.9, 1.0, 1.1, 1.15)
+SMALL = Density(min_cluster_size=3, min_samples=1, epsilon=0.9)
+
+
+def _grid_sql(radii, least: int, samples: int) -> str:
+    """Clusters at each radius by brute force, then excess of mass over the grid."""
+    text = f"""{_EMB.replace('WITH', 'WITH RECURSIVE')}, apart AS MATERIALIZED (
+      SELECT a.row_id AS a, b.row_id AS b, list_distance(a.vec, b.vec) AS d
+      FROM emb a CROSS JOIN emb b WHERE list_distance(a.vec, b.vec) <= {radii[-1]})"""
+    for g, r in enumerate(radii):
+        text += f""",
+    cores{g} AS MATERIALIZED (SELECT a AS row_id FROM apart WHERE d <= {r} GROUP BY a
+      HAVING count(*) > {samples}),
+    edges{g} AS MATERIALIZED (SELECT a, b FROM apart WHERE d <= {r}
+      AND a IN (SELECT row_id FROM cores{g}) AND b IN (SELECT row_id FROM cores{g})),
+    reach{g}(src, dst) AS (SELECT row_id, row_id FROM cores{g}
+      UNION SELECT src, b FROM reach{g} JOIN edges{g} ON dst = a),
+    parts{g} AS MATERIALIZED (SELECT src AS row_id, min(dst) AS c FROM reach{g} GROUP BY src),
+    held{g} AS MATERIALIZED (SELECT c, count(*) AS mass FROM parts{g} GROUP BY c
+      HAVING count(*) >= {least})"""
+    for g, r in enumerate(radii):
+        gain = f"(1.0::DOUBLE / {r} - 1.0::DOUBLE / {radii[min(g + 1, len(radii) - 1)]})"
+        parent = f"(SELECT p.c FROM parts{g + 1} p WHERE p.row_id = h.c)" if g + 1 < len(radii) else "NULL"
+        inner = (
+            f"(SELECT parent, count(*) AS n, sum(chain) AS chain, sum(below) AS below, "
+            f"sum(greatest(chain, below)) AS best FROM scored{g - 1} GROUP BY parent)"
+            if g
+            else "(SELECT NULL::BIGINT AS parent, 0 AS n, 0.0 AS chain, 0.0 AS below, 0.0 AS best)"
+        )
+        text += f""",
+    scored{g} AS MATERIALIZED (SELECT h.c, {parent} AS parent,
+      mass * {gain} + CASE WHEN i.n = 1 THEN i.chain ELSE 0 END AS chain,
+      CASE WHEN i.n = 1 THEN i.below ELSE coalesce(i.best, 0) END AS below
+      FROM held{g} h LEFT JOIN {inner} i ON i.parent = h.c)"""
+    for g in reversed(range(len(radii))):
+        seen = "TRUE" if g == len(radii) - 1 else (
+            f"(parent IS NULL OR parent IN (SELECT c FROM looked{g + 1} WHERE NOT wins))"
+        )
+        text += f""",
+    looked{g} AS MATERIALIZED (SELECT c, chain, round(chain, 9) >= round(below, 9) AS wins
+      FROM scored{g} WHERE {seen})"""
+    taken = " UNION ALL ".join(
+        f"SELECT row_id, c, {r}::DOUBLE AS radius, chain FROM looked{g} JOIN parts{g} USING (c) WHERE wins"
+        for g, r in enumerate(radii)
+    )
+    return f"""{text}, taken AS MATERIALIZED ({taken}),
+    numbers AS (SELECT radius, c, row_number() OVER (ORDER BY min(row_id)) - 1 AS cluster_id
+      FROM taken GROUP BY radius, c)
+    SELECT emb.row_id AS point_id, CAST(coalesce(cluster_id, -1) AS BIGINT) AS cluster_id,
+      CAST(radius AS DOUBLE) AS radius, round(chain, 6) AS stability
+    FROM emb LEFT JOIN (taken JOIN numbers USING (radius, c)) USING (row_id)"""
+
+
+_HIERARCHY = _grid_sql(RADII, SMALL.min_cluster_size, SMALL.min_samples)
+
+
+def _by_hierarchy(spark, folder, **forced):
+    points = embeddings(spark, folder).select(
+        F.col("row_id").alias("point_id"), "vec", F.lit(1).cast("bigint").alias("weight")
+    )
+    labels = density_hierarchy(points, SMALL, RADII, **forced)
+    return labels.select("point_id", "cluster_id", "radius", F.round("stability", 6).alias("stability"))
+
+
+@query("density_hierarchy", _HIERARCHY)
+def hierarchy_embeddings(spark, folder):
+    """The most stable clusters over four radii."""
+    return _by_hierarchy(spark, folder)
+
+
+@query("density_hierarchy_rounds", _HIERARCHY)
+def hierarchy_by_rounds(spark, folder):
+    """The same with Boruvka rounds, as for very many vectors."""
+    return _by_hierarchy(spark, folder, direct_edges=0)
+
+
 @query(
     "components_rounds",
     """WITH RECURSIVE up(site, top) AS (SELECT doc_id, doc_id FROM documents

@@ -107,7 +107,7 @@ def cells(sites: DataFrame, epsilon: float) -> DataFrame:
 _PLACE = pa.struct([("cell", pa.int64()), ("home", pa.bool_())])
 
 
-def _block_pairs(placed: DataFrame, asking, compare, schema: str) -> DataFrame:
+def block_pairs(placed: DataFrame, asking, compare, schema: str) -> DataFrame:
     """Run ``compare`` on every pair of an asking home block and a cell block.
 
     Both sides of a task hold about ``BLOCK_POINTS`` sites, whatever a cell holds.
@@ -143,7 +143,7 @@ def neighbour_weights(placed: DataFrame, asking, epsilon: float) -> DataFrame:
         total = near.astype(np.float64) @ others.column("weight").to_numpy().astype(np.float64)
         return pa.table({"site": ids, "near": np.rint(total).astype(np.int64)})
 
-    parts = _block_pairs(placed, asking, compare, "site bigint, near bigint")
+    parts = block_pairs(placed, asking, compare, "site bigint, near bigint")
     return parts.groupBy("site").agg(F.sum("near").alias("near"))
 
 
@@ -183,7 +183,7 @@ def neighbour_stars(placed: DataFrame, epsilon: float) -> DataFrame:
         table = np.array(found, dtype=np.int64).reshape(-1, 2)
         return pa.table({"src": table[:, 0], "dst": table[:, 1]})
 
-    return _block_pairs(placed, F.lit(True), compare, "src bigint, dst bigint").distinct()
+    return block_pairs(placed, F.lit(True), compare, "src bigint, dst bigint").distinct()
 
 
 def _joined_edges(edges: pa.Table) -> pa.Table:
@@ -289,6 +289,35 @@ def _block_components(parameters: Density):
     return components
 
 
+def sites_of(points: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The points with the id of their ``site``, and the stored sites ``(site, vec, weight)``.
+
+    A site is all points of one vector, named by the lowest ``point_id``. Vectors meet as
+    digests of 128 bits; they are neither grouped by nor joined on.
+    """
+    vec = F.col("vec").cast("array<double>")
+    # Stored first: a featurizer runs once.
+    typed = materialize(
+        points.select(
+            "point_id",
+            vec.alias("vec"),
+            "weight",
+            F.xxhash64(vec).alias("_h1"),
+            F.xxhash64(F.lit(1), vec).alias("_h2"),
+        )
+    )
+    named = broadcast_if_bounded(
+        typed.groupBy("_h1", "_h2").agg(
+            F.min("point_id").alias("site"), F.sum("weight").alias("_mass")
+        )
+    )
+    rows = materialize(
+        typed.join(named, ["_h1", "_h2"]).select("point_id", "vec", "weight", "site", "_mass")
+    )
+    sites = rows.filter("point_id = site").select("site", "vec", F.col("_mass").alias("weight"))
+    return rows.drop("_mass"), sites
+
+
 def density_cluster(
     points: DataFrame,
     parameters: Density,
@@ -300,13 +329,7 @@ def density_cluster(
     Clusters are numbered by their lowest ``point_id``. Equal vectors are one site
     with their summed weight, so copies cost nothing.
     """
-    # Stored first: vectors are computed once, so equal ones stay equal in the join below.
-    typed = materialize(
-        points.select("point_id", F.col("vec").cast("array<double>").alias("vec"), "weight")
-    )
-    sites = materialize(
-        typed.groupBy("vec").agg(F.min("point_id").alias("site"), F.sum("weight").alias("weight"))
-    ).select("site", "vec", "weight")
+    rows, sites = sites_of(points)
     parts = materialize(core_components(sites, parameters, block_points, direct_edges))
     weighed = parts.join(sites.select("site", "weight"), "site")
     kept = (
@@ -316,14 +339,9 @@ def density_cluster(
     )
     numbered = sequential_ids(kept.select("component"), ["component"], "cluster_id")
     labelled = parts.join(numbered, "component").select("site", "cluster_id")
-    by_vector = sites.join(labelled, "site", "left").select("vec", "cluster_id")
-    return (
-        typed.select("point_id", "vec", "weight")
-        .join(by_vector, "vec")
-        .select(
-            "point_id",
-            "vec",
-            "weight",
-            F.coalesce("cluster_id", F.lit(OUTLIER).cast("bigint")).alias("cluster_id"),
-        )
+    return rows.join(broadcast_if_bounded(labelled), "site", "left").select(
+        "point_id",
+        "vec",
+        "weight",
+        F.coalesce("cluster_id", F.lit(OUTLIER).cast("bigint")).alias("cluster_id"),
     )
