@@ -3,9 +3,10 @@
 Words are keys of 64 bits of (language, word), found for all words of some megabyte of text at
 once; that no two words of the corpus share a key is checked on the table of words, else
 another multiplier is taken, so keys are as good as words. Level by level a pass over the
-texts counts fingerprints of those phrases whose first and last words but one are frequent:
-a phrase is never more frequent than a part of it or than its fingerprint, so what reaches
-the least count is a safe set of candidates. What is frequent is known in the tasks as a bit
+texts counts fingerprints of those phrases whose parts of a word less are frequent: a phrase
+is never more frequent than a part of it or than its fingerprint, so what reaches the least
+count is a safe set of candidates. A fingerprint is a chain of one-to-one steps, so it and
+its last word tell the one before, and candidates are spelled out without another pass. What is frequent is known in the tasks as a bit
 map of bounded size; set bits by chance only let more phrases into the shuffle.
 
 The candidates are dealt to blocks of some ten thousand by their first two words, each block
@@ -30,20 +31,25 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logsig.session import materialize
 
 from .common import column_schema, spans
+from .rolling import bit_map, firsts, hashed, longs, marked, mixed, unmixed
 
 #: Bytes of text that are worked on at once.
 SLICE = 1 << 20
-#: Bits of a map of what is frequent, and bits for each entry below that.
-MOST_BITS, BITS_EACH = 1 << 26, 16
 #: Candidates of a trie, and bytes of the tries that are broadcast together.
 BLOCK, TRIE_BYTES = 40_000, 48 << 20
+#: Phrases whose counts travel together.
+PART = 2048
 UNKNOWN = "und"
+#: What a fingerprint is multiplied by for the next word.
+STEP = 0xC2B2AE3D27D4EB4F
 
 # Bytes that end a piece, and bytes that end a word.
 BREAKS = b".,;:!?\x0a\x0b\x0c\x0d"
@@ -54,31 +60,9 @@ CLASSES[list(BLANKS)] = 1
 CLASSES[list(BREAKS)] = 2
 
 
-def mixed(h: np.ndarray) -> np.ndarray:
-    """Spread the bits of 64-bit numbers, one to one."""
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    return (h ^ (h >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)
-
-
-class Powers:
-    """Powers of an odd multiplier modulo 2^64, and of its inverse, as many as were needed."""
-
-    def __init__(self, seed: int):
-        self.base = (0x5851F42D4C957F2D + 2 * seed * 0x9E3779B9) % (1 << 64) | 1
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            self.up, self.down = (
-                np.cumprod(np.r_[np.uint64(1), np.full(n, b % (1 << 64), np.uint64)])
-                for b in (self.base, pow(self.base, -1, 1 << 64))
-            )
-        return self.up[:n], self.down[:n]
-
-
 @dataclass
 class Words:
-    """The words of a slice: where they are, their keys, pieces and documents."""
+    """The words of a slice: where they are, their keys, pieces and texts."""
 
     data: bytes
     starts: np.ndarray
@@ -87,32 +71,26 @@ class Words:
     pieces: np.ndarray
     rows: np.ndarray
 
-    def text(self, first: int, last: int) -> str:
-        return b" ".join(
-            self.data[s:e]
-            for s, e in zip(self.starts[first : last + 1], self.ends[first : last + 1])
-        ).decode()
+    def strings(self, at: np.ndarray) -> pa.Array:
+        places = zip(self.starts[at].tolist(), self.ends[at].tolist(), strict=True)
+        return pa.array([self.data[s:e] for s, e in places], pa.binary()).cast(pa.string())
 
 
-def words_of(texts: list[bytes], languages: list[str], powers: Powers) -> Words:
+def words_of(texts: list[bytes], languages: list[str], seed: int) -> Words:
     """Words of some texts; those of different texts are in different pieces."""
-    data = b"\n".join(texts).lower() + b"\n"
-    codes = np.frombuffer(data, np.uint8)
-    kinds = CLASSES[codes]
-    word = np.r_[np.int8(0), (kinds == 0).astype(np.int8)]
-    step = np.diff(word)
-    starts, ends = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
-    if len(ends) < len(starts):
-        ends = np.append(ends, len(codes))
-    up, down = powers.to(len(codes))
-    total = np.r_[np.uint64(0), np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * up)]
-    keys = (total[ends] - total[starts]) * down[starts]
+    data = b"\n".join(texts).lower() + b"\n" * 9
+    kinds = CLASSES[np.frombuffer(data, np.uint8)]
+    word = np.zeros(len(kinds) + 1, bool)
+    np.equal(kinds, 0, out=word[1:])
+    change = np.flatnonzero(word[1:] != word[:-1])
+    starts, ends = change[0::2], change[1::2]
+    keys = hashed(data, starts, ends - starts, seed)
     offsets = np.cumsum([0, *(len(t) + 1 for t in texts)])
-    rows = np.searchsorted(offsets, starts, "right") - 1
+    rows = np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(starts, offsets)))
     of_language = {g: xxhash.xxh3_64_intdigest(g) for g in set(languages)}
     own = np.array([of_language[g] for g in languages], np.uint64)
-    keys = mixed(mixed(keys) + own[rows]) if len(rows) else keys
-    return Words(data, starts, ends, keys, np.cumsum(kinds == 2)[starts], rows)
+    keys = mixed(keys + own[rows]) if len(rows) else keys
+    return Words(data, starts, ends, keys, np.cumsum(kinds == 2, dtype=np.int32)[starts], rows)
 
 
 def parts_of(text: bytes, most: int) -> Iterator[bytes]:
@@ -153,10 +131,10 @@ def each_slice(df: DataFrame, text: str, language: str, seed: int, schema: str,
     of a task it is called with None."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, compute = Powers(seed), work()
+        compute = work()
         for batch in batches:
             for texts, languages in slices(batch):
-                yield from compute(words_of(texts, languages, powers), languages)
+                yield from compute(words_of(texts, languages, seed), languages)
         yield from compute(None, [])
 
     return df.select(F.col(text), F.col(language).cast("string")).mapInArrow(run, schema)
@@ -172,13 +150,13 @@ def word_counts(df: DataFrame, text: str, language: str, seed: int) -> DataFrame
         def compute(words: Words | None, languages: list[str]) -> Iterator[pa.RecordBatch]:
             if words is None or not len(words.keys):
                 return
-            _, first, n = np.unique(words.keys, return_index=True, return_counts=True)
+            first, n = firsts(words.keys)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(words.keys[first].view(np.int64)),
-                    pa.array([languages[r] for r in words.rows[first]], pa.string()),
-                    pa.array([words.text(i, i) for i in first], pa.string()),
-                    pa.array(n.astype(np.int64)),
+                    pa.array(languages, pa.string()).take(pa.array(words.rows[first])),
+                    words.strings(first),
+                    pa.array(n),
                 ],
                 names=["key", "lang", "word", "n"],
             )
@@ -194,29 +172,18 @@ def distinct_keys(words: DataFrame) -> bool:
     return words.groupBy("key").count().filter("count > 1").isEmpty()
 
 
-# ---- Bit maps of what is frequent ----
-
-
-def bit_map(keys: DataFrame, name: str) -> np.ndarray:
-    """Bits set at the remainders of ``keys``; of bounded size, whatever their number."""
-    size = 1 << max(16, min(math.ceil(math.log2(max(keys.count(), 1) * BITS_EACH)), int(math.log2(MOST_BITS))))
-    at = F.col(name).bitwiseAND(size - 1)
-    rows = keys.select(F.shiftright(at, 5).alias("at"), F.expr(f"shiftleft(1L, cast({name} & 31 as int))").alias("bit"))
-    rows = rows.groupBy("at").agg(F.bit_or("bit").alias("bits")).toPandas()
-    made = np.zeros(size // 32, np.uint32)
-    made[rows["at"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).astype(np.uint32)
-    return made
-
-
-def marked(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    at = keys & np.uint64(len(bits) * 32 - 1)
-    return (bits[(at >> np.uint64(5)).astype(np.int64)] >> (at & np.uint64(31)).astype(np.uint32)) & 1 == 1
+# ---- Candidates ----
 
 
 def longer(fingerprints: np.ndarray, keys: np.ndarray, size: int) -> np.ndarray:
     """Fingerprints of ``size`` words from those of one word less."""
     after = keys[size - 1 :]
-    return mixed(fingerprints[: len(after)] * np.uint64(0xC2B2AE3D27D4EB4F) + after)
+    return mixed(fingerprints[: len(after)] * np.uint64(STEP) + after)
+
+
+def shorter(fingerprints: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Fingerprints of all words but the last."""
+    return (unmixed(fingerprints) - last) * np.uint64(pow(STEP, -1, 1 << 64))
 
 
 def frequent(words: Words, maps: list[np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -232,8 +199,9 @@ def frequent(words: Words, maps: list[np.ndarray], size: int) -> tuple[np.ndarra
     return fingerprints, alive
 
 
-def frequent_fingerprints(df, text, language, seed, maps, size, least) -> DataFrame:
-    """Fingerprints of ``size`` words that occur ``least`` times."""
+def frequent_phrases(df, text, language, seed, maps, size, least) -> DataFrame:
+    """Fingerprint and last word of the phrases of ``size`` words that occur ``least`` times by
+    these, and the fingerprint ``before`` of all their words but the last, stored."""
     held = df.sparkSession.sparkContext.broadcast(maps)
 
     def work():
@@ -241,51 +209,30 @@ def frequent_fingerprints(df, text, language, seed, maps, size, least) -> DataFr
             if words is None or len(words.keys) < size:
                 return
             fingerprints, alive = frequent(words, held.value, size)
-            values, n = np.unique(fingerprints[alive], return_counts=True)
+            at = np.flatnonzero(alive)
+            if not len(at):
+                return
+            first, n = firsts(fingerprints[at])
+            at = at[first]
+            last = words.keys[at + size - 1]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(values.view(np.int64)), pa.array(n.astype(np.int64))], names=["fp", "n"]
+                [longs(fingerprints[at]), longs(last), pa.array(n)], names=["fp", "last", "n"]
             )
 
         return compute
 
-    made = each_slice(df, text, language, seed, "fp bigint, n bigint", work)
-    return made.groupBy("fp").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("fp")
-
-
-def named(df, text, language, seed, maps, longest) -> DataFrame:
-    """Language and words of the phrases whose fingerprints are marked, with ``fp`` and ``pair``,
-    the fingerprint of the first two words; a task names each once."""
-    held = df.sparkSession.sparkContext.broadcast(maps)
-    schema = column_schema(fp="bigint", pair="bigint", size="int", lang="string", phrase="string")
-
-    def work():
-        seen = [np.zeros(0, np.uint64) for _ in range(longest + 1)]
-
-        def compute(words: Words | None, languages: list[str]) -> Iterator[pa.RecordBatch]:
-            if words is None:
-                return
-            pairs = longer(words.keys, words.keys, 2) if len(words.keys) > 1 else None
-            for size in range(2, min(longest, len(words.keys)) + 1):
-                fingerprints, alive = frequent(words, held.value, size)
-                at = np.flatnonzero(alive)
-                values, first = np.unique(fingerprints[at], return_index=True)
-                new = ~np.isin(values, seen[size], assume_unique=True)
-                seen[size] = np.concatenate([seen[size], values[new]])
-                at = at[first[new]]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(values[new].view(np.int64)),
-                        pa.array(pairs[at].view(np.int64)),
-                        pa.array(np.full(len(at), size), pa.int32()),
-                        pa.array([languages[r] for r in words.rows[at]], pa.string()),
-                        pa.array([words.text(i, i + size - 1) for i in at], pa.string()),
-                    ],
-                    names=["fp", "pair", "size", "lang", "phrase"],
-                )
-
-        return compute
+    def before(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp, last = (batch.column(i).to_numpy().view(np.uint64) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, longs(shorter(fp, last))], names=["fp", "last", "before"]
+            )
 
-    return each_slice(df, text, language, seed, schema, work)
+    made = each_slice(df, text, language, seed, "fp bigint, last bigint, n bigint", work)
+    found = made.groupBy("fp", "last").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    return materialize(
+        found.select("fp", "last").mapInArrow(before, "fp bigint, last bigint, before bigint")
+    )
 
 
 # ---- Double-array tries ----
@@ -408,94 +355,114 @@ def digits_of(n: int) -> int:
     return max(1, math.ceil(max(n - 1, 1).bit_length() / 8))
 
 
-def tries(candidates: DataFrame, blocks: int, seed: int) -> DataFrame:
-    """A trie per block: ``block``, ``trie`` and its ``phrases`` in the order of their counts."""
-    block = F.pmod(F.col("pair"), F.lit(blocks)).cast("int")
+def tries(candidates: DataFrame, blocks: int) -> DataFrame:
+    """A trie per block: ``block``, ``trie`` and the candidates' keys in the order of counts."""
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column("keys")
+            flat, at = keys.values.to_numpy().view(np.uint64), keys.offsets.to_numpy()[:-1]
+            block = block_of(flat[at], flat[at + 1], blocks)
+            yield pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), keys], names=["block", "keys"])
 
     def build(key, table):
-        languages, phrases = table["lang"].to_pylist(), table["phrase"].to_pylist()
-        words = words_of([p.encode() for p in phrases], languages, Powers(seed))
-        n = np.bincount(words.rows, minlength=len(phrases))
-        trie = Trie.of(np.split(words.keys, np.cumsum(n)[:-1]))
-        own = [{"lang": g, "phrase": p} for g, p in zip(languages, phrases, strict=True)]
+        keys = table["keys"].combine_chunks()
+        flat, cuts = keys.flatten().to_numpy().view(np.uint64), np.cumsum(keys.value_lengths())
+        trie = Trie.of(np.split(flat, cuts[:-1]))
+        one = pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys)
         return pa.table(
             {
                 "block": pa.array([key[0].as_py()], pa.int32()),
                 "trie": pa.array([trie.dumps()], pa.binary()),
-                "phrases": pa.array([own], PHRASES),
+                "phrases": one,
             }
         )
 
-    return candidates.withColumn("block", block).groupBy("block").applyInArrow(
-        build, "block int, trie binary, phrases array<struct<lang string, phrase string>>"
+    dealt = candidates.mapInArrow(placed, "block int, keys array<bigint>")
+    return dealt.groupBy("block").applyInArrow(
+        build, "block int, trie binary, phrases array<array<bigint>>"
     )
 
 
-PHRASES = pa.list_(pa.struct([("lang", pa.string()), ("phrase", pa.string())]))
+def block_of(first: np.ndarray, second: np.ndarray, blocks: int) -> np.ndarray:
+    """The block of what begins with two words."""
+    return (mixed(first * np.uint64(STEP) + second) % np.uint64(blocks)).astype(np.int32)
 
 
 def trie_counts(df, text, language, seed, held: list[tuple[int, int, bytes]], blocks, longest) -> DataFrame:
-    """``block``, ``at`` and ``n``: how often each phrase of the given tries occurs."""
+    """``block``, ``part`` and ``counts``: how often each of ``PART`` consecutive phrases of a
+    block's trie occurs. A shard sends one vector for them, and Spark adds vectors; counts are
+    whole numbers below 2^53, so the sums are exact."""
     given = df.sparkSession.sparkContext.broadcast(held)
 
     def work():
         own = {b: (n, Trie.loads(data)) for b, n, data in given.value}
-        totals = {b: np.zeros(n, np.int64) for b, (n, _) in own.items()}
+        totals = {b: np.zeros(-(-n // PART) * PART, np.int64) for b, (n, _) in own.items()}
 
         def compute(words: Words | None, languages: list[str]) -> Iterator[pa.RecordBatch]:
             if words is None:
                 for b, total in totals.items():
-                    at = np.flatnonzero(total)
+                    parts = total.reshape(-1, PART)
+                    offsets = np.arange(len(parts) + 1, dtype=np.int32) * PART
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array(np.full(len(at), b), pa.int32()),
-                            pa.array(at, pa.int32()),
-                            pa.array(total[at]),
+                            pa.array(np.full(len(parts), b), pa.int32()),
+                            pa.array(np.arange(len(parts)), pa.int32()),
+                            pa.ListArray.from_arrays(
+                                pa.array(offsets), pa.array(total.astype(float))
+                            ),
                         ],
-                        names=["block", "at", "n"],
+                        names=["block", "part", "counts"],
                     )
             elif len(words.keys) > 1:
-                pairs = longer(words.keys, words.keys, 2).view(np.int64) % blocks
-                order = np.argsort(pairs, kind="stable")
-                cuts = np.searchsorted(pairs[order], np.arange(blocks + 1))
+                dealt = block_of(words.keys[:-1], words.keys[1:], blocks)
+                order = np.argsort(dealt)
+                cuts = np.searchsorted(dealt[order], np.arange(blocks + 1))
                 for b, (n, trie) in own.items():
                     at = order[cuts[b] : cuts[b + 1]]
-                    totals[b] += trie.counts(words.keys, words.pieces, at, longest, n)
+                    totals[b][:n] += trie.counts(words.keys, words.pieces, at, longest, n)
 
         return compute
 
-    made = each_slice(df, text, language, seed, "block int, at int, n bigint", work)
-    return made.groupBy("block", "at").agg(F.sum("n").alias("n"))
+    schema = "block int, part int, counts array<double>"
+    made = each_slice(df, text, language, seed, schema, work)
+    vectors = made.select("block", "part", array_to_vector("counts").alias("counts"))
+    return vectors.groupBy("block", "part").agg(
+        vector_to_array(Summarizer.sum(F.col("counts"))).alias("counts")
+    )
 
 
 def counted(df, text, language, seed, candidates: DataFrame, longest: int) -> DataFrame:
-    """``lang``, ``phrase`` and ``a``, the exact count, of each candidate."""
+    """``keys`` and ``a``, the exact count, of each candidate."""
     blocks = max(1, math.ceil(candidates.count() / BLOCK))
-    built = materialize(tries(candidates, blocks, seed))
-    sizes = built.select("block", F.size("phrases").alias("n"), F.length("trie").alias("bytes"))
-    sums, batch, held = [], [], 0
+    built = materialize(tries(candidates, blocks))
+    sizes = built.select("block", F.length("trie").alias("bytes")).orderBy("block").collect()
     rounds: list[list[int]] = []
-    for row in sizes.orderBy("block").collect():
-        if batch and held + row["bytes"] > TRIE_BYTES:
-            rounds.append(batch)
-            batch, held = [], 0
-        batch.append(row["block"])
+    held = TRIE_BYTES
+    for row in sizes:
+        if held + row["bytes"] > TRIE_BYTES:
+            rounds.append([])
+            held = 0
+        rounds[-1].append(row["block"])
         held += row["bytes"]
-    rounds += [batch] if batch else []
+    total = None
     for own in rounds:
         part = built.filter(F.col("block").between(own[0], own[-1]))
         rows = part.select("block", F.size("phrases"), "trie").collect()
-        tries_held = [(r[0], r[1], bytes(r[2])) for r in rows]
-        sums.append(materialize(trie_counts(df, text, language, seed, tries_held, blocks, longest)))
-    phrases = built.select("block", F.posexplode("phrases").alias("at", "p")).select(
-        "block", "at", "p.lang", "p.phrase"
+        given = [(r[0], r[1], bytes(r[2])) for r in rows]
+        counts = materialize(trie_counts(df, text, language, seed, given, blocks, longest))
+        total = counts if total is None else total.unionByName(counts)
+    if total is None:
+        return candidates.select("keys", F.lit(0).cast("bigint").alias("a"))
+    # Phrases in the same parts as their counts.
+    parts = F.sequence(F.lit(0), F.floor((F.size("phrases") - 1) / PART).cast("int"))
+    phrases = built.select("block", "phrases", F.explode(parts).alias("part")).select(
+        "block", "part", F.slice("phrases", F.col("part") * PART + 1, F.lit(PART)).alias("phrases")
+    )
+    both = F.arrays_zip("phrases", F.slice("counts", F.lit(1), F.size("phrases")).alias("n"))
+    return phrases.join(total, ["block", "part"]).select(F.inline(both)).select(
+        F.col("phrases").alias("keys"), F.col("n").cast("bigint").alias("a")
     )
-    if not sums:
-        return phrases.select("lang", "phrase", F.lit(0).cast("bigint").alias("a"))
-    total = sums[0]
-    for part in sums[1:]:
-        total = total.unionByName(part)
-    return phrases.join(total, ["block", "at"]).select("lang", "phrase", F.col("n").alias("a"))
 
 
 # ---- Scores ----
@@ -521,57 +488,70 @@ def collocations(
         if distinct_keys(words):
             break
     else:
-        raise ArithmeticError("words share their keys under every multiplier")
+        raise ArithmeticError("words share their keys under every seed")
     common = words.filter(F.col("n") >= least)
     maps = [bit_map(common, "key")]
-    found = None
+    # A fingerprint and its last word tell the one before, so levels spell each other out.
+    spelled = common.select(F.col("key").alias("fp"), F.array("key").alias("keys"))
+    candidates = None
     for size in range(2, longest + 1):
-        level = materialize(frequent_fingerprints(df, text, language, seed, maps, size, least))
+        level = frequent_phrases(df, text, language, seed, maps, size, least)
         maps.append(bit_map(level, "fp"))
-        level = level.select("fp", F.lit(size).alias("size"))
-        found = level if found is None else found.unionByName(level)
-    names = named(df, text, language, seed, maps, longest).join(found, ["fp", "size"], "left_semi")
-    candidates = materialize(names.groupBy("lang", "phrase").agg(F.first("pair").alias("pair")))
-    exact = materialize(
-        counted(df, text, language, seed, candidates, longest).filter(F.col("a") >= least)
-    )
-    return ranked(exact, words.select("lang", "word", "n"), least, scale, covered, top)
+        shorter_ones = spelled.withColumnRenamed("fp", "before")
+        spelled = materialize(
+            level.join(shorter_ones, "before").select("fp", F.concat("keys", F.array("last")).alias("keys"))
+        )
+        own = spelled.select("keys")
+        candidates = own if candidates is None else candidates.unionByName(own)
+    candidates = materialize(candidates.distinct())
+    exact = counted(df, text, language, seed, candidates, longest).filter(F.col("a") >= least)
+    return ranked(materialize(exact), words, least, scale, covered, top)
 
 
 def ranked(exact: DataFrame, words: DataFrame, least, scale, covered, top) -> DataFrame:
     """Scores of counted phrases by their weakest cut, without those that a longer one covers."""
-    parts = words.filter(F.col("n") >= least).select("lang", F.col("word").alias("part"), F.col("n").alias("f"))
-    parts = parts.unionByName(exact.select("lang", F.col("phrase").alias("part"), F.col("a").alias("f")))
-    own = exact.withColumn("w", F.split("phrase", " ", -1))
-    cuts = own.select("lang", "phrase", "a", "w", F.explode(F.sequence(F.lit(1), F.size("w") - 1)).alias("cut"))
-    cuts = cuts.select(
-        "lang", "phrase", "a", "cut",
-        F.array_join(F.slice("w", 1, F.col("cut")), " ").alias("first"),
-        F.array_join(F.slice("w", F.col("cut") + 1, F.size("w")), " ").alias("rest"),
-    )
+    parts = words.filter(F.col("n") >= least).select(F.array("key").alias("part"), F.col("n").alias("f"))
+    parts = parts.unionByName(exact.select(F.col("keys").alias("part"), F.col("a").alias("f")))
+    cut, size = F.col("cut"), F.size("keys")
+    cuts = exact.select("keys", "a", F.explode(F.sequence(F.lit(1), size - 1)).alias("cut")).select(
+        "keys",
+        "a",
+        "cut",
+        F.slice("keys", F.lit(1), cut).alias("first"),
+        F.slice("keys", cut + 1, size - cut).alias("rest"),
+    )
     for name, side in (("l", "first"), ("r", "rest")):
-        cuts = cuts.join(parts.select("lang", F.col("part").alias(side), F.col("f").alias(name)), ["lang", side])
+        cuts = cuts.join(parts.select(F.col("part").alias(side), F.col("f").alias(name)), side)
     wide = "cast({} as decimal(20,0))"
     score = f"({wide.format('a')} * {scale}) div ({wide.format('l')} + {wide.format('r')})"
     weakest = (
         cuts.withColumn("score", F.expr(score).cast("bigint"))
-        .groupBy("lang", "phrase", "a")
+        .groupBy("keys", "a")
         .agg(F.min(F.struct("score", "cut", "l", "r")).alias("m"))
     )
+    sizes = F.explode(F.sequence(F.lit(2), size)).alias("size")
+    places = F.explode(F.sequence(F.lit(1), size - F.col("size") + 1)).alias("at")
     inside = (
-        own.select("lang", "w", F.col("a").alias("longer"), F.explode(F.sequence(F.lit(2), F.size("w"))).alias("size"))
-        .filter(F.col("size") < F.size("w"))
-        .select("lang", "w", "longer", "size", F.explode(F.sequence(F.lit(1), F.size("w") - F.col("size") + 1)).alias("at"))
-        .select("lang", F.array_join(F.slice("w", F.col("at"), F.col("size")), " ").alias("phrase"), "longer")
-        .groupBy("lang", "phrase")
-        .agg(F.max("longer").alias("longer"))
+        exact.select("keys", "a", sizes)
+        .filter(F.col("size") < size)
+        .select("keys", "a", "size", places)
+        .groupBy(F.slice("keys", F.col("at"), F.col("size")).alias("keys"))
+        .agg(F.max("a").alias("longer"))
     )
     within = f"{wide.format('longer')} * 100 >= {wide.format('a')} * {covered}"
-    kept = weakest.join(inside, ["lang", "phrase"], "left").filter(~F.coalesce(F.expr(within), F.lit(False)))
+    kept = weakest.join(inside, "keys", "left").filter(~F.coalesce(F.expr(within), F.lit(False)))
+    spelled = (
+        kept.select("keys", F.posexplode("keys").alias("at", "key"))
+        .join(words.select("key", "lang", "word"), "key")
+        .groupBy("keys")
+        .agg(F.first("lang").alias("lang"), F.array_sort(F.collect_list(F.struct("at", "word"))).alias("w"))
+        .select("keys", "lang", F.array_join("w.word", " ").alias("phrase"))
+    )
     sums = words.groupBy("lang").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("m.score"), F.desc("a"), "phrase")
-    placed = kept.withColumn("rank", F.row_number().over(order).cast("bigint"))
+    placed = kept.join(spelled, "keys").withColumn("rank", F.row_number().over(order))
     if top is not None:
-        placed = kept.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= top)
-        placed = placed.withColumn("rank", F.col("_rank").cast("bigint"))
-    return placed.join(sums, "lang").select("lang", "rank", "phrase", "a", "m.l", "m.r", "n", "m.score")
+        placed = placed.filter(F.col("rank") <= top)
+    return placed.join(sums, "lang").select(
+        "lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", "m.l", "m.r", "n", "m.score"
+    )

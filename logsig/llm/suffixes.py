@@ -39,8 +39,8 @@ from pyspark.sql import functions as F
 
 from logsig.session import broadcast_if_bounded, materialize
 
-from .collocation import Powers, bit_map, marked, mixed
 from .common import column_schema, spans
+from .rolling import Powers, bit_map, longs, marked, mixed, place_keys
 
 LENGTH = 200
 #: Bytes of text that are worked on at once; a place in them fits the low bits of a key.
@@ -135,10 +135,6 @@ def each_contexts(df: DataFrame, text: str, length: int, schema: str, work) -> D
     return df.mapInArrow(run, schema)
 
 
-def longs(values: np.ndarray) -> pa.Array:
-    return pa.array(values.view(np.int64) if values.dtype == np.uint64 else values.astype(np.int64))
-
-
 def repeated_anchors(docs: DataFrame, length: int) -> DataFrame:
     """Hashes of the anchors of two or more contexts."""
 
@@ -195,10 +191,6 @@ def context_texts(docs: DataFrame, length: int, bits: np.ndarray) -> DataFrame:
     return each_contexts(docs.select("_key", "_text"), "_text", length, schema, work)
 
 
-def place_keys(keys: np.ndarray, places: np.ndarray) -> np.ndarray:
-    return mixed(keys.view(np.uint64) + mixed(places.astype(np.uint64)))
-
-
 # ---- The family of suffix arrays ----
 
 

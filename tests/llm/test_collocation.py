@@ -5,8 +5,9 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from logsig.llm import collocation
-from logsig.llm.collocation import Powers, Trie, collocations, parts_of, words_of
+from logsig.llm import collocation, rolling
+from logsig.llm.collocation import Trie, collocations, longer, parts_of, shorter, words_of
+from logsig.llm.rolling import hashed, mixed, unmixed
 
 from .conftest import ODD
 
@@ -85,12 +86,13 @@ def test_many_tries_passes_and_slices(spark, make, monkeypatch):
     want = plain(rows, 2)
     monkeypatch.setattr(collocation, "BLOCK", 20)
     monkeypatch.setattr(collocation, "TRIE_BYTES", 1)
+    monkeypatch.setattr(collocation, "PART", 7)
     assert run(spark, make, rows, least=2) == want
 
 
 def test_saturated_maps_change_nothing(spark, make, monkeypatch):
     rows = sample(4)
-    monkeypatch.setattr(collocation, "BITS_EACH", 1)
+    monkeypatch.setattr(rolling, "BITS_EACH", 1)
     monkeypatch.setattr(
         collocation, "marked", lambda bits, keys: np.ones(len(keys), bool)
     )
@@ -102,7 +104,7 @@ def test_empty_table_and_no_phrase(spark, make):
     assert run(spark, make, [("one two", "en"), (None, "en")]) == []
 
 
-def test_colliding_keys_take_another_multiplier(spark, make, monkeypatch):
+def test_colliding_keys_take_another_seed(spark, make, monkeypatch):
     tried = []
     real = collocation.distinct_keys
 
@@ -140,6 +142,25 @@ def test_parts_end_at_breaks():
         parts = list(parts_of(text, most))
         assert b"".join(parts) == text
         assert all(p[-1:] in b".,\n" for p in parts[:-1])
-    words = words_of([b"A b", b"", b"b a"], ["en"] * 3, Powers(1))
+    words = words_of([b"A b", b"", b"b a"], ["en"] * 3, 1)
     assert words.keys[0] == words.keys[3] and words.keys[1] == words.keys[2]
     assert words.rows.tolist() == [0, 0, 2, 2] and words.pieces[1] != words.pieces[2]
+
+
+def test_hashes_tell_lengths_and_zeros_apart():
+    texts = [b"a", b"a\0", b"a\0\0", b"abcdefgh", b"abcdefgh\0", b"abcdefghi", b"b" * 100, b"b" * 99]
+    data = b"".join(texts) + b"\n" * 8
+    ends = np.cumsum([len(t) for t in texts])
+    sizes = np.array([len(t) for t in texts])
+    made = hashed(data, ends - sizes, sizes, 0)
+    assert len(set(made.tolist())) == len(texts)
+    assert hashed(b"xx" + data, ends - sizes + 2, sizes, 0).tolist() == made.tolist()
+    assert not set(hashed(data, ends - sizes, sizes, 1).tolist()) & set(made.tolist())
+
+
+def test_fingerprints_tell_the_one_before():
+    keys = np.random.default_rng(1).integers(0, 1 << 64, 50, np.uint64)
+    assert (unmixed(mixed(keys)) == keys).all() and (mixed(unmixed(keys)) == keys).all()
+    two = longer(keys, keys, 2)
+    three = longer(two, keys, 3)
+    assert (shorter(three, keys[2:]) == two[:-1]).all() and (shorter(two, keys[1:]) == keys[:-1]).all()
