@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import read_ranks
+from .common import SLICE, spans
 
 RULES = ("first", "most", "split")
 SECTIONS = "array<struct<name string, start int, end int>>"
@@ -122,7 +123,9 @@ def attributed(
         for token, rank in ranks.value.items():
             sizes[rank] = len(token)
         for texts, given in batches:
-            yield _attribute(texts.to_pylist(), given, encoding, sizes, rule)
+            for a, b in spans(texts, SLICE):
+                own = texts.slice(a, b - a), given.slice(a, b - a)
+                yield _attribute(own[0].to_pylist(), own[1], encoding, sizes, rule)
 
     schema = (
         "n_tokens bigint, outside double, sections array<struct<name string, start int, "

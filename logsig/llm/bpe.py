@@ -33,7 +33,7 @@ LEAF_BYTES = 48
 #: Characters after a piece that the pattern may look at before it ends it: an
 #: apostrophe and two letters.
 LOOK_AHEAD = 2
-CACHED_PIECES = 400_000
+CACHED_PIECES = 50_000
 CACHED_LENGTH = 40
 _NONE = 1 << 60
 

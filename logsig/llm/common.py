@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 HELD_OUT = "coalesce(crc32(cast(doc_id as string)) % 5 = 0, false)"
 LEARNED = "coalesce(crc32(cast(doc_id as string)) % 5 != 0, false)"
 
+#: Bytes of text that a column function works on at once.
+SLICE = 1 << 20
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -21,10 +24,11 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
 
 
 def per_text(work: Callable[[], Callable[[list[str]], pa.Array]], schema: str) -> Callable[[Column], Column]:
-    """A column function that computes one struct per text, an Arrow batch at a time.
+    """A column function that computes one struct per text, some hundred texts at a time.
 
-    ``work()`` runs once per task and gives the function for a batch of texts, so that
-    caches live as long as the task. Null texts count as empty. The result is marked
+    ``work()`` runs once per task and gives the function for a list of texts, so that
+    caches live as long as the task; what is held beside an Arrow batch is bounded by the
+    slice, not by the batch. Null texts count as empty. The result is marked
     nondeterministic only so that the optimizer evaluates it once instead of copying
     it into filters above.
     """
@@ -33,7 +37,8 @@ def per_text(work: Callable[[], Callable[[list[str]], pa.Array]], schema: str) -
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         compute = work()
         for batch in batches:
-            yield compute([t or "" for t in batch.to_pylist()])
+            for a, b in spans(batch, SLICE):
+                yield compute([t or "" for t in batch.slice(a, b - a).to_pylist()])
 
     return run.asNondeterministic()
 
