@@ -3,569 +3,347 @@
 Each document's non-overlapping blocks of ``block`` words are the index; every rolling
 window of as many words, of every document, probes it. A repeat of at least
 ``window >= 2 * block - 1`` words contains a whole block of either document, so no repeat
-is missed. Hits are extended to maximal repeats by the windows around them: windows of
-``window`` words whose own blocks were all hit are compared by their full digests, and a
-window is removed if its sequence also starts in a document with a smaller id. Runs of
-such windows are the maximal repeats.
-
-Probes are exchanged by a hash range in two steps. First each pack of a task is reduced to
-one entry per hash with its least and greatest document; a range's entries are combined in
-one task, which keeps what several documents share. Then the blocks and windows themselves
-are held against that in slices of a range, so that a passage that very many documents
-share is a few entries per pack in the one step and many bounded tasks in the other, never
-a set of pairs. Packs are sorted and compressed; the number of ranges follows the size of
-the input.
+is missed. Probes are looked up in a bit map of bounded size, and what may be there meets
+the blocks by hash, as the least and the greatest document of each hash; a hash with two
+documents is a hit.
+
+Hits are extended to maximal repeats: windows of ``window`` words whose own blocks were all
+hit are taken in stretches that share their least rolling hash, so that equal passages fall
+into equal stretches wherever they stand. A stretch is known by 128 bits of its bytes;
+equal ones, as in the many copies of a passage, become one with their least document.
+Where one least hash has several different stretches, at the ends of repeats, their windows
+are compared one by one, by 128 bits of their bytes. A window is removed if its sequence
+also starts in a document with a smaller id; runs of such windows are the maximal
+repeats.
+
+No group of rows is ever held in one task: all steps are sums, minima and joins by hash, whose
+hot keys are combined before they are moved, or split. What is broadcast is bounded, and
+nothing that is as many as documents, hashes or ranges of them comes to the driver.
 
 Null and empty texts have no words. Documents without an id are neither judged nor held
 against others. Rows that share an id do not remove each other's words; rows that also
-share the text are judged alike.
+share the text are judged alike. Columns of any name may be there.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from dataclasses import dataclass
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import zstandard
-from pyspark import TaskContext
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import broadcast_if_bounded, materialize
+from logsig.session import broadcast_if_bounded, materialize
+
+from .common import column_schema, spans
+from .rolling import Powers, bit_map, hashed, longs, marked, mixed, place_keys
 
 WINDOW = 50
 BLOCK = 25
-#: Bytes of text per hash range, and the least number of ranges.
-RANGE_BYTES = 8 << 20
-LEAST_RANGES = 16
-#: Characters that are hashed at once, probes that are packed at once.
-CHUNK = 1 << 18
-PACKED = 1 << 20
-PACKED_DOCUMENTS = 60_000
-SLICE_ROWS = 500
-#: Blocks or windows of a range that are judged in one task, and shared entries in a row.
-SLICE = 2 << 20
-ENTRIES = 1 << 16
-
-# The white space between words.
-_SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
-_CHAR, _WORD, _OTHER = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93
-
-
-@cache
-def _powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number and of its inverse modulo 2**64."""
-    both = []
-    for b in (base, pow(base, -1, 1 << 64)):
-        steps = np.full(size, b, np.uint64)
-        steps[0] = 1
-        both.append(np.multiply.accumulate(steps))
-    return both[0], both[1]
-
-
-def _grown(size: int) -> int:
-    return 1 << max(16, (size - 1).bit_length())
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
-    return x ^ (x >> np.uint64(33))
-
-
-def _sequence(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
-    """Hashes of the subsequences ``[start, end)`` of values."""
-    power, inverse = _powers(base, _grown(len(values) + 1))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * power[: len(values)])])
-    return _mix((sums[ends] - sums[starts]) * inverse[starts])
-
-
-@dataclass
-class Words:
-    """Words of several texts: hash of each, and where each text's begin."""
-
-    hashes: np.ndarray
-    first: np.ndarray
-
-    def windows(self, length: int, base: int = _WORD) -> tuple[np.ndarray, np.ndarray]:
-        """Starts of all windows that lie in one text, and their hashes."""
-        sizes = np.diff(self.first)
-        count = np.maximum(sizes - length + 1, 0)
-        starts = np.repeat(self.first[:-1] - np.cumsum(count) + count, count) + np.arange(count.sum())
-        return starts, _sequence(self.hashes, starts, starts + length, base)
-
-
-def words(texts: list[bytes]) -> Words:
-    data = np.frombuffer(b" ".join([*texts, b""]) or b" ", np.uint8)
-    space = _SPACE[data]
-    edge = np.diff(space.astype(np.int8), prepend=1, append=1)
-    starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    at = np.cumsum([0, *(len(t) + 1 for t in texts)])
-    first = np.searchsorted(starts, at)
-    return Words(_sequence(data.astype(np.uint64) + np.uint64(1), starts, ends, _CHAR), first)
-
-
-def _planes(values: np.ndarray) -> bytes:
-    """Bytes of fixed-width numbers, the like ones side by side."""
-    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
-
-
-def _from_planes(data: bytes, kind: str, n: int) -> np.ndarray:
-    width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, n).T).view(kind).ravel()
-
-
-def pack(columns: list[np.ndarray]) -> bytes:
-    """Numbers, each column's bytes in planes, compressed. The first column is sorted."""
-    ordered = [np.diff(columns[0], prepend=columns[0].dtype.type(0)), *columns[1:]]
-    body = b"".join(_planes(np.ascontiguousarray(c)) for c in ordered)
-    return len(columns[0]).to_bytes(4, "little") + zstandard.ZstdCompressor(level=1).compress(body)
-
-
-def unpack(data: bytes, kinds: list[str]) -> list[np.ndarray]:
-    n = int.from_bytes(data[:4], "little")
-    body, columns = zstandard.ZstdDecompressor().decompress(data[4:]), []
-    for kind in kinds:
-        size = np.dtype(kind).itemsize * n
-        columns.append(_from_planes(body[:size], kind, n))
-        body = body[size:]
-    return [np.cumsum(columns[0], dtype=kinds[0]), *columns[1:]]
-
-
-def ranged(hashes: np.ndarray, ranges: int) -> np.ndarray:
-    """Hash range of each hash."""
-    return ((hashes >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
-
-
-class Packer:
-    """Gathers probes and gives them out by hash range.
-
-    Without ``slices``, equal probes of a pack are one, with the least and the greatest
-    document and the greatest of the other columns. With them (how many slices each range
-    has, zero if nothing in it is shared) all probes are given out, to one slice per pack.
-    """
-
-    def __init__(self, ranges: int, kinds: list[str], slices: np.ndarray | None = None):
-        self.ranges, self.kinds, self.slices = ranges, kinds, slices
-        task = TaskContext.get()
-        self.turn = task.partitionId() if task else 0
-        self.clear()
-
-    def clear(self) -> None:
-        self.docs: list[tuple[int, ...]] = []
-        self.parts: list[list[np.ndarray]] = []
-        self.held = 0
-
-    def add(
-        self, docs: list[tuple[int, ...]], route, hashes, numbers, *columns
-    ) -> Iterator[pa.RecordBatch]:
-        """Probes of documents, numbered from zero; documents are ids or ids and digests.
-
-        ``route`` are the hashes that choose the range. Columns of four bytes tell probes of
-        one hash apart."""
-        bucket = ranged(route, self.ranges).astype(np.int32)
-        numbers = numbers.astype(np.int32) + np.int32(len(self.docs))
-        columns = [c.astype(k) for c, k in zip(columns, self.kinds[1:])]
-        rows = [bucket, hashes.astype(self.kinds[0]), numbers, *columns]
-        if self.slices is not None:
-            shared = self.slices[bucket] > 0
-            rows = [c[shared] for c in rows]
-        self.parts.append(rows)
-        self.docs += docs
-        self.held += len(rows[0])
-        if self.held >= PACKED or len(self.docs) >= PACKED_DOCUMENTS:
-            yield from self.flush()
-
-    def flush(self) -> Iterator[pa.RecordBatch]:
-        if self.held:
-            bucket, hashes, numbers, *columns = (np.concatenate(c) for c in zip(*self.parts))
-            self.parts.clear()
-            docs = np.array(self.docs, np.int64)
-            # Numbers in the order of the ids, so that the least number is the least id.
-            by = np.argsort(docs[:, 0], kind="stable")
-            place = np.empty(len(by), np.int32)
-            place[by] = np.arange(len(by), dtype=np.int32)
-            docs, numbers = docs[by], place[numbers]
-            apart = [c for c, k in zip(columns, self.kinds[1:]) if k == "<u4"]
-            order = np.lexsort((*apart, hashes, bucket))
-            bucket, hashes, numbers, *columns = (c[order] for c in (bucket, hashes, numbers, *columns))
-            n, marks = np.ones(len(bucket), np.int64), [numbers]
-            if self.slices is None:
-                flags = [c for c, k in zip(columns, self.kinds[1:]) if k == "|u1"]
-                n = flags[0].astype(np.int64) if flags else n
-                new = np.ones(len(bucket), bool)
-                keys = (bucket, hashes, *(c[order] for c in apart))
-                new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in keys])
-                first = np.flatnonzero(new)
-                n, bucket, hashes = np.add.reduceat(n, first), bucket[first], hashes[first]
-                marks = [np.minimum.reduceat(numbers, first), np.maximum.reduceat(numbers, first)]
-                columns = [np.maximum.reduceat(c, first) for c in columns]
-            cuts = np.flatnonzero(np.diff(bucket, prepend=-1, append=-2))
-            rows: dict[str, list] = {"bucket": [], "slice": [], "n": [], "docs": [], "probes": []}
-            for a, b in zip(cuts[:-1], cuts[1:]):
-                at = int(bucket[a])
-                own, number = np.unique(np.concatenate([m[a:b] for m in marks]), return_inverse=True)
-                body = [hashes[a:b], *np.split(number.astype("<u2"), len(marks))]
-                rows["bucket"].append(at)
-                rows["slice"].append(0 if self.slices is None else (self.turn + at) % int(self.slices[at]))
-                rows["n"].append(int(n[a:b].sum()))
-                rows["docs"].append(pack(list(docs[own].T.copy())))
-                rows["probes"].append(pack([*body, *(c[a:b] for c in columns)]))
-            self.turn += 1
-            yield pa.RecordBatch.from_pydict(
-                rows,
-                schema=pa.schema(
-                    [
-                        ("bucket", pa.int32()),
-                        ("slice", pa.int32()),
-                        ("n", pa.int64()),
-                        ("docs", pa.binary()),
-                        ("probes", pa.binary()),
-                    ]
-                ),
-            )
-        self.clear()
-
-
-PACKS = "bucket int, slice int, n bigint, docs binary, probes binary"
-SHARED = "bucket int, judged bigint, entries binary"
-#: Hash of a probe and its other columns.
-_PROBE = ["<u4", "|u1"]
-_BLOCK = ["<u4"]
-_WHOLE = ["<u8", "<u4"]
-_WINDOW = ["<u8", "<u4", "<i4"]
-_NONE = np.iinfo(np.int64).max
-
-
-def _opened(table: pa.Table, kinds: list[str], names: int, marks: int = 1) -> list[np.ndarray]:
-    """Columns of a range's probes, with documents' ``names`` numbers in place of each of their
-    ``marks`` places."""
-    parts, kinds = [], [kinds[0], *["<u2"] * marks, *kinds[1:]]
-    for docs, probes in zip(table.column("docs"), table.column("probes")):
-        known = unpack(docs.as_py(), ["<i8"] * names)
-        hashes, *rest = unpack(probes.as_py(), kinds)
-        parts.append([hashes, *(k[m] for m in rest[:marks] for k in known), *rest[marks:]])
-    return [np.concatenate(c) for c in zip(*parts)]
-
-
-def _entries(table: pa.Table, kinds: list[str]) -> list[np.ndarray]:
-    """Columns of a range's shared entries."""
-    parts = [unpack(e.as_py(), kinds) for e in table.column("entries")]
-    return [np.concatenate(c) for c in zip(*parts)] if parts else [np.array([], k) for k in kinds]
-
-
-def _shared(bucket: int, judged: int, columns: list[np.ndarray]) -> pa.Table:
-    """Entries of a range in rows of bounded size, with the number of probes to judge."""
-    n = range(0, len(columns[0]), ENTRIES)
-    rows = {
-        "bucket": pa.array([bucket] * len(n), pa.int32()),
-        "judged": pa.array([judged] * len(n), pa.int64()),
-        "entries": pa.array([pack([c[at : at + ENTRIES] for c in columns]) for at in n], pa.binary()),
-    }
-    return pa.table(rows)
-
-
-def _slices(shared: DataFrame, ranges: int) -> np.ndarray:
-    """Number of slices of each range, zero without entries."""
-    slices = np.zeros(ranges, np.int32)
-    for r in shared.select("bucket", "judged").distinct().collect():
-        slices[r.bucket] = max(1, -(-r.judged // SLICE))
-    return slices
-
-
-def _judged(packs: DataFrame, shared: DataFrame, judge, schema: str) -> DataFrame:
-    """``judge`` of each slice of the packs and the entries of its range."""
-    last = F.greatest(F.ceil(F.col("judged") / SLICE), F.lit(1)).cast("int") - 1
-    slices = F.explode(F.sequence(F.lit(0), last)).alias("slice")
-    entries = shared.select("bucket", slices, "entries")
-    keys = ["bucket", "slice"]
-    return packs.groupBy(*keys).cogroup(entries.groupBy(*keys)).applyInArrow(judge, schema)
-
-
-def batches_of(
-    batches: Iterator[pa.RecordBatch], chars: int | None = None
-) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Rows with their UTF-8 texts, about ``chars`` characters at a time."""
-    limit = chars or CHUNK
-    for batch in batches:
-        for at in range(0, batch.num_rows, SLICE_ROWS):
-            part = batch.slice(at, SLICE_ROWS)
-            texts = [t or b"" for t in part.column("text").cast(pa.binary()).to_pylist()]
-            ends = np.cumsum([len(t) for t in texts]) // limit
-            cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), len(texts)]
-            for a, b in zip(cuts, cuts[1:]):
-                yield part.slice(a, b - a), texts[a:b]
-
-
-def _probes(ranges: int, block: int, slices: np.ndarray | None = None):
-    """All rolling windows of ``block`` words, reduced; those at whole blocks are marked. With
-    ``slices``, the whole blocks alone."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = Packer(ranges, _PROBE if slices is None else _BLOCK, slices)
-        for part, texts in batches_of(batches):
-            found = words(texts)
-            starts, hashes = found.windows(block)
-            number = np.searchsorted(found.first, starts, side="right") - 1
-            whole = (starts - found.first[number]) % block == 0
-            docs = [(i,) for i in part.column("doc").to_pylist()]
-            if slices is None:
-                yield from packer.add(docs, hashes, hashes, number, whole)
-            else:
-                yield from packer.add(docs, hashes[whole], hashes[whole], number[whole])
-        yield from packer.flush()
-
-    return run
-
-
-def _met(table: pa.Table) -> pa.Table:
-    """Hashes of a range where a block of one document is a window of another."""
-    hashes, least, greatest, whole = _opened(table, _PROBE, 1, 2)
-    order = np.argsort(hashes, kind="stable")
-    hashes, least, greatest, whole = (c[order] for c in (hashes, least, greatest, whole))
-    new = np.flatnonzero(np.diff(hashes.astype(np.int64), prepend=-1))
-    hit = np.maximum.reduceat(whole, new) > 0
-    hit &= np.minimum.reduceat(least, new) != np.maximum.reduceat(greatest, new)
-    judged = sum(table.column("n").to_pylist())
-    return _shared(table.column("bucket")[0].as_py(), judged, [hashes[new][hit]])
-
-
-def _hits(table: pa.Table, entries: pa.Table) -> pa.Table:
-    """Documents and hashes of a slice's blocks that are hit."""
-    if not table.num_rows:
-        return pa.table({"doc": pa.array([], pa.int64()), "hash": pa.array([], pa.int64())})
-    hashes, ids = _opened(table, _BLOCK, 1)
-    hit = np.isin(hashes, _entries(entries, _BLOCK)[0])
-    ids, key = ids[hit], hashes[hit].astype(np.int64) + (table.column("bucket")[0].as_py() << 32)
-    order = np.lexsort((ids, key))
-    ids, key = ids[order], key[order]
-    fresh = np.ones(len(ids), bool)
-    fresh[1:] = (ids[1:] != ids[:-1]) | (key[1:] != key[:-1])
-    return pa.table({"doc": ids[fresh], "hash": key[fresh]})
-
-
-def _windows(ranges: int, hit_ranges: int, block: int, window: int, slices: np.ndarray | None = None):
-    """Windows whose own whole blocks were all hit, with their full digests; reduced, or with
-    ``slices`` all of them with their places."""
+#: Bytes of text that are worked on at once.
+SLICE = 1 << 20
+
+
+class Passages:
+    """The words of some texts, the hashes of their rolling blocks, and where texts begin."""
+
+    def __init__(self, texts: list[bytes], block: int, powers: Powers):
+        own = [b" ".join(t.split()) for t in texts]
+        sizes = np.array([t.count(b" ") + 1 if t else 0 for t in own], np.int64)
+        self.data = b" ".join(t for t in own if t) + b" " * 8
+        n = int(sizes.sum())
+        cut = np.flatnonzero(np.frombuffer(self.data, np.uint8) == 32)[:n]
+        self.ends = cut
+        self.starts = np.concatenate([[0], cut[:-1] + 1]) if n else cut
+        #: Place of each text's first word, and the number of all words.
+        self.first = np.concatenate([[0], np.cumsum(sizes)])
+        words = hashed(self.data, self.starts, self.ends - self.starts, 0)
+        up, down = powers.to(n + 1)
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * up[:n])])
+        last = max(n - block + 1, 0)
+        self.block = block
+        self.rolling = mixed((total[block : block + last] - total[:last]) * down[:last])
+        #: Text of each word.
+        self.text = np.repeat(np.arange(len(texts)), sizes)
+        # A rolling block lies in one text if its first and last word do.
+        self.inside = self.text[:last] == self.text[block - 1 : block - 1 + last]
+
+    def aligned(self) -> np.ndarray:
+        """Places of the whole blocks of the texts."""
+        at = np.arange(len(self.rolling))
+        return at[self.inside & ((at - self.first[self.text[: len(at)]]) % self.block == 0)]
+
+    def windows(self, hit: np.ndarray, window: int) -> np.ndarray:
+        """Places of the windows all of whose own whole blocks are ``hit`` (of their places)."""
+        n = len(self.text) - window + 1
+        if n <= 0:
+            return np.zeros(0, np.int64)
+        own = self.aligned()
+        missed = np.zeros(len(self.text) + 1, np.int64)
+        missed[own[~hit]] = 1
+        before = np.concatenate([[0], np.cumsum(missed)])
+        at = np.arange(n)
+        at = at[self.text[:n] == self.text[window - 1 :]]
+        first = self.first[self.text[at]]
+        place = at - first
+        low = first + -(-place // self.block) * self.block
+        high = first + (place + window) // self.block * self.block - self.block
+        return at[before[high + 1] == before[low]]
+
+    def stretches(self, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Runs of windows that share the place of their least rolling block, as first window,
+        number of windows and that hash."""
+        none = np.zeros(0, np.int64)
+        if not len(at):
+            return none, none, none.astype(np.uint64)
+        span = window - self.block + 1
+        seen = np.lib.stride_tricks.sliding_window_view(self.rolling, span)[at]
+        anchor = at + seen.argmin(axis=1)
+        cut = (np.diff(anchor) != 0) | (np.diff(at) != 1)
+        begin = np.concatenate([[0], np.flatnonzero(cut) + 1])
+        return at[begin], np.diff(np.append(begin, len(at))), self.rolling[anchor[begin]]
+
+    def digests(self, first: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """128 bits of the bytes of runs of words."""
+        begin, end = self.starts[first].tolist(), self.ends[first + words - 1].tolist()
+        made = b"".join(
+            xxhash.xxh3_128_digest(self.data[a:b]) for a, b in zip(begin, end, strict=True)
+        )
+        pairs = np.frombuffer(made, "<i8").reshape(-1, 2)
+        return pairs[:, 0].copy(), pairs[:, 1].copy()
+
+
+def each_passages(df: DataFrame, block: int, schema: str, work) -> DataFrame:
+    """Rows that ``work(passages, batch)`` returns for each slice of the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = Packer(ranges, _WHOLE if slices is None else _WINDOW, slices)
-        for part, texts in batches_of(batches):
-            hits = part.column("hits")
-            found = words(texts)
-            starts, hashes = found.windows(block)
-            number = np.searchsorted(found.first, starts, side="right") - 1
-            own = (starts - found.first[number]) % block == 0
-            every, rolling = starts, hashes
-            starts, hashes, number = starts[own], hashes[own], number[own]
-            bucket = ranged(hashes, hit_ranges)
-            key = (bucket.astype(np.int64) << 32) + (hashes & np.uint64(0xFFFFFFFF)).astype(np.int64)
-            # How many blocks up to each place were not hit.
-            missed = np.zeros(len(found.hashes) + 1, np.int64)
-            for n in range(len(texts)):
-                a, b = np.searchsorted(number, [n, n + 1])
-                known = hits[n].values.to_numpy(zero_copy_only=False)
-                missed[starts[a:b][~np.isin(key[a:b], known)]] = 1
-            before = np.concatenate([[0], np.cumsum(missed)])
-            at, full = found.windows(window)
-            of = np.searchsorted(found.first, at, side="right") - 1
-            place = at - found.first[of]
-            low = found.first[of] + -(-place // block) * block
-            high = found.first[of] + (place + window) // block * block - block
-            fits = before[np.minimum(high, len(missed) - 1) + 1] - before[low] == 0
-            at, full, of, place = at[fits], full[fits], of[fits], place[fits]
-            other = _sequence(found.hashes, at, at + window, _OTHER) >> np.uint64(32)
-            # Neighbouring windows mostly share the least hash of the blocks they could hold,
-            # so a repeat goes to few ranges, in runs.
-            if len(at):
-                inside = np.lib.stride_tricks.sliding_window_view(rolling, window - block + 1)
-                route = _mix(inside[np.searchsorted(every, at)].min(axis=1))
-            else:
-                route = full
-            docs = list(zip(part.column("doc").to_pylist(), part.column("digest").to_pylist()))
-            if slices is None:
-                yield from packer.add([d[:1] for d in docs], route, full, of, other)
-            else:
-                yield from packer.add(docs, route, full, of, other, place)
-        yield from packer.flush()
-
-    return run
-
-
-def _runs_of_equal(full: np.ndarray, other: np.ndarray) -> np.ndarray:
-    """Where runs of equal digests start."""
-    new = np.ones(len(full), bool)
-    new[1:] = (full[1:] != full[:-1]) | (other[1:] != other[:-1])
-    return np.flatnonzero(new)
-
-
-def _firsts(table: pa.Table) -> pa.Table:
-    """Digests of a range that several documents have, with the least document."""
-    full, least, greatest, other = _opened(table, _WHOLE, 1, 2)
-    order = np.lexsort((other, full))
-    full, least, greatest, other = (c[order] for c in (full, least, greatest, other))
-    new = _runs_of_equal(full, other)
-    least, greatest = np.minimum.reduceat(least, new), np.maximum.reduceat(greatest, new)
-    many = least != greatest
-    judged = sum(table.column("n").to_pylist())
-    return _shared(
-        table.column("bucket")[0].as_py(), judged, [full[new][many], other[new][many], least[many]]
+        powers = Powers(0)
+        for batch in batches:
+            for a, b in spans(batch.column("_text"), SLICE):
+                part = batch.slice(a, b - a)
+                texts = [t or b"" for t in part.column("_text").cast(pa.binary()).to_pylist()]
+                yield from work(Passages(texts, block, powers), part)
+
+    return df.mapInArrow(run, schema)
+
+
+def index_blocks(docs: DataFrame, block: int) -> DataFrame:
+    """The different hashes ``h`` of the documents' whole blocks, stored."""
+
+    def work(found: Passages, _) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays(
+            [longs(np.unique(found.rolling[found.aligned()]))], names=["h"]
+        )
+
+    return materialize(each_passages(docs, block, "h bigint", work).distinct())
+
+
+def hit_blocks(docs: DataFrame, block: int, blocks: DataFrame) -> DataFrame:
+    """The hashes of blocks that are windows of another document, stored."""
+    held = docs.sparkSession.sparkContext.broadcast(bit_map(blocks, "h"))
+
+    def work(found: Passages, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        at = np.flatnonzero(found.inside & marked(held.value, found.rolling))
+        if not len(at):
+            return
+        doc = batch.column("_doc").to_numpy()[found.text[at]]
+        hashes = found.rolling[at]
+        order = np.argsort(hashes)
+        hashes, doc = hashes[order], doc[order]
+        begin = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
+        yield pa.RecordBatch.from_arrays(
+            [
+                longs(hashes[begin]),
+                longs(np.minimum.reduceat(doc, begin)),
+                longs(np.maximum.reduceat(doc, begin)),
+            ],
+            names=["h", "least", "most"],
+        )
+
+    probes = each_passages(docs, block, "h bigint, least bigint, most bigint", work)
+    met = probes.groupBy("h").agg(F.min("least").alias("least"), F.max("most").alias("most"))
+    return materialize(met.filter("least < most").join(blocks, "h", "left_semi").select("h"))
+
+
+def stretches(docs: DataFrame, window: int, block: int, hits: DataFrame) -> DataFrame:
+    """Stretches of windows that may repeat: document, first window, number of windows, least
+    hash, digest and a number for their place in the corpus, stored."""
+    held = docs.sparkSession.sparkContext.broadcast(bit_map(hits, "h"))
+
+    def work(found: Passages, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        hit = marked(held.value, found.rolling[found.aligned()])
+        first, n, anchor = found.stretches(found.windows(hit, window), window)
+        rows = found.text[first]
+        place = first - found.first[rows]
+        key = place_keys(batch.column("_key").to_numpy()[rows], place)
+        own = pa.array(rows)
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column("_doc").take(own),
+                batch.column("_digest").take(own),
+                pa.array(place.astype(np.int32)),
+                pa.array(n.astype(np.int32)),
+                longs(anchor),
+                longs(key),
+                *map(longs, found.digests(first, n + window - 1)),
+            ],
+            names=["_doc", "_digest", "place", "n", "a", "key", "c1", "c2"],
+        )
+
+    schema = column_schema(
+        _doc="bigint", _digest="bigint", place="int", n="int",
+        a="bigint", key="bigint", c1="bigint", c2="bigint",
+    )
+    return materialize(each_passages(docs, block, schema, work))
+
+
+def window_digests(docs: DataFrame, window: int, block: int, hits: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The windows of the ``wanted`` stretches: digest of the stretch, offset in it and digest of
+    the window, stored."""
+    spark = docs.sparkSession.sparkContext
+    held = spark.broadcast((bit_map(hits, "h"), bit_map(wanted, "key")))
+
+    def work(found: Passages, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        hit = marked(held.value[0], found.rolling[found.aligned()])
+        first, n, _ = found.stretches(found.windows(hit, window), window)
+        rows = found.text[first]
+        keys = place_keys(batch.column("_key").to_numpy()[rows], first - found.first[rows])
+        at = marked(held.value[1], keys)
+        first, n = first[at], n[at]
+        c1, c2 = found.digests(first, n + window - 1)
+        offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        start = np.repeat(first, n) + offset
+        w1, w2 = found.digests(start, np.full(len(start), window))
+        yield pa.RecordBatch.from_arrays(
+            [
+                longs(np.repeat(c1, n)),
+                longs(np.repeat(c2, n)),
+                pa.array(offset.astype(np.int32)),
+                longs(w1),
+                longs(w2),
+            ],
+            names=["c1", "c2", "offset", "w1", "w2"],
+        )
+
+    schema = "c1 bigint, c2 bigint, offset int, w1 bigint, w2 bigint"
+    rows = each_passages(docs, block, schema, work)
+    return materialize(rows.join(wanted.select("c1", "c2"), ["c1", "c2"], "left_semi").distinct())
+
+
+def removed_spans(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
+    """``_doc``, ``_digest`` and ``_spans`` (begin and end in words) of the documents that hold
+    windows that also start in a document with a smaller id."""
+    hits = hit_blocks(docs, block, index_blocks(docs, block))
+    standing = stretches(docs, window, block, hits)
+    different = materialize(
+        standing.groupBy("c1", "c2").agg(
+            F.min("_doc").alias("least"), F.first("a").alias("a"), F.min("key").alias("key")
+        )
+    )
+    several = different.groupBy("a").agg(F.count(F.lit(1)).alias("of")).filter("of > 1")
+    mixed_up = materialize(different.join(several, "a", "left_semi").select("c1", "c2", "key", "least"))
+    windows = window_digests(docs, window, block, hits, mixed_up)
+    of_window = (
+        windows.join(mixed_up.select("c1", "c2", "least"), ["c1", "c2"])
+        .groupBy("w1", "w2")
+        .agg(F.min("least").alias("least"))
+    )
+    each = windows.join(of_window, ["w1", "w2"]).select("c1", "c2", "offset", "least")
+    by_window = each.groupBy("c1", "c2").agg(
+        F.collect_list(F.struct("offset", F.col("least").alias("first"))).alias("windows")
+    )
+    known = materialize(
+        different.select("c1", "c2", "least").join(by_window, ["c1", "c2"], "left")
+    )
+    begin = F.col("place")
+    later = F.transform(
+        F.filter("windows", lambda w: w["first"] < F.col("_doc")),
+        lambda w: F.struct((begin + w["offset"]).alias("begin"), (begin + w["offset"] + window).alias("end")),
+    )
+    whole = F.array(F.struct(begin.alias("begin"), (begin + F.col("n") + (window - 1)).alias("end")))
+    return (
+        standing.join(known, ["c1", "c2"])
+        .filter("least < _doc or windows is not null")
+        .select("_doc", "_digest", F.when(F.col("windows").isNull(), whole).otherwise(later).alias("spans"))
+        .filter(F.size("spans") > 0)
+        .groupBy("_doc", "_digest")
+        .agg(F.flatten(F.collect_list("spans")).alias("_spans"))
     )
 
 
-def _later(table: pa.Table, entries: pa.Table) -> pa.Table:
-    """Runs of a slice's windows whose sequence also starts in a document with a smaller id, as
-    their first and last start."""
-    if not table.num_rows:
-        names = ("doc", "digest", "start", "last")
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
-        return pa.table({n: pa.array([], k) for n, k in zip(names, kinds)})
-    full, ids, digests, other, place = _opened(table, _WINDOW, 2)
-    known, apart, low = _entries(entries, ["<u8", "<u4", "<i8"])
-    every, both = np.concatenate([full, known]), np.concatenate([other, apart])
-    order = np.lexsort((both, every))
-    first = _runs_of_equal(every[order], both[order])
-    lows = np.concatenate([np.full(len(full), _NONE), low])[order]
-    least = np.empty(len(every), np.int64)
-    least[order] = np.repeat(np.minimum.reduceat(lows, first), np.diff(np.append(first, len(every))))
-    least = least[: len(full)]
-    later = ids > least
-    ids, digests, place = ids[later], digests[later], place[later]
-    order = np.lexsort((place, digests, ids))
-    ids, digests, place = ids[order], digests[order], place[order]
-    new = np.ones(len(ids), bool)
-    new[1:] = (ids[1:] != ids[:-1]) | (digests[1:] != digests[:-1]) | (np.diff(place) > 1)
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(ids)) - 1 if len(first) else first
-    return pa.table(
-        {
-            "doc": ids[first],
-            "digest": digests[first],
-            "start": place[first].astype(np.int32),
-            "last": place[last].astype(np.int32),
-        }
-    )
+REMOVED = column_schema(n_words="bigint", n_removed="bigint", kept="string", kept_sha256="string")
 
 
-def _kept(window: int):
-    """Texts without the words that removed windows cover."""
+def kept_words(text: bytes, found: list[tuple[int, int]]) -> tuple[int, list[bytes]]:
+    """The number of words of a text, and those that no span covers."""
+    own = text.split()
+    if not found:
+        return len(own), own
+    cover = np.zeros(len(own) + 1, np.int64)
+    begin, end = np.array(found).T
+    np.add.at(cover, begin, 1)
+    np.add.at(cover, end, -1)
+    return len(own), [own[i] for i in np.flatnonzero(np.cumsum(cover)[:-1] == 0).tolist()]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            removed, kept = [], []
-            texts, runs = batch.column("text").to_pylist(), batch.column("runs")
-            for text, own_runs in zip(texts, runs):
-                own = (text or "").encode().split()
-                cover = np.zeros(len(own) + 1, np.int64)
-                start, last = (x.to_numpy(zero_copy_only=False) for x in own_runs.values.flatten())
-                np.add.at(cover, start, 1)
-                np.add.at(cover, last + window, -1)
-                gone = np.cumsum(cover)[:-1] > 0
-                removed.append(int(gone.sum()))
-                kept.append(b" ".join([own[i] for i in np.flatnonzero(~gone).tolist()]).decode())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc"),
-                    batch.column("digest"),
-                    pa.array(removed, pa.int64()),
-                    pa.array(kept, pa.string()),
-                ],
-                names=["doc", "digest", "n_removed", "kept"],
-            )
-
-    return run
-
-
-def removed_repeats(
-    df: DataFrame, key: str, text: str = "text", window: int = WINDOW, block: int = BLOCK
+
+def without_repeats(
+    df: DataFrame,
+    key: str,
+    text: str = "text",
+    window: int = WINDOW,
+    block: int = BLOCK,
+    keep: bool = True,
 ) -> DataFrame:
-    """``(doc, digest, n_removed, kept)`` of the documents that lose words: id, digest of the
-    text, number of words removed and the rest joined by spaces. ``key`` is a bigint."""
+    """``df`` with ``n_words``, ``n_removed``, ``kept`` (unless ``keep`` is false) and
+    ``kept_sha256``; they replace columns of these names. ``key`` is a whole number."""
     if window < 2 * block - 1:
         raise ValueError("a window must hold a whole block wherever it starts")
-    size = df.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
-    ranges = max(LEAST_RANGES, -(-size // RANGE_BYTES))
-    texts = df.select(
-        F.col(key).cast("bigint").alias("doc"),
-        F.xxhash64(F.col(text)).alias("digest"),
-        F.col(text).alias("text"),
-    ).filter(F.col("doc").isNotNull() & F.col("text").isNotNull())
-    own = texts.select("doc", "text")
-    met = materialize(
-        own.mapInArrow(_probes(ranges, block), PACKS).groupBy("bucket").applyInArrow(_met, SHARED)
-    )
-    blocks = own.mapInArrow(_probes(ranges, block, _slices(met, ranges)), PACKS)
-    hits = materialize(
-        _judged(blocks, met, _hits, "doc bigint, hash bigint")
-        .groupBy("doc")
-        .agg(F.collect_set("hash").alias("hits"))
-    )
-    few = broadcast_if_bounded(hits, stored=True)
-    touched = materialize(texts.join(few, "doc"))
-    firsts = materialize(
-        touched.mapInArrow(_windows(ranges, ranges, block, window), PACKS)
-        .groupBy("bucket")
-        .applyInArrow(_firsts, SHARED)
-    )
-    windows = touched.mapInArrow(
-        _windows(ranges, ranges, block, window, _slices(firsts, ranges)), PACKS
+    docs = df.select(
+        F.col(key).cast("bigint").alias("_doc"),
+        F.xxhash64(text).alias("_digest"),
+        F.xxhash64(key, text).alias("_key"),
+        F.col(text).alias("_text"),
+    ).filter("_doc is not null and _text is not null")
+    found = broadcast_if_bounded(
+        removed_spans(docs, window, block).select(
+            F.col("_doc").alias("_of"), F.col("_digest").alias("_hash"), "_spans"
+        )
     )
-    removed = materialize(
-        _judged(windows, firsts, _later, "doc bigint, digest bigint, start int, last int")
-        .groupBy("doc", "digest")
-        .agg(F.collect_set(F.struct("start", "last")).alias("runs"))
+    fields = [f for f in REMOVED.split(", ") if keep or f != "kept string"]
+    names = [f.split()[0] for f in fields]
+
+    @F.arrow_udf(f"struct<{', '.join(f.replace(' ', ': ') for f in fields)}>")
+    def remove(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, runs in batches:
+            for a, b in spans(texts, SLICE):
+                rows = []
+                chunk = texts.slice(a, b - a).cast(pa.binary()).to_pylist()
+                for value, own in zip(chunk, runs.slice(a, b - a).to_pylist(), strict=True):
+                    n, left = kept_words(value or b"", [(s["begin"], s["end"]) for s in own or ()])
+                    kept = b" ".join(left)
+                    row = [n, n - len(left), kept, hashlib.sha256(kept).hexdigest()]
+                    rows.append(row if keep else row[:2] + row[3:])
+                kinds = [pa.int64()] * 2 + [pa.string()] * (1 + keep)
+                columns = [pa.array(c, t) for c, t in zip(zip(*rows), kinds, strict=True)]
+                yield pa.StructArray.from_arrays(columns, names=names)
+
+    rows = df.select(F.struct("*").alias("_row")).select(
+        "_row", F.col(f"_row.`{key}`").cast("bigint").alias("_k"), F.col(f"_row.`{text}`").alias("_t")
     )
-    return (
-        touched.select("doc", "digest", "text")
-        .join(removed, ["doc", "digest"])
-        .mapInArrow(_kept(window), "doc bigint, digest bigint, n_removed bigint, kept string")
+    same = (F.col("_k") == F.col("_of")) & (F.xxhash64("_t") == F.col("_hash"))
+    made = rows.join(found, same, "left").select(
+        "_row", remove.asNondeterministic()(F.col("_t"), F.col("_spans")).alias("_made")
     )
-
-
-def _plain_words():
-    def work(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            counts, digests = [], []
-            for text in batch.cast(pa.binary()).to_pylist():
-                own = (text or b"").split()
-                counts.append(len(own))
-                digests.append(hashlib.sha256(b" ".join(own)).hexdigest())
-            yield pa.StructArray.from_arrays(
-                [pa.array(counts, pa.int64()), pa.array(digests)], names=["n_words", "kept_sha256"]
-            )
-
-    return work
+    others = [c for c in df.columns if c not in names]
+    return made.select(*[F.col(f"_row.`{c}`") for c in others], *[f"_made.{n}" for n in names])
 
 
 def deduplicated(
     df: DataFrame, key: str, text: str = "text", window: int = WINDOW, block: int = BLOCK
 ) -> DataFrame:
     """``(key, n_words, n_removed, kept_sha256)`` per row of ``df``."""
-
-    @F.arrow_udf("n_words bigint, kept_sha256 string")
-    def plain(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        yield from _plain_words()(batches)
-
-    every = df.select(
-        F.col(key),
-        F.xxhash64(F.col(text)).alias("_digest"),
-        plain.asNondeterministic()(F.col(text)).alias("_made"),
-    ).select(key, "_digest", "_made.*")
-    changed = removed_repeats(df, key, text, window, block).select(
-        F.col("doc").alias("_doc"),
-        F.col("digest").alias("_other"),
-        "n_removed",
-        F.sha2("kept", 256).alias("_rest"),
-    )
-    changed = changed.dropDuplicates(["_doc", "_other"])
-    met = (F.col(key).cast("bigint") == F.col("_doc")) & (F.col("_digest") == F.col("_other"))
-    return every.join(changed, met, "left").select(
-        key,
-        "n_words",
-        F.coalesce("n_removed", F.lit(0)).cast("bigint").alias("n_removed"),
-        F.coalesce("_rest", "kept_sha256").alias("kept_sha256"),
-    )
+    own = df.select(F.col(key), F.col(text).alias("_words"))
+    return without_repeats(own, key, "_words", window, block, keep=False).drop("_words")

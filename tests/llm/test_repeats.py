@@ -4,7 +4,6 @@ import hashlib
 import random
 
 import numpy as np
-import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -34,8 +33,7 @@ def plain(rows, window):
 
 @pytest.mark.parametrize("window, block", [(50, 25), (7, 4), (5, 2)])
 def test_substrings(spark, make, window, block, monkeypatch):
-    monkeypatch.setattr(substrings, "PACKED", 5000)
-    monkeypatch.setattr(substrings, "CHUNK", 3000)
+    monkeypatch.setattr(substrings, "SLICE", 3000)
     draw = random.Random(window)
     some = lambda n: [draw.choice("abcdefghij") * draw.randrange(1, 4) for _ in range(n)]
     passages = [some(draw.randrange(window - 2, 3 * window)) for _ in range(8)]
@@ -57,40 +55,40 @@ def test_substrings(spark, make, window, block, monkeypatch):
     assert substrings.deduplicated(docs.limit(0), "doc_id").count() == 0
 
 
-def test_copies_are_reduced_before_they_meet():
-    text = " ".join(f"w{i}" for i in range(300))
-    batch = pa.RecordBatch.from_pydict({"doc": list(range(400)), "text": [text] * 400})
-    packs = [r for b in substrings._probes(16, 25)(iter([batch])) for r in b.to_pylist()]
-    assert sum(int.from_bytes(r["probes"][:4], "little") for r in packs) <= 276
+def test_copies_are_one_stretch():
+    """Equal passages fall into equal stretches, whatever stands around them."""
+    hot = " ".join(f"w{i}" for i in range(300))
+    texts = [f"{'x ' * i}{hot} {'y ' * (9 - i)}".encode() for i in range(9)]
+    found = substrings.Passages(texts, 25, substrings.Powers(0))
+    own = found.aligned()
+    first, n, _ = found.stretches(found.windows(np.ones(len(own), bool), 50), 50)
+    digests = list(zip(*(c.tolist() for c in found.digests(first, n + 49)), strict=True))
+    # All but the ends are shared, and every window is in one stretch.
+    assert len(set(digests)) < 0.2 * len(digests)
+    at = np.concatenate([np.arange(a, a + k) for a, k in zip(first, n)])
+    assert len(at) == len(set(at.tolist())) == sum(max(len(t.split()) - 49, 0) for t in texts)
 
 
-def test_a_hot_passage_is_judged_in_slices(spark, make, monkeypatch):
-    monkeypatch.setattr(substrings, "PACKED", 2000)
-    monkeypatch.setattr(substrings, "SLICE", 5)
-    monkeypatch.setattr(substrings, "ENTRIES", 7)
+def test_a_hot_passage_between_other_words(spark, make, monkeypatch):
     draw = random.Random(5)
     hot = [f"h{i}" for i in range(60)]
     texts = [[f"{i}x{n}" for n in range(draw.randrange(9))] + hot * draw.randrange(3) for i in range(300)]
     rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
     docs = make([(i, t, "en", "s", 0) for i, t in rows]).repartition(4)
-    slices, of = [], substrings._slices
-    monkeypatch.setattr(substrings, "_slices", lambda *a: slices.append(of(*a)) or slices[-1])
     got = substrings.deduplicated(docs, "doc_id").collect()
     assert sorted(map(tuple, got), key=str) == plain(rows, 50)
-    assert [s.max() > 5 for s in slices] == [True, True]
+    # What is marked by chance changes nothing.
+    monkeypatch.setattr(substrings, "marked", lambda bits, keys: np.ones(len(keys), bool))
+    again = substrings.without_repeats(docs.withColumn("kept", F.lit(1)), "doc_id").collect()
+    kept = {r.doc_id: r.kept for r in again}
+    assert {r.doc_id: r.kept_sha256 for r in got} == {
+        i: hashlib.sha256(t.encode()).hexdigest() for i, t in kept.items()
+    }
 
 
 def test_short_windows_are_refused(make):
     with pytest.raises(ValueError):
-        substrings.removed_repeats(make(["a"]), "doc_id", window=48, block=25)
-
-
-def test_packing_round_trip():
-    draw = np.random.default_rng(3)
-    hashes = np.sort(draw.integers(0, 1 << 64, 999, np.uint64))
-    number, place = draw.integers(0, 9, 999).astype("<u2"), draw.integers(-9, 9, 999).astype("<i4")
-    back = substrings.unpack(substrings.pack([hashes, number, place]), ["<u8", "<u2", "<i4"])
-    assert all((a == b).all() for a, b in zip(back, (hashes, number, place)))
+        substrings.deduplicated(make(["a"]), "doc_id", window=48, block=25)
 
 
 def brute(rows, queries, k):
