@@ -10,7 +10,7 @@ and then verified on the bits themselves.
 
 A cell does not emit its pairs. It emits edges from the parts it finds connected, at
 most one per visitor, and components are joined over all cells. Equal fingerprints are
-one vertex. Cells with more than ``CELL_ROWS`` residents are cut into blocks, and a task
+one vertex. Cells with more than ``CELL_ROWS`` residents and visitors are cut into blocks, and a task
 compares two blocks.
 
 Texts without a word have fingerprint zero and are linked like any other. Null ids have
@@ -131,25 +131,35 @@ def _places(max_distance: int):
 
 
 def _split_cells(places: DataFrame) -> DataFrame:
-    """``places`` with ``pair``, ``block`` and ``other``: a cell with many residents is dealt to
-    blocks, and each row goes to every pair of its block with another."""
-    sizes = (
-        places.filter(~F.col("guest"))
-        .groupBy("band", "cell")
-        .count()
-        .filter(F.col("count") > CELL_ROWS)
-        .select("band", "cell", F.ceil(F.col("count") / CELL_ROWS).cast("int").alias("blocks"))
-    )
-    block = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    meets = F.transform(
-        F.sequence(F.lit(0), F.col("blocks") - 1),
-        lambda other: F.least(F.col("block"), other) * F.col("blocks") + F.greatest(F.col("block"), other),
+    """``places`` with ``pair``: a cell with many rows is dealt to blocks. A resident meets the
+    residents of every block and all visitors; residents and visitors of a cell with ``r``
+    and ``v`` blocks meet in the ``r x v`` pairs of theirs, so no group has more than a
+    block of each, however many visitors a cell has. A cell without residents links nothing."""
+    mine = F.sum(F.when(~F.col("guest"), 1).otherwise(0))
+    sizes = places.groupBy("band", "cell").agg(mine.alias("own"), F.count(F.lit(1)).alias("rows"))
+    sizes = sizes.filter(F.col("rows") > CELL_ROWS).select(
+        "band",
+        "cell",
+        F.ceil(F.col("own") / CELL_ROWS).cast("bigint").alias("residents"),
+        F.greatest(F.ceil((F.col("rows") - F.col("own")) / CELL_ROWS), F.lit(1)).cast("bigint").alias("visitors"),
     )
+    r, v = F.col("residents"), F.col("visitors")
+    block = F.pmod(F.xxhash64("fp"), F.when(F.col("guest"), v).otherwise(r))
+    every = lambda n: F.sequence(F.lit(0).cast("bigint"), n - 1)
+    # Pairs of residents come first, then, behind ``r * r``, pairs with blocks of visitors.
+    home = F.transform(every(r), lambda o: F.least(F.col("block"), o) * r + F.greatest(F.col("block"), o))
+    abroad = F.transform(every(v), lambda o: r * r + F.col("block") * v + o)
+    guest = F.transform(every(r), lambda o: r * r + o * v + F.col("block"))
+    meets = F.when(F.col("guest"), guest).otherwise(F.concat(home, abroad))
+    alone = (r == 1) & (v == 1)
     return (
         places.join(sizes, ["band", "cell"], "left")
-        .withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        .withColumn("residents", F.coalesce("residents", F.lit(1)))
+        .withColumn("visitors", F.coalesce("visitors", F.lit(1)))
+        .filter("residents > 0")
         .withColumn("block", block)
-        .select("band", "cell", "guest", "fp", F.explode(meets).alias("pair"))
+        .withColumn("pairs", F.when(alone, F.array(F.lit(0).cast("bigint"))).otherwise(meets))
+        .select("band", "cell", "guest", "fp", F.explode("pairs").alias("pair"))
     )
 
 
@@ -285,10 +295,11 @@ def near_duplicates(
 def representatives(
     df: DataFrame, key: str, text: str = "text", shingle: int = 3, max_distance: int = 3
 ) -> DataFrame:
-    """The rows of ``df`` that stay: one row per group, that of its smallest key.
+    """The rows of ``df`` that stay: one row per group, that of its smallest key, and of the
+    least digest of the text among rows of that key.
 
-    Repeated rows of that key count as copies of it, also if they lead several groups. A row
-    with a null key stays if its group has no other key, one for each such group."""
+    Rows that repeat key and text are copies, one of them stays. A key that leads several groups
+    keeps a row in each. A row with a null key stays if its group has no other key."""
     made = fingerprint_column(shingle)(F.col(text))
     prints = materialize(
         df.select(F.col(key), F.xxhash64(F.col(text)).alias("_digest"), made.alias("_made")).select(
@@ -305,12 +316,13 @@ def representatives(
         .agg(F.min("_row").alias("_row"))
         .select(F.col("_row.key").alias("_stays"), F.col("_row.digest").alias("_text_digest"))
     )
-    met = F.col(key).eqNullSafe(F.col("_stays")) & (F.xxhash64(F.col(text)) == F.col("_text_digest"))
     digest = F.xxhash64(F.col(text))
-    one = Window.partitionBy(key, F.when(F.col(key).isNull(), digest)).orderBy(digest)
+    rows = df.select(F.struct("*").alias("_whole"), F.col(key).alias("_key"), digest.alias("_digest"))
+    met = F.col("_key").eqNullSafe(F.col("_stays")) & (F.col("_digest") == F.col("_text_digest"))
+    one = Window.partitionBy("_key", "_digest").orderBy("_digest")
     return (
-        df.join(stays, met, "left_semi")
+        rows.join(stays, met, "left_semi")
         .withColumn("_row", F.row_number().over(one))
         .filter("_row = 1")
-        .drop("_row")
+        .select("_whole.*")
     )
