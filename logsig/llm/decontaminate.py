@@ -4,15 +4,18 @@ The documents are indexed in blocks: for every term of the benchmark, the postin
 (document, positions) of the block's documents, stored as a table with its document
 lengths. Each window of an item is looked up by its rarest terms: their lists, shifted
 by the terms' offsets, are intersected on the window's start. What is left is verified
-word by word in the documents themselves, which gives exact phrases; a slop on the
-starts gives proximity matches instead.
+word by word in the documents themselves, which gives exact phrases. A proximity match holds
+as many different of these terms as a window asks for at shifts at most a slop apart; each
+document and item gives one, that with the most terms, then the least shift.
 
 The benchmark is worked on in blocks of bounded size, each held against all documents,
-so what a task gets of it is bounded however large it is.
+so what a task gets of it is bounded however large it is; an item longer than a block is
+a block of its own.
 
 Null and empty texts have no words; they are never hit. An item shorter than the window
 is one window, an item without words none. Repeated item ids are one item with several
-texts. Documents are judged by their own text, also if they share an id or have none.
+texts; an item without an id is looked for, but is no item that could be named or counted.
+Documents are judged by their own text, also if they share an id or have none.
 """
 
 from __future__ import annotations
@@ -26,6 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import broadcast_if_bounded, materialize
+from .common import SLICE, spans
+
 WINDOW = 13
 #: Terms of a window whose lists are intersected.
 RAREST = 3
@@ -33,6 +38,8 @@ RAREST = 3
 BLOCK_CHARS = 4 << 20
 #: Documents in a block of the index.
 BLOCK_ROWS = 2000
+#: Lookups that are broadcast; an entry is sixteen bytes.
+ASKED_ROWS = 1 << 20
 #: Documents with candidates are broadcast to the scan of the texts up to this size.
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 4 << 20
@@ -49,6 +56,13 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(_WORDS).split()
 
 
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of at most a block, and of bounded text in their second column."""
+    for batch in batches:
+        for a, b in spans(batch.column(1), SLICE, BLOCK_ROWS):
+            yield batch.slice(a, b - a)
+
+
 class Tests:
     """Windows of a block of test items, as term numbers."""
 
@@ -87,7 +101,7 @@ def index(docs: DataFrame, key: str, text: str, terms: dict[bytes, int]) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = shipped.value.get
-        for batch in (b.slice(at, BLOCK_ROWS) for b in batches for at in range(0, b.num_rows, BLOCK_ROWS)):
+        for batch in sliced(batches):
             ids, lengths, docs_of, places = [], [], [], []
             for n, t in enumerate(batch.column(1).to_pylist()):
                 found = words(t)
@@ -152,16 +166,12 @@ def lookups(tests: Tests, frequency: dict[int, int], rarest: int = RAREST) -> li
     return [(t, n, o, asked[n]) for t, n, o in sorted(places)]
 
 
-def placed(postings: DataFrame, asked: DataFrame, slop: int = 0) -> DataFrame:
-    """``(doc, item, shift, n)``: where a document may hold part of an item.
-
-    ``shift`` is the position that the item's first word would have (negative if only a
-    later part is held). The lists of the asked terms, shifted by their offsets, must meet
-    in one shift, or with a ``slop`` in a bucket of ``slop + 1`` shifts or the next.
-    """
+def shifted(postings: DataFrame, asked: DataFrame) -> DataFrame:
+    """``(doc, item, asked, offset, shift)``: occurrences of asked terms. ``shift`` is the position
+    that the item's first word would have, negative if only a later part is held."""
     at = F.explode(F.arrays_zip("docs", "positions")).alias("p")
-    rows = (
-        postings.join(F.broadcast(asked), "term")
+    return (
+        postings.join(asked, "term")
         .select("item", "asked", "offset", at)
         .select(
             F.col("p.docs").alias("doc"),
@@ -171,18 +181,61 @@ def placed(postings: DataFrame, asked: DataFrame, slop: int = 0) -> DataFrame:
             (F.col("p.positions") - F.col("offset")).alias("shift"),
         )
     )
-    if slop:
-        bucket = F.floor(F.col("shift") / (slop + 1)).cast("int")
-        both = F.array(bucket * (slop + 1), (bucket - 1) * (slop + 1))
-        rows = rows.withColumn("shift", F.explode(both))
+
+
+def placed(postings: DataFrame, asked: DataFrame) -> DataFrame:
+    """``(doc, item, shift, n)``: where a document may hold part of an item, as the lists of the
+    asked terms, shifted by their offsets, meet there."""
     return (
-        rows.groupBy("doc", "item", "asked", "shift")
+        shifted(postings, asked)
+        .groupBy("doc", "item", "asked", "shift")
         .agg(F.count("*").alias("n"))
         .filter(F.col("n") >= F.col("asked"))
         .drop("asked")
     )
 
 
+def close_by(postings: DataFrame, asked: DataFrame, slop: int) -> DataFrame:
+    """``(doc, item, n, shift)``: the most different offsets with shifts from ``shift`` to ``slop``
+    above it, of documents that hold as many as asked.
+
+    Shifts are dealt to buckets of ``slop + 1``. A stretch begins in one bucket and ends in it
+    or the next, so a bucket gets its own rows and those of the next; what it holds is
+    bounded by the slop and the terms of an item.
+    """
+    own = F.floor(F.col("shift") / (slop + 1)).cast("int")
+    rows = (
+        shifted(postings, asked)
+        .distinct()
+        .withColumn("bucket", F.explode(F.array(own, own - 1)))
+        .groupBy("doc", "item", "asked", "bucket")
+        .agg(F.collect_list(F.struct("shift", "offset")).alias("held"))
+        .filter(F.size(F.array_distinct("held.offset")) >= F.col("asked"))
+    )
+    starts = F.array_distinct(F.transform("held", lambda h: h["shift"]))
+    inside = lambda s: F.filter("held", lambda h: h["shift"].between(s, s + slop))
+    counted = F.transform(
+        F.filter(starts, lambda s: F.floor(s / (slop + 1)) == F.col("bucket")),
+        lambda s: F.struct(
+            F.size(F.array_distinct(F.transform(inside(s), lambda h: h["offset"]))).alias("n"),
+            (-s).alias("back"),
+        ),
+    )
+    best = rows.select("doc", "item", "asked", F.array_max(counted).alias("best"))
+    return (
+        best.filter(F.col("best.n") >= F.col("asked"))
+        .groupBy("doc", "item")
+        .agg(F.max("best").alias("best"))
+        .select("doc", "item", "best.n", (-F.col("best.back")).alias("shift"))
+    )
+
+
+def asked_terms(spark, asked: list[tuple]) -> DataFrame:
+    """The lookups of a block as a table; broadcast up to a checked number of rows."""
+    table = spark.createDataFrame(asked, "term int, item int, offset int, asked int")
+    return F.broadcast(table) if len(asked) <= ASKED_ROWS else table
+
+
 _RANGE = pa.struct([("start", pa.int32()), ("end", pa.int32())])
 
 
@@ -196,12 +249,12 @@ def verified(found: DataFrame, key: str, text: str, tests: Tests) -> DataFrame:
     """``(key, ranges, items)`` of documents ``(key, text, places)``: word ranges covered by an
     exact window, and the items with one."""
     shipped = found.sparkSession.sparkContext.broadcast(
-        (tests.terms, [(str(n), ids) for n, ids in tests.items], tests.window)
+        (tests.terms, [(None if n is None else str(n), ids) for n, ids in tests.items], tests.window)
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, items, window = shipped.value
-        for batch in batches:
+        for batch in sliced(batches):
             ranges, names = [], []
             for t, places in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 found = words(t)
@@ -216,7 +269,8 @@ def verified(found: DataFrame, key: str, text: str, tests: Tests) -> DataFrame:
                     same = doc[a:b] == ids[a - place["shift"] : b - place["shift"]]
                     for s, e in runs(same, min(window, len(ids))):
                         own.append({"start": a + s, "end": a + e})
-                        hit.add(name)
+                        if name is not None:
+                            hit.add(name)
                 ranges.append(own)
                 names.append(sorted(hit))
             yield pa.RecordBatch.from_arrays(
@@ -237,8 +291,7 @@ def _matches(docs, key, text, items, window, rarest):
     postings = materialize(index(docs, key, text, tests.terms))
     counts = postings.filter(F.col("term") >= 0).groupBy("term").agg(F.sum("n").alias("n")).collect()
     asked = lookups(tests, {r.term: r.n for r in counts}, rarest)
-    table = spark.createDataFrame(asked, "term int, item int, offset int, asked int")
-    places = placed(postings, table)
+    places = placed(postings, asked_terms(spark, asked))
     grouped = places.groupBy("doc").agg(F.collect_list(F.struct("item", "shift")).alias("places"))
     few = broadcast_if_bounded(grouped, max_rows=BROADCAST_ROWS, max_bytes=BROADCAST_BYTES)
     texts = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
@@ -259,21 +312,28 @@ def proximity_matches(
     text: str = "text",
     rarest: int = RAREST,
 ) -> DataFrame:
-    """``(doc, item, shift, n)``: documents that hold the rarest terms of an item's windows in
-    about its order and distances, ``n`` of them within ``slop`` places of each other."""
+    """``(doc, item, n, shift)``: documents that hold the rarest terms of an item's windows in
+    about its order and distances, ``n`` different ones at shifts of at most ``slop`` apart.
+    Items that share an id are one; items without one are left out."""
     parts = []
     for items in test_blocks(benchmark, item_key, text):
         tests = Tests(items)
         postings = materialize(index(docs, key, text, tests.terms))
         counts = postings.filter(F.col("term") >= 0).groupBy("term").agg(F.sum("n").alias("n"))
         asked = lookups(tests, {r.term: r.n for r in counts.collect()}, rarest)
-        table = docs.sparkSession.createDataFrame(asked, "term int, item int, offset int, asked int")
-        names = docs.sparkSession.createDataFrame(
-            [(n, str(name)) for n, (name, _) in enumerate(tests.items)], "item int, name string"
+        named = [(n, str(name)) for n, (name, _) in enumerate(tests.items) if name is not None]
+        names = docs.sparkSession.createDataFrame(named, "item int, name string")
+        near = close_by(postings, asked_terms(docs.sparkSession, asked), slop).join(
+            F.broadcast(names) if len(named) <= ASKED_ROWS else names, "item"
         )
-        near = placed(postings, table, slop).join(F.broadcast(names), "item")
-        parts.append(near.select("doc", F.col("name").alias("item"), "shift", "n"))
-    return functools.reduce(DataFrame.unionByName, parts)
+        parts.append(near.select("doc", F.col("name").alias("item"), "n", "shift"))
+    best = F.max(F.struct("n", (-F.col("shift")).alias("back"))).alias("best")
+    return (
+        functools.reduce(DataFrame.unionByName, parts)
+        .groupBy("doc", "item")
+        .agg(best)
+        .select("doc", "item", "best.n", (-F.col("best.back")).alias("shift"))
+    )
 
 
 def contamination(

@@ -167,7 +167,8 @@ hits AS MATERIALIZED (SELECT doc_id, s, size, item_id FROM held JOIN asked USING
 places AS (SELECT doc_id, count(DISTINCT p) AS n_hit
   FROM (SELECT doc_id, unnest(range(s, s + size)) AS p FROM hits) GROUP BY doc_id),
 names AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(name, ',' ORDER BY name)) AS digest
-  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS name FROM hits) GROUP BY doc_id)
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS name FROM hits WHERE item_id IS NOT NULL)
+  GROUP BY doc_id)
 SELECT doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit,
   coalesce(n_items, 0) AS n_items, coalesce(digest, sha256('')) AS items_sha256,
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
@@ -182,6 +183,18 @@ def decontamination(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+#: Places that the rarest terms of a window may be out of their order and distances.
+SLOP = 3
+
+
+@query("decontamination_near")
+def decontamination_near(spark: SparkSession, folder: str) -> DataFrame:
+    """The proximity matches of the index of ``op6_decontamination``."""
+    return decontaminate.proximity_matches(
+        read(spark, folder, "documents"), read(spark, folder, "benchmark"), "doc_id", "item_id", SLOP
+    ).select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "n", "shift")
+
+
 @query("op9_byte_bpe")
 def byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     documents = read(spark, folder, "documents").select("doc_id", "text")

@@ -55,7 +55,7 @@ KEY = "Zq9xYb7TnM2LwEr5UoPi8K"
 
 def test_secret_candidates():
     text = f"é PASSWORD : 'abcdefghijkl' token=short AKIA{'A' * 14} AKIA1 {'0f' * 8} {KEY}"
-    got = [(secretscan.KINDS[k], text[s:e], text[v:e]) for s, k, e, v in secretscan.candidates(text)]
+    got = [(secretscan.KINDS[k], text[s:e], text[v:e]) for s, k, e, v, _ in secretscan.candidates(text)]
     assert got == [
         ("assign", "PASSWORD : 'abcdefghijkl", "abcdefghijkl"),
         ("access", "AKIA" + "A" * 14, "AKIA" + "A" * 14),
@@ -157,12 +157,76 @@ def test_contamination(spark, make, tmp_path, monkeypatch):
     assert contaminated(docs.limit(0), spark, str(tmp_path)).count() == 0
 
 
-def test_proximity(spark, make):
+def test_values_of_credentials_stand_bare_elsewhere(spark, make):
+    """A value that is assigned in one text is found as a word of another, if few have it."""
+    rows = ["token=hunter2hunter2.", "we use hunter2hunter2, or hunter2hunter22", "hunter2hunter2=", "nothing"]
+    rows = [(i, t, "en", "s0", 0) for i, t in enumerate(rows)]
+    wide = [(10 + i, "secret: commonvalue99" if i < 3 else "see commonvalue99 x", "en", f"w{i}", 0) for i in range(9)]
+    docs = make(rows + wide).withColumnRenamed("n_chars", "_live").withColumn("_h1", F.lit("mine"))
+    got = secretscan.scanned(docs, "doc_id").select("doc_id", secretscan.spans_text().alias("spans"))
+    spans = dict(got.collect())
+    assert spans[0] == "assign:0:21" and spans[1] == "bare:7:21" and spans[2] == "bare:0:14"
+    assert spans[3] == "" and spans[10] == "assign:0:21"
+    # Nine owners have it, most of them bare: an example.
+    assert all(spans[i] == "" for i in range(13, 19))
+    red = {r.doc_id: r for r in secretscan.redacted(docs, "text", "#").collect()}
+    assert red[1].text == "we use #, or hunter2hunter22" and red[10].text == "secret: commonvalue99"
+    assert red[2].text == "#=" and red[0].text == "token=#" and red[1]._h1 == "mine" and red[1]._live == 0
+
+
+def plain_near(texts, items, slop, rarest=3):
+    """Of all places of the asked terms, the most different ones whose shifts are close."""
+    split = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (t or "").lower())
+    docs = [split(t) for t in texts]
+    found = {}
+    for name, text in items:
+        own = split(text)
+        size = min(13, len(own))
+        frequency = {w: sum(d.count(w) for d in docs) for w in own}
+        asked, places = [], set()
+        number = {w: i for i, w in reversed(list(enumerate(own)))}
+        for s in range(len(own) - size + 1 if own else 0):
+            terms = own[s : s + size]
+            if all(frequency[w] for w in terms):
+                chosen = sorted(range(size), key=lambda o: (frequency[terms[o]], number[terms[o]], o))[:rarest]
+                places |= {(terms[o], s + o) for o in chosen}
+                asked.append(len(chosen))
+        for n, d in enumerate(docs):
+            shifts = sorted((p - o, o) for p, w in enumerate(d) for t, o in places if t == w)
+            best = None
+            for s, _ in shifts:
+                offsets = {o for x, o in shifts if s <= x <= s + slop}
+                if asked and len(offsets) >= min(asked) and (best is None or (len(offsets), -s) > best):
+                    best = (len(offsets), -s)
+            if best:
+                found[n, name] = (best[0], -best[1])
+    return found
+
+
+@pytest.mark.parametrize("slop", [0, 2, 5])
+def test_proximity(spark, make, slop):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lam mu nu"
-    docs = make([item, item.replace("gamma", "gamma x"), "alpha " * 20, item.replace(" ", " x x x x x "), None])
-    bench = spark.createDataFrame([("i", item)], "item_id string, text string")
-    got = decontaminate.proximity_matches(docs, bench, "doc_id", "item_id", slop=2).collect()
-    assert {r.doc for r in got} == {0, 1}
+    draw = random.Random(slop)
+    texts = [item, item.replace("gamma", "gamma x"), "alpha " * 20, item.replace(" ", " x x x x x "), None]
+    texts += ["rare filler rare filler rare other", "rare uncommon x scarce", "scarce uncommon rare", "x rare x uncommon x scarce x"]
+    words = ["rare", "uncommon", "scarce", "x", "alpha", "beta", "gamma", "nu"]
+    texts += [" ".join(draw.choice(words) for _ in range(40)) for _ in range(30)]
+    items = [("i", item), ("j", "rare uncommon scarce"), ("k", "missing words"), ("l", None), ("m", "alpha")]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    got = decontaminate.proximity_matches(make(texts), bench, "doc_id", "item_id", slop=slop).collect()
+    found = {(r.doc, r.item): (r.n, r.shift) for r in got}
+    assert len(found) == len(got) and found == plain_near(texts, items, slop)
+    assert (5, "j") not in found and ((6, "j") in found) == (slop > 0)
+
+
+def test_items_without_an_id(spark, make, tmp_path):
+    """They count as hits of words, not as items."""
+    spark.createDataFrame([(None, "one two three"), ("i", "four five")], "item_id string, text string").write.parquet(
+        f"{tmp_path}/benchmark.parquet"
+    )
+    got = {r.doc_id: r for r in contaminated(make(["one two three four five", "one two three"]), spark, str(tmp_path)).collect()}
+    assert (got[0].n_hit, got[0].n_items) == (5, 1) and (got[1].n_hit, got[1].n_items) == (3, 0)
+    assert got[0].items_sha256 == hashlib.sha256(b"i").hexdigest() and got[1].contaminated
 
 
 @pytest.mark.parametrize("rule", attribution.RULES)
