@@ -1,7 +1,7 @@
 """Language identification of mixed-language texts.
 
 A word's scores are the log-probabilities of its letter trigrams under each language.
-The scripts of its letters narrow the candidates: a language takes part if its training
+The script of its first letter narrows the candidates: a language takes part if its training
 texts use the script. Viterbi decoding over the words, with a penalty for switching,
 labels spans; a document's language is the one with the most letters in its spans.
 
@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logsig.session import broadcast_if_bounded
+
 from .common import computed, per_text, structs
 
 #: About so many documents of each language are learned from, drawn by a hash of their id,
@@ -27,6 +29,8 @@ from .common import computed, per_text, structs
 SAMPLE_PER_LANGUAGE = 2000
 SAMPLE_CHARS = 20_000
 BUCKETS = 1 << 16
+#: The model is languages x buckets numbers, and goes to every task.
+MOST_LANGUAGES = 512
 SWITCH = 6.0
 #: A script belongs to a language if at least this share of its letters is of it.
 SCRIPT_SHARE = 0.01
@@ -127,9 +131,9 @@ class Model:
         order = np.argsort(-lengths, kind="stable")
         starts, lengths = starts[order], lengths[order]
         n = scores.shape[1]
-        back = np.empty(scores.shape, np.int8)
+        back = np.empty(scores.shape, np.int32)
         best = scores[starts].copy()
-        own = np.arange(n, dtype=np.int8)
+        own = np.arange(n, dtype=np.int32)
         active = np.searchsorted(-lengths, -np.arange(1, lengths[0] + 1), side="right")
         for step in range(1, lengths[0]):
             k = active[step]
@@ -140,8 +144,8 @@ class Model:
             stay = before >= high[:, None]
             back[rows] = np.where(stay, own, top[:, None])
             best[:k] = np.maximum(before, high[:, None]) + scores[rows]
-        out = np.empty(len(text), np.int8)
-        current = best.argmax(axis=1).astype(np.int8)
+        out = np.empty(len(text), np.int32)
+        current = best.argmax(axis=1).astype(np.int32)
         for step in range(lengths[0] - 1, -1, -1):
             k = active[step]
             rows = starts[:k] + step
@@ -209,11 +213,11 @@ def fit(
     known = documents.select("doc_id", "text", "lang").filter(
         rule & F.col("lang").isNotNull() & F.length("text").between(1, chars)
     )
-    sizes = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}
+    shares = known.groupBy("lang").agg((F.lit(float(per_language)) / F.count("*")).alias("share"))
+    shares = broadcast_if_bounded(shares)
+    if shares.count() > MOST_LANGUAGES:
+        raise ValueError(f"at most {MOST_LANGUAGES} languages can be told apart")
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    wanted = F.lit(False)
-    for lang, n in sorted(sizes.items()):
-        wanted = wanted | ((F.col("lang") == lang) & (draw < per_language / n))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buckets: dict[str, np.ndarray] = {}
@@ -235,7 +239,7 @@ def fit(
             )
 
     # The sample is bounded, and so is the number of tasks that count it.
-    sample = known.filter(wanted).select("text", "lang").repartition(8)
+    sample = known.join(shares, "lang").filter(draw < F.col("share")).select("text", "lang").repartition(8)
     counts = (
         sample.mapInArrow(count, "lang string, bucket int, n bigint")
         .groupBy("lang", "bucket")

@@ -39,7 +39,7 @@ FEATURES = 4000
 BUCKETS = 1 << 21
 BIAS = -10.0
 STEPS = 150
-CACHED_WORDS = 400_000
+CACHED_WORDS = 50_000
 
 WORD = re.compile(r"[^\W\d_]+")
 SENTENCE = re.compile(r"[^.!?\n]+")
@@ -186,20 +186,22 @@ def _pairs(table, word: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def _chosen(table, word: np.ndarray, doc: np.ndarray, toxic: np.ndarray) -> set[int]:
     """The feature buckets whose document odds are most above those of the clean label."""
-    in_toxic, in_clean = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    in_toxic, in_clean = np.zeros(BUCKETS, np.float32), np.zeros(BUCKETS, np.float32)
     cuts = np.searchsorted(doc, np.arange(0, len(toxic) + 200, 200))
     for a, b in zip(cuts[:-1], cuts[1:]):
         f, d = _pairs(table, word[a:b], doc[a:b])
         both = np.unique(f.astype(np.int64) * len(toxic) + d)
         f, y = both // len(toxic), toxic[both % len(toxic)]
-        in_toxic += np.bincount(f, y, BUCKETS)
-        in_clean += np.bincount(f, 1 - y, BUCKETS)
+        for total, own in ((in_toxic, f[y > 0]), (in_clean, f[y == 0])):
+            bucket, n = np.unique(own, return_counts=True)
+            total[bucket] += n
     positive, negative = toxic.sum(), (1 - toxic).sum()
-    p, q = (in_toxic + 0.5) / (positive + 1), (in_clean + 0.5) / (negative + 1)
-    z = (np.log(p) - np.log(q)) / np.sqrt(1 / (in_toxic + 0.5) + 1 / (in_clean + 0.5))
-    z[(in_toxic < 4) | (z < 3.0)] = 0
+    often = np.flatnonzero(in_toxic >= 4)
+    a, b = in_toxic[often].astype(float), in_clean[often].astype(float)
+    odds = np.log((a + 0.5) / (positive + 1)) - np.log((b + 0.5) / (negative + 1))
+    z = odds / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
     best = np.argsort(-z, kind="stable")[:FEATURES]
-    return set(best[z[best] > 0].tolist())
+    return set(often[best[z[best] >= 3.0]].tolist())
 
 
 def _noisy_or(table, n: int, word, sentence, owner, toxic) -> tuple[np.ndarray, float]:

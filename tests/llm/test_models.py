@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from logsig.llm import langid, toxicity
@@ -114,3 +115,20 @@ def test_language_without_anything_to_learn(spark, make):
     model = langid.fit(docs, F.lit(False))
     assert {(r.lang_pred, r.score) for r in langid.identified(docs, model).collect()} == {("und", 0.0)}
     assert langid.identified(docs.limit(0), model).count() == 0
+
+
+def test_two_hundred_languages():
+    import numpy as np
+
+    names = [f"l{i:03d}" for i in range(200)]
+    scores = np.full((5, 200), -9.0)
+    scores[:, 150] = 0.0
+    model = langid.Model(names, np.zeros((1, 200)), np.ones((1, 200), bool))
+    assert model.labels(scores, np.zeros(5, int)).tolist() == [150] * 5
+
+
+def test_more_languages_than_a_model_holds(spark, make, monkeypatch):
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 3)
+    docs = make([(i, "some words", f"l{i}", "s", 0) for i in range(4)])
+    with pytest.raises(ValueError):
+        langid.fit(docs, F.lit(True))
