@@ -8,7 +8,7 @@ with their number. Only anchors that occur again matter: hashes are counted firs
 and what repeats is known in the tasks as a bit map of bounded size (a bit set by chance only
 brings a context more).
 
-Contexts are dealt by anchor to buckets of about a thousand. In a bucket they arrive in
+Contexts that share their anchor with others are dealt by it to buckets of about a thousand. In a bucket they arrive in
 batches: a batch gets its suffix array (the starts of its strings, sorted by the bytes that
 follow), is merge-scanned against the levels that exist, and strings found on either side are
 marked on both; what is new becomes a level, and two levels of one rank merge into one of the
@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logsig.session import broadcast_if_bounded, materialize
+from logsig.session import materialize
 
 from .common import column_schema, spans
 from .rolling import Powers, bit_map, longs, marked, mixed, place_keys
@@ -148,7 +148,7 @@ def repeated_anchors(docs: DataFrame, length: int) -> DataFrame:
 
 def occurrences(docs: DataFrame, length: int, bits: np.ndarray) -> DataFrame:
     """Contexts of marked anchors in the documents: id, digest of the text, place of the first
-    string, hash of this place in the corpus, anchor and digest of the context."""
+    string, number of strings, hash of the place in the corpus, anchor and digest."""
     held = docs.sparkSession.sparkContext.broadcast(bits)
 
     def work(found: Contexts, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -160,16 +160,18 @@ def occurrences(docs: DataFrame, length: int, bits: np.ndarray) -> DataFrame:
                 batch.column("_id").take(pa.array(rows)),
                 batch.column("_digest").take(pa.array(rows)),
                 longs(places),
+                longs(found.sizes[at]),
                 longs(keys),
                 longs(found.anchors[at]),
                 *map(pa.array, found.digests(at)),
             ],
-            names=["_id", "_digest", "place", "key", "a", "c1", "c2"],
+            names=["_id", "_digest", "place", "size", "key", "a", "c1", "c2"],
         )
 
     schema = column_schema(
         _id=docs.schema["_id"].dataType.simpleString(),
-        _digest="bigint", place="bigint", key="bigint", a="bigint", c1="bigint", c2="bigint",
+        _digest="bigint", place="bigint", size="bigint", key="bigint",
+        a="bigint", c1="bigint", c2="bigint",
     )
     return each_contexts(docs, "_text", length, schema, work)
 
@@ -325,23 +327,22 @@ def found_in_buckets(rows: DataFrame, length: int) -> DataFrame:
     return rows.mapInArrow(run, FOUND)
 
 
-def repeated_runs(contexts: DataFrame, length: int) -> DataFrame:
+def repeated_runs(contexts: DataFrame, texts: DataFrame, length: int) -> DataFrame:
     """``c1``, ``c2``, ``begin`` and ``end``: runs of strings of a context that occur again.
 
-    ``contexts`` is a stored table of different contexts: ``a``, ``c1``, ``c2``, ``n``, ``bytes``.
+    ``contexts`` is a stored table of different contexts (``a``, ``of``, the number of contexts
+    under this anchor, ``c1``, ``c2``, ``n``, ``size``), ``texts`` has their ``bytes``.
     """
-    total = contexts.count()
-    buckets = max(1, math.ceil(total / BUCKET))
-    many = contexts.groupBy("a").agg(F.count(F.lit(1)).alias("of")).filter(F.col("of") > BUCKET)
-    dealt = contexts.join(broadcast_if_bounded(many), "a", "left")
-    split = F.col("of").isNotNull()
+    shape = contexts.agg(F.count(F.lit(1)), F.sum(F.col("size") + length - 1)).first()
+    buckets = max(1, math.ceil(shape[0] / BUCKET))
+    split = F.col("of") > BUCKET
     salt = F.pmod("c1", F.ceil(F.col("of") / BUCKET))
     bucket = F.when(split, F.xxhash64("a", salt)).otherwise(F.pmod("a", F.lit(buckets)))
-    size = contexts.agg(F.sum(F.length("bytes"))).first()[0] or 0
-    tasks = max(contexts.sparkSession.sparkContext.defaultParallelism, math.ceil(size / TASK_BYTES))
+    dealt = contexts.select("c1", "c2", "n", bucket.alias("bucket"), split.alias("split"))
+    least = contexts.sparkSession.sparkContext.defaultParallelism
     rows = (
-        dealt.select("c1", "c2", "n", "bytes", bucket.alias("bucket"), split.alias("split"))
-        .repartition(tasks, "bucket")
+        dealt.join(texts, ["c1", "c2"])
+        .repartition(max(least, math.ceil((shape[1] or 0) / TASK_BYTES)), "bucket")
         .sortWithinPartitions("bucket")
     )
     found = materialize(found_in_buckets(rows, length))
@@ -366,12 +367,22 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     # The text of a context is taken from the place with the least hash.
     different = materialize(
         occurring.groupBy("c1", "c2").agg(
-            F.count(F.lit(1)).alias("n"), F.first("a").alias("a"), F.min("key").alias("key")
+            F.count(F.lit(1)).alias("n"),
+            F.first("a").alias("a"),
+            F.first("size").alias("size"),
+            F.min("key").alias("key"),
         )
     )
-    texts = context_texts(docs, length, bit_map(different, "key")).dropDuplicates(["c1", "c2"])
-    contexts = materialize(different.select("c1", "c2", "n", "a").join(texts, ["c1", "c2"]))
-    runs = materialize(repeated_runs(contexts, length))
+    of_anchor = different.groupBy("a").agg(F.count(F.lit(1)).alias("of"))
+    # A context that is alone under its anchor can only equal itself: it repeats as often as
+    # it occurs, and there is nothing to compare it with.
+    told = materialize(different.join(of_anchor, "a"))
+    lone = told.filter("of = 1 and n > 1").select(
+        "c1", "c2", F.lit(0).cast("bigint").alias("begin"), F.col("size").alias("end")
+    )
+    several = told.filter("of > 1")
+    texts = context_texts(docs, length, bit_map(several, "key")).dropDuplicates(["c1", "c2"])
+    runs = materialize(lone.unionByName(repeated_runs(several, texts, length)))
     span = F.struct(
         (F.col("place") + F.col("begin")).alias("begin"),
         (F.col("place") + F.col("end") + (length - 1)).alias("end"),
@@ -413,10 +424,8 @@ def without_repeats(
         F.xxhash64(key, text).alias("_key"),
         F.col(text).alias("_text"),
     )
-    found = broadcast_if_bounded(
-        repeated_spans(marked_rows, length).select(
-            F.col("_id").alias("_of"), F.col("_digest").alias("_hash"), "_spans"
-        )
+    found = repeated_spans(marked_rows, length).select(
+        F.col("_id").alias("_of"), F.col("_digest").alias("_hash"), "_spans"
     )
     fields = [f for f in REMOVED.split(", ") if keep or not f.startswith("kept binary")]
     names = [f.split()[0] for f in fields]
