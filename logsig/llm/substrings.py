@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logsig.session import broadcast_if_bounded, materialize
+from logsig.session import materialize
 
 from .common import column_schema, spans
 from .rolling import Powers, bit_map, hashed, longs, marked, mixed, place_keys
@@ -307,10 +307,8 @@ def without_repeats(
         F.xxhash64(key, text).alias("_key"),
         F.col(text).alias("_text"),
     ).filter("_doc is not null and _text is not null")
-    found = broadcast_if_bounded(
-        removed_spans(docs, window, block).select(
-            F.col("_doc").alias("_of"), F.col("_digest").alias("_hash"), "_spans"
-        )
+    found = removed_spans(docs, window, block).select(
+        F.col("_doc").alias("_of"), F.col("_digest").alias("_hash"), "_spans"
     )
     fields = [f for f in REMOVED.split(", ") if keep or f != "kept string"]
     names = [f.split()[0] for f in fields]
