@@ -8,10 +8,16 @@ within ``epsilon`` of each other share a cluster; clusters lighter than
 The radius join is exact. Points go to the cell of their nearest pivot and to
 every further cell whose border is no farther than the radius (for Euclidean
 distance a point's distance to the bisecting plane of two pivots), so a point and
-its neighbours meet in the point's home cell. Cells are cut into blocks of bounded
-size, and a task compares two blocks by a matrix product. Pairs are never emitted:
-one pass adds up neighbour weights, a second reduces each pair of blocks to the
-stars of its connected parts. The stars are joined up by min-label rounds.
+its neighbours meet in the point's home cell. Cells that are too large are cut again by
+pivots of their own, level by level, as long as that makes them smaller, so there is
+no limit to their number. What still is too large is dense: its points within half the
+radius of a local centre are all neighbours, so if they weigh enough they are core points
+of one cluster, and they are not compared with each other at all.
+
+Cells are cut into blocks of bounded size, and a task compares two blocks by a matrix
+product. Pairs are never emitted: one pass adds up neighbour weights, a second reduces
+each pair of blocks to the stars of its connected parts. The stars are joined up by
+min-label rounds.
 """
 
 from __future__ import annotations
@@ -20,16 +26,22 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import broadcast_if_bounded, materialize, sequential_ids
+from ..session import broadcast_if_bounded, materialize, sequential_ids, spread
 from ..sources.logs import OUTLIER
 from .vectors import _matrix
 
-BLOCK_POINTS = 4096
+BLOCK_POINTS = 2048
+# A cell with more points is cut by local pivots, into so many cells at most, and so often.
 POINTS_PER_PIVOT = 20_000
-MAX_PIVOTS = 1024
+FANOUT = 256
+LEVELS = 6
+# A cell is cut only if no part keeps more than this share of its points.
+SHRINKS = 0.8
+# Local centres of a dense cell.
+CENTRES = 64
 DIRECT_EDGES = 200_000
 # Slack for rounding in squared distances from a matrix product.
 ROUNDING = 1e-9
@@ -66,59 +78,159 @@ def squared_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(squares, 0.0)
 
 
-def _pivots(sites: DataFrame, count: int) -> np.ndarray:
-    """A hash-random choice of sites."""
-    rows = sites.orderBy(F.xxhash64("site"), "site").limit(count).select("vec").toArrow()
-    return _matrix(rows.column("vec"))
+def _chunks() -> Column:
+    return F.ceil(F.col("_rows") / BLOCK_POINTS).cast("int")
 
 
-def cells(sites: DataFrame, epsilon: float) -> DataFrame:
-    """``(cell, home, site, vec, weight)``: each site in every cell it can matter to."""
-    count = min(MAX_PIVOTS, sites.count() // POINTS_PER_PIVOT + 1)
-    if count == 1:
-        return sites.select(
-            F.lit(0).cast("bigint").alias("cell"), F.lit(True).alias("home"), "*"
-        )
-    pivots = _pivots(sites, count)
-    apart = np.sqrt(squared_distances(pivots, pivots))
-
-    @F.arrow_udf("array<struct<cell:bigint,home:boolean>>")
-    def place(batch: pa.Array) -> pa.Array:
-        if not len(batch):
-            return pa.array([], type=pa.list_(_PLACE))
-        squares = squared_distances(_matrix(batch), pivots)
-        home = squares.argmin(axis=1)
-        at_home = squares[np.arange(len(home)), home][:, None]
-        reach = 2.0 * (epsilon + ROUNDING) * apart[home]
-        rows, columns = np.nonzero(squares - at_home <= reach + ROUNDING)
-        offsets = np.searchsorted(rows, np.arange(len(home) + 1)).astype(np.int32)
-        placed = pa.StructArray.from_arrays(
-            [pa.array(columns.astype(np.int64)), pa.array(columns == home[rows])],
-            fields=list(_PLACE),
-        )
-        return pa.ListArray.from_arrays(pa.array(offsets), placed)
+def _chunk() -> Column:
+    return F.pmod(F.xxhash64("site"), _chunks()).cast("int")
 
-    placed = sites.withColumn("_cells", place(F.col("vec")))
-    return placed.select(F.explode("_cells").alias("_c"), *sites.columns).select(
-        F.col("_c.cell").alias("cell"), F.col("_c.home").alias("home"), *sites.columns
-    )
+
+def _beside(rows: DataFrame, chosen: DataFrame, compare, schema: str) -> DataFrame:
+    """``compare`` of a cell's rows, some thousands at a time, with the rows chosen from it.
+
+    Both carry ``_rows``, the size of the cell; the chosen are few per cell.
+    """
+    dealt = rows.withColumn("_chunk", _chunk())
+    each = chosen.withColumn("_chunk", F.explode(F.sequence(F.lit(0), _chunks() - 1)))
+    key = ["cell", "_chunk"]
+    return dealt.groupBy(*key).cogroup(each.groupBy(*key)).applyInArrow(compare, schema)
+
+
+def _chosen(rows: DataFrame, most: int) -> DataFrame:
+    """A hash-random choice of the sites at home in each cell, numbered from one, stored."""
+    turn = F.row_number().over(Window.partitionBy("cell").orderBy(F.xxhash64("site"), "site"))
+    own = rows.filter("home").select("cell", "site", "vec", "_rows")
+    return materialize(own.withColumn("_turn", turn).filter(F.col("_turn") <= most))
+
+
+def _cut(rows: DataFrame, pivots: DataFrame, epsilon: float) -> DataFrame:
+    """The rows of cells, each in every smaller cell it can matter to."""
+
+    def place(points: pa.Table, own: pa.Table) -> pa.Table:
+        if not len(points) or not len(own):
+            return points.slice(0, 0).select(_PLACED)
+        corner = _matrix(own.sort_by("_turn").column("vec"))
+        apart = np.sqrt(squared_distances(corner, corner))
+        squares = squared_distances(_matrix(points.column("vec")), corner)
+        nearest = squares.argmin(axis=1)
+        at_home = squares[np.arange(len(nearest)), nearest][:, None]
+        reach = 2.0 * (epsilon + ROUNDING) * apart[nearest]
+        at, child = np.nonzero(squares - at_home <= reach + ROUNDING)
+        home = points.column("home").to_numpy(zero_copy_only=False)[at] & (child == nearest[at])
+        cell = points.column("cell").to_numpy()[at] * FANOUT + child + 1
+        moved = points.select(["site", "vec", "weight"]).take(pa.array(at))
+        return pa.table([pa.array(cell), pa.array(home), *moved.columns], names=_PLACED)
+
+    kinds = dict(rows.dtypes)
+    return _beside(rows, pivots, place, ", ".join(f"{c} {kinds[c]}" for c in _PLACED))
+
+
+_PLACED = ["cell", "home", "site", "vec", "weight"]
 
 
-_PLACE = pa.struct([("cell", pa.int64()), ("home", pa.bool_())])
+def _parted(rows: DataFrame, pivots: DataFrame, epsilon: float) -> DataFrame:
+    """The cells that a cut makes smaller, as a sample of their rows says."""
+    sample = materialize(rows.filter(_chunk() == 0))
+    whole = sample.groupBy("cell").agg(F.count(F.lit(1)).alias("_whole"))
+    child = _cut(sample, pivots, epsilon).groupBy("cell").agg(F.count(F.lit(1)).alias("_part"))
+    around = F.floor((F.col("cell") - 1) / FANOUT).cast("bigint")
+    largest = child.groupBy(around.alias("cell")).agg(F.max("_part").alias("_part"))
+    return whole.join(largest, "cell").filter(F.col("_part") <= SHRINKS * F.col("_whole")).select("cell")
+
+
+def cells(sites: DataFrame, epsilon: float) -> DataFrame:
+    """``(cell, home, site, vec, weight)``: each site in every cell it can matter to.
+
+    A cell that its pivots do not part stays whole.
+    """
+    rows = sites.select(
+        F.lit(0).cast("bigint").alias("cell"), F.lit(True).alias("home"), "site", "vec", "weight"
+    )
+    if sites.count() <= POINTS_PER_PIVOT:
+        return rows
+    done = None
+    for _ in range(LEVELS):
+        sizes = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("_rows"))
+        large = broadcast_if_bounded(sizes.filter(F.col("_rows") > POINTS_PER_PIVOT))
+        if not large.isEmpty():
+            wanted = F.ceil(F.col("_rows") / POINTS_PER_PIVOT) + 1
+            big = rows.join(large, "cell")
+            pivots = _chosen(big, FANOUT).filter(F.col("_turn") <= wanted)
+            large = broadcast_if_bounded(large.join(_parted(big, pivots, epsilon), "cell", "left_semi"))
+        ready = rows.join(large, "cell", "left_anti")
+        done = ready if done is None else done.unionByName(ready)
+        if large.isEmpty():
+            return done
+        rows = materialize(_cut(rows.join(large, "cell"), pivots, epsilon))
+    return done.unionByName(rows)
+
+
+def cliques(placed: DataFrame, epsilon: float, enough: int) -> DataFrame | None:
+    """``(site, clique)`` of the sites that are core for certain, stored; None without dense cells.
+
+    In a cell that could not be cut, the sites at home within half the radius of a local
+    centre are within the radius of each other. A clique is named by its lowest site.
+    """
+    own = placed.filter("home")
+    dense = own.groupBy("cell").agg(F.count(F.lit(1)).alias("_rows"))
+    dense = broadcast_if_bounded(dense.filter(F.col("_rows") > POINTS_PER_PIVOT))
+    if dense.isEmpty():
+        return None
+    rows = own.join(dense, "cell")
+
+    def nearest(points: pa.Table, centres: pa.Table) -> pa.Table:
+        if not len(points) or not len(centres):
+            ids = points.column("site").slice(0, 0)
+            return pa.table({"site": ids, "weight": ids, "centre": ids})
+        centres = centres.sort_by("_turn")
+        squares = squared_distances(_matrix(points.column("vec")), _matrix(centres.column("vec")))
+        # The first centre that is near enough takes a site, so near centres make one clique.
+        near = squares <= (epsilon / 2) ** 2
+        inside = near.any(axis=1)
+        kept = points.select(["site", "weight"]).filter(pa.array(inside))
+        centre = centres.column("site").to_numpy()[near[inside].argmax(axis=1)]
+        return kept.append_column("centre", pa.array(centre))
+
+    schema = "site bigint, weight bigint, centre bigint"
+    near = materialize(_beside(rows, _chosen(rows, CENTRES), nearest, schema))
+    heavy = near.groupBy("centre").agg(
+        F.sum("weight").alias("_mass"), F.min("site").alias("clique")
+    )
+    heavy = broadcast_if_bounded(heavy.filter(F.col("_mass") >= enough).select("centre", "clique"))
+    return materialize(near.join(heavy, "centre").select("site", "clique"))
 
 
 def block_pairs(placed: DataFrame, asking, compare, schema: str) -> DataFrame:
     """Run ``compare`` on every pair of an asking home block and a cell block.
 
-    Both sides of a task hold about ``BLOCK_POINTS`` sites, whatever a cell holds.
+    Both sides of a task hold about ``BLOCK_POINTS`` sites, whatever a cell holds. Blocks
+    of one clique (a column, -1 for none) are not compared with each other.
     """
-    sizes = placed.groupBy("cell").agg(
+    if "clique" not in placed.columns:
+        placed = placed.withColumn("clique", F.lit(-1).cast("bigint"))
+    of = placed.groupBy("cell", "clique").agg(
         (F.floor(F.count(F.lit(1)) / BLOCK_POINTS) + 1).cast("int").alias("_blocks")
     )
-    sized = placed.join(F.broadcast(sizes), "cell").withColumn(
-        "_own", F.pmod(F.xxhash64("site"), F.col("_blocks")).cast("int")
+    before = Window.partitionBy("cell").orderBy("clique")
+    numbered = of.withColumn(
+        "_first", (F.sum("_blocks").over(before) - F.col("_blocks")).cast("int")
+    )
+    group = F.collect_list(F.struct("clique", "_first", "_blocks"))
+    sizes = numbered.withColumn("_groups", group.over(Window.partitionBy("cell")))
+    sized = placed.join(broadcast_if_bounded(sizes), ["cell", "clique"]).withColumn(
+        "_own", F.col("_first") + F.pmod(F.xxhash64("site"), F.col("_blocks")).cast("int")
+    )
+    others = F.filter(
+        "_groups", lambda g: (F.col("clique") == -1) | (g["clique"] != F.col("clique"))
+    )
+    every = F.explode(
+        F.flatten(
+            F.transform(
+                others, lambda g: F.sequence(g["_first"], g["_first"] + g["_blocks"] - 1)
+            )
+        )
     )
-    every = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
     # Fresh aliases: both sides come from one table.
     data = [F.col(c).alias(c) for c in ("cell", "site", "vec", "weight")]
     left = sized.filter(F.col("home") & asking).select(
@@ -256,15 +368,20 @@ def core_components(
         )
     enough = parameters.min_samples + 1
     placed = materialize(cells(sites, parameters.epsilon))
+    groups = cliques(placed, parameters.epsilon, enough)
     light = F.col("weight") < enough
+    sure = sites.filter(~light).select("site")
+    if groups is not None:
+        known = broadcast_if_bounded(groups, stored=True)
+        placed = placed.join(known, "site", "left").fillna(-1, ["clique"])
+        light = light & (F.col("clique") == -1)
+        sure = sure.union(groups.select("site")).distinct()
     near = neighbour_weights(placed, light, parameters.epsilon)
-    cores = materialize(
-        sites.filter(~light)
-        .select("site")
-        .union(near.filter(F.col("near") >= enough).select("site"))
-    )
+    cores = materialize(sure.union(near.filter(F.col("near") >= enough).select("site")))
     core_cells = placed.join(broadcast_if_bounded(cores, stored=True), "site", "left_semi")
     stars = neighbour_stars(core_cells, parameters.epsilon)
+    if groups is not None:
+        stars = stars.union(groups.filter("site <> clique").select("site", "clique"))
     return connected_components(cores, stars, direct_edges)
 
 
@@ -298,7 +415,7 @@ def sites_of(points: DataFrame) -> tuple[DataFrame, DataFrame]:
     vec = F.col("vec").cast("array<double>")
     # Stored first: a featurizer runs once.
     typed = materialize(
-        points.select(
+        spread(points).select(
             "point_id",
             vec.alias("vec"),
             "weight",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import numpy as np
@@ -33,21 +34,35 @@ def symbol_features(patterns: DataFrame, size: int = FEATURES) -> DataFrame:
     repeat. The empty pattern gets the zero vector.
     """
 
+    def bucket(term: str) -> int:
+        return int(hashlib.md5(term.encode()).hexdigest()[:8], 16) % size
+
     @F.arrow_udf("array<double>")
     def unit(batch: pa.Array) -> pa.Array:
+        # A batch has few different terms, so each is hashed once.
+        coded = batch.flatten().dictionary_encode()
+        names, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
         owner = np.repeat(np.arange(len(batch)), batch.value_lengths().to_numpy())
-        counts = np.zeros((len(batch), size))
-        np.add.at(counts, (owner, batch.flatten().to_numpy()), 1.0)
+        within = np.flatnonzero(owner[1:] == owner[:-1])
+        both = codes[within].astype(np.int64) * len(names) + codes[within + 1]
+        pairs, at = np.unique(both, return_inverse=True)
+        of_pair = [
+            bucket(f"{names[p // len(names)]} {names[p % len(names)]}") for p in pairs.tolist()
+        ]
+        of_word = np.array([bucket(n) for n in names], np.int64)
+        place = np.concatenate(
+            [
+                owner * size + of_word[codes],
+                owner[within] * size + np.array(of_pair, np.int64)[at],
+            ]
+        )
+        counts = np.bincount(place, minlength=len(batch) * size).astype(float).reshape(-1, size)
         norms = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
         counts /= np.where(norms > 0, norms, 1.0)
         offsets = np.arange(len(batch) + 1, dtype=np.int32) * size
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(counts.ravel()))
 
-    terms = pattern_terms(pattern_words(F.col("pattern")))
-    bucket = F.transform(
-        terms, lambda t: F.conv(F.left(F.md5(t), F.lit(8)), 16, 10).cast("bigint") % size
-    )
-    return patterns.withColumn("vec", unit(bucket))
+    return patterns.withColumn("vec", unit(pattern_words(F.col("pattern"))))
 
 
 def term_frequencies(patterns: DataFrame) -> DataFrame:

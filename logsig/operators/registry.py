@@ -65,9 +65,25 @@ def map_signatures(
     Returns ``(cluster, stable_id, is_new_pattern)`` and the extended registry.
     Clusters sharing an unknown hash share the id the first of them gets.
     """
+    mapping, added = new_signatures(signatures, registry, cluster, next_id)
+    return mapping, registry.select(*added.columns).unionByName(added)
+
+
+def new_signatures(
+    signatures: DataFrame,
+    registry: DataFrame,
+    cluster: str = "cluster_id",
+    next_id: int | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """The mapping of ``map_signatures``, and the rows the registry gets.
+
+    Of the registry, a table, only hashes and ids are read, once; it is not copied.
+    """
     order = _first_columns(signatures)
-    signatures, registry = materialize(signatures), materialize(registry)
-    known = registry.groupBy("signature_hash").agg(F.max("stable_id").alias("known_id"))
+    signatures = materialize(signatures)
+    known = materialize(
+        registry.groupBy("signature_hash").agg(F.max("stable_id").alias("known_id"))
+    )
     matched = signatures.join(known, "signature_hash", "left")
     info = F.struct("patterns", "size", "sample_logs")
     unseen = (
@@ -78,7 +94,8 @@ def map_signatures(
         )
         .select("signature_hash", *[F.col(f"first.{c}").alias(c) for c in order], "info.*")
     )
-    start = max(next_id or 0, next_stable_id(registry))
+    last = known.agg(F.coalesce(F.max("known_id"), F.lit(-1))).first()[0]
+    start = max(next_id or 0, last + 1)
     numbered = sequential_ids(unseen, order, "new_id", start)
     mapping = matched.join(numbered.select("signature_hash", "new_id"), "signature_hash", "left")
     added = numbered.select(
@@ -96,7 +113,7 @@ def map_signatures(
             F.coalesce("known_id", "new_id").alias("stable_id"),
             F.col("known_id").isNull().alias("is_new_pattern"),
         ),
-        registry.select(*added.columns).unionByName(added),
+        added,
     )
 
 

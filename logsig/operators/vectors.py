@@ -3,7 +3,8 @@
 Vectors are ``array<float|double>`` columns. Distances to a model are matrix
 products over Arrow batches: only the vector column leaves the JVM, no row is
 multiplied by the number of clusters, and nothing is shuffled. A model too big
-to broadcast is compared block by block instead (``nearest_blocked``).
+to broadcast lies in blocks around pivots, and a row visits only the blocks that can hold
+its nearest (``nearest_blocked``).
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from ..sources.model import Model, Thresholds
 TILE = 8 << 20
 BROADCAST_COMPONENTS = 32_000_000
 BLOCK_VECTORS = 4096
+# Pivots that blocks of references lie around; larger blocks are cut into parts.
+MOST_PIVOTS = 1024
 GROUP_ROWS = 50_000
 # Distances equal to this many digits are ties, settled by id.
 TIE_DIGITS = 9
@@ -195,6 +198,68 @@ _HIT = pa.struct(
 )
 
 
+class Routing:
+    """Blocks of references around pivots, and which of them can hold a row's nearest.
+
+    Cosine distances are half the squared distances of unit vectors. A zero vector is at
+    distance one from everything, so it gets a direction of its own: one for rows, one
+    for references.
+    """
+
+    def __init__(self, pivots: np.ndarray):
+        self.pivots = self.placed(pivots, references=True)
+        self.radii = np.full(len(pivots), -np.inf)
+
+    @staticmethod
+    def placed(matrix: np.ndarray, references: bool) -> np.ndarray:
+        units = _directions(matrix)
+        zero = (~units.any(axis=1)).astype(float)[:, None]
+        none = np.zeros_like(zero)
+        return np.hstack([units, *((none, zero) if references else (zero, none))])
+
+    def apart(self, matrix: np.ndarray, references: bool = False) -> np.ndarray:
+        """Distances to the pivots."""
+        cosines = self.placed(matrix, references) @ self.pivots.T
+        return np.sqrt(np.maximum(2.0 - 2.0 * cosines, 0.0))
+
+    def home(self, matrix: np.ndarray, references: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """The nearest block that holds anything, and the distance to its pivot."""
+        apart = self.apart(matrix, references)
+        if not references:
+            apart = np.where(np.isinf(self.radii), np.inf, apart)
+        best = apart.argmin(axis=1)
+        return best, apart[np.arange(len(best)), best]
+
+    def within(self, matrix: np.ndarray, distance: np.ndarray) -> np.ndarray:
+        """Blocks with a point that may be as near as a cosine distance, rounding allowed for."""
+        reach = np.sqrt(2.0 * (distance + 2 * 10.0**-TIE_DIGITS)) + 1e-7
+        return self.apart(matrix) - self.radii <= reach[:, None]
+
+
+def routing_of(references: DataFrame, block_vectors: int) -> tuple[Routing, DataFrame]:
+    """A routing for stored references, and the references with their ``_block``, stored."""
+    count = min(MOST_PIVOTS, references.count() // block_vectors + 1)
+    order = [F.xxhash64("stable_id", "idx"), "stable_id", "idx"]
+    routing = Routing(_matrix(references.orderBy(*order).limit(count).select("vec").toArrow().column("vec")))
+
+    @F.arrow_udf("struct<block:int,apart:double>")
+    def place(batch: pa.Array) -> pa.Array:
+        block, apart = routing.home(_matrix(batch), references=True) if len(batch) else ([], [])
+        return pa.StructArray.from_arrays(
+            [pa.array(block, pa.int32()), pa.array(apart, pa.float64())], names=["block", "apart"]
+        )
+
+    placed = references.withColumn("_at", place.asNondeterministic()(F.col("vec")))
+    placed = materialize(
+        placed.select("stable_id", "idx", "vec", F.col("_at.block").alias("_block"), "_at.apart")
+    )
+    # As many numbers as pivots.
+    shape = placed.groupBy("_block").agg(F.max("apart").alias("radius")).collect()
+    for row in shape:
+        routing.radii[row["_block"]] = row["radius"]
+    return routing, placed.drop("apart")
+
+
 def nearest_blocked(
     vectors: DataFrame,
     row_id: str,
@@ -204,27 +269,95 @@ def nearest_blocked(
     block_vectors: int = BLOCK_VECTORS,
     group_rows: int = GROUP_ROWS,
 ) -> DataFrame:
-    """The ``k`` nearest references per row for a model of any size.
+    """The ``k`` nearest references per row for a model of any size, exactly.
 
-    References are cut into blocks and rows into groups by hash; a task sees one
-    block and one group, both of bounded size, and keeps ``k`` hits per row. The
-    hits of all blocks are then merged, which leaves the exact overall ``k``.
+    References lie in blocks around pivots. A row first meets the block of its nearest pivot;
+    the ``k``-th distance there bounds the answer, and by the triangle inequality only
+    blocks that reach into this distance are visited after that. A task sees one part of
+    a block and one group of its visitors, both of bounded size.
     """
-    blocks = references.count() // block_vectors + 1
-    groups = vectors.count() // group_rows + 1
-    left = vectors.select(
+    id_type = dict(vectors.dtypes)[row_id]
+    schema = f"{row_id} {id_type}, stable_id bigint, idx bigint, distance double"
+    stored = materialize(
+        references.select(
+            F.col("stable_id").cast("bigint"),
+            F.col("idx").cast("bigint"),
+            F.col("vec").cast("array<double>"),
+        )
+    )
+    order = Window.partitionBy(row_id).orderBy(F.round("distance", TIE_DIGITS), "stable_id", "idx")
+    best = lambda hits: hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    if stored.isEmpty() or k < 1:
+        return best(vectors.sparkSession.createDataFrame([], schema))
+    routing, placed = routing_of(stored, block_vectors)
+    rows = vectors.select(row_id, F.col(vector).cast("array<double>").alias("vec"))
+
+    @F.arrow_udf("int")
+    def home(batch: pa.Array) -> pa.Array:
+        return pa.array(routing.home(_matrix(batch))[0] if len(batch) else [], pa.int32())
+
+    rows = materialize(rows.withColumn("_home", home.asNondeterministic()(F.col("vec"))))
+    first = materialize(
+        best(_meet(rows.withColumnRenamed("_home", "_block"), row_id, placed, k, schema, block_vectors, group_rows))
+    )
+    # Fewer than k in the home block bound nothing: four is above any cosine distance.
+    bound = first.groupBy(row_id).agg(
+        F.when(F.count(F.lit(1)) >= k, F.max("distance")).otherwise(F.lit(4.0)).alias("_bound")
+    )
+    visits = visited(rows.join(bound, row_id), routing)
+    others = _meet(visits, row_id, placed, k, schema, block_vectors, group_rows)
+    return best(first.drop("rank").unionByName(others))
+
+
+def visited(rows: DataFrame, routing: Routing) -> DataFrame:
+    """``rows`` (with ``_home`` and ``_bound``) once per further ``_block`` that may hold nearer
+    references."""
+
+    @F.arrow_udf("array<int>")
+    def blocks(batch: pa.Array, own: pa.Array, bound: pa.Array) -> pa.Array:
+        if not len(batch):
+            return pa.array([], pa.list_(pa.int32()))
+        reached = routing.within(_matrix(batch), bound.to_numpy(zero_copy_only=False))
+        reached[np.arange(len(batch)), own.to_numpy(zero_copy_only=False)] = False
+        at, block = np.nonzero(reached)
+        offsets = np.searchsorted(at, np.arange(len(batch) + 1)).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(block.astype(np.int32)))
+
+    found = blocks.asNondeterministic()(F.col("vec"), F.col("_home"), F.col("_bound"))
+    kept = [c for c in rows.columns if c not in ("_home", "_bound")]
+    return rows.withColumn("_reached", found).select(*kept, F.explode("_reached").alias("_block"))
+
+
+def _meet(
+    visits: DataFrame, row_id: str, placed: DataFrame, k: int, schema: str, block_vectors: int, group_rows: int
+) -> DataFrame:
+    """The ``k`` nearest references of each row in each part of the block it visits."""
+    visits = materialize(visits)
+    parts = placed.groupBy("_block").agg(
+        F.ceil(F.count(F.lit(1)) / block_vectors).cast("int").alias("_parts")
+    )
+    groups = visits.groupBy("_block").agg(
+        F.ceil(F.count(F.lit(1)) / group_rows).cast("int").alias("_groups")
+    )
+    # At most a row per pivot.
+    sizes = F.broadcast(materialize(parts.join(groups, "_block")))
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = visits.join(sizes, "_block").select(
         row_id,
-        F.col(vector).cast("array<double>").alias("vec"),
-        F.pmod(F.xxhash64(row_id), F.lit(groups)).alias("_group"),
-        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"),
+        "vec",
+        "_block",
+        F.pmod(F.xxhash64(row_id), F.col("_groups")).cast("int").alias("_group"),
+        numbers("_parts").alias("_part"),
     )
-    right = references.select(
-        F.col("stable_id").cast("bigint"),
-        F.col("idx").cast("bigint"),
-        F.col("vec").cast("array<double>"),
-        F.pmod(F.xxhash64("stable_id", "idx"), F.lit(blocks)).cast("int").alias("_block"),
-        F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("_group"),
+    right = placed.join(sizes, "_block").select(
+        "stable_id",
+        "idx",
+        "vec",
+        "_block",
+        numbers("_groups").alias("_group"),
+        F.pmod(F.xxhash64("stable_id", "idx"), F.col("_parts")).cast("int").alias("_part"),
     )
+    hit_type = to_arrow_schema(StructType.fromDDL(schema))
 
     def compare(rows: pa.Table, refs: pa.Table) -> pa.Table:
         names = np.array([refs.column("stable_id").to_numpy(), refs.column("idx").to_numpy()]).T
@@ -245,23 +378,19 @@ def nearest_blocked(
             schema=hit_type,
         )
 
-    id_type = dict(vectors.dtypes)[row_id]
-    hit_type = to_arrow_schema(
-        StructType.fromDDL(
-            f"{row_id} {id_type}, stable_id bigint, idx bigint, distance double"
-        )
-    )
-    hits = (
-        left.groupBy("_block", "_group")
-        .cogroup(right.groupBy("_block", "_group"))
-        .applyInArrow(
-            compare, f"{row_id} {id_type}, stable_id bigint, idx bigint, distance double"
-        )
-    )
-    order = Window.partitionBy(row_id).orderBy(
-        F.round("distance", TIE_DIGITS), "stable_id", "idx"
-    )
-    return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    key = ["_block", "_part", "_group"]
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(compare, schema)
+
+
+def fits_broadcast(model: Model, components: int = BROADCAST_COMPONENTS) -> bool:
+    """Whether a model's vectors are few enough for every task to hold."""
+    for table in (model.centroids, model.samples):
+        size = table.agg(
+            F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("vec")), F.lit(0)).alias("d")
+        ).first()
+        if size["n"] * size["d"] > components:
+            return False
+    return True
 
 
 def _with_idx(references: DataFrame) -> DataFrame:
@@ -283,7 +412,9 @@ def nearest_references(
     references = _with_idx(references)
     small = collect_reference(references, ["stable_id", "idx"], components=components)
     if small is None:
-        hits = nearest_blocked(vectors, row_id, references, k, vector)
+        hits = nearest_blocked(
+            vectors, row_id, references, k, vector, BLOCK_VECTORS, GROUP_ROWS
+        )
         return hits.select(row_id, "rank", "stable_id", "idx", "distance")
     near = vectors.select(row_id, _nearest_column(F.col(vector), *small, k).alias("hits"))
     return near.select(row_id, F.posexplode("hits").alias("rank", "hit")).select(

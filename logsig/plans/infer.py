@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.features import Featurizer, features
-from ..operators.vectors import assign_stable_cluster
-from ..session import broadcast_if_bounded, materialize
+from ..operators.vectors import assign_stable_cluster, fits_broadcast
+from ..session import is_bounded, materialize, spread
 from ..sources.logs import annotate, clustered_rows
 from ..sources.model import Model
 
@@ -24,17 +24,24 @@ def assign_lines(
 
     ``per_pattern`` computes each distinct pattern once and joins the answer back,
     which pays when features are expensive or patterns few; few patterns are
-    broadcast, so the lines themselves are not shuffled. Without it everything is
-    one narrow stage, for models that can be broadcast.
+    broadcast, so the lines themselves are not shuffled. Without it, and for more patterns
+    than can be broadcast if the default features do, everything is one narrow stage, for
+    models that can be broadcast.
     """
     signed = annotate(lines)
     if not per_pattern:
         vectors = features(signed, featurizer)
         return assign_stable_cluster(vectors, model).drop("vec")
     patterns = signed.select("pattern").distinct()
-    vectors = materialize(features(patterns, featurizer))
-    assigned = assign_stable_cluster(vectors, model, "pattern")
-    return signed.join(broadcast_if_bounded(assigned.select("pattern", *_MATCH)), "pattern")
+    vectors = materialize(features(spread(materialize(patterns)), featurizer))
+    found = assign_stable_cluster(vectors, model, "pattern")
+    assigned = materialize(found.select("pattern", *_MATCH))
+    if is_bounded(assigned):
+        return signed.join(F.broadcast(assigned), "pattern")
+    if featurizer is None and fits_broadcast(model):
+        # Too many patterns: no line is shuffled if the model can go to the lines.
+        return assign_stable_cluster(features(signed), model).drop("vec")
+    return signed.join(assigned, "pattern")
 
 
 def clustered_log(

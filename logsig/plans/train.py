@@ -13,7 +13,7 @@ from ..operators.density import Density, density_cluster, density_parameters
 from ..operators.features import Featurizer, features
 from ..operators.registry import build_registry
 from ..operators.vectors import SAMPLES_PER_CLUSTER, cluster_geometry
-from ..session import broadcast_if_bounded, materialize, sequential_ids
+from ..session import broadcast_if_bounded, materialize, sequential_ids, spread
 from ..sources.logs import OUTLIER, annotate
 from ..sources.model import Model, REGISTRY_SCHEMA, Thresholds
 
@@ -50,7 +50,7 @@ def label_patterns(
     Nearly uniform data is one cluster by definition.
     """
     # A featurizer may be dear: it sees each pattern once.
-    vectors = materialize(features(patterns, featurizer))
+    vectors = materialize(features(spread(patterns), featurizer))
     totals = patterns.agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("lines")).first()
     if totals["n"] < UNIFORM * (totals["lines"] or 0):
         return vectors.withColumn("cluster_id", F.lit(0).cast("bigint"))

@@ -118,8 +118,14 @@ def broadcast_if_bounded(
     compute it again.
     """
     table = df if stored else materialize(df)
-    small = estimated_bytes(table) <= max_bytes and table.count() <= max_rows
-    return F.broadcast(table) if small else table
+    return F.broadcast(table) if is_bounded(table, max_rows, max_bytes) else table
+
+
+def is_bounded(
+    table: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES
+) -> bool:
+    """Whether a stored table may be broadcast."""
+    return estimated_bytes(table) <= max_bytes and table.count() <= max_rows
 
 
 def sequential_ids(

@@ -14,15 +14,17 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions import pattern_signature, strip
 from ..operators.clusters import cluster_signatures
 from ..operators.features import Featurizer
-from ..operators.registry import map_signatures
+from ..operators.registry import new_signatures
 from ..plans.infer import assign_lines
-from ..session import materialize, temporary_tables
-from ..sources.logs import _lines, clustered_rows
+from ..session import materialize, sequential_ids, temporary_tables
+from ..sources.logs import _existing, _lines, _path_key, clustered_rows, in_file_order
 from ..sources.model import Model
 
 
 # Files of one micro-batch, so that a backlog is worked off in steps.
 FILES_PER_BATCH = 1000
+# Beside the partitions of a streamed table; readers of the table pass it over.
+FILE_COUNTS = "_files"
 
 
 def log_stream(
@@ -56,7 +58,9 @@ def stream_assign(
     """Assign every new log file's lines and append them to the clustered table.
 
     The table is partitioned by ``batch_id`` and ``cluster``; read it as one with
-    ``spark.read.parquet(out)``.
+    ``spark.read.parquet(out)``. ``pos`` orders its lines as a batch job does: by micro-batch,
+    then by the files' paths, then by line. How many files each batch had is kept beside the
+    table, so a batch starts behind the ones before it and a replay where it did.
     """
     frozen = Model(
         model.registry,
@@ -68,10 +72,23 @@ def stream_assign(
     def write(batch: DataFrame, batch_id: int) -> None:
         # What the batch stores on its way goes when its rows are written.
         with temporary_tables(spark):
-            rows = clustered_rows(assign_lines(_lines(batch), frozen, featurizer))
-            rows.hint("rebalance", "cluster").write.mode("overwrite").partitionBy(
-                "cluster"
-            ).parquet(f"{out}/batch_id={batch_id}")
+            read = materialize(_lines(batch, _path_key().alias("source_path")))
+            paths = read.select("source_path").distinct()
+            files = materialize(
+                sequential_ids(paths, ["source_path"], "file_no", _files_before(spark, out, batch_id))
+            )
+            lines = in_file_order(read, files)
+            rows = clustered_rows(assign_lines(lines, frozen, featurizer))
+            (
+                rows.hint("rebalance", "cluster")
+                .sortWithinPartitions("cluster", "pos")
+                .write.mode("overwrite")
+                .partitionBy("cluster")
+                .parquet(f"{out}/batch_id={batch_id}")
+            )
+            files.agg(F.count(F.lit(1)).alias("files")).write.mode("overwrite").parquet(
+                f"{out}/{FILE_COUNTS}/batch_id={batch_id}"
+            )
 
     return (
         log_stream(spark, path, glob, files)
@@ -82,6 +99,15 @@ def stream_assign(
     )
 
 
+def _files_before(spark: SparkSession, out: str, batch_id: int) -> int:
+    """Files of the batches before this one; one small row each."""
+    counts = _existing(spark, f"{out}/{FILE_COUNTS}")
+    if counts is None:
+        return 0
+    before = counts.filter(F.col("batch_id") < batch_id)
+    return before.agg(F.coalesce(F.sum("files"), F.lit(0))).first()[0]
+
+
 def stream_new_signatures(
     labelled: DataFrame, registry: DataFrame, store: str, checkpoint_dir: str
 ) -> StreamingQuery:
@@ -98,10 +124,7 @@ def stream_new_signatures(
     def extend(batch: DataFrame, batch_id: int) -> None:
         with temporary_tables(spark):
             known = spark.read.parquet(path).filter(F.col("version") < batch_id).drop("version")
-            mapping, extended = map_signatures(cluster_signatures(materialize(batch)), known)
-            # New ids are above all known ones, so they tell the added rows.
-            last = known.agg(F.coalesce(F.max("stable_id"), F.lit(-1))).first()[0]
-            added = extended.filter(F.col("stable_id") > last)
+            mapping, added = new_signatures(cluster_signatures(materialize(batch)), known)
             added.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
             mapping.write.mode("overwrite").parquet(f"{store}/mapping/batch_id={batch_id}")
 

@@ -1,21 +1,32 @@
 """Geometry, assignment, density clusters, training and streams against brute force."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from logsig.operators import density, vectors
 from logsig.operators.density import DENSITY_PRESETS, Density, density_cluster, density_parameters
+from logsig.operators.query import log_query
+from logsig.operators.registry import map_signatures, new_signatures
 from logsig.operators.vectors import (
     assign_stable_cluster,
     centroid_nearest,
     cluster_geometry,
     cluster_sample_vectors,
+    nearest_blocked,
     nearest_references,
 )
 from logsig.plans.infer import assign_lines
 from logsig.plans.train import train
-from logsig.sources import Model, Thresholds, load_model, read_log_directory, save_model
+from logsig.sources import (
+    Model,
+    Thresholds,
+    load_model,
+    read_clustered,
+    read_log_directory,
+    save_model,
+)
 from logsig.streaming import stream_assign
 
 
@@ -79,6 +90,30 @@ def test_weighted_geometry_counts_copies(spark, world):
         assert np.isclose(a[label]["avg_intra_distance"], b[label]["avg_intra_distance"])
 
 
+def test_routing_visits_only_what_can_hold_the_nearest(spark):
+    """Far groups of references: few blocks are visited, and the answer is exact."""
+    rng = np.random.default_rng(3)
+    centres = np.linalg.qr(rng.normal(size=(12, 12)))[0]
+    refs = np.concatenate([c + rng.normal(0, 0.02, (40, 12)) for c in centres] + [np.zeros((2, 12))])
+    rows = np.concatenate([c + rng.normal(0, 0.02, (9, 12)) for c in centres] + [np.zeros((2, 12))])
+    model = spark.createDataFrame(
+        [(i // 4, i % 4, v.tolist()) for i, v in enumerate(refs)], "stable_id long, idx long, vec array<double>"
+    )
+    asked = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "row_id long, vec array<double>")
+    for k in (1, 5, 50):
+        got = nearest_blocked(asked, "row_id", model, k, "vec", 12, 20).collect()
+        far = np.round(1 - vectors._directions(rows) @ vectors._directions(refs).T, 9)
+        for i in range(len(rows)):
+            want = [(j // 4, j % 4) for j in np.argsort(far[i], kind="stable")[:k]]
+            own = sorted((r["rank"], r["stable_id"], r["idx"]) for r in got if r["row_id"] == i)
+            assert [r[1:] for r in own] == want
+    routing, _ = vectors.routing_of(model, 12)
+    held = np.isfinite(routing.radii).sum()
+    reached = routing.within(rows[:-2], np.full(len(rows) - 2, 0.002))
+    assert held > 12 and reached.sum(axis=1).max() < held / 2
+    assert nearest_blocked(asked, "row_id", model.limit(0), 3).count() == 0
+
+
 @pytest.mark.parametrize("blocked", [False, True])
 def test_assignment_against_brute_force(world, monkeypatch, blocked):
     points, labels, df, model = world
@@ -151,6 +186,45 @@ def test_density_against_brute_force(spark, monkeypatch, blocks, direct_edges, e
     assert [r["cluster_id"] for r in got] == brute_density(points, weights, p)
 
 
+def test_cells_are_cut_level_by_level_and_dense_ones_merged(spark, monkeypatch):
+    """Wide groups part on several levels; a heap of near points is one clique, not pairs."""
+    rng = np.random.default_rng(8)
+    points = np.concatenate(
+        [rng.normal(c, 0.3, (60, 2)) for c in ((0, 0), (5, 0), (0, 5), (5, 5), (20, 20))]
+        + [rng.normal((9, 9), 0.01, (150, 2))]
+    )
+    monkeypatch.setattr(density, "BLOCK_POINTS", 16)
+    monkeypatch.setattr(density, "POINTS_PER_PIVOT", 25)
+    monkeypatch.setattr(density, "FANOUT", 4)
+    df = spark.createDataFrame(
+        [(i, v.tolist(), 1) for i, v in enumerate(points)], "site long, vec array<double>, weight long"
+    )
+    placed = density.cells(df, 0.3).collect()
+    # Each site is at home once, and meets all its neighbours there.
+    assert sorted(r["site"] for r in placed if r["home"]) == list(range(len(points)))
+    home = {r["site"]: r["cell"] for r in placed if r["home"]}
+    members = {}
+    for r in placed:
+        members.setdefault(r["cell"], set()).add(r["site"])
+    near = np.linalg.norm(points[:, None] - points[None], axis=2) <= 0.3
+    for i in range(len(points)):
+        assert set(np.flatnonzero(near[i])) <= members[home[i]]
+    assert max(home.values()) > density.FANOUT * (density.FANOUT + 1)  # the third level
+    table = density.materialize(spark.createDataFrame(placed))
+    held = density.cliques(table, 0.3, 10).collect()
+    assert {r["site"] for r in held} >= set(range(300, 450)) and len({r["clique"] for r in held if r["site"] >= 300}) == 1
+    known = table.join(density.cliques(table, 0.3, 10), "site", "left").fillna(-1, ["clique"])
+    size = lambda a, b: pa.table({"n": [len(a) * len(b)]})
+    every, fewer = (
+        density.block_pairs(t, F.lit(True), size, "n bigint").agg(F.sum("n")).first()[0] for t in (table, known)
+    )
+    assert fewer <= every - 150 * 150
+    got = density_cluster(
+        df.withColumnRenamed("site", "point_id"), Density(10, 5, 0.3), 0, 0
+    ).orderBy("point_id").collect()
+    assert [r["cluster_id"] for r in got] == brute_density(points, np.ones(len(points), int), Density(10, 5, 0.3))
+
+
 def test_presets():
     assert density_parameters("moderate", 1, 1, 1.0) == DENSITY_PRESETS["moderate"]
     assert density_parameters(None, 4, 2, 0.5) == Density(4, 2, 0.5)
@@ -195,6 +269,46 @@ def test_inference(spark, trained, per_pattern, tmp_path):
     assert [r["stable_id"] for r in got] == [1, 0, -1, -1]
 
 
+def test_stream_lines_have_the_order_of_a_batch(spark, trained, tmp_path):
+    """Several files a trigger and several triggers, against the table a batch job appends."""
+    logs = tmp_path / "logs"
+    logs.mkdir()
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+    for names in ("ab", "cd", "e"):
+        for name in names:
+            text = "".join(f"user={name}{i} id={i} ok\n" for i in range(6))
+            (logs / f"{name}.log").write_text(text)
+        run = lambda: stream_assign(spark, str(logs), trained.model, out, state, files=3).awaitTermination()
+        run()
+    run()
+    want = [f"user={n}{i} id={i} ok" for n in "abcde" for i in range(6)]
+    table = read_clustered(spark, out)
+    assert [r["raw_log"] for r in table.orderBy("pos").collect()] == want
+    assert table.select("pos").distinct().count() == 30
+    page, meta = log_query(table, 1, "=", limit=7, offset=10)
+    assert [r["text"] for r in page.collect()] == want[10:17]
+    assert meta.first()["total_matches"] == 30
+
+
+def test_a_stream_batch_reads_the_registry_once(spark):
+    """The registry's hashes and ids are all that finding new signatures reads of it."""
+    rows = [(i, f"h{i}", ["p"], 1, None, ["s"], None) for i in range(4)]
+    registry = spark.createDataFrame(
+        rows, "stable_id long, signature_hash string, patterns array<string>, training_size long, "
+        "inference_size long, sample_logs array<string>, is_new_pattern boolean",
+    )
+    signatures = spark.createDataFrame(
+        [(0, "h2", ["p"], 5, ["s"], 3), (1, "new", ["q"], 2, ["t"], 9)],
+        "cluster_id long, signature_hash string, patterns array<string>, size long, "
+        "sample_logs array<string>, first_pos long",
+    )
+    mapping, added = new_signatures(signatures, registry)
+    assert {(r[0], r[1], r[2]) for r in mapping.collect()} == {(0, 2, False), (1, 4, True)}
+    assert [(r["stable_id"], r["signature_hash"], r["inference_size"]) for r in added.collect()] == [(4, "new", 2)]
+    _, extended = map_signatures(signatures, registry)
+    assert extended.count() == 5
+
+
 def test_stream_equals_batch_and_replay_is_harmless(spark, trained, tmp_path):
     logs = tmp_path / "logs"
     logs.mkdir()
