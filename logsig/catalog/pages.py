@@ -8,6 +8,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.clusters import cluster_signatures
+from ..operators.indexed import (
+    append_indexed,
+    indexed_filter,
+    indexed_query,
+    match_counts,
+    matching_lines,
+    read_indexed,
+    uniqueness_estimate,
+)
 from ..operators.query import (
     filter_cluster_pattern,
     log_filter,
@@ -141,6 +150,76 @@ def filter_over_files(spark, folder):
     return _all_pages(log_filter(table_, CLUSTER, NEEDLE, [0, 1], 40, 40 * n)[0] for n in range(5))
 
 
+def _indexed(spark, folder, appends: int = 2):
+    """All document lines in an indexed log."""
+    path = shared_folder(spark)
+    for _ in range(appends):
+        append_indexed(clustered_docs(spark, folder).select("pos", "raw_log", "pattern", "cluster"), path)
+    return read_indexed(spark, path)
+
+
+@query(
+    "filter_cluster_pattern_indexed",
+    f"{_SIGNED} SELECT pos, raw_log FROM signed WHERE {_MATCH}",
+)
+def indexed_matches(spark, folder):
+    """The needle is matched on the dictionary, lines are picked by pattern id."""
+    return matching_lines(_indexed(spark, folder, 1), CLUSTER, NEEDLE).select("pos", "raw_log")
+
+
+@query(
+    "log_query_indexed",
+    f"""{_TWICE} SELECT CAST((place - 1) // 40 AS INTEGER) AS page, raw_log AS text FROM twice
+    WHERE place <= 200""",
+)
+def query_indexed(spark, folder):
+    """Pages over two appends, located by stored counts."""
+    log = _indexed(spark, folder)
+    return _all_pages(indexed_query(log, CLUSTER, NEEDLE, 40, 40 * n)[0] for n in range(5))
+
+
+@query(
+    "log_filter_indexed",
+    f"""{_TWICE}, walked AS (SELECT place, {sql.fields('raw_log', 'pattern')} AS w FROM twice
+      WHERE place <= 80)
+    SELECT CAST((place - 1) // 40 AS INTEGER) AS page,
+      coalesce(array_to_string(list_filter([w[1].text, w[2].text],
+        lambda t: t IS NOT NULL), chr(9)), '') AS text FROM walked""",
+)
+def filter_indexed(spark, folder):
+    log = _indexed(spark, folder)
+    return _all_pages(indexed_filter(log, CLUSTER, NEEDLE, [0, 1], 40, 40 * n)[0] for n in range(2))
+
+
+@query(
+    "page_meta_indexed",
+    f"""{_TWICE}, n AS (SELECT count(*) AS total FROM twice)
+    SELECT total - 5 AS current_offset, CAST(5 AS BIGINT) AS returned_count, true AS "isEnd",
+      total AS total_matches, CAST(5 AS BIGINT) AS lines FROM n""",
+)
+def meta_indexed(spark, folder):
+    """The last page: its lines and metadata come from the counts."""
+    log = _indexed(spark, folder)
+    total = match_counts(log, CLUSTER, NEEDLE).agg(F.sum("n")).first()[0]
+    lines, meta = indexed_query(log, CLUSTER, NEEDLE, LIMIT, total - 5)
+    return meta.select("current_offset", "returned_count", "isEnd", "total_matches").withColumn(
+        "lines", F.lit(lines.count()).cast("bigint")
+    )
+
+
+@query(
+    "pattern_uniqueness_sketch",
+    f"""{_SIGNED}, n AS (SELECT 2 * count(*) AS lines, count(DISTINCT pattern) AS patterns FROM signed)
+    SELECT CAST(lines AS BIGINT) AS lines, true AS near, patterns / lines < 0.05 AS low_variation FROM n""",
+)
+def sketched_uniqueness(spark, folder):
+    """Merged sketches of two appends against the exact number of patterns."""
+    log = _indexed(spark, folder)
+    exact = F.lit(log.patterns.agg(F.count_distinct("pattern")).first()[0])
+    near = F.abs(F.col("distinct_patterns") - exact) <= F.col("error") * exact
+    return uniqueness_estimate(log).select("lines", near.alias("near"), "low_variation")
+
+
 @query(
     "log_query_deep",
     f"""{_SIGNED} SELECT pos, raw_log FROM signed WHERE cluster <> {CLUSTER}

@@ -95,9 +95,14 @@ def page(
 
 def page_meta(rows: DataFrame, limit: int, offset: int = 0) -> DataFrame:
     """One row describing a page of ``rows``."""
+    return page_of_total(rows.agg(F.count(F.lit(1)).alias("total_matches")), limit, offset)
+
+
+def page_of_total(counted: DataFrame, limit: int, offset: int = 0) -> DataFrame:
+    """One row describing a page of as many rows as the only row of ``counted`` says."""
     total = F.col("total_matches")
     left = F.greatest(total - offset, F.lit(0))
-    return rows.agg(F.count(F.lit(1)).alias("total_matches")).select(
+    return counted.select(
         F.lit(offset).cast("bigint").alias("current_offset"),
         F.least(left, F.lit(limit)).cast("bigint").alias("returned_count"),
         F.lit(limit).cast("bigint").alias("requested_limit"),
