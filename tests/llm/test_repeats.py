@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -129,3 +130,43 @@ def test_factor_trades_recall_for_visits():
     loose = tree.search(vectors[own], own, 10, factor=1.5)[1]
     recall = np.mean([len(set(a) & set(b)) / 10 for a, b in zip(exact, loose)])
     assert 0.9 <= recall <= 1.0
+
+
+def test_a_part_is_one_tree_whatever_the_queries(monkeypatch):
+    """Candidates come once, queries stream by in tiles and over batches."""
+    draw = np.random.default_rng(6)
+    vectors, asking = draw.normal(size=(90, 3)), draw.normal(size=(70, 3))
+    built = []
+    real = ann.Tree
+    monkeypatch.setattr(ann, "Tree", lambda *a: built.append(1) or real(*a))
+    monkeypatch.setattr(ann, "TILE_QUERIES", 8)
+
+    def rows(shard, asks, ids, v):
+        n = len(ids)
+        columns = [[3] * n, [shard] * n, [0] * n, [0] * n, [asks] * n, ids, v.tolist(), [float("inf")] * n]
+        names = ["dim", "shard", "part", "slice", "asks", "id", "v", "bound"]
+        return [pa.RecordBatch.from_arrays([pa.array(c[a : a + 25]) for c in columns], names=names) for a in range(0, n, 25)]
+
+    batches = [b for s in (0, 1) for b in rows(s, False, list(range(90)), vectors) + rows(s, True, list(range(1000, 1070)), asking)]
+    found = pa.Table.from_batches(ann.searched(iter(batches), 4, 1.0)).to_pylist()
+    assert len(built) == 2 and len(found) == 2 * 70 * 4
+    far = np.sqrt(ann.squared(asking[:, None], vectors[None]))
+    for i in range(70):
+        own = sorted({(r["score"], r["vec_id"]) for r in found if r["query_id"] == 1000 + i})
+        assert own == sorted(zip(far[i].tolist(), range(90)))[:4]
+
+
+def test_shards_out_of_reach_are_skipped(spark):
+    draw = np.random.default_rng(7)
+    centres = draw.normal(size=(12, 5)) * 50
+    points = np.concatenate([c + draw.normal(size=(40, 5)) for c in centres])
+    rows = [(i, v.tolist()) for i, v in enumerate(points)]
+    df = spark.createDataFrame(rows, "vec_id bigint, v array<double>")
+    table = df.select(F.col("vec_id").alias("id"), "v", F.size("v").alias("dim"))
+    shards, placed = ann.shards_of(table, 20)
+    assert placed.count() == 480 and np.isfinite(shards.low[5]).sum() > 12
+    reached = shards.reached(points, np.full(480, 6.0))
+    assert reached.sum(axis=1).max() < 12 and reached[np.arange(480), shards.home(points)[0]].all()
+    assert shards.reached(points, np.full(480, 6.0), factor=3.0).sum() <= reached.sum()
+    got = ann.nearest(df, df.filter("vec_id % 30 = 0"), "vec_id", "v", 5, shard_rows=20)
+    assert sorted(map(tuple, got.collect())) == brute(rows, list(range(0, 480, 30)), 5)
