@@ -158,9 +158,12 @@ def indexed_page(log: IndexedLog, cluster: int, needle: str, limit: int, offset:
         last, _ = _range_of(sizes, min(offset + limit, held) - 1)
         inside = (F.col("pos") >= first * RANGE) & (F.col("pos") < (last + 1) * RANGE)
         lines = lines.filter(inside).orderBy("pos").offset(offset - before).limit(limit)
+    # A page is as many rows as the limit allows. It is stored before the join, as what is
+    # ordered below a join would pass for ordered above it.
+    found = F.broadcast(materialize(lines))
     texts = log.patterns.filter(F.col("cluster") == cluster).select("pattern_id", "pattern")
-    # A page is as many rows as the limit allows.
-    return texts.distinct().join(F.broadcast(lines), "pattern_id"), page_of_total(total, limit, offset)
+    page = texts.distinct().join(found, "pattern_id").orderBy("pos")
+    return page, page_of_total(total, limit, offset)
 
 
 def indexed_query(
