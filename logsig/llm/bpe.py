@@ -33,7 +33,7 @@ LEAF_BYTES = 48
 #: Characters after a piece that the pattern may look at before it ends it: an
 #: apostrophe and two letters.
 LOOK_AHEAD = 2
-CACHED_PIECES = 50_000
+CACHED_PIECES = 100_000
 CACHED_LENGTH = 40
 _NONE = 1 << 60
 
@@ -110,6 +110,7 @@ class Codec:
         self.find = regex.compile(pattern).findall
         self.leaf_chars, self.leaf_bytes = max(leaf_chars, 1), max(leaf_bytes, 1)
         self.packed: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     @staticmethod
     def pack(ids: list[int]) -> bytes:
@@ -173,14 +174,20 @@ class Codec:
         get, out = self.packed.get, []
         for piece in self.pieces(text):
             ids = get(piece)
-            out.append(self._pack(piece) if ids is None else ids)
+            if ids is None:
+                ids = self._pack(piece)
+                get = self.packed.get
+            out.append(ids)
         return b"".join(out)
 
     def _pack(self, piece: str) -> bytes:
-        ids = self.pack(self.encode_piece(piece.encode()))
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = self.pack(self.encode_piece(piece.encode()))
         if len(piece) <= CACHED_LENGTH:
+            # The pieces before the last ones are kept as long again.
             if len(self.packed) >= CACHED_PIECES:
-                self.packed.clear()
+                self.older, self.packed = self.packed, {}
             self.packed[piece] = ids
         return ids
 
