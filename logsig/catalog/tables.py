@@ -322,6 +322,26 @@ def batched(spark, folder):
     return _batched(spark, folder, _source_model(spark, folder))
 
 
+@query(
+    "stream_order",
+    f"""WITH {sql.DOC_LINES} SELECT row_number() OVER (ORDER BY pos) - 1 AS place, raw_log
+    FROM doc_lines WHERE cluster = 3""",
+)
+def stream_order(spark, folder):
+    """The lines of several files in the order of the streamed table."""
+    logs, out = shared_folder(spark), shared_folder(spark)
+    rows = doc_lines(spark, folder).filter(F.col("cluster") == 3).select("pos", "raw_log")
+    ordered = rows.repartitionByRange(4, "pos").sortWithinPartitions("pos")
+    ordered.select(F.col("raw_log").alias("value")).write.text(logs)
+    none = spark.createDataFrame([], "stable_id bigint, idx bigint, vec array<double>")
+    model = Model(none, none, none, Thresholds())
+    stream_assign(
+        spark, logs, model, out, shared_folder(spark), glob="part-*.txt"
+    ).awaitTermination()
+    lines = read_clustered(spark, out).select("pos", "raw_log")
+    return sequential_ids(lines, ["pos"], "place").select("place", "raw_log")
+
+
 _PER_SOURCE = f"""WITH {sql.DOC_LINES}, {sql.signed('doc_lines')}, {sql.PAGE_LINES},
   {sql.signed('page_lines', 'page_signed')},
   counted AS (SELECT cluster, pattern, count(*) AS weight FROM signed WHERE cluster <> 0

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import threading
 import uuid
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 1_000_000
@@ -139,7 +140,7 @@ def sequential_ids(
     """Number rows ``start``, ``start + 1``, ... by ``order`` without sorting all in one task.
 
     Up to ``direct`` rows are simply ranked. More fall into consecutive
-    buckets of the first order column; a bucket's rows are ranked on their own and
+    buckets of the first order column, a number or a text, by its quantiles; a bucket's rows are ranked on their own and
     shifted by the sizes of the buckets before it. The rows are materialised first
     unless they are ``stored`` already, as they are needed several times.
     """
@@ -151,16 +152,26 @@ def sequential_ids(
     return ranked.withColumn(name, F.col(name).cast("bigint") + start)
 
 
+def _text_number(df: DataFrame, lead: str) -> Column:
+    """A number that grows with a text: the six bytes behind what all texts begin with."""
+    ends = df.agg(F.min(lead), F.max(lead)).first()
+    low, high = ((e or "").encode() for e in ends)
+    same = os.path.commonprefix([low, high])
+    after = F.hex(F.substring(F.encode(F.col(lead), "UTF-8"), len(same) + 1, 6))
+    return F.conv(F.rpad(after, 12, "0"), 16, 10)
+
+
 def _bucketed_ids(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
     lead = order[0]
-    bucket = F.col(lead)
-    if dict(df.dtypes)[lead] in ("bigint", "int"):
-        # First appearances crowd at the front, so the buckets follow quantiles.
-        cuts = [i / NUMBERING_BUCKETS for i in range(1, NUMBERING_BUCKETS)]
-        bounds = sorted(set(df.approxQuantile(lead, cuts, 0.25 / NUMBERING_BUCKETS)))
-        passed = F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(lead).cast("double"))
-        bucket = F.size(passed)
-    df = df.withColumn("_bucket", bucket)
+    number = F.col(lead)
+    if dict(df.dtypes)[lead] == "string":
+        number = _text_number(df, lead)
+    df = df.withColumn("_lead", number.cast("double"))
+    # First appearances crowd at the front, so the buckets follow quantiles.
+    cuts = [i / NUMBERING_BUCKETS for i in range(1, NUMBERING_BUCKETS)]
+    bounds = sorted(set(df.approxQuantile("_lead", cuts, 0.25 / NUMBERING_BUCKETS)))
+    passed = F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col("_lead"))
+    df = df.withColumn("_bucket", F.size(passed)).drop("_lead")
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     sizes = df.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_size"))
     shifts = sizes.select(

@@ -240,15 +240,17 @@ def test_ids_follow_appearance_and_later_hash_wins(spark):
 def test_bucketed_numbering_equals_direct(spark, monkeypatch):
     rows = spark.range(3000).select((F.col("id") * 7919 % 100_003).alias("key"))
     direct = session.sequential_ids(rows, ["key"], "n").collect()
-    monkeypatch.setattr(session, "DIRECT_NUMBERING", 0)
     monkeypatch.setattr(session, "NUMBERING_BUCKETS", 16)
-    bucketed = session.sequential_ids(rows, ["key"], "n").collect()
+    bucketed = session.sequential_ids(rows, ["key"], "n", direct=0).collect()
     assert sorted(map(tuple, direct)) == sorted(map(tuple, bucketed))
-    words = rows.select(F.md5(F.col("key").cast("string")).alias("key"), "key")
-    named = words.toDF("word", "key")
-    got = session.sequential_ids(named, ["word", "key"], "n").orderBy("n").collect()
-    assert [r["word"] for r in got] == sorted(r["word"] for r in got)
-    assert [r["n"] for r in got] == list(range(3000))
+    # Texts that begin alike, of several lengths and of characters beyond ASCII.
+    text = F.concat(F.lit("s3://logs/é/"), F.left(F.md5(F.col("key").cast("string")), F.col("key") % 9), F.lit("é"))
+    named = rows.select(text.alias("word"), "key")
+    got = session.sequential_ids(named, ["word", "key"], "n", direct=0).orderBy("n").collect()
+    order = [(r["word"].encode(), r["key"]) for r in got]
+    assert order == sorted(order) and [r["n"] for r in got] == list(range(3000))
+    numbers = named.select(session._text_number(named, "word").cast("double").alias("x"))
+    assert numbers.distinct().count() > 1000
 
 
 # ---- run logs -------------------------------------------------------------------
