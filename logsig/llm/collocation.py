@@ -391,8 +391,9 @@ def block_of(first: np.ndarray, second: np.ndarray, blocks: int) -> np.ndarray:
 
 def trie_counts(df, text, language, seed, held: list[tuple[int, int, bytes]], blocks, longest) -> DataFrame:
     """``block``, ``part`` and ``counts``: how often each of ``PART`` consecutive phrases of a
-    block's trie occurs. A shard sends one vector for them, and Spark adds vectors; counts are
-    whole numbers below 2^53, so the sums are exact."""
+    block's trie occurs. A shard sends one vector for them, and Spark adds vectors. Counts are
+    whole numbers below 2^53 and none is negative, so their L1 norm is their exact sum (the
+    sum of ``Summarizer`` is a running mean times a weight, and rounds)."""
     given = df.sparkSession.sparkContext.broadcast(held)
 
     def work():
@@ -428,7 +429,7 @@ def trie_counts(df, text, language, seed, held: list[tuple[int, int, bytes]], bl
     made = each_slice(df, text, language, seed, schema, work)
     vectors = made.select("block", "part", array_to_vector("counts").alias("counts"))
     return vectors.groupBy("block", "part").agg(
-        vector_to_array(Summarizer.sum(F.col("counts"))).alias("counts")
+        vector_to_array(Summarizer.normL1(F.col("counts"))).alias("counts")
     )
 
 

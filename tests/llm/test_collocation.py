@@ -90,6 +90,18 @@ def test_many_tries_passes_and_slices(spark, make, monkeypatch):
     assert run(spark, make, rows, least=2) == want
 
 
+def test_counts_of_uneven_shards_are_exact(spark, make):
+    """Shards that hold a phrase one, seven or ninety times still add up to a whole number."""
+    rng = random.Random(11)
+    texts = [
+        "\n".join(f"w{i} x{i}" for i in range(150) for _ in range(rng.choice([0, 1, 2, 7, 90])))
+        for _ in range(13)
+    ]
+    docs = make(texts).repartition(13, "doc_id")
+    got = collocations(docs, "text", "lang", least=30)
+    assert sorted(tuple(r) for r in got.collect()) == plain([(t, "en") for t in texts], 30)
+
+
 def test_saturated_maps_change_nothing(spark, make, monkeypatch):
     rows = sample(4)
     monkeypatch.setattr(rolling, "BITS_EACH", 1)
