@@ -150,7 +150,7 @@ def test_contamination(spark, make, tmp_path, monkeypatch):
                     for p in range(len(own) - len(w) + 1):
                         if own[p : p + len(w)] == w:
                             hit.update(range(p, p + len(w)))
-                            names.add(str(name))
+                            names.update([] if name is None else [str(name)])
             assert (r.n_words, r.n_hit, r.n_items) == (len(own), len(hit), len(names)), r
             assert r.items_sha256 == hashlib.sha256(",".join(sorted(names)).encode()).hexdigest()
             assert r.contaminated == (len(hit) > 0 and 20 * len(hit) >= len(own))
