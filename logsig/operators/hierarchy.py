@@ -37,11 +37,14 @@ from .density import (
     block_pairs,
     cells,
     connected_components,
-    squared_distances,
     sites_of,
+    sparse,
+    tiles,
 )
-from .vectors import _matrix
 
+#: Edges that a task gathers before it keeps their forest.
+MOST_EDGES = 1_000_000
+_EDGE = [("length", float), ("low", np.int64), ("high", np.int64)]
 #: Multiples of a preset's radius that are tried.
 GRID = (1.0, 1.25, 1.5, 2.0)
 
@@ -52,30 +55,27 @@ def core_distances(placed: DataFrame, min_samples: int, radius: float) -> DataFr
     nearest = "array<struct<apart:double,weight:bigint>>"
 
     def compare(rows: pa.Table, others: pa.Table) -> pa.Table:
-        """Of each row the least distances whose sites weigh enough, or all within the radius."""
-        ids, found = [], []
-        if len(rows) and len(others):
-            apart = squared_distances(_matrix(rows.column("vec")), _matrix(others.column("vec")))
-            apart[rows.column("site").to_numpy()[:, None] == others.column("site").to_numpy()] = 0.0
-            weights = others.column("weight").to_numpy()
-            # Each site weighs one or more, so no more than ``enough`` are needed.
-            width = min(enough, len(weights))
+        """Of each row the least distances up to the radius, as many as can be needed."""
+        ids, weights = rows.column("site").to_numpy(), others.column("weight").to_numpy()
+        sites = others.column("site").to_numpy()
+        # Each site weighs one or more, so no more than ``enough`` are needed.
+        held = np.full((len(ids), enough if len(others) else 0), np.inf)
+        mass = np.zeros(held.shape, np.int64)
+        for at, of, apart in tiles(rows, others) if len(ids) and len(sites) else ():
+            apart[ids[at][:, None] == sites[of]] = 0.0
+            width = min(enough, apart.shape[1])
             first = np.argpartition(apart, width - 1, axis=1)[:, :width]
-            held = np.take_along_axis(apart, first, axis=1)
-            for site, row, of in zip(rows.column("site").to_pylist(), held, first, strict=True):
-                inside = row <= most
-                order = np.argsort(row[inside], kind="stable")
-                own, mass = row[inside][order], weights[of[inside][order]]
-                last = int(np.searchsorted(np.cumsum(mass), enough)) + 1
-                ids.append(site)
-                found.append(
-                    [
-                        {"apart": float(a), "weight": int(w)}
-                        for a, w in zip(own[:last], mass[:last], strict=True)
-                    ]
-                )
-        kind = pa.list_(pa.struct([("apart", pa.float64()), ("weight", pa.int64())]))
-        return pa.table({"site": pa.array(ids, pa.int64()), "near": pa.array(found, kind)})
+            found = np.hstack([held[at], np.take_along_axis(apart, first, axis=1)])
+            heavy = np.hstack([mass[at], weights[of][first]])
+            best = np.argpartition(found, enough - 1, axis=1)[:, :enough]
+            held[at] = np.take_along_axis(found, best, axis=1)
+            mass[at] = np.take_along_axis(heavy, best, axis=1)
+        inside = held <= most
+        offsets = np.concatenate([[0], np.cumsum(inside.sum(axis=1))]).astype(np.int32)
+        near = pa.StructArray.from_arrays(
+            [pa.array(held[inside]), pa.array(mass[inside])], names=["apart", "weight"]
+        )
+        return pa.table({"site": ids, "near": pa.ListArray.from_arrays(pa.array(offsets), near)})
 
     parts = block_pairs(placed, F.lit(True), compare, f"site bigint, near {nearest}")
     near = F.array_sort(F.flatten(F.collect_list("near")))
@@ -95,7 +95,14 @@ def core_distances(placed: DataFrame, min_samples: int, radius: float) -> DataFr
 
 def _forest(left: np.ndarray, right: np.ndarray, apart: np.ndarray, most: float) -> np.ndarray:
     """Rows (squared length, low, high) of a minimum spanning forest of the pairs of two lists of
-    sites, by Prim's method on the matrix of their distances."""
+    sites; by Prim's method on the matrix of their distances, unless the pairs are few."""
+    near = apart <= most
+    if sparse(near):
+        i, j = np.nonzero(near & (left[:, None] != right))
+        edges = np.zeros(len(i), _EDGE)
+        edges["length"] = apart[i, j]
+        edges["low"], edges["high"] = np.minimum(left[i], right[j]), np.maximum(left[i], right[j])
+        return _reduced(edges)
     sites = np.unique(np.concatenate([left, right]))
     row_of, column_of = (np.full(len(sites), -1) for _ in range(2))
     row_of[np.searchsorted(sites, left)] = np.arange(len(left))
@@ -118,7 +125,25 @@ def _forest(left: np.ndarray, right: np.ndarray, apart: np.ndarray, most: float)
             lengths = apart[line] if at is columns_at else apart[:, line]
             nearer = open_[at] & (lengths <= most) & (lengths < best[at])
             best[at[nearer]], before[at[nearer]] = lengths[nearer], here
-    return np.array(edges, dtype=[("length", float), ("low", np.int64), ("high", np.int64)])
+    return np.array(edges, dtype=_EDGE)
+
+
+def _reduced(edges: np.ndarray) -> np.ndarray:
+    """The minimum spanning forest of a bounded number of edges."""
+    edges = edges[np.lexsort((edges["high"], edges["low"], edges["length"]))]
+    sites, place = np.unique(np.concatenate([edges["low"], edges["high"]]), return_inverse=True)
+    parent = list(range(len(sites)))
+    kept = []
+    ends = place.reshape(2, -1).tolist()
+    for i, (a, b) in enumerate(zip(*ends, strict=True)):
+        while parent[a] != a:
+            parent[a] = a = parent[parent[a]]
+        while parent[b] != b:
+            parent[b] = b = parent[parent[b]]
+        if a != b:
+            parent[a] = b
+            kept.append(i)
+    return edges[kept]
 
 
 def reachability_edges(placed: DataFrame, radius: float) -> DataFrame:
@@ -127,17 +152,23 @@ def reachability_edges(placed: DataFrame, radius: float) -> DataFrame:
     most = radius * radius + ROUNDING
 
     def compare(rows: pa.Table, others: pa.Table) -> pa.Table:
-        edges = np.zeros(0, dtype=[("length", float), ("low", np.int64), ("high", np.int64)])
+        parts, held = [np.zeros(0, dtype=_EDGE)], 0
         if len(rows) and len(others):
-            apart = squared_distances(_matrix(rows.column("vec")), _matrix(others.column("vec")))
-            apart = np.maximum(apart, rows.column("weight").to_numpy()[:, None])
-            apart = np.maximum(apart, others.column("weight").to_numpy()[None, :])
-            edges = _forest(
-                rows.column("site").to_numpy(), others.column("site").to_numpy(), apart, most
-            )
+            left, right = (t.column("site").to_numpy() for t in (rows, others))
+            cores = [t.column("weight").to_numpy() for t in (rows, others)]
+            for at, of, apart in tiles(rows, others):
+                np.maximum(apart, cores[0][at][:, None], out=apart)
+                np.maximum(apart, cores[1][of][None, :], out=apart)
+                parts.append(_forest(left[at], right[of], apart, most))
+                held += len(parts[-1])
+                if held >= MOST_EDGES:
+                    # What a forest of some tiles drops has a path of no longer edges.
+                    parts = [_reduced(np.concatenate(parts))]
+                    held = 0
+        edges = _reduced(np.concatenate(parts)) if len(parts) > 2 else np.concatenate(parts)
         return pa.table({n: edges[n].copy() for n in ("length", "low", "high")})
 
-    found = block_pairs(placed, F.lit(True), compare, EDGES)
+    found = block_pairs(placed, F.lit(True), compare, EDGES, both=False)
     return found.groupBy("low", "high").agg(F.min("length").alias("length")).select(
         "length", "low", "high"
     )

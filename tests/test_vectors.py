@@ -326,3 +326,20 @@ def test_stream_equals_batch_and_replay_is_harmless(spark, trained, tmp_path):
     )
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     assert got.count() == 4
+
+
+def test_rows_meet_a_fixed_number_of_blocks(spark, monkeypatch):
+    """However many blocks' worth a cell holds, a row goes to as many tasks; pairs meet once."""
+    monkeypatch.setattr(density, "BLOCK_POINTS", 16)
+    rng = np.random.default_rng(2)
+    rows = [(0, True, i, [float(x) for x in rng.random(2)], 1) for i in range(640)]
+    placed = spark.createDataFrame(rows, "cell long, home boolean, site long, vec array<double>, weight long")
+
+    def size(a, b):
+        return pa.table({"n": pa.array([len(a)], pa.int64()), "pairs": pa.array([len(a) * len(b)], pa.int64())})
+
+    for both in (True, False):
+        got = density.block_pairs(placed, F.lit(True), size, "n long, pairs long", both=both)
+        n, pairs = got.agg(F.sum("n"), F.sum("pairs")).first()
+        assert n <= density.BLOCKS * len(rows)
+        assert pairs == len(rows) ** 2 if both else len(rows) ** 2 // 2 < pairs < len(rows) ** 2 * 0.7
