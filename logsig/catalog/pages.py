@@ -26,7 +26,7 @@ from ..operators.query import (
     page_problem,
 )
 from ..operators.registry import build_registry, log_schema
-from ..session import shared_folder
+from ..session import materialize, shared_folder
 from ..sources import annotate, append_clustered, read_clustered, read_log_directory
 from . import sql
 from .clustering import REGISTRY_SQL
@@ -153,8 +153,9 @@ def filter_over_files(spark, folder):
 def _indexed(spark, folder, appends: int = 2):
     """All document lines in an indexed log."""
     path = shared_folder(spark)
+    lines = materialize(clustered_docs(spark, folder).select("pos", "raw_log", "pattern", "cluster"))
     for _ in range(appends):
-        append_indexed(clustered_docs(spark, folder).select("pos", "raw_log", "pattern", "cluster"), path)
+        append_indexed(lines, path, stored=True)
     return read_indexed(spark, path)
 
 

@@ -50,9 +50,12 @@ def pattern_id(pattern: Column) -> Column:
     return F.md5(pattern)
 
 
-def append_indexed(clustered: DataFrame, path: str) -> None:
-    """Append ``(pos, raw_log, pattern, cluster, ...)`` lines behind what is there."""
+def append_indexed(clustered: DataFrame, path: str, stored: bool = False) -> None:
+    """Append ``(pos, raw_log, pattern, cluster, ...)`` lines behind what is there.
+
+    They are read twice, so they are materialised first unless they are ``stored`` already."""
     spark = clustered.sparkSession
+    clustered = clustered if stored else materialize(clustered)
     number, start = _next_append(spark, path)
     own = lambda part: f"{path}/{part}/append={number}"
     dictionary = clustered.groupBy("cluster", "pattern").agg(F.count(F.lit(1)).alias("n"))

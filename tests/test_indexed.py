@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from logsig.operators import indexed
 from logsig.operators.indexed import (
@@ -96,3 +97,18 @@ def test_sketches_are_merged(spark, logs):
     exact = log.patterns.select("pattern").distinct().count()
     assert row["lines"] == 450 and abs(row["distinct_patterns"] - exact) <= row["error"] * exact
     assert row["low_variation"] == (exact / 450 < 0.05) and not row["uniform"] is None
+
+
+def test_an_append_computes_its_lines_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def costly(text):
+        seen.add(1)
+        return text
+
+    rows = [(i, f"line {i % 7}", i % 2) for i in range(60)]
+    lines = spark.createDataFrame(rows, "pos long, raw_log string, cluster int")
+    append_indexed(lines.withColumn("pattern", costly("raw_log")), path := shared_folder(spark))
+    assert seen.value == 60
+    assert read_indexed(spark, path).lines.count() == 60
