@@ -9,7 +9,7 @@ from ..operators.features import symbol_features
 from ..operators.registry import build_registry
 from ..operators.vectors import cluster_geometry, cluster_sample_vectors
 from ..plans.infer import assign_lines
-from ..session import materialize, sequential_ids, shared_folder
+from ..session import estimated_bytes, materialize, sequential_ids, shared_folder
 from ..sources import (
     Model,
     Thresholds,
@@ -64,9 +64,15 @@ _PLACED = f"""WITH {sql.DOC_LINES} SELECT row_number() OVER (ORDER BY pos) - 1 A
   FROM doc_lines"""
 
 
+# Stored bytes of documents whose lines make a file.
+FILE_BYTES = 32 << 20
+
+
 def _write_ordered(spark, folder, parts: int = 5) -> str:
-    """The document lines as several files whose names follow the lines' order."""
+    """The document lines as several files whose names follow the lines' order; more than
+    ``parts`` if there is much to write."""
     path = shared_folder(spark)
+    parts = max(parts, estimated_bytes(table(spark, folder, "documents")) // FILE_BYTES)
     rows = doc_lines(spark, folder).select("pos", "raw_log")
     ordered = rows.repartitionByRange(parts, "pos").sortWithinPartitions("pos")
     ordered.select(F.regexp_replace("raw_log", "[\\r\\n]+", " ").alias("value")).write.text(path)

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from logsig import session
+from logsig.catalog import tables
 from logsig.operators import query
 from logsig.operators.clusters import cluster_samples, cluster_signatures, cluster_stats
 from logsig.operators.registry import (
@@ -372,3 +373,16 @@ def test_a_stored_registry_goes_on_from_its_next_id(spark, tmp_path):
     )
     mapping, _ = map_signatures(fresh, model.registry, next_id=model.next_id)
     assert {r.cluster_id: r.stable_id for r in mapping.collect()} == {4: 0, 5: 7}
+
+
+def test_files_of_ordered_lines_follow_the_input(spark, tmp_path, monkeypatch):
+    """Much input makes more files, so that none is one task's; their order is that of the lines."""
+    docs = [(i, f"b{i}\na{i}\n\nc{i}", "en", "src1") for i in range(300)]
+    schema = "doc_id long, text string, lang string, source string"
+    spark.createDataFrame(docs, schema).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(tables, "FILE_BYTES", 200)
+    path = tables._write_ordered(spark, str(tmp_path))
+    assert spark.read.text(path).select("_metadata.file_path").distinct().count() > 8
+    got = tables.log_directory(spark, str(tmp_path)).orderBy("place").collect()
+    assert [r["raw_log"] for r in got] == [f"{c}{i}" for i in range(300) for c in "bac"]
+    assert [r["place"] for r in got] == list(range(900))
