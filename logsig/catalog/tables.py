@@ -73,8 +73,9 @@ def _write_ordered(spark, folder, parts: int = 5) -> str:
     ``parts`` if there is much to write."""
     path = shared_folder(spark)
     parts = max(parts, estimated_bytes(table(spark, folder, "documents")) // FILE_BYTES)
-    rows = doc_lines(spark, folder).select("pos", "raw_log")
-    ordered = rows.repartitionByRange(parts, "pos").sortWithinPartitions("pos")
+    # Documents go to the files in order before they are split, so lines are not shuffled.
+    rows = doc_lines(spark, folder, parts).select("pos", "raw_log")
+    ordered = rows.sortWithinPartitions("pos")
     ordered.select(F.regexp_replace("raw_log", "[\\r\\n]+", " ").alias("value")).write.text(path)
     return path
 
@@ -117,7 +118,7 @@ def lines_of_files(spark, folder):
     append_clustered(lines.select("cluster", "pos", "raw_log"), path)
     append_clustered(lines.select("cluster", "pos", "raw_log"), path)
     rows = read_clustered(spark, path).select("pos", "raw_log")
-    return sequential_ids(rows, ["pos"], "place").drop("pos")
+    return sequential_ids(rows, ["pos"], "place", stored=True).drop("pos")
 
 
 _SIGNED = f"WITH {sql.DOC_LINES}, {sql.signed('doc_lines')}"

@@ -386,3 +386,22 @@ def test_files_of_ordered_lines_follow_the_input(spark, tmp_path, monkeypatch):
     got = tables.log_directory(spark, str(tmp_path)).orderBy("place").collect()
     assert [r["raw_log"] for r in got] == [f"{c}{i}" for i in range(300) for c in "bac"]
     assert [r["place"] for r in got] == list(range(900))
+
+
+def test_positions_of_files_are_numbered_without_a_shuffle(spark, monkeypatch):
+    """Whole numbers that lie close are counted in bit maps; others, copies and nulls are not."""
+    span = 1 << 40
+    taken = [-32769, -1, 0, 7, 8, 9, 32767, 32768, 65536, span + 3, span + 4, 3 * span]
+    taken += [5 * span + 3 * i for i in range(40000)]
+    rows = spark.createDataFrame([(p, f"l{p}") for p in reversed(taken)], "pos bigint, raw_log string")
+    more = spark.createDataFrame([(None, "null"), (7, "copy")], rows.schema)
+    buckets = session._bucketed_ids
+    monkeypatch.setattr(session, "_bucketed_ids", None)
+    got = session.sequential_ids(rows.repartition(5), ["pos"], "place", 3, direct=10).collect()
+    assert {(r.pos, r.raw_log): r.place for r in got} == {(p, f"l{p}"): 3 + i for i, p in enumerate(taken)}
+    monkeypatch.setattr(session, "_bucketed_ids", buckets)
+    got = session.sequential_ids(rows.union(more), ["pos"], "place", direct=10).collect()
+    assert sorted(r.place for r in got) == list(range(len(taken) + 2))
+    monkeypatch.setattr(session, "BITMAPS", 2)
+    got = session.sequential_ids(rows, ["pos"], "place", direct=10).orderBy("place").collect()
+    assert [r.pos for r in got] == taken
