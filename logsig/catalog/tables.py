@@ -159,7 +159,7 @@ def clustered_csv_order(spark, folder):
     append_clustered_csv(rows, path)
     append_clustered_csv(rows, path)
     lines = read_clustered_csv(spark, path).select("pos", "raw_log")
-    return sequential_ids(lines, ["pos"], "place").drop("pos")
+    return sequential_ids(lines, ["pos"], "place", stored=True).drop("pos")
 
 
 @query(
