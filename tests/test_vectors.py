@@ -17,6 +17,7 @@ from logsig.operators.vectors import (
     nearest_blocked,
     nearest_references,
 )
+from logsig.plans import train as plans
 from logsig.plans.infer import assign_lines
 from logsig.plans.train import train
 from logsig.sources import (
@@ -252,6 +253,23 @@ def test_training(trained):
     assert trained.model.samples.groupBy("stable_id").count().filter("count = 10").count() == 4
 
 
+def test_training_signs_a_line_once(spark, monkeypatch):
+    """Beyond the first pass only the lines that stand where samples do are signed."""
+    shapes = ["[{0}] GET /a/b: {0}", "user={0} id={0} ok"]
+    lines = [s.format(i) for i in range(40) for s in shapes]
+    rows = [(i, line) for i, line in enumerate(lines)] + [(None, "user=x id=x ok"), (0, "[copy] GET /a/b: 1")]
+    df = spark.createDataFrame(rows, "pos long, raw_log string")
+    signed = []
+    annotate = plans.annotate
+    monkeypatch.setattr(plans, "annotate", lambda rows: signed.append(rows.count()) or annotate(rows))
+    found = train(df, preset="preprocessed").model.registry.collect()
+    assert signed[0] == 82 and sum(signed[1:]) <= 5 and len(signed) > 1
+    every = sorted(found, key=lambda r: r["patterns"])
+    assert [r["patterns"] for r in every] == [["= ="], ["[X] / / :"]]
+    assert every[0]["sample_logs"] == ["user=x id=x ok", "user=0 id=0 ok"]
+    assert sorted(every[1]["sample_logs"]) == ["[0] GET /a/b: 0", "[copy] GET /a/b: 1"]
+
+
 def test_uniform_data_is_one_cluster(spark):
     df = spark.range(300).select(F.col("id").alias("pos"), F.lit("a: b").alias("raw_log"))
     assert [r["cluster_id"] for r in train(df).lines.select("cluster_id").distinct().collect()] == [0]
