@@ -260,7 +260,9 @@ def saved_stats(spark, folder):
 
 def _source_model(spark, folder, featurizer=symbol_features, limits=Thresholds()) -> Model:
     """Document sources as clusters of their lines' vectors."""
-    rows = featurizer(labelled_docs(spark, folder)).withColumnRenamed("cluster_id", "label")
+    # Signed once: the vectors are computed twice below, from the patterns.
+    signed = materialize(labelled_docs(spark, folder).select("pos", "pattern", "cluster_id"))
+    rows = featurizer(signed).withColumnRenamed("cluster_id", "label")
     centroids = cluster_geometry(rows).select(
         F.col("label").alias("stable_id"), F.col("centroid").alias("vec")
     )
