@@ -231,6 +231,28 @@ def test_presets():
     assert density_parameters(None, 4, 2, 0.5) == Density(4, 2, 0.5)
 
 
+def test_references_are_held_by_their_entries(monkeypatch):
+    """A model of mostly zeros takes little memory in a worker, and gives the same neighbours."""
+    rng = np.random.default_rng(3)
+    units = vectors._directions(rng.integers(0, 3, (700, 64)) * (rng.random((700, 64)) < 0.1).astype(float))
+    units[[5, 690]] = units[300]
+    rows = np.vstack([units[::7], vectors._directions(rng.normal(size=(40, 64))), np.zeros((1, 64))])
+    held = vectors._compact(units)
+    assert isinstance(held, vectors.Compact) and held.values.nbytes + held.places.nbytes < units.nbytes / 4
+    assert (held[100:2000] == units[100:]).all()
+    whole = np.round(1.0 - rows @ units.T, vectors.TIE_DIGITS)
+    for k in (1, 5, 700):
+        want = np.argsort(whole, axis=1, kind="stable")[:, :k]
+        for many in (16, 699, 5000):
+            monkeypatch.setattr(vectors, "REFERENCES", many)
+            monkeypatch.setattr(vectors, "TILE", 16 * many)
+            for matrix in (units, held):
+                places, apart = vectors._nearest(rows, matrix, k)
+                assert (places == want).all()
+                assert np.allclose(apart, np.take_along_axis(whole, want, axis=1))
+    assert vectors._compact(rng.normal(size=(5, 4))).shape == (5, 4)
+
+
 # ---- training, inference, streams ---------------------------------------------------
 
 
