@@ -226,6 +226,45 @@ def test_cells_are_cut_level_by_level_and_dense_ones_merged(spark, monkeypatch):
     assert [r["cluster_id"] for r in got] == brute_density(points, np.ones(len(points), int), Density(10, 5, 0.3))
 
 
+def test_density_asks_and_compares_only_what_is_open(spark, monkeypatch):
+    """Components without entries go; rows with enough neighbours are not counted on; tiles of one part are skipped."""
+    rng = np.random.default_rng(12)
+    points = np.zeros((90, 12))
+    points[:, [1, 4, 7]] = np.concatenate([rng.normal(c, 0.2, (30, 3)) for c in (0.0, 0.9, 6.0)])
+    weights = rng.integers(1, 4, len(points))
+    near = np.linalg.norm(points[:, None] - points[None], axis=2) <= 0.4
+    monkeypatch.setattr(density, "BLOCK_POINTS", 8)
+    rows = [(i, v.tolist(), int(w)) for i, (v, w) in enumerate(zip(points, weights, strict=True))]
+    sites = spark.createDataFrame(rows, "site bigint, vec array<double>, weight bigint")
+    fewer = density.without_zeros(sites)
+    assert {tuple(r["vec"]) for r in fewer.collect()} == {tuple(v) for v in points[:, [1, 4, 7]].tolist()}
+    assert density.without_zeros(fewer) is fewer
+    none = spark.createDataFrame([(1, None, 1), (2, [0.0, 0.0], 1)], sites.schema)
+    assert density.without_zeros(none) is none
+    placed = density.materialize(fewer.selectExpr("0L as cell", "true as home", "*"))
+    found = density.dense_sites(placed, F.col("site") % 5 != 0, 0.4, 9).collect()
+    wanted = [i for i in range(90) if near[i] @ weights >= 9 and i % 5]
+    assert sorted(r["site"] for r in found) == wanted
+
+    table = pa.table({"site": np.arange(90), "part": np.arange(90) // 30, "vec": points.tolist(), "weight": weights})
+    tiles, seen = density.tiles, []
+
+    def counted(*of):
+        for at, of_, apart in tiles(*of):
+            seen.append(apart.size)
+            yield at, of_, apart
+
+    monkeypatch.setattr(density, "tiles", counted)
+    edges = density._part_edges(table, table, 0.4**2).to_pylist()
+    joined = bool(near[:30, 30:60].any())
+    assert edges == ([{"src": 1, "dst": 0}] if joined else [])
+    # Tiles inside a part, half of the pairs here, are left out.
+    assert sum(seen) < 90 * 90 * 0.5
+    reached = density._reached(table.slice(0, 30), table, 0.4**2, 5)
+    total = reached.column("near").to_numpy()
+    assert ((total >= 5) == (near[:30] @ weights >= 5)).all() and (total < near[:30] @ weights).any()
+
+
 def test_presets():
     assert density_parameters("moderate", 1, 1, 1.0) == DENSITY_PRESETS["moderate"]
     assert density_parameters(None, 4, 2, 0.5) == Density(4, 2, 0.5)
