@@ -422,3 +422,37 @@ def test_rows_meet_a_fixed_number_of_blocks(spark, monkeypatch):
         n, pairs = got.agg(F.sum("n"), F.sum("pairs")).first()
         assert n <= density.BLOCKS * len(rows)
         assert pairs == len(rows) ** 2 if both else len(rows) ** 2 // 2 < pairs < len(rows) ** 2 * 0.7
+
+
+def test_vectors_of_few_entries_travel_as_these(spark, monkeypatch):
+    """The length of vectors that are mostly zeros does not bound their blocks, and no row changes."""
+    rng = np.random.default_rng(5)
+    points = np.zeros((400, 64))
+    for i, c in enumerate(rng.integers(0, 12, 400)):
+        points[i, 5 * c : 5 * c + 3] = rng.normal(1.0, 0.15, 3)
+    points[399] = 0.0
+    weights = rng.integers(1, 4, len(points))
+    rows = [(i, v.tolist(), int(w)) for i, (v, w) in enumerate(zip(points, weights, strict=True))]
+    sites = spark.createDataFrame(rows, "site bigint, vec array<double>, weight bigint")
+    held = density.packed(sites)
+    table = held.orderBy("site").toArrow()
+    assert (density._laid(table.column("vec")) == points).all()
+    some = np.array([7, 399, 7, 0])
+    assert (density._held(table.column("vec")).take(some) == points[some]).all()
+    # Nothing to pack: filled vectors, several lengths, no vector at all.
+    for odd in ([(1, [1.0, 2.0], 1)], [(1, [0.0] * 9, 1), (2, [0.0] * 8, 1)], [(1, None, 1), (2, [0.0] * 9, 1)]):
+        assert "struct" not in dict(density.packed(spark.createDataFrame(odd, sites.schema)).dtypes)["vec"]
+    monkeypatch.setattr(density, "BLOCK_POINTS", 16)
+    monkeypatch.setattr(density, "BLOCK_BYTES", 50 * 52)
+    place = lambda of: of.selectExpr("0L as cell", "true as home", "*")
+    assert density.block_points(place(sites)) == 50 * 52 // (64 * 8)
+    # An eighth of all rows fits, so a row goes to a fixed number of tasks.
+    assert density.block_points(place(held)) == len(points) // density.BLOCKS
+    points_ = sites.withColumnRenamed("site", "point_id")
+    wanted = brute_density(points, weights, Density(6, 4, 0.4))
+    for cut in (20_000, 40):
+        monkeypatch.setattr(density, "POINTS_PER_PIVOT", cut)
+        got = density_cluster(points_, Density(6, 4, 0.4), 0, 0).orderBy("point_id").collect()
+        assert [r["cluster_id"] for r in got] == wanted
+        assert [r["vec"] for r in got] == points.tolist()
+    assert len(set(wanted)) > 3
