@@ -336,6 +336,23 @@ def test_uniform_data_is_one_cluster(spark):
     assert [r["cluster_id"] for r in train(df).lines.select("cluster_id").distinct().collect()] == [0]
 
 
+def test_clusters_do_not_depend_on_how_often_a_log_repeats(spark):
+    """Two kinds of lines in 40 and in 4,000 lines; one cluster only where that is asked for."""
+    text = F.when(F.col("id") % 2 == 0, "a: b").otherwise("[x] GET /q/r")
+
+    def sizes(n, **how):
+        lines = spark.range(n).select(F.col("id").alias("pos"), text.alias("raw_log"))
+        training = train(lines, **how)
+        found = training.model.registry.select("training_size", F.array_join("patterns", "|")).collect()
+        assert training.stats.first()["num_clusters"] == len(found)
+        return sorted(map(tuple, found))
+
+    few, many = sizes(40), sizes(4000)
+    assert [p for _, p in few] == [p for _, p in many] and len(few) == 2
+    assert [s for s, _ in many] == [2000, 2000]
+    assert [s for s, _ in sizes(4000, uniform=True)] == [4000]
+
+
 @pytest.mark.parametrize("per_pattern", [True, False])
 def test_inference(spark, trained, per_pattern, tmp_path):
     save_model(trained.model, str(tmp_path / "m"))
