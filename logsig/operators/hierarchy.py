@@ -8,6 +8,9 @@ Cutting the minimum spanning forest of that distance at a radius gives the flat
 The forest is built without emitting pairs. A pair of blocks (``density.cells``) is reduced to
 the spanning forest of the pairs in it; an edge that this drops has a path of no longer
 edges, so the union of the blocks' forests still holds a minimum spanning forest of all.
+A task looks at most pairs in single precision only: a site that knows enough near rows asks
+for nearer ones, and a pair that is longer than the ways of both its sites to the hub of their
+part is the longest of a cycle. What is left is measured in double precision.
 Boruvka rounds reduce this union: each part takes its least edge to another part, parts that
 an edge joins become one, until no edge leaves a part. Edges are compared by length, then
 by their sites, so no round closes a cycle.
@@ -31,16 +34,19 @@ from pyspark.sql import functions as F
 from ..session import materialize, sequential_ids
 from ..sources.logs import OUTLIER
 from .density import (
+    BLOCK_POINTS,
     DIRECT_EDGES,
     ROUNDING,
     Density,
+    _factors,
+    _tiled,
     block_pairs,
     cells,
     connected_components,
     sites_of,
     sparse,
-    tiles,
 )
+from .vectors import _matrix
 
 #: Edges that a task gathers before it keeps their forest.
 MOST_EDGES = 1_000_000
@@ -49,33 +55,128 @@ _EDGE = [("length", float), ("low", np.int64), ("high", np.int64)]
 GRID = (1.0, 1.25, 1.5, 2.0)
 
 
+class Pairs:
+    """The pairs of two blocks: tiles of squared distances in single precision, of which few pairs
+    are measured in double precision."""
+
+    def __init__(self, rows: pa.Table, others: pa.Table):
+        self.a, self.b = _matrix(rows.column("vec")), _matrix(others.column("vec"))
+        self.squares = [np.einsum("ij,ij->i", m, m) for m in (self.a, self.b)]
+        known = [x[~np.isnan(x)].max(initial=0.0) for x in self.squares]
+        # Large numbers have no single precision.
+        self.kind = np.float32 if max(known) < 1e30 else np.float64
+        # More than the error of a product of so many terms.
+        self.slack = 4 * (self.a.shape[1] + 8) * np.finfo(self.kind).eps * max(known) + 1e-37
+        _, own, place = np.intersect1d(
+            rows.column("site").to_numpy(), others.column("site").to_numpy(), return_indices=True
+        )
+        # Where a row's own site lies among the others.
+        self.same = np.full(len(self.a), -1)
+        self.same[own] = place
+
+    def rounded(self, bound: np.ndarray) -> np.ndarray:
+        """What a distance in a tile may be if it is up to ``bound``."""
+        return (bound + self.slack).astype(self.kind)
+
+    def _own(self, at: slice, of: slice) -> tuple[np.ndarray, np.ndarray]:
+        place = self.same[at]
+        i = np.flatnonzero((place >= of.start) & (place < of.stop))
+        return i, place[i] - of.start
+
+    def tiles(self):
+        """Squared distances, but for ``slack``, of ``BLOCK_POINTS`` by ``BLOCK_POINTS`` sites at a time."""
+        for at in _tiled(self.a):
+            left = self._factor(self.a[at], -2.0, [self.squares[0][at], 1.0])
+            for of in _tiled(self.b):
+                apart = left @ self._factor(self.b[of], 1.0, [1.0, self.squares[1][of]]).T
+                apart[self._own(at, of)] = 0.0
+                yield at, of, apart
+
+    def _factor(self, rows: np.ndarray, times: float, more: list) -> np.ndarray:
+        factor = np.empty((len(rows), rows.shape[1] + 2), self.kind)
+        factor[:, :-2] = rows * times
+        factor[:, -2], factor[:, -1] = more
+        return factor
+
+    def measured(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Squared distances of some rows and others."""
+        found = np.empty(len(i))
+        for k in range(0, len(i), BLOCK_POINTS):
+            part = slice(k, k + BLOCK_POINTS)
+            apart = self.a[i[part]] - self.b[j[part]]
+            found[part] = np.einsum("ij,ij->i", apart, apart)
+        found[self.same[i] == j] = 0.0
+        return found
+
+    def measured_tile(self, at: slice, of: slice) -> np.ndarray:
+        one, other = _factors(self.a[at], self.b[of])
+        apart = one @ other.T
+        np.maximum(apart, 0.0, out=apart)
+        apart[self._own(at, of)] = 0.0
+        return apart
+
+
+def _keep_nearest(
+    held: np.ndarray, mass: np.ndarray, bound: np.ndarray, at: np.ndarray, apart: np.ndarray, weight: np.ndarray
+) -> None:
+    """Merge found distances into the least ones held of each row, and lower the rows' bounds to
+    where these weigh as much as a row holds entries."""
+    enough = held.shape[1]
+    order = np.lexsort((apart, at))
+    at, apart, weight = at[order], apart[order], weight[order]
+    rows, first, place, counts = np.unique(at, return_index=True, return_inverse=True, return_counts=True)
+    turn = np.arange(len(at)) - np.repeat(first, counts)
+    kept = turn < enough
+    near, heavy = np.full((len(rows), enough), np.inf), np.zeros((len(rows), enough), np.int64)
+    near[place[kept], turn[kept]], heavy[place[kept], turn[kept]] = apart[kept], weight[kept]
+    near, heavy = np.hstack([held[rows], near]), np.hstack([mass[rows], heavy])
+    best = np.argsort(near, axis=1, kind="stable")[:, :enough]
+    held[rows], mass[rows] = (np.take_along_axis(x, best, axis=1) for x in (near, heavy))
+    full = np.cumsum(mass[rows], axis=1) >= enough
+    reached = np.flatnonzero(full.any(axis=1))
+    core = held[rows[reached], full[reached].argmax(axis=1)]
+    bound[rows[reached]] = np.minimum(bound[rows[reached]], core)
+
+
+def _block_nearest(rows: pa.Table, others: pa.Table, most: float, enough: int) -> pa.Table:
+    """Of each row the least squared distances up to ``most``, as many as can be needed."""
+    ids, weights = rows.column("site").to_numpy(), others.column("weight").to_numpy()
+    # Each site weighs one or more, so no more than ``enough`` are needed.
+    held = np.full((len(ids), enough if len(others) else 0), np.inf)
+    mass = np.zeros(held.shape, np.int64)
+    # Nothing beyond the distance at which a row has enough can matter.
+    bound = np.full(len(ids), most)
+    pairs = Pairs(rows, others) if len(ids) and len(others) else None
+    for at, of, apart in pairs.tiles() if pairs else ():
+        near = apart <= pairs.rounded(bound[at])[:, None]
+        if sparse(near):
+            i, j = np.divmod(np.flatnonzero(near), near.shape[1])
+            found = pairs.measured(at.start + i, of.start + j)
+        else:
+            apart = pairs.measured_tile(at, of)
+            width = min(enough, apart.shape[1])
+            j = np.argpartition(apart, width - 1, axis=1)[:, :width]
+            found = np.take_along_axis(apart, j, axis=1).ravel()
+            i, j = np.repeat(np.arange(len(j)), width), j.ravel()
+        inside = found <= bound[at.start + i]
+        if inside.any():
+            heavy = weights[of.start + j[inside]]
+            _keep_nearest(held, mass, bound, at.start + i[inside], found[inside], heavy)
+    inside = held <= bound[:, None]
+    offsets = np.concatenate([[0], np.cumsum(inside.sum(axis=1))]).astype(np.int32)
+    near = pa.StructArray.from_arrays(
+        [pa.array(held[inside]), pa.array(mass[inside])], names=["apart", "weight"]
+    )
+    return pa.table({"site": ids, "near": pa.ListArray.from_arrays(pa.array(offsets), near)})
+
+
 def core_distances(placed: DataFrame, min_samples: int, radius: float) -> DataFrame:
     """``(site, core)``: squared core distances of the sites that have one up to ``radius``."""
     enough, most = min_samples + 1, radius * radius + ROUNDING
     nearest = "array<struct<apart:double,weight:bigint>>"
 
     def compare(rows: pa.Table, others: pa.Table) -> pa.Table:
-        """Of each row the least distances up to the radius, as many as can be needed."""
-        ids, weights = rows.column("site").to_numpy(), others.column("weight").to_numpy()
-        sites = others.column("site").to_numpy()
-        # Each site weighs one or more, so no more than ``enough`` are needed.
-        held = np.full((len(ids), enough if len(others) else 0), np.inf)
-        mass = np.zeros(held.shape, np.int64)
-        for at, of, apart in tiles(rows, others) if len(ids) and len(sites) else ():
-            apart[ids[at][:, None] == sites[of]] = 0.0
-            width = min(enough, apart.shape[1])
-            first = np.argpartition(apart, width - 1, axis=1)[:, :width]
-            found = np.hstack([held[at], np.take_along_axis(apart, first, axis=1)])
-            heavy = np.hstack([mass[at], weights[of][first]])
-            best = np.argpartition(found, enough - 1, axis=1)[:, :enough]
-            held[at] = np.take_along_axis(found, best, axis=1)
-            mass[at] = np.take_along_axis(heavy, best, axis=1)
-        inside = held <= most
-        offsets = np.concatenate([[0], np.cumsum(inside.sum(axis=1))]).astype(np.int32)
-        near = pa.StructArray.from_arrays(
-            [pa.array(held[inside]), pa.array(mass[inside])], names=["apart", "weight"]
-        )
-        return pa.table({"site": ids, "near": pa.ListArray.from_arrays(pa.array(offsets), near)})
+        return _block_nearest(rows, others, most, enough)
 
     parts = block_pairs(placed, F.lit(True), compare, f"site bigint, near {nearest}")
     near = F.array_sort(F.flatten(F.collect_list("near")))
@@ -146,27 +247,140 @@ def _reduced(edges: np.ndarray) -> np.ndarray:
     return edges[kept]
 
 
+class _Ways:
+    """The spanning forest of the pairs that a task has seen, and of each site the longest edge
+    (``longest``) on a way to the hub of its ``part``.
+
+    A pair inside a part that is longer than both ways is the longest edge of a cycle, so no
+    minimum spanning forest has it. Sites are numbers from 0 on.
+    """
+
+    def __init__(self, sites: int, most: float):
+        self.most = most
+        self.longest, self.part = np.full(sites, most), np.full(sites, -1)
+        self.forest = tuple(np.zeros(0, t) for t in (float, np.int64, np.int64))
+        self.fresh, self.held = [], 0
+
+    def add(self, length: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+        wanted = (a != b) & (length <= self.most)
+        apart = self.part[a] != self.part[b]
+        wanted &= apart | (length <= np.maximum(self.longest[a], self.longest[b]))
+        if not wanted.any():
+            return
+        length, a, b = length[wanted], a[wanted], b[wanted]
+        self.fresh.append((length, a, b))
+        self.held += len(length)
+        if self.held >= min(max(BLOCK_POINTS, 2 * len(self.forest[0])), MOST_EDGES):
+            self.reduce()
+            return
+        known = ~apart[wanted] & (self.part[a] >= 0)
+        length, a, b = length[known], a[known], b[known]
+        for one, other in ((a, b), (b, a)):
+            np.minimum.at(self.longest, one, np.maximum(length, self.longest[other]))
+
+    def reduce(self) -> None:
+        """Leave the forest of all edges held, and take its ways."""
+        length, a, b = (np.concatenate(x) for x in zip(self.forest, *self.fresh, strict=True))
+        a, b = np.minimum(a, b), np.maximum(a, b)
+        order = np.lexsort((b, a, length))
+        length, a, b = length[order], a[order], b[order]
+        sites = len(self.part)
+        parent, kept = list(range(sites)), []
+        for i, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            while parent[y] != y:
+                parent[y] = y = parent[parent[y]]
+            if x != y:
+                parent[x] = y
+                kept.append(i)
+        self.forest = length, a, b = length[kept], a[kept], b[kept]
+        self.fresh, self.held = [], 0
+        root = np.array(parent)
+        while (root[root] != root).any():
+            root = root[root]
+        degree = np.bincount(np.concatenate([a, b]), minlength=sites)
+        self.part = np.where(degree > 0, root, -1)
+        self.longest = np.full(sites, self.most)
+        # The hub of a part is its site with the most edges.
+        order = np.lexsort((-degree, root))
+        hubs = order[np.concatenate([[True], root[order][1:] != root[order][:-1]])[: len(order)]]
+        ends, others = np.concatenate([a, b]), np.concatenate([b, a])
+        order = np.argsort(ends, kind="stable")
+        others, lengths = others[order], np.concatenate([length, length])[order]
+        starts = np.concatenate([[0], np.cumsum(degree)])
+        front, seen = hubs[degree[hubs] > 0], np.zeros(sites, bool)
+        self.longest[front], seen[front] = 0.0, True
+        while len(front):
+            sizes = degree[front]
+            at = np.repeat(starts[front] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+            way = np.maximum(np.repeat(self.longest[front], sizes), lengths[at])
+            new = ~seen[others[at]]
+            front = others[at[new]]
+            self.longest[front], seen[front] = way[new], True
+
+    def reach(self, apart: np.ndarray, to: np.ndarray, by: np.ndarray, core: np.ndarray, slack: float) -> None:
+        """Ways of the sites of a tile that have none yet, by those that have one."""
+        new, known = np.flatnonzero(self.part[to] < 0), np.flatnonzero(self.part[by] >= 0)
+        if not len(new) or not len(known):
+            return
+        ways = np.maximum(apart[np.ix_(new, known)], self.longest[by[known]].astype(apart.dtype))
+        best = ways.argmin(axis=1)
+        way = np.maximum(ways[np.arange(len(new)), best].astype(float) + 2 * slack, core[new])
+        found = way <= self.most
+        self.longest[to[new[found]]] = way[found]
+        self.part[to[new[found]]] = self.part[by[known[best[found]]]]
+
+    def open(self, apart: np.ndarray, left: np.ndarray, right: np.ndarray, pairs: Pairs) -> np.ndarray:
+        """Which pairs of a tile may be in the forest."""
+        ends = [pairs.rounded(self.longest[x]) for x in (left, right)]
+        near = apart <= ends[0][:, None]
+        near |= apart <= ends[1][None, :]
+        mine, other = self.part[left], self.part[right]
+        named = np.concatenate([mine[mine >= 0], other[other >= 0]])
+        if len(named) and (named != named[0]).any():
+            near |= (mine[:, None] != other[None, :]) & (apart <= pairs.rounded(np.array(self.most)))
+        return near
+
+
+def _block_forest(rows: pa.Table, others: pa.Table, most: float) -> pa.Table:
+    """Edges of a minimum spanning forest of the pairs of two blocks up to ``most``."""
+    names = [t.column("site").to_numpy() for t in (rows, others)]
+    cores = [t.column("weight").to_numpy() for t in (rows, others)]
+    sites, place = np.unique(np.concatenate(names), return_inverse=True)
+    left, right = place[: len(rows)], place[len(rows) :]
+    pairs, ways = Pairs(rows, others), _Ways(len(sites), most)
+    for at, of, apart in pairs.tiles():
+        mine, other = left[at], right[of]
+        ways.reach(apart, mine, other, cores[0][at], pairs.slack)
+        ways.reach(apart.T, other, mine, cores[1][of], pairs.slack)
+        near = ways.open(apart, mine, other, pairs)
+        if sparse(near):
+            i, j = np.divmod(np.flatnonzero(near), near.shape[1])
+            length = pairs.measured(at.start + i, of.start + j)
+            np.maximum(length, np.maximum(cores[0][at][i], cores[1][of][j]), out=length)
+            ways.add(length, mine[i], other[j])
+        else:
+            apart = pairs.measured_tile(at, of)
+            np.maximum(apart, cores[0][at][:, None], out=apart)
+            np.maximum(apart, cores[1][of][None, :], out=apart)
+            edges = _forest(mine, other, apart, most)
+            ways.add(edges["length"], edges["low"], edges["high"])
+    ways.reduce()
+    length, low, high = ways.forest
+    return pa.table({"length": length, "low": sites[low], "high": sites[high]})
+
+
 def reachability_edges(placed: DataFrame, radius: float) -> DataFrame:
     """``(length, low, high)``, squared: edges that hold a minimum spanning forest of all pairs up
     to ``radius``. ``placed`` has core distances in the place of weights."""
     most = radius * radius + ROUNDING
 
     def compare(rows: pa.Table, others: pa.Table) -> pa.Table:
-        parts, held = [np.zeros(0, dtype=_EDGE)], 0
-        if len(rows) and len(others):
-            left, right = (t.column("site").to_numpy() for t in (rows, others))
-            cores = [t.column("weight").to_numpy() for t in (rows, others)]
-            for at, of, apart in tiles(rows, others):
-                np.maximum(apart, cores[0][at][:, None], out=apart)
-                np.maximum(apart, cores[1][of][None, :], out=apart)
-                parts.append(_forest(left[at], right[of], apart, most))
-                held += len(parts[-1])
-                if held >= MOST_EDGES:
-                    # What a forest of some tiles drops has a path of no longer edges.
-                    parts = [_reduced(np.concatenate(parts))]
-                    held = 0
-        edges = _reduced(np.concatenate(parts)) if len(parts) > 2 else np.concatenate(parts)
-        return pa.table({n: edges[n].copy() for n in ("length", "low", "high")})
+        if not len(rows) or not len(others):
+            edges = np.zeros(0, dtype=_EDGE)
+            return pa.table({n: edges[n].copy() for n in edges.dtype.names})
+        return _block_forest(rows, others, most)
 
     found = block_pairs(placed, F.lit(True), compare, EDGES, both=False)
     return found.groupBy("low", "high").agg(F.min("length").alias("length")).select(

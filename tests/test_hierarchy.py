@@ -1,6 +1,7 @@
 """The spanning forest and the choice of clusters against plain versions over all pairs."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -187,3 +188,54 @@ def test_hierarchy_splits_what_one_radius_joins(spark):
     count = lambda df: df.filter(F.col("cluster_id") >= 0).select("cluster_id").distinct().count()
     assert count(flat) == 2 and count(deep) == 3
     assert hierarchy.GRID[0] == 1.0
+
+
+def block(rows, sites, weights):
+    vec = pa.ListArray.from_arrays(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1], rows.ravel())
+    return pa.table({"site": sites, "vec": vec, "weight": weights})
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-9, 1e18])
+@pytest.mark.parametrize("kind", ["wide", "groups", "lump"])
+def test_blocks_measure_few_pairs(monkeypatch, scale, kind):
+    """Nearest rows and forests of two overlapping blocks against all pairs; all are looked at in
+    single precision, few are measured."""
+    monkeypatch.setattr(density, "BLOCK_POINTS", 128)
+    monkeypatch.setattr(hierarchy, "BLOCK_POINTS", 128)
+    rng = np.random.default_rng(5)
+    centres = {"wide": np.zeros((1, 6)), "groups": rng.normal(0, 40, (5, 6)), "lump": np.zeros((1, 6))}[kind]
+    rows = rng.normal(centres[np.arange(900) % len(centres)], 1.0)
+    if kind == "lump":
+        rows[::3] = rng.normal(0, 1e-3, (300, 6))
+    rows, names = rows * scale, rng.permutation(5000)[:900]
+    at, of = np.arange(500), np.arange(400, 900)
+    most, count = (3.0 * scale) ** 2, []
+    measured = hierarchy.Pairs.measured
+    monkeypatch.setattr(hierarchy.Pairs, "measured", lambda s, i, j: count.append(len(i)) or measured(s, i, j))
+    apart = ((rows[at][:, None] - rows[of][None]) ** 2).sum(axis=2)
+
+    weights = 1 + np.arange(900) % 2
+    found = hierarchy._block_nearest(
+        block(rows[at], names[at], weights[at]), block(rows[of], names[of], weights[of]), most, 4
+    )
+    assert kind == "lump" or sum(count) < apart.size / 4
+    for a, near in enumerate(found.column("near").to_pylist()):
+        order = [b for b in np.argsort(apart[a], kind="stable") if apart[a][b] <= most]
+        full = np.flatnonzero(np.cumsum(weights[of][order]) >= 4)
+        order = order[: full[0] + 1] if len(full) else order
+        near = sorted((n["apart"], n["weight"]) for n in near)[: len(order)]
+        assert np.allclose([n[0] for n in near], apart[a][order], rtol=1e-6, atol=0)
+
+    cores = np.full(900, (0.2 * scale) ** 2)
+    count.clear()
+    forest = hierarchy._block_forest(
+        block(rows[at], names[at], cores[at]), block(rows[of], names[of], cores[of]), most
+    )
+    assert kind == "lump" or sum(count) < apart.size / 4
+    reach = np.maximum(apart, cores[0])
+    edges = sorted(
+        (reach[a, b], names[at[a]], names[of[b]])
+        for a, b in zip(*np.nonzero(reach <= most), strict=True) if at[a] != of[b]
+    )
+    want = sorted(kruskal(names, edges))
+    assert np.allclose(sorted(forest.column("length").to_pylist()), want, rtol=1e-6, atol=0)
