@@ -391,8 +391,8 @@ def reachability_edges(placed: DataFrame, radius: float) -> DataFrame:
 EDGES = "length double, low bigint, high bigint"
 
 
-def _joined_in_order(edges: pa.Table) -> pa.Table:
-    """The spanning forest of a bounded number of edges."""
+def _joined_in_order(edges: pa.Table, ends: Sequence[str]) -> pa.Table:
+    """The spanning forest of a bounded number of edges between what ``ends`` name."""
     parent: dict[int, int] = {}
 
     def root(v: int) -> int:
@@ -402,13 +402,39 @@ def _joined_in_order(edges: pa.Table) -> pa.Table:
         return v
 
     kept = []
-    columns = (edges.column(n).to_pylist() for n in ("length", "low", "high"))
-    for i, (_, low, high) in sorted(enumerate(zip(*columns, strict=True)), key=lambda e: e[1]):
-        a, b = root(low), root(high)
+    order = edges.select(["length", "low", "high"])
+    columns = (c.to_pylist() for c in (*order.columns, *edges.select(list(ends)).columns))
+    for i, (_, _, _, one, other) in sorted(enumerate(zip(*columns, strict=True)), key=lambda e: e[1][:3]):
+        a, b = root(one), root(other)
         if a != b:
             parent[a] = b
             kept.append(i)
-    return edges.take(kept)
+    return order.take(kept)
+
+
+def _followed(least: DataFrame) -> DataFrame:
+    """``(component, _to)``: the part at the end of the way from each part over its least edge, of
+    stored rows ``(part, other)``.
+
+    Edges are in one order, so such a way ends in two parts that have the same least edge; the
+    lower one gives its name. Each step follows a way four times as far.
+    """
+    back = least.select(F.col("part").alias("other"), F.col("other").alias("_back"))
+    ends = (F.col("_back") == F.col("part")) & (F.col("part") < F.col("other"))
+    ways = least.select("part", "other").join(back, "other").select(
+        "part", F.when(ends, F.col("part")).otherwise(F.col("other")).alias("to")
+    )
+    ways = materialize(ways)
+    while True:
+        further = ways
+        for _ in range(2):
+            on = further.select(F.col("part").alias("_at"), F.col("to").alias("_on"))
+            further = further.join(on, F.col("to") == F.col("_at")).select("part", F.col("_on").alias("to"))
+        before = ways.select("part", F.col("to").alias("_before"))
+        further = materialize(further.join(before, "part"))
+        ways = further.select("part", "to")
+        if further.filter("to <> _before").isEmpty():
+            return ways.select(F.col("part").alias("component"), F.col("to").alias("_to"))
 
 
 def spanning_forest(
@@ -420,9 +446,9 @@ def spanning_forest(
     """
     edges = materialize(edges)
     if edges.count() <= direct_edges:
-        return edges.groupBy().applyInArrow(_joined_in_order, EDGES)
+        return edges.groupBy().applyInArrow(lambda rows: _joined_in_order(rows, ("low", "high")), EDGES)
     parts = materialize(sites.select("site", F.col("site").alias("component")))
-    forest = None
+    forest = edges.select("length", "low", "high").limit(0)
     while True:
         ends = edges
         for end, name in (("low", "a"), ("high", "b")):
@@ -430,27 +456,34 @@ def spanning_forest(
             ends = ends.join(own, end)
         # Edges inside a part never leave one again.
         edges = materialize(ends.filter("a <> b").select("length", "low", "high", "a", "b"))
-        if edges.isEmpty():
-            break
-        edge = F.struct("length", "low", "high")
+        left = edges.count()
+        if left <= direct_edges:
+            if left:
+                join = lambda rest: _joined_in_order(rest, ("a", "b"))
+                forest = forest.unionByName(edges.groupBy().applyInArrow(join, EDGES))
+            # Two parts may have taken one edge.
+            return forest.distinct()
+        edge = F.struct("length", "low", "high", "a", "b")
         least = (
             edges.select(edge.alias("edge"), F.explode(F.array("a", "b")).alias("part"))
             .groupBy("part")
             .agg(F.min("edge").alias("edge"))
         )
-        taken = materialize(least.select("edge.*").distinct())
-        forest = taken if forest is None else forest.unionByName(taken)
-        links = edges.join(taken, ["length", "low", "high"], "left_semi").select(
-            F.col("a").alias("src"), F.col("b").alias("dst")
-        )
-        whole = connected_components(
-            parts.select(F.col("component").alias("site")).distinct(), links, direct_edges
-        ).select(F.col("site").alias("component"), F.col("component").alias("_to"))
+        other = F.when(F.col("part") == F.col("edge.a"), F.col("edge.b")).otherwise(F.col("edge.a"))
+        least = materialize(least.select("part", other.alias("other"), "edge.length", "edge.low", "edge.high"))
+        forest = forest.unionByName(least.select("length", "low", "high"))
+        if least.count() <= direct_edges:
+            links = least.select(F.col("part").alias("src"), F.col("other").alias("dst"))
+            whole = connected_components(least.select(F.col("part").alias("site")), links, direct_edges)
+            whole = whole.select(F.col("site").alias("component"), F.col("component").alias("_to"))
+        else:
+            whole = _followed(least)
         parts = materialize(
-            parts.join(whole, "component").select("site", F.col("_to").alias("component"))
+            parts.join(whole, "component", "left").select(
+                "site", F.coalesce("_to", "component").alias("component")
+            )
         )
         edges = edges.select("length", "low", "high")
-    return edges.select("length", "low", "high") if forest is None else forest
 
 
 def reachability_forest(

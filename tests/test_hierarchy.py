@@ -239,3 +239,41 @@ def test_blocks_measure_few_pairs(monkeypatch, scale, kind):
     )
     want = sorted(kruskal(names, edges))
     assert np.allclose(sorted(forest.column("length").to_pylist()), want, rtol=1e-6, atol=0)
+
+
+@pytest.mark.parametrize("direct", [0, 12, 40])
+def test_rounds_follow_the_least_edges(spark, monkeypatch, direct):
+    """Parts on long ways of growing edges become one in a round, whose steps grow fourfold."""
+    rng = np.random.default_rng(7)
+    line = [(float(k), k, k + 1) for k in range(60)]
+    wild = [(float(rng.integers(1, 9)), a, b) for a in range(70, 120) for b in rng.integers(120, 150, 2).tolist()]
+    edges = sorted(dict(((low, high), length) for length, low, high in line + wild).items())
+    edges = [(length, low, high) for (low, high), length in edges]
+    ids = [*range(61), *range(70, 150), 500]
+    sites = spark.createDataFrame([(i,) for i in ids], "site bigint")
+    stored = []
+    keep = hierarchy.materialize
+    for module in (hierarchy, density):
+        monkeypatch.setattr(module, "materialize", lambda df: stored.append(1) or keep(df))
+    forest = hierarchy.spanning_forest(
+        sites, spark.createDataFrame(edges, hierarchy.EDGES), direct
+    ).collect()
+    want = kruskal(ids, sorted(edges))
+    assert sorted(r.length for r in forest) == sorted(want)
+    found = [(r.length, r.low, r.high) for r in forest]
+    assert parts(ids, found) == parts(ids, edges) and len(found) == len(want)
+    assert len(stored) <= 30
+
+
+def test_tasks_join_up_what_they_hold(spark, monkeypatch):
+    """A line of vertices over two tasks needs few rounds; edges to unknown vertices do not count."""
+    stored = []
+    keep = density.materialize
+    monkeypatch.setattr(density, "materialize", lambda df: stored.append(1) or keep(df))
+    vertices = spark.range(1, 400).select(F.col("id").alias("site"))
+    edges = spark.range(0, 399, 1, 2).select(
+        F.col("id").alias("src"), F.when(F.col("id") % 100 == 99, 7777).otherwise(F.col("id") + 1).alias("dst")
+    )
+    found = density.connected_components(vertices, edges, 0).collect()
+    assert {r.site: r.component for r in found} == {v: max(v - v % 100, 1) for v in range(1, 400)}
+    assert len(stored) <= 6
