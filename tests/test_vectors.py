@@ -1,5 +1,7 @@
 """Geometry, assignment, density clusters, training and streams against brute force."""
 
+import tracemalloc
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -292,6 +294,30 @@ def test_references_are_held_by_their_entries(monkeypatch):
     assert vectors._compact(rng.normal(size=(5, 4))).shape == (5, 4)
 
 
+def test_a_batch_is_compared_in_bounded_memory():
+    """Neighbours and blocks of a batch of 10,000 rows, and what numpy holds for them at most."""
+    rng = np.random.default_rng(4)
+    rows, units = rng.normal(size=(10_000, 64)), vectors._directions(rng.normal(size=(20_000, 64)))
+    column = pa.array(list(rows), pa.list_(pa.float64()))
+    routing = vectors.Routing(units[:1024])
+    routing.radii[:] = 0.1
+    nearest = vectors._nearest(vectors._directions(rows[::500]), units, 5)[0]
+    home = routing.home(rows)[0]
+
+    def held(run):
+        tracemalloc.start()
+        found = run()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return found, peak
+
+    (found, _), peak = held(lambda: vectors._nearest_of(column, units, 5))
+    assert (found[::500] == nearest).all() and peak < 60 << 20
+    (found, _), peak = held(lambda: routing.homes(column))
+    assert (found == home).all() and peak < 60 << 20
+    assert [len(x) for x in vectors._slices(column)] == [4096, 4096, 1808]
+
+
 # ---- training, inference, streams ---------------------------------------------------
 
 
