@@ -531,7 +531,7 @@ def grid_clusters(
         for end, name in (("low", "src"), ("high", "dst")):
             own = own.join(labels.select(F.col("site").alias(end), F.col("part").alias(name)), end)
         vertices = labels.select(F.col("part").alias("site")).distinct()
-        whole = connected_components(vertices, own.select("src", "dst"), direct_edges)
+        whole = connected_components(vertices, own.select("src", "dst"), direct_edges, by_task=True)
         whole = whole.select(F.col("site").alias("part"), "component")
         at = materialize(labels.join(whole, "part").select("site", "weight", "component"))
         parts = at.select("site", "component")
